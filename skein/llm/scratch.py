@@ -1,0 +1,46 @@
+"""Shared scratch tables: cut lineage without leaving files on one machine."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        context = spark.sparkContext
+        if not getattr(context, "_skein_dir", None):
+            context._skein_dir = "file://" + tempfile.mkdtemp(prefix="skein-")
+        found = context._skein_dir
+    return found.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _made.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget() -> None:
+    """Delete every table that settle() has written."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended: its folder is the cluster's to clear
+            return
+
+
+atexit.register(forget)
