@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import chat, decontaminate, licences, lines, mixing, topk, toxicity
+from skein.llm import chat, decontaminate, licences, lines, mixing, passages, suffixes, topk, toxicity
 
 
 def _bind(report: Callable, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,7 +16,9 @@ def _bind(report: Callable, *tables: str) -> Callable[[SparkSession, str], DataF
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": _bind(mixing.report, "documents"),
+        "op2_passages": _bind(passages.report, "documents"),
         "op3_topk": _bind(topk.report, "embeddings"),
+        "op4_suffixes": _bind(suffixes.report, "documents"),
         "op5_lines": _bind(lines.report, "documents"),
         "op7_licences": _bind(licences.report, "documents"),
         "op8_decontaminate": _bind(decontaminate.report, "documents", "benchmark"),
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": topk.SQL, "op5_lines": lines.SQL, "op8_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL}
+    return {"op2_passages": passages.SQL, "op3_topk": topk.SQL, "op5_lines": lines.SQL, "op8_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL}
