@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import chat, decontaminate, licences, lines, mixing, passages, suffixes, topk, toxicity
+from skein.llm import chat, decontaminate, jaccard, licences, lines, mixing, passages, suffixes, topk, toxicity
 
 
 def _bind(report: Callable, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk": _bind(topk.report, "embeddings"),
         "op4_suffixes": _bind(suffixes.report, "documents"),
         "op5_lines": _bind(lines.report, "documents"),
+        "op6_jaccard": _bind(jaccard.report, "documents"),
         "op7_licences": _bind(licences.report, "documents"),
         "op8_decontaminate": _bind(decontaminate.report, "documents", "benchmark"),
         "op9_toxicity": _bind(toxicity.report, "documents", "labels"),
