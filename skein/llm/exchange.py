@@ -12,6 +12,8 @@ in the same order each time: a file scan is; anything else is written first (sca
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -20,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import textops as X
-from skein.llm.scratch import settle
+from skein.scratch import settle
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 PACKED = "g long, ids binary, lengths binary, blob binary"
 
 
@@ -40,6 +42,15 @@ def buckets_for(docs: DataFrame, mb: int = 8) -> int:
     return max(partitions, min(size // (mb << 20), 1 << 20), 1)
 
 
+def relieve() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def groups(batches, group_bytes: int = GROUP_BYTES):
     """(g, ids, texts) for runs of consecutive rows; columns are the id and the text."""
     base, n, ids, texts, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
@@ -57,6 +68,7 @@ def groups(batches, group_bytes: int = GROUP_BYTES):
                 at += int(room)
             if at < len(sizes):
                 yield base + n, pa.concat_arrays(ids), pa.concat_arrays(texts)
+                relieve()
                 n, ids, texts, size = n + 1, [], [], 0
     if ids:
         yield base + n, pa.concat_arrays(ids), pa.concat_arrays(texts)
@@ -139,6 +151,7 @@ def answers(asked: DataFrame, resolve) -> DataFrame:
     """asked (b, g, payload) resolved bucket by bucket: resolve(list of payloads) gives one answer each."""
 
     def run(table: pa.Table) -> pa.Table:
+        relieve()
         got = resolve([p.as_py() for p in table.column("payload")], table.column("g").to_pylist())
         return pa.table({"g": table.column("g").cast(pa.int64()), "b": table.column("b").cast(pa.int32()), "answer": pa.array(got, pa.binary())})
 
@@ -149,6 +162,7 @@ def meet(texts: DataFrame, told: DataFrame, fn, schema: str) -> DataFrame:
     """fn(packed row, answer rows as dicts) -> pa.Table for every group."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        relieve()
         return fn(left.to_pylist()[0], right.to_pylist())
 
     return texts.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(run, schema)
