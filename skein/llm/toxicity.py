@@ -5,10 +5,12 @@ so an unseen misspelling or ending shares vectors with the words it was made fro
 segment of `segment` consecutive words is the mean of its subwords' vectors under a linear
 softmax; a document's score is that of its most toxic segment, so a few words in a long text
 are not averaged away. Training alternates: first every segment of a toxic document counts
-as toxic, later only the one that scores highest, against every segment of clean documents.
+as toxic, later only those that score as such and the highest one, against every segment of
+clean documents. A fifth of the sample is kept out of that and calibrates document scores.
 
-The model is fitted on at most `max_rows` labelled documents of each class, chosen by a hash
-of the id: a documented bound, so what reaches the driver does not grow with the corpus.
+The model is fitted on at most `max_rows` toxic and twice as many clean labelled documents,
+chosen by a hash of the id: a documented bound, so what reaches the driver does not grow with
+the corpus.
 Scoring covers all of every text. Only text is an input of a score.
 
 Defined results: null and empty texts score the model's bias alone; labels that are null or
@@ -29,9 +31,10 @@ from skein.llm import textops as X
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
-MAX_ROWS = 1500
-SEGMENT = 16
+MAX_ROWS = 1000
+SEGMENT = 4
 THRESHOLD = 0.7
+RARE = 10.0
 
 
 def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,17 +87,45 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def train(texts: list[str], toxic: list[int], dims: int = 8, epochs: int = 60, seed: int = 5) -> dict:
-    """Per-bucket logits and a bias: the embeddings times the difference of the softmax's two rows."""
+def train(texts: list[str], toxic: list[int], dims: int = 4, epochs: int = 60, seed: int = 5) -> dict:
+    """Per-bucket logits (the embeddings times the difference of the softmax's two rows), bias, and calibration."""
     y = np.array(toxic, np.int64)
     prior = float(y.mean()) if len(y) else 0.5
-    flat = {"bucket": np.zeros(BUCKETS, np.float32), "bias": float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))}
+    flat = {"bucket": np.zeros(BUCKETS, np.float32), "bias": float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))), "scale": 1.0, "shift": 0.0}
     if not len(y) or y.min() == y.max():
         return flat
+    rng = np.random.default_rng(seed)
+    aside = np.zeros(len(y), bool)
+    for kind in (0, 1):
+        own = np.flatnonzero(y == kind)
+        aside[rng.permutation(own)[: len(own) // 5]] = True
+    model = _fit([t for t, x in zip(texts, aside) if not x], y[~aside], dims, epochs, rng)
+    if model is None:
+        return flat
+    sample = aside if aside.any() and len(set(y[aside])) == 2 else np.ones(len(y), bool)
+    z = worst(pa.array([t for t, x in zip(texts, sample) if x], pa.large_string()), model)
+    return model | calibrate(z, y[sample])
+
+
+def calibrate(z: np.ndarray, y: np.ndarray) -> dict:
+    """Scale and shift of a logistic curve through documents' logits; a clean document weighs three times a toxic one."""
+    scale = max(float(z.std()), 1e-6)
+    x, a, b = (z - z.mean()) / scale, 1.0, 0.0
+    weight = np.where(y == 1, 1.0 / max((y == 1).sum(), 1), 3.0 / max((y == 0).sum(), 1))
+    for _ in range(400):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g = (p - y) * weight
+        a, b = a - 4 * (float(g @ x) + 1e-3 * a), b - 4 * float(g.sum())
+        a = max(a, 1e-3)
+    return {"scale": a / scale, "shift": b - a * float(z.mean()) / scale}
+
+
+def _fit(texts: list[str], y: np.ndarray, dims: int, epochs: int, rng) -> dict | None:
+    """Joint gradient descent on embeddings and softmax."""
     grams, gram_at, word, at = vocabulary(pa.array(texts, pa.large_string()))
     seg_start, seg_at = segments(at, SEGMENT)
-    if not len(seg_start):
-        return flat
+    if not len(seg_start) or y.min() == y.max():
+        return None
     doc = np.repeat(np.arange(len(y)), np.diff(seg_at))
     seg_words = np.concatenate([seg_start, at[-1:]])
     used, grams = np.unique(grams, return_inverse=True)
@@ -102,10 +133,8 @@ def train(texts: list[str], toxic: list[int], dims: int = 8, epochs: int = 60, s
     size = np.maximum(_sums(n_grams[word].astype(np.float64), seg_words), 1.0)  # subwords of each segment
     word_seg = np.repeat(np.arange(len(seg_start)), np.diff(seg_words))
     gram_word = np.repeat(np.arange(len(n_grams)), n_grams)
-    rng = np.random.default_rng(seed)
-    e = np.zeros((len(used), dims))
     w = rng.normal(0, 1.0, (dims, 2))
-    b = np.zeros(2)
+    e, b = np.zeros((len(used), dims)), np.zeros(2)
     params = [e, w, b]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     clean = y[doc] == 0
@@ -117,14 +146,13 @@ def train(texts: list[str], toxic: list[int], dims: int = 8, epochs: int = 60, s
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        if epoch >= epochs // 3:  # from here on a toxic document speaks through its worst segment
+        if epoch >= epochs // 3:  # from here on a toxic document speaks through its worst segments
             margin = np.where(clean, -np.inf, p[:, 1])
             best = np.full(len(y), -np.inf)
             np.maximum.at(best, doc, margin)
-            chosen = ~clean & (margin >= best[doc])
+            chosen = ~clean & ((margin >= best[doc]) | (margin > 0.5))
         weight = np.where(clean, 1.0 / max(clean.sum(), 1), np.where(chosen, 1.0 / max(chosen.sum(), 1), 0.0))
-        hard = np.where(clean, 1.0 + 20.0 * p[:, 1], 1.0)  # clean segments that look toxic weigh more
-        weight = weight * hard / 2
+        weight = weight * np.where(clean, 1.0 + 20.0 * p[:, 1], 1.0) / 2  # clean segments that look toxic weigh more
         g = p.copy()
         g[np.arange(len(g)), (~clean).astype(int)] -= 1
         g *= weight[:, None]
@@ -137,13 +165,16 @@ def train(texts: list[str], toxic: list[int], dims: int = 8, epochs: int = 60, s
             m2[i] += 0.02 * (grad * grad - m2[i])
             step = 0.12 * (m1[i] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(m2[i] / (1 - 0.98 ** (epoch + 1))) + 1e-9)
             params[i] -= step
+    # a subword of few documents says little: its logit shrinks
+    word_doc = np.unique(word.astype(np.int64) * len(y) + doc[word_seg])
+    seen = np.bincount(grams, np.bincount(word_doc // len(y), minlength=len(n_grams))[gram_word], len(used))
     out = np.zeros(BUCKETS, np.float32)
-    out[used] = e @ (w[:, 1] - w[:, 0])
+    out[used] = (e @ (w[:, 1] - w[:, 0])) * seen / (seen + RARE)
     return {"bucket": out, "bias": float(b[1] - b[0])}
 
 
-def scores(texts: pa.Array, model: dict) -> np.ndarray:
-    """The score of every text: the softmax of its most toxic segment."""
+def worst(texts: pa.Array, model: dict) -> np.ndarray:
+    """The logit of every text's most toxic segment."""
     out = np.full(len(texts), model["bias"])
     grams, gram_at, word, at = vocabulary(texts)
     if len(word):
@@ -154,7 +185,12 @@ def scores(texts: pa.Array, model: dict) -> np.ndarray:
         logit = _sums(per_word[word], ends) / np.maximum(_sums(count[word], ends), 1.0) + model["bias"]
         full = np.flatnonzero(np.diff(seg_at) > 0)
         out[full] = np.maximum.reduceat(logit, seg_at[:-1][full])
-    return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
+    return out
+
+
+def scores(texts: pa.Array, model: dict) -> np.ndarray:
+    """The calibrated score of every text."""
+    return 1 / (1 + np.exp(-np.clip(model["scale"] * worst(texts, model) + model["shift"], -60, 60)))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -162,16 +198,16 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> dict:
-    """A model from at most max_rows labelled documents of each class that are not held out."""
+    """A model from at most max_rows toxic and 2 * max_rows clean labelled documents that are not held out."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("_i"), F.col("toxic").cast("int").alias("_t")).where(F.col("_i").isNotNull() & F.col("_t").isin(0, 1) & ~held_out("_i"))
     known = known.groupBy("_i").agg(F.max("_t").alias("_t"))
     picked = []
     for kind in (0, 1):
-        picked += [(r["_i"], kind) for r in known.where(F.col("_t") == kind).orderBy(F.xxhash64("_i"), "_i").limit(max_rows).collect()]
+        picked += [(r["_i"], kind) for r in known.where(F.col("_t") == kind).orderBy(F.xxhash64("_i"), "_i").limit(max_rows * (2 - kind)).collect()]
     if not picked:
         return train([], [])
-    chosen = spark.createDataFrame(picked, "_i long, _t int")  # at most 2 * max_rows ids
+    chosen = spark.createDataFrame(picked, "_i long, _t int")  # at most 3 * max_rows ids
     rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_x")).join(F.broadcast(chosen), "_i").where(F.col("_x").isNotNull())
     rows = rows.groupBy("_i").agg(F.max("_x").alias("_x"), F.max("_t").alias("_t")).collect()  # a repeated id is one example
     rows.sort(key=lambda r: r["_i"])
