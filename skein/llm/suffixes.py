@@ -26,6 +26,7 @@ an empty result. Removed bytes can cut a character: kept text is decoded with re
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import exchange as E
 from skein.llm import textops as X
-from skein.llm.scratch import settle
+from skein.scratch import settle
 
 K = 24
 ANCHOR_BITS = 28
@@ -174,28 +175,33 @@ def suffix_array(s: np.ndarray, size: int, mark: int = -1, depth: int = 0) -> np
     return induce(s, kind, ordered, size, mark)
 
 
-def permuted_prefixes(s: np.ndarray, sa: np.ndarray, mark: int) -> np.ndarray:
+def permuted_prefixes(s: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.ndarray:
     """For each text position, the common prefix of its suffix with the one before it in order.
 
-    A position's prefix is its left neighbour's less one, unless the symbols to the left of both
-    suffixes differ; only these irreducible ones are compared. Places of `mark` differ from all."""
-    n = len(s)
+    `room` is how far each position is from its stretch's end, which no prefix crosses. A
+    position's prefix is its left neighbour's less one, unless the symbols to the left of both
+    suffixes differ or a stretch begins; only these irreducible ones are compared, eight bytes
+    at a time."""
+    n, wide = len(s), s.itemsize
     before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     start = np.ones(n, bool)
-    start[1:] = (before[1:] <= 0) | (s[:-1] == mark) | (s[np.maximum(before[1:] - 1, 0)] != s[:-1])
+    start[1:] = (before[1:] <= 0) | (room[:-1] == 0) | (s[np.maximum(before[1:] - 1, 0)] != s[:-1])
     at = np.flatnonzero(start)
+    padded = np.concatenate([s, np.zeros(16, s.dtype)])
+    eight = np.ndarray(n + 8, np.uint64, padded.data, strides=(wide,))  # the symbols from each position on
+    step = 8 // wide
     size = np.zeros(len(at), np.int32)
     live = np.flatnonzero(before[at] >= 0)
     a, b, h = at[live], before[at[live]].astype(np.int64), 0
+    most = np.minimum(room[a], room[b])
     while len(live):
-        ok = (np.maximum(a, b) + h) < n
-        live, a, b = live[ok], a[ok], b[ok]
-        x = s[a + h]
-        ok = (x == s[b + h]) & (x != mark)
-        live, a, b = live[ok], a[ok], b[ok]
-        h += 1
-        size[live] = h
+        x = eight[np.minimum(a + h, n)] ^ eight[np.minimum(b + h, n)]
+        equal = np.where(x == 0, step, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) // (8 * wide)).astype(np.int32)
+        size[live] = np.minimum(h + equal, most)
+        h += step
+        go = (equal == step) & (most > h)
+        live, a, b, most = live[go], a[go], b[go], most[go]
     owner = np.cumsum(start) - 1
     return size[owner] - (np.arange(n) - at[owner]).astype(np.int32)
 
@@ -210,9 +216,9 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), sums
-    at = np.arange(len(data) - k + 1)
-    gram = X.mix(X.range_hash(sums, at, at + k))
-    least = (gram & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    gram = X.mix(X.rolling_hash(sums, k))
+    least = gram & np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(len(gram), dtype=np.uint64)
     width, have = length - k + 1, 1
     while have * 2 <= width:
         least = np.minimum(least[:-have], least[have:])
@@ -272,7 +278,7 @@ def _candidates(row: dict, told: list[dict], length: int, k: int, buckets: int)
     member[order] = np.cumsum(head) - 1
     cut = np.flatnonzero(np.diff(shard[heads])) + 1 if len(heads) else np.zeros(0, np.int64)
     runs = list(zip(shard[heads][np.concatenate([[0], cut])].tolist(), [0, *cut.tolist()], [*cut.tolist(), len(heads)])) if len(heads) else []
-    return {"ids": ids, "null": null, "data": data, "offsets": offsets, "first": first, "ends": ends, "owner": owner, "heads": heads, "member": member, "runs": runs}
+    return {"ids": ids, "null": null, "data": data, "offsets": offsets, "first": first, "ends": ends, "owner": owner, "gram": gram, "heads": heads, "member": member, "runs": runs}
 
 
 def spread(lows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -282,6 +288,8 @@ def spread(lows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def ask_shards(texts: DataFrame, told: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
+    """A row for each shard that a group has stretches for, and one (b = -1) that says where they stand."""
+
     def run(row, got):
         c = _candidates(row, got, length, k, buckets)
         press = zstandard.ZstdCompressor(level=1)
@@ -289,24 +297,37 @@ def ask_shards(texts: DataFrame, told: DataFrame, length: int, k: int, buckets:
         for _, lo, hi in c["runs"]:
             h = c["heads"][lo:hi]
             sizes = c["ends"][h] - c["first"][h]
-            body = c["owner"][h].tobytes() + sizes.astype("<u2").tobytes() + c["data"][spread(c["first"][h], sizes)].tobytes()
+            body = c["owner"][h].tobytes() + sizes.astype("<u2").tobytes() + c["gram"][h].astype("<u4").tobytes() + c["data"][spread(c["first"][h], sizes)].tobytes()
             payloads.append(len(h).to_bytes(4, "little") + press.compress(body))
-        return pa.Table.from_pydict({"b": [r[0] for r in c["runs"]], "g": [row["g"]] * len(payloads), "payload": payloads}, _ASKED)
+        payloads.append(press.compress(pickle.dumps(plan_of(c, length))))
+        return pa.Table.from_pydict({"b": [*(r[0] for r in c["runs"]), -1], "g": [row["g"]] * len(payloads), "payload": payloads}, _ASKED)
 
     return E.meet(texts, told, run, ASKED)
 
 
+def plan_of(c: dict, length: int) -> dict:
+    """What a group needs to read its shards' bits: its stretches, the distinct one of each, and those of a later id."""
+    heads, member = c["heads"], c["member"]
+    strings = (c["ends"][heads] - c["first"][heads] - length + 1).astype(np.uint16)
+    later = c["owner"] > c["owner"][heads][member] if len(member) else np.zeros(0, bool)
+    return {"first": np.diff(c["first"], prepend=0).astype(np.uint32), "member": member.astype(np.uint32), "strings": strings, "later": later, "runs": c["runs"]}
+
+
 def resolve_shard(payloads: list[bytes], length: int) -> list[bytes]:
-    """One shard: suffix array and permuted prefixes of its stretches; a bit for each string of which a smaller id holds a copy."""
-    ids, sizes, parts, count = [], [], [], []
+    """One shard: suffix array and permuted prefixes of its stretches; a bit for each string of which a smaller id holds a copy.
+
+    Equal stretches stand in the text once, and those that are alone in having their anchor not at
+    all: a string has one anchor, so theirs can only match their own copies."""
+    ids, sizes, grams, parts, count = [], [], [], [], []
     for p in payloads:
         n = int.from_bytes(p[:4], "little")
         body = zstandard.ZstdDecompressor().decompressobj().decompress(p[4:])
         ids.append(np.frombuffer(body, np.int64, n))
         sizes.append(np.frombuffer(body, "<u2", n, 8 * n).astype(np.int64))
-        parts.append(np.frombuffer(body, np.uint8, offset=10 * n))
+        grams.append(np.frombuffer(body, "<u4", n, 10 * n))
+        parts.append(np.frombuffer(body, np.uint8, offset=14 * n))
         count.append(n)
-    ids, sizes, data = np.concatenate(ids), np.concatenate(sizes), np.concatenate(parts)
+    ids, sizes, grams, data = np.concatenate(ids), np.concatenate(sizes), np.concatenate(grams), np.concatenate(parts)
     at = np.concatenate([[0], np.cumsum(sizes)])
     codes = [X.mix(X.range_hash(X.byte_sums(data, w), at[:-1], at[1:], w) + sizes.astype(np.uint64)) for w in (0, 1)]
     order = np.lexsort((ids, codes[1], codes[0]))  # equal stretches once, with their smallest id
@@ -315,45 +336,54 @@ def resolve_shard(payloads: list[bytes], length: int) -> list[bytes]:
     member = np.empty(len(order), np.int64)
     member[order] = np.cumsum(head) - 1
     one = order[head]
-    own, size = ids[one], sizes[one]
-    begin = np.concatenate([[0], np.cumsum(size + 1)])  # each stretch and a separator
-    text = np.ones(int(begin[-1]) + 1, np.uint16)
-    text[-1] = 0
-    text[spread(begin[:-1], size)] = data[spread(at[:-1][one], size)].astype(np.uint16) + 2
-    sa = suffix_array(text, 258, mark=1)
-    prefix = permuted_prefixes(text, sa, mark=1)
-    least = np.full(len(text), np.iinfo(np.int64).max)
-    least[spread(begin[:-1], size)] = np.repeat(own, size)
-    starts = np.flatnonzero(prefix[sa] < length)  # classes of suffixes with equal first `length` bytes
-    smallest = np.minimum.reduceat(least[sa], starts)
-    best = np.empty(len(text), np.int64)
-    best[sa] = np.repeat(smallest, np.diff(np.append(starts, len(sa))))
+    own = ids[one]
     strings = sizes - length + 1
-    gone = best[spread(begin[:-1][member], strings)] < np.repeat(ids, strings)
+    least = np.repeat(own, strings[one])  # the smallest id that holds each string of each distinct stretch
+    string_at = np.concatenate([[0], np.cumsum(strings[one])])
+    _, kin = np.unique(grams[one], return_inverse=True)
+    shared = np.flatnonzero(np.bincount(kin)[kin] > 1)
+    if len(shared):
+        size, number = sizes[one][shared], strings[one][shared]
+        begin = np.concatenate([[0], np.cumsum(size + 1)])  # each stretch and a separator
+        kind = np.uint8 if data.max() < 254 else np.uint16  # no byte of UTF-8 is over 0xF4
+        text = np.ones(int(begin[-1]) + 1, kind)
+        text[-1] = 0
+        places = spread(begin[:-1], size)
+        text[places] = data[spread(at[:-1][one[shared]], size)].astype(kind) + kind(2)
+        room = np.zeros(len(text), np.int32)
+        room[places] = np.repeat(begin[1:] - 1, size) - places
+        sa = suffix_array(text, 258, mark=1)
+        prefix = permuted_prefixes(text, sa, room)
+        holder = np.full(len(text), np.iinfo(np.int64).max)
+        holder[places] = np.repeat(own[shared], size)
+        starts = np.flatnonzero(prefix[sa] < length)  # classes of suffixes with equal first `length` bytes
+        smallest = np.minimum.reduceat(holder[sa], starts)
+        best = np.empty(len(text), np.int64)
+        best[sa] = np.repeat(smallest, np.diff(np.append(starts, len(sa))))
+        least[spread(string_at[:-1][shared], number)] = best[spread(begin[:-1], number)]
+    gone = least[spread(string_at[:-1][member], strings)] < np.repeat(ids, strings)
     cuts = np.cumsum(np.add.reduceat(strings, np.concatenate([[0], np.cumsum(count)[:-1]])))[:-1]
     return [E.bits(m) for m in np.split(gone, cuts)]
 
 
-def _finish(row: dict, told: list[dict], length: int, k: int, buckets: int, with_text: bool) -> pa.Table:
-    c = _candidates(row, told, length, k, buckets)
-    first, ends, heads, member = c["first"], c["ends"], c["heads"], c["member"]
-    strings = ends[heads] - first[heads] - length + 1
+def _finish(row: dict, told: list[dict], length: int, with_text: bool) -> pa.Table:
+    ids, null, data, offsets = E.opened(row)
+    of = {a["b"]: a["answer"] for a in told}
+    plan = pickle.loads(zstandard.ZstdDecompressor().decompressobj().decompress(of[-1]))
+    first, member, strings = np.cumsum(plan["first"].astype(np.int64)), plan["member"].astype(np.int64), plan["strings"].astype(np.int64)
     bit_at = np.concatenate([[0], np.cumsum(strings)])
-    of = {a["b"]: a["answer"] for a in told if a["round"] == 2}
-    flags = np.concatenate([E.unbits(of[b], int(bit_at[hi] - bit_at[lo])) for b, lo, hi in c["runs"]]) if c["runs"] else np.zeros(0, bool)
-    mine = strings[member] if len(member) else np.zeros(0, np.int64)
-    later = c["owner"] > c["owner"][heads][member] if len(member) else np.zeros(0, bool)
-    gone = flags[spread(bit_at[:-1][member], mine)] | np.repeat(later, mine) if len(member) else np.zeros(0, bool)
+    flags = np.concatenate([E.unbits(of[b], int(bit_at[hi] - bit_at[lo])) for b, lo, hi in plan["runs"]] or [np.zeros(0, bool)])
+    mine = strings[member]
+    gone = flags[spread(bit_at[:-1][member], mine)] | np.repeat(plan["later"], mine)
     where = spread(first, mine)[gone]
-    data, offsets = c["data"], c["offsets"]
     lost = X.covered(len(data), where, length) if len(data) else np.zeros(0, bool)
     total = np.concatenate([[0], np.cumsum(lost)])
     out = {f.name: [] for f in _OUT}
-    for d in range(len(c["ids"])):
+    for d in range(len(ids)):
         a, b = int(offsets[d]), int(offsets[d + 1])
         mask = lost[a:b]
         kept = (data[a:b][~mask] if total[b] > total[a] else data[a:b]).tobytes()
-        out["doc_id"].append(None if c["null"][d] else int(c["ids"][d]))
+        out["doc_id"].append(None if null[d] else int(ids[d]))
         out["n_bytes"].append(b - a)
         out["n_removed"].append(int(total[b] - total[a]))
         out["n_spans"].append(int((mask[1:] & ~mask[:-1]).sum() + mask[0]) if total[b] > total[a] else 0)
@@ -369,8 +399,10 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, k: int = K, id_col: str =
     buckets = E.buckets_for(rows, 2)
     anchors = settle(E.answers(ask_anchors(rows, length, k, buckets), resolve_anchors).withColumn("round", F.lit(1)))
     texts = E.packed(rows)
-    shards = E.answers(ask_shards(texts, anchors, length, k, buckets), lambda payloads, _: resolve_shard(payloads, length)).withColumn("round", F.lit(2))
-    return E.meet(texts, anchors.unionByName(shards), lambda row, told: _finish(row, told, length, k, buckets, with_text), OUT)
+    asked = settle(ask_shards(texts, anchors, length, k, buckets))
+    shards = E.answers(asked.where("b >= 0"), lambda payloads, _: resolve_shard(payloads, length))
+    plans = asked.where("b < 0").select("g", "b", F.col("payload").alias("answer"))
+    return E.meet(texts, shards.unionByName(plans), lambda row, told: _finish(row, told, length, with_text), OUT)
 
 
 def report(docs: DataFrame) -> DataFrame:

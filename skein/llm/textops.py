@@ -30,7 +30,7 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+        size = max(1 << 16, -(-n // (1 << 18)) << 18)
         base = _BASES[which]
         inverse = _U(pow(int(base), -1, 2**64))
         out = []
@@ -47,9 +47,9 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     h = h ^ (h >> _U(30))
-    h = h * _U(0xBF58476D1CE4E5B9)
+    h *= _U(0xBF58476D1CE4E5B9)
     h ^= h >> _U(27)
-    h = h * _U(0x94D049BB133111EB)
+    h *= _U(0x94D049BB133111EB)
     h ^= h >> _U(31)
     return h
 
@@ -92,7 +92,8 @@ def range_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
     """len+1 prefix sums of values[i] * base**i, for range_hash()."""
     out = np.empty(len(values) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(values * powers(len(values), which)[0], out=out[1:])
+    np.multiply(values, powers(len(values), which)[0], out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -115,16 +116,25 @@ def windows(word_offsets: np.ndarray, k: int) -> np.ndarray:
     n = int(word_offsets[-1])
     if n < k:
         return np.zeros(0, np.int64)
-    mark = np.zeros(n + 1, np.int64)
     lengths = np.diff(word_offsets)
-    fit = lengths >= k
-    np.add.at(mark, word_offsets[:-1][fit], 1)
-    np.add.at(mark, word_offsets[1:][fit] - k + 1, -1)
-    return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    late = np.zeros(n, bool)  # items that too few of their text follow
+    for i in range(1, min(k, int(lengths.max()) + 1)):
+        late[(word_offsets[1:] - i)[lengths >= i]] = True
+    return np.flatnonzero(~late)
+
+
+def rolling_hash(sums: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """range_hash() of [i, i + k) for every i, without gathering."""
+    out = sums[k:] - sums[:-k]
+    out *= powers(len(out), which)[1]
+    return out
 
 
 def window_hashes(hashes: np.ndarray, at: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    return mix(range_hash(range_sums(hashes, which), at, at + k, which))
+    sums = range_sums(hashes, which)
+    if len(at) * 3 < len(hashes):
+        return mix(range_hash(sums, at, at + k, which))
+    return mix(rolling_hash(sums, k, which)[at]) if len(at) else np.zeros(0, np.uint64)
 
 
 def covered(n: int, starts: np.ndarray, k: int) -> np.ndarray:
