@@ -102,9 +102,18 @@ def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     return (sums[ends] - sums[starts]) * powers(len(sums), which)[1][starts]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    sums = range_sums(_TABLES[which][data], which)
-    return mix(range_hash(sums, starts, ends, which) ^ ((ends - starts).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, most: int = 1 << 20) -> np.ndarray:
+    """A hash of each word, made over runs of words of about `most` bytes, so memory does not follow the text."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        a, b = starts[at:to] - base, ends[at:to] - base
+        sums = range_sums(_TABLES[which][data[base : base + int(b[-1])]], which)
+        out[at:to] = range_hash(sums, a, b, which) ^ ((b - a).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
+        at = to
+    return mix(out)
 
 
 def byte_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
