@@ -1 +1,231 @@
+"""Readers and writers: source trees, commits, spools, transcripts, results and sinks."""
 
+from __future__ import annotations
+
+import json
+import re
+import time
+import tomllib
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields, is_dataclass
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import language, vendored
+from skein.operators.rules import any_glob
+
+
+def working_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """(rel, source, language) of the parseable files below root; vendored, minified and ignored ones left out."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = raw.select(F.regexp_replace("path", f"^[a-z]+:/*{re.escape(root.split(':')[-1].strip('/'))}/", "").alias("rel"), F.decode("content", "utf-8").alias("source"))
+    out = base.withColumn("language", language(F.col("rel"))).where(F.col("language").isNotNull() & ~vendored(F.col("rel")) & ~any_glob(F.col("rel"), ignore or []))
+    return out.where(F.col("language").isin(*languages)) if languages else out
+
+
+def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(rel, text) of markdown files below root."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,markdown}").load(root)
+    return raw.select(F.regexp_replace("path", f"^[a-z]+:/*{re.escape(root.split(':')[-1].strip('/'))}/", "").alias("rel"), F.decode("content", "utf-8").alias("text")).where(~vendored(F.col("rel")))
+
+
+def at_commit(files: DataFrame, commit: str) -> DataFrame:
+    """One commit of a files table partitioned by commit."""
+    return files.where(F.col("commit") == commit)
+
+
+def diff(files: DataFrame, a: str, b: str) -> DataFrame:
+    """(rel, change) between two commits by content hash."""
+    left, right = at_commit(files, a).select("rel", F.col("hash").alias("_a")), at_commit(files, b).select("rel", F.col("hash").alias("_b"))
+    both = left.join(right, "rel", "full")
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "modified")
+    return both.select("rel", change.alias("change")).where("change IS NOT NULL")
+
+
+def checked_diff(files: DataFrame, a: str, b: str) -> tuple[str, DataFrame | None]:
+    """evaluated and the rows, or why not: an unresolved commit is not an empty difference."""
+    known = {r[0] for r in files.where(F.col("commit").isin(a, b)).select("commit").distinct().collect()}
+    missing = [c for c in (a, b) if c not in known]
+    return (f"unresolved:{','.join(missing)}", None) if missing else ("evaluated", diff(files, a, b))
+
+
+METRICS = "kind string, ts long, agent string, tenant string, item string, session string, result string, mode string, rule string, ext string, path string, verb string, target string, target_class string, duration_ms long, _corrupt_record string"
+VERDICTS = "ts long, predicate_id string, target_ref string, turtle string, denied_excerpt string, _corrupt_record string"
+THROTTLES = "constraint_id string, scope string, until long, _corrupt_record string"
+
+
+def spool(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON-lines spool; lines that do not parse keep their text in _corrupt_record."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+
+
+def well_formed(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
+def spool_watermark(spark: SparkSession, path: str) -> str:
+    """spool@mtime:length of the newest file."""
+    row = spark.read.format("binaryFile").load(path).agg(F.max("modificationTime").alias("m"), F.sum("length").alias("n")).first()
+    return f"spool@{int(row['m'].timestamp())}:{row['n']}"
+
+
+def transcript(spark: SparkSession, path: str) -> DataFrame:
+    """(session, idx, kind, path, lo, hi, cmd) events of session transcripts, one JSON object a line."""
+    schema = "session string, idx int, tool string, input struct<file_path:string,offset:double,limit:double,command:string>, type string"
+    raw = spark.read.schema(schema).json(path)
+    kind = F.when(F.col("type") == "compact", "compact").when(F.col("tool") == "Read", "read").when(F.col("tool").isin("Edit", "Write"), "edit").when(F.col("tool") == "Bash", "bash")
+    lo = F.coalesce("input.offset", F.lit(0.0))
+    return raw.select("session", "idx", kind.alias("kind"), F.col("input.file_path").alias("path"), lo.alias("lo"), (lo + F.coalesce("input.limit", F.lit(float("inf")))).alias("hi"), F.col("input.command").alias("cmd")).where("kind IS NOT NULL")
+
+
+def cochange(rows: DataFrame, text: str) -> DataFrame:
+    """(file) of a JSON array or a list of lines."""
+    t = F.trim(F.col(text))
+    items = F.when(t.startswith("["), F.from_json(t, "array<string>")).otherwise(F.split(t, r"\r?\n"))
+    return rows.select(F.explode(items).alias("file")).where("file <> ''").distinct()
+
+
+def bindings(spark: SparkSession, results: str) -> DataFrame:
+    """(row, var, value) of a SPARQL-results JSON text."""
+    data = json.loads(results)["results"]["bindings"]
+    return spark.createDataFrame([(i, v, b[v]["value"]) for i, b in enumerate(data) for v in b], "row int, var string, value string")
+
+
+def decode(rows: DataFrame, key: str, required: list[str], many: list[str]) -> DataFrame:
+    """One row a key of (row, var, value) bindings: `many` variables collected, required ones single, else `error` says which."""
+    wide = rows.groupBy("row").pivot("var", [key, *required, *many]).agg(F.first("value"))
+    out = wide.groupBy(key).agg(*(F.count_distinct(r).alias(f"_{r}") for r in required), *(F.min(r).alias(r) for r in required), *(F.array_join(F.array_sort(F.collect_set(m)), " — ").alias(m) for m in many))
+    bad = F.concat_ws(",", *(F.when(F.col(f"_{r}") != 1, r) for r in required))
+    return out.select(key, *required, *many, F.nullif(bad, F.lit("")).alias("error"))
+
+
+def exposure(paths: DataFrame, repos: DataFrame) -> DataFrame:
+    """paths (repo, ...) with exposure public, internal or unknown, from a dimension (repo, exposure)."""
+    return paths.join(F.broadcast(repos.select("repo", "exposure")), "repo", "left").fillna("unknown", ["exposure"])
+
+
+def plate(text: str | None, now: float, max_age: float = 4 * 3600) -> str | None:
+    """The item of a {item, at} record, unless it is unreadable or stale."""
+    try:
+        row = json.loads(text or "")
+        return row["item"] if now - float(row["at"]) <= max_age else None
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
+@dataclass
+class Watch:
+    fast_ms: int = 300
+    heavy_ms: int = 1500
+
+
+@dataclass
+class Sessions:
+    cap: int = 32
+    eviction: str = "lru"
+
+
+@dataclass
+class Guard:
+    mode: str = "advise"
+    max_symbols: int | None = None
+    max_files: int | None = None
+    allow: list[str] = field(default_factory=list)
+    deny: list[str] = field(default_factory=list)
+
+
+@dataclass
+class Config:
+    watch: Watch = field(default_factory=Watch)
+    sessions: Sessions = field(default_factory=Sessions)
+    guard: Guard = field(default_factory=Guard)
+    fan_limit: int = 200
+    hops: int = 5
+
+
+ENUMS = {("sessions", "eviction"): ("lru", "oldest"), ("guard", "mode"): ("observe", "advise", "enforce")}
+
+
+def merged(a: dict, b: dict) -> dict:
+    """b over a, table by table."""
+    return a | {k: merged(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
+
+
+def config(*texts: str) -> Config:
+    """Defaults under TOML texts, later ones over earlier ones. Unknown keys and enum values are errors."""
+    raw: dict = {}
+    for t in texts:
+        raw = merged(raw, tomllib.loads(t))
+    out = Config()
+
+    def fill(target, values: dict, where: tuple) -> None:
+        known = {f.name for f in fields(target)}
+        for k, v in values.items():
+            if k not in known:
+                raise ValueError(f"unknown setting {'.'.join((*where, k))}")
+            if is_dataclass(getattr(target, k)):
+                fill(getattr(target, k), v, (*where, k))
+                continue
+            allowed = ENUMS.get((*where, k))
+            if allowed and v not in allowed:
+                raise ValueError(f"{'.'.join((*where, k))} must be one of {', '.join(allowed)}")
+            setattr(target, k, v)
+
+    fill(out, raw, ())
+    return out
+
+
+# ---- sinks ----
+
+
+def write_text(rows: DataFrame, path: str) -> None:
+    """A (value) frame as text files."""
+    rows.write.mode("overwrite").text(path)
+
+
+def append_spool(rows: DataFrame, path: str) -> None:
+    """JSON lines without null fields, added to a spool."""
+    rows.write.mode("append").option("ignoreNullFields", "true").json(path)
+
+
+class Refused(RuntimeError):
+    """Nothing was written, and why."""
+
+
+def publish(triples: DataFrame, violations: DataFrame, write: Callable[[DataFrame], None], attempts: int = 3, wait: float = 2.0, dry_run: bool = False, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """All or nothing: any violation refuses the whole; transient failures (ConnectionError, TimeoutError) are tried again."""
+    bad = violations.count()
+    if bad:
+        raise Refused(f"{bad} violations")
+    n = triples.count()
+    if dry_run:
+        return {"triples": n, "written": False}
+    for attempt in range(1, attempts + 1):
+        try:
+            write(triples)
+            return {"triples": n, "written": True, "attempts": attempt}
+        except (ConnectionError, TimeoutError):
+            if attempt == attempts:
+                raise
+            sleep(wait * attempt)
+    raise AssertionError
+
+
+def replace_snapshot(rows: DataFrame, path: str, partition: str = "snapshot") -> None:
+    """Overwrite only the partitions that rows hold."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def drain(rows: DataFrame, path: str, write: Callable[[DataFrame], DataFrame]) -> bool:
+    """Write a spool's rows and delete the spool only if write() rejected none; returns whether it went."""
+    if not write(rows).isEmpty():
+        return False
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def read_config(*paths: str) -> Config:
+    return config(*(Path(p).read_text() for p in paths if Path(p).exists()))
