@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import textops as X
+from skein.llm.exchange import relieve
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -37,8 +38,16 @@ THRESHOLD = 0.7
 RARE = 10.0
 
 
-def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket ids of the n-grams of each word, and the len+1 offsets of the words' n-grams."""
+def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids of the n-grams of each word, and the len+1 offsets of the words' n-grams; made over `most` words at a time."""
+    parts = [_subwords(data, starts[i : i + most], ends[i : i + most]) for i in range(0, len(starts), most)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
+
+
+def _subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids of the words' n-grams, word by word, and how many each has."""
     lengths = (ends - starts) + 2
     at = np.concatenate([[0], np.cumsum(lengths)])
     padded = np.empty(int(at[-1]), np.uint8)
@@ -54,11 +63,11 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     ids, owner = [], []
     for n in GRAMS:
         ok = np.flatnonzero(place + n <= lengths[word])
-        ids.append((X.mix(X.range_hash(sums, ok, ok + n) + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
+        ids.append((X.mix(X.range_hash(sums, ok, ok + n) + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int32))
         owner.append(word[ok])
     ids, owner = np.concatenate(ids), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return ids[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(lengths)))])
+    return ids[order], np.bincount(owner, minlength=len(lengths))
 
 
 def vocabulary(texts: pa.Array):
@@ -120,6 +129,18 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> dict:
     return {"scale": a / scale, "shift": b - a * float(z.mean()) / scale}
 
 
+def _spread(to: np.ndarray, of: np.ndarray, rows: np.ndarray, n: int, most: int = 1 << 19) -> np.ndarray:
+    """n rows: the sum of rows[of[i]] over all i of each to[i], a part of the i at a time."""
+    out = np.zeros((n, rows.shape[1]))
+    for i in range(0, len(to), most):
+        part, source = to[i : i + most], of[i : i + most]
+        low = int(part.min())
+        span = int(part.max()) - low + 1
+        for d in range(rows.shape[1]):
+            out[low : low + span, d] += np.bincount(part - low, rows[source, d], span)
+    return out
+
+
 def _fit(texts: list[str], y: np.ndarray, dims: int, epochs: int, rng) -> dict | None:
     """Joint gradient descent on embeddings and softmax."""
     grams, gram_at, word, at = vocabulary(pa.array(texts, pa.large_string()))
@@ -128,11 +149,15 @@ def _fit(texts: list[str], y: np.ndarray, dims: int, epochs: int, rng) -> dict |
         return None
     doc = np.repeat(np.arange(len(y)), np.diff(seg_at))
     seg_words = np.concatenate([seg_start, at[-1:]])
-    used, grams = np.unique(grams, return_inverse=True)
+    used = np.flatnonzero(np.bincount(grams, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    grams = place[grams]
     n_grams = np.diff(gram_at)
     size = np.maximum(_sums(n_grams[word].astype(np.float64), seg_words), 1.0)  # subwords of each segment
-    word_seg = np.repeat(np.arange(len(seg_start)), np.diff(seg_words))
-    gram_word = np.repeat(np.arange(len(n_grams)), n_grams)
+    word_seg = np.repeat(np.arange(len(seg_start), dtype=np.int32), np.diff(seg_words))
+    gram_word = np.repeat(np.arange(len(n_grams), dtype=np.int32), n_grams)
+    word = word.astype(np.int32)
     w = rng.normal(0, 1.0, (dims, 2))
     e, b = np.zeros((len(used), dims)), np.zeros(2)
     params = [e, w, b]
@@ -140,8 +165,8 @@ def _fit(texts: list[str], y: np.ndarray, dims: int, epochs: int, rng) -> dict |
     clean = y[doc] == 0
     chosen = ~clean
     for epoch in range(epochs):
-        bag = np.stack([np.bincount(gram_word, e[grams, d], len(n_grams)) for d in range(dims)], 1)
-        mean = np.stack([np.bincount(word_seg, bag[word, d], len(seg_start)) for d in range(dims)], 1) / size[:, None]
+        bag = _spread(gram_word, grams, e, len(n_grams))
+        mean = _spread(word_seg, word, bag, len(seg_start)) / size[:, None]
         z = mean @ w + b
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
@@ -158,8 +183,7 @@ def _fit(texts: list[str], y: np.ndarray, dims: int, epochs: int, rng) -> dict |
         g *= weight[:, None]
         gw, gb = mean.T @ g, g.sum(axis=0)
         gm = (g @ w.T) / size[:, None]
-        g_word = np.stack([np.bincount(word, gm[word_seg, d], len(n_grams)) for d in range(dims)], 1)
-        ge = np.stack([np.bincount(grams, g_word[gram_word, d], len(used)) for d in range(dims)], 1)
+        ge = _spread(grams, gram_word, _spread(word, word_seg, gm, len(n_grams)), len(used))
         for i, grad in enumerate((ge, gw, gb)):
             m1[i] += 0.1 * (grad - m1[i])
             m2[i] += 0.02 * (grad * grad - m2[i])
@@ -167,7 +191,7 @@ def _fit(texts: list[str], y: np.ndarray, dims: int, epochs: int, rng) -> dict |
             params[i] -= step
     # a subword of few documents says little: its logit shrinks
     word_doc = np.unique(word.astype(np.int64) * len(y) + doc[word_seg])
-    seen = np.bincount(grams, np.bincount(word_doc // len(y), minlength=len(n_grams))[gram_word], len(used))
+    seen = _spread(grams, gram_word, np.bincount(word_doc // len(y), minlength=len(n_grams)).astype(np.float64)[:, None], len(used))[:, 0]
     out = np.zeros(BUCKETS, np.float32)
     out[used] = (e @ (w[:, 1] - w[:, 0])) * seen / (seen + RARE)
     return {"bucket": out, "bias": float(b[1] - b[0])}
@@ -211,7 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_x")).join(F.broadcast(chosen), "_i").where(F.col("_x").isNotNull())
     rows = rows.groupBy("_i").agg(F.max("_x").alias("_x"), F.max("_t").alias("_t")).collect()  # a repeated id is one example
     rows.sort(key=lambda r: r["_i"])
-    return train([r["_x"] for r in rows], [r["_t"] for r in rows])
+    texts, toxic = [r["_x"] for r in rows], [r["_t"] for r in rows]
+    del rows
+    model = train(texts, toxic)
+    relieve()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
