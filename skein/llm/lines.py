@@ -5,7 +5,9 @@ Keys of at least `min_chars` code points found in at least `min_docs` documents
 lines everywhere but in the smallest document that holds them.
 
 Only 16-byte key hashes and positions are shuffled by key (pre-aggregated on the map side,
-so a line that every document repeats is one row a task); the text moves once, by document.
+so a line that every document repeats is one row a task); where positions meet their keys, keys
+with over a thousandth of the rows (fewer than a thousand, so they are broadcast) are salted.
+The text moves once, by document.
 
 Defined results: a null or empty text is one empty line. A null id counts as the largest
 document. Rows that repeat an id are one document, and each row is cleaned by itself.
@@ -17,6 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.scratch import settle
+
+HOT, SALTS = 1000, 64
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LAST = 2**63 - 1
@@ -39,11 +44,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("_d", "_x", "_p", F.xxhash64("_k").alias("_h"), F.xxhash64(F.reverse("_k"), F.lit(7)).alias("_g"))
     )
     per_doc = flat.groupBy("_h", "_g", "_d").agg(F.lit(1).alias("_one")) if min_docs > 2 else flat
-    held = [F.min("_d").alias("_keep")] + ([F.count("_one").alias("_n")] if min_docs > 2 else [F.max("_d").alias("_top")])
-    often = per_doc.groupBy("_h", "_g").agg(*held)
-    often = often.where(F.col("_n") >= min_docs if min_docs > 2 else F.col("_top") > F.col("_keep") if min_docs == 2 else F.lit(True))
+    often = per_doc.groupBy("_h", "_g").agg(F.min("_d").alias("_keep"), F.max("_d").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    often = settle(often.where(F.col("_n") >= min_docs if min_docs > 2 else F.col("_top") > F.col("_keep") if min_docs == 2 else F.lit(True)))
+    # fewer than `hot` keys can each have over 1 / hot of the rows: their rows are salted
+    total = often.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(often.where(F.col("_n") * HOT > total).select("_h", "_g", F.lit(SALTS).alias("_salts")))
+    salted = flat.join(hot, ["_h", "_g"], "left").withColumn("_salt", F.pmod(F.xxhash64("_d"), F.coalesce("_salts", F.lit(1))))
+    keys = often.select("_h", "_g", "_keep", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_n") * HOT > total, SALTS - 1).otherwise(0).cast("long"))).alias("_salt"))
     drops = (
-        flat.join(often.select("_h", "_g", "_keep"), ["_h", "_g"])
+        salted.join(keys, ["_h", "_g", "_salt"])
         .where(F.col("_d") != F.col("_keep"))
         .select("_d", "_x", "_p")
         .distinct()
