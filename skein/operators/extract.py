@@ -181,6 +181,27 @@ def summary(files: DataFrame) -> DataFrame:
     return structures(files).agg(F.count_distinct("rel").alias("files"), F.sum((~F.col("parsed")).cast("long")).alias("unparsed"), F.sum(F.size("symbols")).alias("symbols"))
 
 
+def proposed(source: str, edits: list[tuple[str, str]]) -> str | None:
+    """The buffer after edits (old, new): each replaces the first occurrence; None where one is missing."""
+    for old, new in edits:
+        if old not in source:
+            return None
+        source = source.replace(old, new, 1)
+    return source
+
+
+def edited_spans(text: str, new: list[str]) -> list[tuple[int, int]]:
+    """First and last line of every occurrence of each new string."""
+    out = []
+    for n in filter(None, new):
+        at = text.find(n)
+        while at >= 0:
+            first = text.count("\n", 0, at) + 1
+            out.append((first, first + n.rstrip("\n").count("\n")))
+            at = text.find(n, at + 1)
+    return sorted(set(out))
+
+
 _SELECTOR = re.compile(r"^\s*\(\s*([a-z_]+)\s*\)\s*@(\w+)\s*$")
 NODE_KINDS = {"function_item": "function", "function_definition": "function", "function_declaration": "function", "method_declaration": "method", "struct_item": "struct", "enum_item": "enum", "trait_item": "trait", "mod_item": "module", "class_definition": "class", "class_declaration": "class", "interface_declaration": "interface"}
 

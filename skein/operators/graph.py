@@ -242,6 +242,14 @@ def caller_files(edges: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
     return reach(edges, definitions(symbols, name).select("node"), "callers", 1).join(symbols, "node").select("file").distinct().orderBy("file")
 
 
+def external_callers(edges: DataFrame, symbols: DataFrame, file: str) -> DataFrame:
+    """(node, name, callers): distinct callers from other files of each symbol of a file, symbols without any left out."""
+    own = symbols.where(F.col("file") == file).select(F.col("node").alias("dst"), "name")
+    other = symbols.where(F.col("file") != file).select(F.col("node").alias("src"))
+    calls = edges.select("src", "dst").distinct().join(own, "dst").join(other, "src")
+    return calls.groupBy(F.col("dst").alias("node"), "name").agg(F.count(F.lit(1)).alias("callers"))
+
+
 def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, score): personalised PageRank from the seeds, a fixed number of rounds."""
     step = directed(edges, "callees")

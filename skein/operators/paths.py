@@ -32,7 +32,7 @@ def conformance(sigs: Column, pattern: list[str]) -> Column:
 def hazards(steps: DataFrame, dead_ends: DataFrame) -> DataFrame:
     """(run_id, step, sig, note): steps on a known dead end (sig, note, ordinal); the first note counts."""
     notes = dead_ends.groupBy("sig").agg(F.min_by("note", "ordinal").alias("note"))
-    return steps.select("run_id", "step", signature(F.col("action_kind"), F.col("target_class")).alias("sig")).join(F.broadcast(notes), "sig").select("run_id", "step", "sig", "note")
+    return steps.select("run_id", "step", signature(F.col("action_kind"), F.col("target_class")).alias("sig")).join(notes, "sig").select("run_id", "step", "sig", "note")
 
 
 def check(steps: DataFrame, path: dict | None, grammar: str, plan_mode: bool = False) -> DataFrame:

@@ -159,6 +159,22 @@ def scope_ladder(requests: DataFrame, declared: DataFrame, parents: DataFrame, o
     return out.select("item", "path", rung.alias("rung"), F.coalesce(F.array_contains(paths, F.col("path")), F.lit(False)).alias("inside"), (rung == "declared").alias("decides"))
 
 
+BLOCKING_CLASSES = ("hard", "escalation")
+LAYERS = ("advisory", "client", "daemon", "server")
+
+
+def blocks(class_: Column, effect: Column, ceiling_: Column) -> Column:
+    """Does a rule block: by its class, or by its effect where it has none, and only as far as the mode goes."""
+    wants = F.when(class_.isNotNull(), class_.isin(*BLOCKING_CLASSES)).otherwise(F.coalesce(effect == "deny", F.lit(False)))
+    return wants & (ceiling_ == "enforce")
+
+
+def overclaim(declared: Column, actual: Column) -> Column:
+    """A rule said to be held at a stronger layer than it is; unknown layers claim nothing."""
+    rank = lambda c: F.array_position(F.array(*map(F.lit, LAYERS)), c)
+    return F.coalesce((rank(declared) > 0) & (rank(actual) > 0) & (rank(declared) > rank(actual)), F.lit(False))
+
+
 MODES = ("observe", "advise", "enforce")
 
 

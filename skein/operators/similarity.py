@@ -22,18 +22,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm)
 
 
+BROADCAST_QUERIES = 4096
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, model: str | None = None, block: int = 64) -> DataFrame:
     """(query, id, score, rank): the k corpus rows (id, vector) nearest to each query (query, vector), ties by id.
 
-    Queries are a given set: they meet the corpus in blocks of `block`, so the corpus is read once
-    a block and no more than k rows a query and partition are shuffled."""
+    Queries are a given set and meet the corpus in blocks of `block`; up to BROADCAST_QUERIES of them
+    (counted first) are broadcast, more are left to the planner. No more than k rows a query and
+    partition are shuffled."""
     if model is not None and corpus.where(F.col("model") == model).isEmpty():
         raise MatrixError(f"no vectors of model {model!r}")
     rows = corpus.where(F.col("model") == model) if model is not None else corpus
     score = F.round(cosine(F.col("_q"), F.col("vector")), 6)
-    parts = queries.select("query", F.col("vector").alias("_q"), F.floor((F.row_number().over(Window.orderBy("query")) - 1) / block).alias("_b"))
+    n = queries.count()
+    parts = queries.select("query", F.col("vector").alias("_q"), F.pmod(F.xxhash64("query"), F.lit(-(-n // block) or 1)).alias("_b"))
     blocks = parts.groupBy("_b").agg(F.collect_list(F.struct("query", "_q")).alias("_qs"))
-    pairs = rows.join(F.broadcast(blocks), F.lit(True)).select("id", "vector", F.explode("_qs").alias("_x")).select(F.col("_x.query").alias("query"), "id", F.col("_x._q").alias("_q"), "vector")
+    pairs = rows.join(F.broadcast(blocks) if n <= BROADCAST_QUERIES else blocks, F.lit(True)).select("id", "vector", F.explode("_qs").alias("_x")).select(F.col("_x.query").alias("query"), "id", F.col("_x._q").alias("_q"), "vector")
     scored = pairs.select("query", "id", score.alias("score")).where("score IS NOT NULL")
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)

@@ -110,6 +110,10 @@ def caller_files(spark, d):
     return found.join(sy, "node").select("file").distinct()
 
 
+def external_callers(spark, d):
+    return graph.external_callers(part_edges(spark, d), part_symbols(spark, d), "Brand#11")
+
+
 def change_entities(spark, d):
     o = read(spark, d, "orders").withColumn("file", (F.col("o_custkey") % 100).cast("long")).withColumn("name", F.concat_ws("/", "o_orderpriority", "o_orderstatus"))
     before, after = o.where("o_orderdate < timestamp'1995-01-01'"), o.where("o_orderdate >= timestamp'1995-01-01'")
@@ -126,7 +130,7 @@ def dataflow_flow(spark, d):
     return graph.reach(e, seeds, "callees", 4, ("key",)).groupBy("key").agg(F.count(F.lit(1)).alias("reached"), F.max("distance").alias("depth"))
 
 
-QUERIES = {f.__name__: f for f in (reach_parts, reach_callers, impact_files, call_edges, callers_by_callee, graph_stats, blast_radius, ceiling_violations, frontier_bounded, frontier_fan, symbol_at, file_symbols, touched_symbols, name_collisions, weights_folded, communities, reconcile, caller_files, change_entities, dataflow_flow)}
+QUERIES = {f.__name__: f for f in (reach_parts, reach_callers, impact_files, call_edges, callers_by_callee, graph_stats, blast_radius, ceiling_violations, frontier_bounded, frontier_fan, symbol_at, file_symbols, touched_symbols, name_collisions, weights_folded, communities, reconcile, caller_files, external_callers, change_entities, dataflow_flow)}
 
 _BACK = WALK.format(seed=7, to="src", frm="dst", hops=2)
 _RADIUS = f"WITH RECURSIVE {EDGES_SQL},{SYMBOLS_SQL},{_BACK} SELECT count(DISTINCT name) AS symbols, count(DISTINCT file) AS files FROM r JOIN sy USING (node) WHERE file <> 'Brand#11' AND language = 'even'"
@@ -149,6 +153,7 @@ ORACLES = {
     "reconcile": f"""WITH RECURSIVE {EDGES_SQL},{WALK.format(seed=1, to='dst', frm='src', hops=2)},
         co AS (SELECT DISTINCT l_partkey AS file FROM lineitem WHERE l_partkey <> 1 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey = 1))
         SELECT coalesce(r.node, co.file) AS file, CASE WHEN r.node IS NULL THEN 'cochange_only' WHEN co.file IS NULL THEN 'structural_only' ELSE 'corroborated' END AS bucket FROM r FULL JOIN co ON r.node = co.file""",
+    "external_callers": f"WITH {EDGES_SQL},{SYMBOLS_SQL} SELECT b.node, b.name, count(*) AS callers FROM pe JOIN sy a ON a.node = pe.src JOIN sy b ON b.node = pe.dst WHERE b.file = 'Brand#11' AND a.file <> 'Brand#11' GROUP BY 1, 2",
     "caller_files": f"WITH {EDGES_SQL},{SYMBOLS_SQL} SELECT DISTINCT file FROM pe JOIN sy ON sy.node = pe.src WHERE pe.dst = 7",
     "change_entities": """WITH o AS (SELECT o_custkey % 100 AS file, o_orderpriority || '/' || o_orderstatus AS name, o_orderdate < TIMESTAMP '1995-01-01' AS early FROM orders),
         a AS (SELECT DISTINCT file, name FROM o WHERE early), b AS (SELECT DISTINCT file, name FROM o WHERE NOT early)

@@ -100,6 +100,14 @@ def mode_outcome(spark, d):
     return ev.select("event_id", mode.alias("mode"), rung.alias("rung"), rules.outcome(mode, rung).alias("outcome"))
 
 
+def blocking_rules(spark, d):
+    p = read(spark, d, "part", "p_partkey", "p_size")
+    class_ = F.element_at(F.array(F.lit("hard"), F.lit("soft"), F.lit(None)), (F.col("p_partkey") % 3 + 1).cast("int"))
+    effect = F.when(F.col("p_partkey") % 2 == 0, "deny").otherwise("warn")
+    layer = lambda n: F.element_at(F.array(*map(F.lit, rules.LAYERS)), (F.col("p_size") % n + 1).cast("int"))
+    return p.select("p_partkey", rules.blocks(class_, effect, F.when(F.col("p_size") > 10, "enforce").otherwise("advise")).alias("blocks"), rules.overclaim(layer(4), layer(3)).alias("overclaim"))
+
+
 def rule_set_digest(spark, d):
     return rules.rule_digest(read(spark, d, "part", "p_name"), "p_name")
 
@@ -110,7 +118,7 @@ def census_values(spark, d):
     return p.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), "+").alias("ids"), F.count_distinct("p_type").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (glob_scope, action_scope, scope_ladder, text_rules, text_rule_exempt, must_exist_rule, ground_tokens, must_ground, throttle_active, backoff_secs, first_decision, mode_outcome, rule_set_digest, census_values)}
+QUERIES = {f.__name__: f for f in (glob_scope, action_scope, scope_ladder, text_rules, text_rule_exempt, must_exist_rule, ground_tokens, must_ground, throttle_active, backoff_secs, first_decision, mode_outcome, blocking_rules, rule_set_digest, census_values)}
 
 _MAIL = MAIL
 ORACLES = {
@@ -135,6 +143,7 @@ ORACLES = {
         SELECT user_id, plane, rule, blocking, (SELECT string_agg(DISTINCT g.rule, '+' ORDER BY g.rule) FROM f g WHERE g.user_id = f.user_id) AS rules FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY blocking DESC, plane, rule) = 1""",
     "mode_outcome": """WITH x AS (SELECT event_id, event_id % 3 AS m, user_id % 4 AS r FROM events)
         SELECT event_id, ['observe', 'advise', 'enforce'][m + 1] AS mode, ['declared', 'derived', 'observed', 'unknown'][r + 1] AS rung, ['observe', 'advise', 'enforce'][least(m, CASE r WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END) + 1] AS outcome FROM x""",
+    "blocking_rules": "SELECT p_partkey, p_size > 10 AND CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE p_partkey % 2 = 0 END AS blocks, p_size % 4 > p_size % 3 AS overclaim FROM part",
     "rule_set_digest": "SELECT sha256(string_agg(p_name, chr(30) ORDER BY p_name)) AS digest FROM part",
     "census_values": "SELECT p_brand, string_agg(DISTINCT p_type, '+' ORDER BY p_type) AS ids, count(DISTINCT p_type) AS n FROM part GROUP BY 1",
 }

@@ -103,7 +103,7 @@ def decode(rows: DataFrame, key: str, required: list[str], many: list[str]) -> D
 
 def exposure(paths: DataFrame, repos: DataFrame) -> DataFrame:
     """paths (repo, ...) with exposure public, internal or unknown, from a dimension (repo, exposure)."""
-    return paths.join(F.broadcast(repos.select("repo", "exposure")), "repo", "left").fillna("unknown", ["exposure"])
+    return paths.join(repos.select("repo", "exposure"), "repo", "left").fillna("unknown", ["exposure"])
 
 
 def plate(text: str | None, now: float, max_age: float = 4 * 3600) -> str | None:

@@ -84,6 +84,11 @@ def test_buffers_and_flow():
     assert [(e["dependent"], e["depends_on"], e["line"]) for e in extract.dataflow(src)] == [("s", "x", 2), ("t", "s", 3), ("t", "y", 3)]
 
 
+def test_proposed_buffers():
+    assert extract.proposed("a b a", [("a", "x"), ("b", "y")]) == "x y a" and extract.proposed("a", [("z", "x")]) is None
+    assert extract.edited_spans("one\ntwo\nthree\ntwo\n", ["two\nthree", "two", ""]) == [(2, 2), (2, 3), (4, 4)]
+
+
 def test_trees_and_spools(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "vendor").mkdir()
