@@ -123,7 +123,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """The groups' texts again, one compressed row a group."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for g, ids, texts in groups(batches):
             data, offsets = X.buffer_of(texts)
             yield pa.RecordBatch.from_pydict({"g": [g], "ids": [pack_ids(ids)], "lengths": [np.diff(offsets).tobytes()], "blob": [press.compress(data.tobytes())]}, schema)

@@ -292,7 +292,7 @@ def ask_shards(texts: DataFrame, told: DataFrame, length: int, k: int, buckets:
 
     def run(row, got):
         c = _candidates(row, got, length, k, buckets)
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         payloads = []
         for _, lo, hi in c["runs"]:
             h = c["heads"][lo:hi]
