@@ -25,6 +25,7 @@ from skein.llm import textops as X
 from skein.scratch import settle
 
 GROUP_BYTES = 2 << 20
+PLAIN = 64 << 30
 PACKED = "g long, ids binary, lengths binary, blob binary"
 
 
@@ -35,11 +36,18 @@ def scan_order(docs: DataFrame) -> DataFrame:
     return docs if simple else settle(docs)
 
 
-def buckets_for(docs: DataFrame, mb: int = 8) -> int:
-    """Buckets of about `mb` MB of input each, and never fewer than the shuffle has partitions."""
+def sizing(docs: DataFrame, mb: int = 8) -> tuple[int, int]:
+    """How many buckets, and how many bytes of text a group holds.
+
+    Buckets are of about `mb` MB of input, and never fewer than the shuffle has partitions. A
+    packed row pays only if it holds some dozens of keys, so beyond PLAIN bytes of input buckets
+    grow with a power of it, and groups with the number of buckets: at 100 TB about 150,000
+    buckets and groups of 30 MB, for which a task needs some 4 GB."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(partitions, min(size // (mb << 20), 1 << 20), 1)
+    bucket = (mb << 20) * max(1.0, size / PLAIN) ** 0.6
+    buckets = max(partitions, min(int(size / bucket), 1 << 22), 1)
+    return buckets, max(GROUP_BYTES, 192 * buckets)
 
 
 def relieve() -> None:
@@ -51,7 +59,7 @@ def relieve() -> None:
         pass
 
 
-def groups(batches, group_bytes: int = GROUP_BYTES):
+def groups(batches, group_bytes: int):
     """(g, ids, texts) for runs of consecutive rows; columns are the id and the text."""
     base, n, ids, texts, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
     for batch in batches:
@@ -119,12 +127,12 @@ def split(sorted_places: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     return list(zip(b[np.concatenate([[0], cut])].tolist(), [0, *cut.tolist()], [*cut.tolist(), len(b)]))
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, group_bytes: int) -> DataFrame:
     """The groups' texts again, one compressed row a group."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
-        for g, ids, texts in groups(batches):
+        for g, ids, texts in groups(batches, group_bytes):
             data, offsets = X.buffer_of(texts)
             yield pa.RecordBatch.from_pydict({"g": [g], "ids": [pack_ids(ids)], "lengths": [np.diff(offsets).tobytes()], "blob": [press.compress(data.tobytes())]}, schema)
 

@@ -69,11 +69,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array(n)
 
 
-def ask_frequencies(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+def ask_frequencies(docs: DataFrame, k: int, buckets: int, group_bytes: int) -> DataFrame:
     low = np.uint64((1 << KEY_BITS) - 1)
 
     def run(batches):
-        for g, _, texts in E.groups(batches):
+        for g, _, texts in E.groups(batches, group_bytes):
             found, _ = shingle_sets(*X.buffer_of(texts), k)
             places, counts = np.unique(E.placed(found, buckets, KEY_BITS), return_counts=True)
             rows, payloads = E.split(places, KEY_BITS), []
@@ -224,9 +224,9 @@ def join_block(reps: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], si
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 16) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
     rows = E.scan_order(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    buckets = E.buckets_for(rows)
-    frequencies = E.answers(ask_frequencies(rows, k, buckets), resolve_frequencies)
-    sets = settle(E.meet(E.packed(rows), frequencies, lambda row, told: _sets(row, told, k, percent, buckets), SETS))
+    buckets, group_bytes = E.sizing(rows)
+    frequencies = E.answers(ask_frequencies(rows, k, buckets, group_bytes), resolve_frequencies)
+    sets = settle(E.meet(E.packed(rows, group_bytes), frequencies, lambda row, told: _sets(row, told, k, percent, buckets), SETS))
     # one row a distinct set; partial aggregation keeps a set that a third of all rows share small
     classes = settle(sets.where("live").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")))
     postings = classes.select("rep", "n", "tokens").mapInArrow(lambda batches: _postings(batches, percent), "tok long, rep long")

@@ -61,11 +61,11 @@ def _probes(data, offsets, block, buckets):
     return places[last], marked[last], np.diff(ends, prepend=-1) > 1
 
 
-def ask_blocks(docs: DataFrame, block: int, buckets: int) -> DataFrame:
+def ask_blocks(docs: DataFrame, block: int, buckets: int, group_bytes: int) -> DataFrame:
     low = np.uint64((1 << PROBE_BITS) - 1)
 
     def run(batches):
-        for g, _, texts in E.groups(batches):
+        for g, _, texts in E.groups(batches, group_bytes):
             places, marked, twice = _probes(*X.buffer_of(texts), block, buckets)
             rows = E.split(places, PROBE_BITS)
             payloads = []
@@ -198,9 +198,9 @@ def dedup_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     """doc_id, n_words, n_removed, n_spans (maximal removed runs), kept_sha256 and kept_text of every row."""
     block = (window + 1) // 2
     rows = E.scan_order(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    buckets = E.buckets_for(rows)
-    blocks = settle(E.answers(ask_blocks(rows, block, buckets), resolve_blocks).withColumn("round", F.lit(1)))
-    texts = E.packed(rows)
+    buckets, group_bytes = E.sizing(rows)
+    blocks = settle(E.answers(ask_blocks(rows, block, buckets, group_bytes), resolve_blocks).withColumn("round", F.lit(1)))
+    texts = E.packed(rows, group_bytes)
     repeats = E.answers(ask_windows(texts, blocks, window, block, buckets), resolve_windows).withColumn("round", F.lit(2))
     return E.meet(texts, blocks.unionByName(repeats), lambda row, told: _finish(row, told, window, block, buckets, with_text), OUT)
 

@@ -231,11 +231,11 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return starts[first], starts[last], gram[anchor[first]], sums
 
 
-def ask_anchors(docs: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
+def ask_anchors(docs: DataFrame, length: int, k: int, buckets: int, group_bytes: int) -> DataFrame:
     low = np.uint64((1 << ANCHOR_BITS) - 1)
 
     def run(batches):
-        for g, _, texts in E.groups(batches):
+        for g, _, texts in E.groups(batches, group_bytes):
             *_, gram, _ = stretches(*X.buffer_of(texts), length, k)
             places, counts = np.unique(E.placed(gram, buckets, ANCHOR_BITS), return_counts=True)
             rows = E.split(places, ANCHOR_BITS)
@@ -396,9 +396,9 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, k: int = K, id_col: str =
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept_text of every row."""
     k = min(k, length)
     rows = E.scan_order(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    buckets = E.buckets_for(rows, 2)
-    anchors = settle(E.answers(ask_anchors(rows, length, k, buckets), resolve_anchors).withColumn("round", F.lit(1)))
-    texts = E.packed(rows)
+    buckets, group_bytes = E.sizing(rows, 2)
+    anchors = settle(E.answers(ask_anchors(rows, length, k, buckets, group_bytes), resolve_anchors).withColumn("round", F.lit(1)))
+    texts = E.packed(rows, group_bytes)
     asked = settle(ask_shards(texts, anchors, length, k, buckets))
     shards = E.answers(asked.where("b >= 0"), lambda payloads, _: resolve_shard(payloads, length))
     plans = asked.where("b < 0").select("g", "b", F.col("payload").alias("answer"))
