@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.scratch import settle
+from skein.scratch import settle, stable
 
 
 def next_edges(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
@@ -54,7 +54,10 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "callees", hops:
     a key's own walk. The loop ends early when no walk finds anything new."""
     if hops < 1:
         return seeds.select(*keys, "node").where("false").withColumn("distance", F.lit(0))
-    step = directed(edges, direction).withColumnsRenamed({"src": "_from", "dst": "_to"})
+    step = directed(edges, direction)
+    if hops > 1:  # every hop reads the edges: they are made once
+        step = settle(step)
+    step = step.withColumnsRenamed({"src": "_from", "dst": "_to"})
     limit = [c for c in ("hops",) if c in seeds.columns]
     start = seeds.select(*keys, "node", *limit).distinct()
     if limit:
@@ -91,6 +94,7 @@ def blast_radius(reached: DataFrame, edited_file: str, language: str) -> DataFra
 
 def fan_in(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(key, fan): neighbours at one hop in either direction of each key's seeds (key, node)."""
+    edges = stable(edges)
     both = [reach(edges, seeds, d, 1, ("key",)) for d in ("callers", "callees")]
     counted = both[0].unionByName(both[1]).groupBy("key").agg(F.count(F.lit(1)).alias("fan"))
     return seeds.select("key").distinct().join(counted, "key", "left").fillna(0, ["fan"])
@@ -101,7 +105,7 @@ def frontier(edges: DataFrame, seeds: DataFrame, hops: int = 5, fan_limit: int |
 
     Keys whose fan is over fan_limit go one hop only. Nodes that are a seed of any key are left
     out; a node that several keys or directions reach has its least distance."""
-    bounded = seeds
+    edges, bounded = stable(edges), seeds
     if fan_limit is not None:
         fan = fan_in(edges, seeds)
         bounded = seeds.join(fan, "key").select("key", "node", F.when(F.col("fan") > fan_limit, 1).otherwise(hops).alias("hops"))

@@ -93,7 +93,8 @@ def apply_orders(nodes: DataFrame, edges: DataFrame, orders: DataFrame) -> dict[
     unapplied = on_nodes.where("op <> 'upsert_node' AND NOT alive").select("order_id", "op", F.col("id").alias("subject"), F.lit("node_not_visible").alias("reason"))
     unapplied = unapplied.unionByName(ends.where("NOT ok").select("order_id", "op", F.concat_ws(" ", *triple).alias("subject"), F.lit("edge_not_visible").alias("reason")))
     unapplied = unapplied.unionByName(moves.join(known.select("step"), "step", "left_anti").select("order_id", "op", F.coalesce("id", F.lit("")).alias("subject"), F.lit("unknown_op").alias("reason")))
-    return {"nodes": new_nodes, "edges": overlay.visible(kept, new_nodes), "touched": touched, "unapplied": unapplied}
+    new_nodes = settle(new_nodes)  # every policy and difference reads the board after the orders
+    return {"nodes": new_nodes, "edges": settle(overlay.visible(kept, new_nodes)), "touched": settle(touched), "unapplied": unapplied}
 
 
 def breaches(policy: Policy, nodes: DataFrame, edges: DataFrame) -> DataFrame:

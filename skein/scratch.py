@@ -31,6 +31,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df only reads, filters and projects files, so that reading it again costs no shuffle."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return all(line.lstrip(" +-:").split(" ")[0].split("[")[0] in ("Project", "Filter", "Relation", "RelationV2") for line in plan.strip().splitlines())
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df itself if it is a plain scan, else its rows written and read: for what is read many times."""
+    return df if is_scan(df) else settle(df)
+
+
 def forget() -> None:
     """Delete every table that settle() has written."""
     while _made:
