@@ -197,6 +197,12 @@ def rule_digest(rules: DataFrame, column: str) -> DataFrame:
     return rules.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(column)), "\x1e"), 256).alias("digest"))
 
 
+def draft(text: str, name: str = "draft") -> dict:
+    """A rule drafted from an example: its distinct tokens, and a pattern of their shapes to narrow by hand."""
+    found = list(dict.fromkeys(re.findall(r"[A-Za-z0-9_-]+", text)))
+    return {"name": name, "tokens": found, "pattern": narrowing_pattern(found), "tier": "warn"}
+
+
 def narrowing_pattern(tokens_: list[str]) -> str:
     """A regex of the tokens' shapes: letter runs, digit runs and what stands between, each between word ends."""
     shapes = []

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import similarity
-from skein.plans.tables import read
+from skein.operators import briefing, similarity
+from skein.plans.tables import EDGES_SQL, SYMBOLS_SQL, part_edges, part_symbols, read
 
 
 def _vectors(spark, d):
@@ -59,6 +59,19 @@ def probe_terms(spark, d):
     return b.select("item_id", F.array_join(similarity.probe_terms(F.col("text")), "|").alias("terms"))
 
 
+def _touches(spark, d):
+    p = read(spark, d, "part", "p_brand", "p_size")
+    return p.select((F.col("p_size") % 5).alias("item"), F.col("p_brand").alias("path")).where("p_brand LIKE 'Brand#1%' OR item = 2").distinct()
+
+
+def ground_neighbourhood(spark, d):
+    return briefing.neighbourhood(_touches(spark, d), part_symbols(spark, d), part_edges(spark, d))
+
+
+def briefs(spark, d):
+    return briefing.brief(briefing.neighbourhood(_touches(spark, d), part_symbols(spark, d), part_edges(spark, d), off=("caller_file",)))
+
+
 def f1_by_probe(spark, d):
     lab = read(spark, d, "labels")
     docs = read(spark, d, "documents", "doc_id", "lang")
@@ -72,7 +85,7 @@ def f1_macro(spark, d):
     return similarity.macro_f1(f1_by_probe(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, cosine_threshold, token_hash_embedding, recurrence_best, related_items, vote_rank, semantic_band, probe_terms, f1_by_probe, f1_macro)}
+QUERIES = {f.__name__: f for f in (cosine_topk, cosine_threshold, token_hash_embedding, recurrence_best, related_items, vote_rank, semantic_band, probe_terms, ground_neighbourhood, briefs, f1_by_probe, f1_macro)}
 
 _BUCKET = "(CASE WHEN len(t) > 0 THEN list_reduce([37] || list_transform(range(1, length(hex(encode(lower(t)))), 2), lambda i: ('0x' || substr(hex(encode(lower(t))), i, 2))::INTEGER), lambda h, b: (xor(h, b) * 179) % 256) ELSE 37 END)"
 _HITS = "hi AS (SELECT user_id % 10 AS query, event_id % 37 AS item, CASE event_type WHEN 'click' THEN 'phrase' WHEN 'view' THEN 'term' WHEN 'purchase' THEN 'provenance' ELSE 'semantic' END AS source, round(value / 100, 4) AS score FROM events)"
@@ -80,7 +93,13 @@ _BAND = _HITS + ", ba AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY
 _COS = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6)"
 _F1 = """SELECT l.lang AS probe, sum((quality = 1 AND toxic = 0)::INTEGER) AS hit, sum((quality = 1)::INTEGER) AS got, sum((toxic = 0)::INTEGER) AS want FROM (SELECT DISTINCT doc_id, quality, toxic FROM labels) JOIN documents l USING (doc_id) WHERE quality = 1 OR toxic = 0 GROUP BY 1"""
 _F1 = f"SELECT probe, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT probe, CASE WHEN got > 0 THEN hit / got ELSE 0 END AS p, CASE WHEN want > 0 THEN hit / want ELSE 0 END AS r FROM ({_F1}))"
+_NEAR = f"""WITH {EDGES_SQL},{SYMBOLS_SQL}, tc AS (SELECT DISTINCT p_size % 5 AS item, p_brand AS file FROM part WHERE p_brand LIKE 'Brand#1%' OR p_size % 5 = 2),
+al AS (SELECT item, 'path' AS section, file AS value, 12 AS cap FROM tc UNION SELECT item, 'symbol', name, 10 FROM tc JOIN sy USING (file)
+  UNION SELECT tc.item, 'caller_file', a.file, 6 FROM tc JOIN sy b ON b.file = tc.file JOIN pe ON pe.dst = b.node JOIN sy a ON a.node = pe.src WHERE NOT EXISTS (SELECT 1 FROM tc x WHERE x.item = tc.item AND x.file = a.file)),
+nb AS (SELECT item, section, value, row_number() OVER (PARTITION BY item, section ORDER BY value)::INTEGER AS rank, greatest(count(*) OVER (PARTITION BY item, section) - cap, 0) AS withheld, cap FROM al QUALIFY rank <= cap)"""
 ORACLES = {
+    "ground_neighbourhood": f"{_NEAR} SELECT item, section, value, rank, withheld FROM nb",
+    "briefs": f"{_NEAR}, l AS (SELECT item, section || ': ' || string_agg(value, ', ' ORDER BY rank) || CASE WHEN max(withheld) > 0 THEN ' (+' || max(withheld) || ')' ELSE '' END AS t FROM nb WHERE section <> 'caller_file' GROUP BY item, section) SELECT item, string_agg(t, chr(10) ORDER BY t) AS text FROM l GROUP BY item",
     "cosine_topk": f"SELECT a.vec_id AS query, b.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id)::INTEGER AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 3 QUALIFY rank <= 5",
     "cosine_threshold": f"SELECT b.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 7 AND {_COS} >= 0.25 ORDER BY score DESC, id LIMIT 20",
     "token_hash_embedding": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_-]+')) AS t FROM documents), w AS (SELECT t, {_BUCKET} AS b FROM (SELECT DISTINCT t FROM t))

@@ -213,6 +213,19 @@ def publish(triples: DataFrame, violations: DataFrame, write: Callable[[DataFram
     raise AssertionError
 
 
+def quarantine(rows: DataFrame, path: str, reason: str) -> None:
+    """Keep a refused payload with the reason."""
+    rows.withColumn("refused", F.lit(reason)).write.mode("append").json(path)
+
+
+def changed(*lists: DataFrame) -> DataFrame:
+    """(rel) of several change lists: committed, uncommitted, untracked."""
+    out = lists[0].select("rel")
+    for other in lists[1:]:
+        out = out.unionByName(other.select("rel"))
+    return out.distinct()
+
+
 def replace_snapshot(rows: DataFrame, path: str, partition: str = "snapshot") -> None:
     """Overwrite only the partitions that rows hold."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

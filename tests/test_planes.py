@@ -65,6 +65,11 @@ def test_shapes_of_tokens():
     assert p == r"\b[A-Za-z]+\-[0-9]+\b|\b[A-Za-z]+_[0-9]+\b" and re.search(p, "see zz-7")
 
 
+def test_drafts():
+    d = rules.draft("see proj-12 and proj-34 see")
+    assert d["tokens"] == ["see", "proj-12", "and", "proj-34"] and d["pattern"].count("|") == 1
+
+
 def test_cosine(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 0.0]), (2, [1.0, 0.0], [0.0, 2.0]), (3, [1.0], [1.0, 2.0]), (4, [], []), (5, [0.0, 0.0], [1.0, 1.0]), (6, [1.0, 1.0], [1.0, 0.0])], "k int, a array<float>, b array<float>")
     out = {x["k"]: x["c"] for x in rows.select("k", similarity.cosine(F.col("a"), F.col("b")).alias("c")).collect()}

@@ -140,6 +140,10 @@ def test_config_and_publish(spark, tmp_path):
     assert sources.publish(rows, fine, flaky, dry_run=True) == {"triples": 1, "written": False}
     with pytest.raises(ValueError):
         sources.publish(rows, fine, lambda r: (_ for _ in ()).throw(ValueError()))
+    sources.quarantine(rows, str(tmp_path / "bad"), "no")
+    assert spark.read.json(str(tmp_path / "bad")).first()["refused"] == "no"
+    rel = spark.createDataFrame([("a",), ("b",)], "rel string")
+    assert sources.changed(rel, rel.where("rel = 'a'"), rel).count() == 2
     path = str(tmp_path / "snap")
     both = spark.createDataFrame([("a", 1), ("b", 2)], "snapshot string, v int")
     sources.replace_snapshot(both, path)
