@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,5 +199,22 @@ def test_stream_batches_and_freshness(spark, tmp_path):
     assert streaming.live(cache, "written", 100).count() == 1
 
 
+def test_two_tiers_by_processing_time(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.createDataFrame([("a",), ("a",), ("b",)], "key string").write.parquet(str(tmp_path / "in"))
+    stream = streaming.two_tier(spark.readStream.schema("key string").parquet(str(tmp_path / "in")), 200, 1200)
+    q = stream.writeStream.format("memory").queryName("tiers").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").start()
+    try:
+        until = time.time() + 60
+        while spark.sql("SELECT * FROM tiers").count() < 4 and time.time() < until:
+            time.sleep(0.5)
+        assert {(x["key"], x["tier"], x["events"]) for x in spark.sql("SELECT * FROM tiers").collect()} == {("a", "fast", 2), ("a", "heavy", 2), ("b", "fast", 1), ("b", "heavy", 1)}
+    finally:
+        q.stop()
+        spark.conf.unset(provider)
+
+
 def test_scope_in_rules_is_used_by_sources():
     assert sources.any_glob is rules.any_glob
