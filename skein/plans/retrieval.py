@@ -35,7 +35,7 @@ def recurrence_best(spark, d):
 
 
 def related_items(spark, d):
-    li = read(spark, d, "lineitem", "l_orderkey", "l_partkey").where("l_partkey % 10 = 1")
+    li = read(spark, d, "lineitem", "l_orderkey", "l_partkey")
     touches = li.select(F.col("l_orderkey").alias("item"), F.concat_ws("/", F.col("l_partkey").cast("string"), (F.col("l_orderkey") % 50).cast("string")).alias("entity"))
     return similarity.related(touches)
 
