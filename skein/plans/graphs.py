@@ -91,9 +91,8 @@ def weights_folded(spark, d):
 
 
 def communities(spark, d):
-    li = read(spark, d, "lineitem", "l_suppkey", "l_partkey")
-    e = li.select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst"))
-    return graph.communities(spark.range(40).withColumnRenamed("id", "node"), e)
+    e = part_calls(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    return graph.communities(part_symbols(spark, d).select(F.col("name").alias("node")), e)
 
 
 def reconcile(spark, d):

@@ -39,3 +39,16 @@ def test_dataflow_flow_follows_every_order(spark, tmp_path):
         if len(far) > 1:
             want[str(o)] = (len(far) - 1, max(far.values()))
     assert {x["key"]: (x["reached"], x["depth"]) for x in catalog.queries()["dataflow_flow"](spark, str(tmp_path)).collect()} == want
+
+
+def test_communities_of_parts(spark, tmp_path):
+    d, groups = str(tmp_path), [range(1, 31), range(31, 56)]
+    spark.createDataFrame([(p, f"part {p}", "Brand#11", "T", p % 9) for p in range(1, 58)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{d}/part.parquet")
+    pairs = [(a, b) for g in groups for a in g for b in g if a < b] + [(30, 31)]
+    rows = [(o, p, 1, n, 1.0, 1.0, "x") for o, ab in enumerate(pairs) for n, p in enumerate(ab)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate string").write.parquet(f"{d}/lineitem.parquet")
+    found = {}
+    for x in catalog.queries()["communities"](spark, d).collect():
+        found.setdefault(x["community"], set()).add(x["node"])
+    name = lambda ps: {f"part {p} Brand#11" for p in ps}
+    assert found == {0: name(groups[0]), 1: name(groups[1]), 2: name([56]), 3: name([57])}
