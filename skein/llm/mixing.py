@@ -9,7 +9,9 @@ permutation, and the last takes blocks in permuted order up to the rest of the b
 
 Statistics cover all rows. Token counts are made once and settled; sources, blocks and
 positions are aggregates and windows over at most `blocks` rows a source, so a source with
-a third of all rows is spread over as many blocks and tasks.
+a third of all rows is spread over as many blocks and tasks. The driver bisects over the
+sources' totals; of more than `max_sources` sources it holds the distinct totals with their
+counts, which are at most about the root of twice all tokens and give the same exponent.
 
 Defined results: null texts have no tokens and null sources are a source of their own;
 repeated rows are kept as such; a source without tokens gets no budget; empty tables give
@@ -28,15 +30,17 @@ from skein.scratch import settle
 OUT = ("n_tokens", "epoch", "block", "block_rank", "weight")
 
 
-def weights(tokens: list[float], exponent: float) -> list[float]:
-    total = sum(tokens)
+def weights(tokens: list[float], exponent: float, counts: list[int] | None = None) -> list[float]:
+    """Of one source of each total; counts says how many sources have it (one, if not given)."""
+    counts = counts or [1] * len(tokens)
+    total = sum(t * n for t, n in zip(tokens, counts))
     raised = [(t / total) ** exponent if t > 0 else 0.0 for t in tokens]
-    norm = sum(raised)
+    norm = sum(r * n for r, n in zip(raised, counts))
     return [r / norm for r in raised]
 
 
-def entropy(w: list[float]) -> float:
-    return -sum(x * math.log(x) for x in w if x > 0)
+def entropy(w: list[float], counts: list[int] | None = None) -> float:
+    return -sum(n * x * math.log(x) for x, n in zip(w, counts or [1] * len(w)) if x > 0)
 
 
 def bisect(good, rising: bool, steps: int = 60) -> float:
@@ -53,17 +57,18 @@ def bisect(good, rising: bool, steps: int = 60) -> float:
     return high if rising else low
 
 
-def exponent_for(tokens: list[float], budget: float, target_entropy: float | None, max_repeats: float | None) -> float:
-    live = [t for t in tokens if t > 0]
-    if len(live) < 2:
+def exponent_for(tokens: list[float], budget: float, target_entropy: float | None, max_repeats: float | None, counts: list[int] | None = None) -> float:
+    pairs = [(t, n) for t, n in zip(tokens, counts or [1] * len(tokens)) if t > 0]
+    live, many = [t for t, _ in pairs], [n for _, n in pairs]
+    if sum(many) < 2:
         return 1.0
     found = 1.0 if max_repeats is None else 0.0  # without a target, as flat as the limit allows
     if target_entropy is not None:
-        most = math.log(len(live))
-        found = bisect(lambda e: entropy(weights(live, e)) >= target_entropy * most, rising=False)
+        most = math.log(sum(many))
+        found = bisect(lambda e: entropy(weights(live, e, many), many) >= target_entropy * most, rising=False)
     if max_repeats is not None:
-        limit = max(max_repeats, budget / sum(live))  # the natural mix repeats every source this often
-        least = bisect(lambda e: all(budget * w <= limit * t * (1 + 1e-9) for w, t in zip(weights(live, e), live)), rising=True)
+        limit = max(max_repeats, budget / sum(t * n for t, n in pairs))  # the natural mix repeats every source this often
+        least = bisect(lambda e: all(budget * w <= limit * t * (1 + 1e-9) for w, t in zip(weights(live, e, many), live)), rising=True)
         found = max(found, least)
     return found
 
@@ -79,14 +84,13 @@ def mix(
     by_block = counted.groupBy(F.col(source_col).alias("_s"), "block").agg(F.sum("n_tokens").alias("_t"))
     totals = by_block.groupBy("_s").agg(F.sum("_t").alias("_total"))
     n_sources = totals.count()
-    if n_sources > max_sources:  # the list of source totals is no small thing: bisect over equal totals, counted
-        sizes = [(r["_total"], r["n"]) for r in totals.groupBy(F.round(F.log2(F.greatest("_total", F.lit(1))), 2).alias("b")).agg(F.avg("_total").alias("_total"), F.count("_s").alias("n")).collect()]
+    if n_sources > max_sources:  # the list of source totals is no small thing: equal totals stand once, counted
+        sizes = [(r["_total"], r["n"]) for r in totals.groupBy("_total").agg(F.count(F.lit(1)).alias("n")).orderBy("_total").collect()]
     else:
         sizes = [(r["_total"], 1) for r in totals.orderBy("_total").collect()]
-    flat = [t for t, n in sizes for _ in range(n if n_sources <= max_sources else 1)]
     total = float(sum(t * n for t, n in sizes))
     budget = float(total if budget_tokens is None else budget_tokens)
-    exponent = exponent_for(flat, budget, target_entropy, max_repeats)
+    exponent = exponent_for([t for t, _ in sizes], budget, target_entropy, max_repeats, [n for _, n in sizes])
     norm = sum(n * (t / total) ** exponent for t, n in sizes if t > 0) or 1.0
     weight = F.when(F.col("_total") > 0, F.pow(F.col("_total") / F.lit(total or 1.0), F.lit(exponent)) / F.lit(norm)).otherwise(0.0)
     plan = totals.withColumn("weight", weight).withColumn("_full", F.when(F.col("_total") > 0, F.floor(F.lit(budget) * F.col("weight") / F.col("_total"))).otherwise(0))

@@ -146,6 +146,17 @@ def test_mixing_odd_rows(spark):
     assert out.where("source IS NULL").count() >= 2 and out.columns.count("block") == 1 and out.where("source = 'none'").count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    totals = [max(1, 600 // (i + 1)) for i in range(120)]
+    each = {t: totals.count(t) for t in totals}
+    for target, most in ((0.97, 4.0), (0.8, None), (None, 3.0)):
+        flat = mixing.exponent_for(totals, 4 * sum(totals), target, most)
+        assert abs(mixing.exponent_for(list(each), 4 * sum(totals), target, most, list(each.values())) - flat) < 1e-9
+    docs = spark.createDataFrame([(i, " ".join(["w"] * t), f"s{i}") for i, t in enumerate(totals)], "doc_id long, text string, source string")
+    one, many = (mixing.mix(docs, max_sources=m).select("doc_id", "epoch", "block_rank", "weight").collect() for m in (1_000_000, 1))
+    assert sorted(one) == sorted(many)
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1064)]
