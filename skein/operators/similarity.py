@@ -25,9 +25,11 @@ def cosine(a: Column, b: Column) -> Column:
 BROADCAST_QUERIES = 4096
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, model: str | None = None, block: int = 64) -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, model: str | None = None, block: int = 64, others: bool = False) -> DataFrame:
     """(query, id, score, rank): the k corpus rows (id, vector) nearest to each query (query, vector), ties by id.
 
+    With `others`, rows of the query's own id are left out.
+
     Queries are a given set and meet the corpus in blocks of `block`; up to BROADCAST_QUERIES of them
     (counted first) are broadcast, more are left to the planner. No more than k rows a query and
     partition are shuffled."""
@@ -39,6 +41,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None
     parts = queries.select("query", F.col("vector").alias("_q"), F.pmod(F.xxhash64("query"), F.lit(-(-n // block) or 1)).alias("_b"))
     blocks = parts.groupBy("_b").agg(F.collect_list(F.struct("query", "_q")).alias("_qs"))
     pairs = rows.join(F.broadcast(blocks) if n <= BROADCAST_QUERIES else blocks, F.lit(True)).select("id", "vector", F.explode("_qs").alias("_x")).select(F.col("_x.query").alias("query"), "id", F.col("_x._q").alias("_q"), "vector")
+    if others:
+        pairs = pairs.where("NOT id <=> query")
     scored = pairs.select("query", "id", score.alias("score")).where("score IS NOT NULL")
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
@@ -65,9 +69,9 @@ def token_vectors(texts: DataFrame, key: str, text: str, buckets: int = 256) ->
     return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0))).alias("vector"))
 
 
-def recurrence(new: DataFrame, prior: DataFrame, threshold: float = 0.6) -> DataFrame:
+def recurrence(new: DataFrame, prior: DataFrame, threshold: float = 0.6, others: bool = False) -> DataFrame:
     """(query, id, score): the nearest prior text (id, text) of each new one (query, text), if it is near enough."""
-    return top_k(token_vectors(new, "query", "text"), token_vectors(prior, "id", "text"), 1, threshold).drop("rank")
+    return top_k(token_vectors(new, "query", "text"), token_vectors(prior, "id", "text"), 1, threshold, others=others).drop("rank")
 
 
 def related(touches: DataFrame, hub: int = 5, cap: int = 8) -> DataFrame:

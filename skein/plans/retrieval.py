@@ -14,7 +14,7 @@ def _vectors(spark, d):
 
 def cosine_topk(spark, d):
     v = _vectors(spark, d)
-    return similarity.top_k(v.where("id % 100 = 3").select(F.col("id").alias("query"), "vector"), v, 5)
+    return similarity.top_k(v.where("id % 20 = 0").select(F.col("id").alias("query"), "vector"), v, 5, others=True)
 
 
 def cosine_threshold(spark, d):
@@ -29,9 +29,9 @@ def token_hash_embedding(spark, d):
 
 
 def recurrence_best(spark, d):
-    b = read(spark, d, "benchmark")
-    new = b.where("item_id % 10 = 0").select(F.col("item_id").alias("query"), "text")
-    return similarity.recurrence(new, b.where("item_id % 10 <> 0").select(F.col("item_id").alias("id"), "text"), 0.3)
+    docs = read(spark, d, "documents", "doc_id", "text")
+    new = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text")
+    return similarity.recurrence(new, docs.select(F.col("doc_id").alias("id"), "text"), 0.3, others=True)
 
 
 def related_items(spark, d):

@@ -1,5 +1,6 @@
 """Registered queries against brute force on small tables of which every row counts."""
 
+import math
 import random
 
 from skein.plans import catalog
@@ -52,3 +53,26 @@ def test_communities_of_parts(spark, tmp_path):
         found.setdefault(x["community"], set()).add(x["node"])
     name = lambda ps: {f"part {p} Brand#11" for p in ps}
     assert found == {0: name(groups[0]), 1: name(groups[1]), 2: name([56]), 3: name([57])}
+
+
+def cosine(a, b):
+    return round(sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b))), 6)
+
+
+def test_cosine_topk_asks_for_every_twentieth_row(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(i, [float(r.randint(-4, 4)) for _ in range(5)] + [1.0], 0) for i in range(100)]
+    rows[41] = (41, rows[40][1], 0)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {(q, i, n + 1) for q, v, _ in rows[::20] for n, (_, i) in enumerate(sorted((-cosine(v, w), i) for i, w, _ in rows if i != q)[:5])}
+    assert {(x["query"], x["id"], x["rank"]) for x in catalog.queries()["cosine_topk"](spark, str(tmp_path)).collect()} == want
+
+
+def test_recurrence_best_searches_all_documents(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(12))) for i in range(61)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {i: [t.split().count(c) for c in "abcdefgh"] for i, t in rows}
+    want = {q: min((-cosine(counts[q], counts[i]), i) for i in counts if i != q) for q in range(0, 61, 20)}
+    got = catalog.queries()["recurrence_best"](spark, str(tmp_path)).collect()
+    assert {x["query"]: (-x["score"], x["id"]) for x in got} == want
