@@ -36,11 +36,14 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None
     if model is not None and corpus.where(F.col("model") == model).isEmpty():
         raise MatrixError(f"no vectors of model {model!r}")
     rows = corpus.where(F.col("model") == model) if model is not None else corpus
-    score = F.round(cosine(F.col("_q"), F.col("vector")), 6)
+    norm = F.sqrt(dot(F.col("vector"), F.col("vector")))  # once a row, not once a pair
+    both = F.col("_qn") * F.col("_n")
+    score = F.round(F.when((F.size("_q") == F.size("vector")) & (F.size("_q") > 0) & (both > 0), dot(F.col("_q"), F.col("vector")) / both), 6)
     n = queries.count()
-    parts = queries.select("query", F.col("vector").alias("_q"), F.pmod(F.xxhash64("query"), F.lit(-(-n // block) or 1)).alias("_b"))
-    blocks = parts.groupBy("_b").agg(F.collect_list(F.struct("query", "_q")).alias("_qs"))
-    pairs = rows.join(F.broadcast(blocks) if n <= BROADCAST_QUERIES else blocks, F.lit(True)).select("id", "vector", F.explode("_qs").alias("_x")).select(F.col("_x.query").alias("query"), "id", F.col("_x._q").alias("_q"), "vector")
+    parts = queries.select("query", F.col("vector").alias("_q"), norm.alias("_qn"), F.pmod(F.xxhash64("query"), F.lit(-(-n // block) or 1)).alias("_b"))
+    blocks = parts.groupBy("_b").agg(F.collect_list(F.struct("query", "_q", "_qn")).alias("_qs"))
+    rows = rows.select("id", "vector", norm.alias("_n"))
+    pairs = rows.join(F.broadcast(blocks) if n <= BROADCAST_QUERIES else blocks, F.lit(True)).select("id", "vector", "_n", F.explode("_qs").alias("_x")).select(F.col("_x.query").alias("query"), "id", F.col("_x._q").alias("_q"), F.col("_x._qn").alias("_qn"), "vector", "_n")
     if others:
         pairs = pairs.where("NOT id <=> query")
     scored = pairs.select("query", "id", score.alias("score")).where("score IS NOT NULL")
