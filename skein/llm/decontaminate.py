@@ -1,13 +1,18 @@
 """Benchmark decontamination: a broadcast hash set of item n-grams, scanned over every window.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. An item's
-windows are its n-grams, or all its words where it has fewer. A hash hit is verified by the
-words themselves. The set is broadcast only in parts of at most `part_bytes` of item text;
-a larger benchmark is dealt into several parts by id, each scanned by itself and merged.
+windows are its n-grams, or all its words where it has fewer. The set is kept as flat arrays: the
+items' normalised text once, and for every window its hash and where it stands. A hash hit is
+verified by the words themselves.
+
+The set is broadcast only in parts of at most `part_bytes` of these arrays. A larger benchmark is
+dealt into parts by item, and the parts are built, broadcast, scanned for and let go one at a
+time; each pass keeps only the rows that it hits, which are merged by row at the end.
 
 Defined results: null or empty texts have no words and are never contaminated; null items
-have no windows; repeated item ids count once; an empty benchmark or table hits nothing.
-Columns of the input named like an output give way.
+have no windows; repeated item ids count once; an empty benchmark or table hits nothing. One
+text must fit a task; long ones are scanned alone. Columns of the input named like an output
+give way; any other names are allowed.
 """
 
 from __future__ import annotations
@@ -19,69 +24,89 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import textops as X
+from skein.scratch import settle
 
 OUT = ("n_words", "n_hit", "spans", "items", "contaminated", "clean_text")
 
 
-def build(items: list[tuple[str, str | None]], n: int) -> dict:
-    """Sorted window hashes by length, and the items of each window's words."""
-    words_of: dict[bytes, set] = {}
-    texts = pa.array([t for _, t in items], pa.string())
+def words(texts: pa.Array):
+    """Lower-cased bytes, word starts and ends, the texts' words, and the texts' bytes."""
     data, offsets = X.buffer_of(texts)
-    data = X.LOWER[data]
-    starts, ends, at = X.tokens(data, offsets, X.ALNUM)
-    raw = data.tobytes()
-    words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-    hashes = X.word_hashes(data, starts, ends)
-    sets: dict[int, list] = {}
-    for i, (name, _) in enumerate(items):
-        a, b = int(at[i]), int(at[i + 1])
-        k = min(n, b - a)
-        if not k:
-            continue
-        here = np.arange(a, b - k + 1)
-        sets.setdefault(k, []).append(X.window_hashes(hashes, here, k))
-        for j in here.tolist():
-            words_of.setdefault(b" ".join(words[j : j + k]), set()).add(name)
-    return {"hashes": {k: np.unique(np.concatenate(v)) for k, v in sets.items()}, "items": {k: tuple(sorted(v)) for k, v in words_of.items()}}
+    low = X.LOWER[data]
+    return low, *X.tokens(low, offsets, X.ALNUM), offsets
 
 
-def scan(texts: pa.Array, index: dict, cut: bool):
-    """For each text: words, hit words, merged word spans, items, and the text without hit words."""
-    data, offsets = X.buffer_of(texts)
-    low = X.LOWER[data]
-    starts, ends, at = X.tokens(low, offsets, X.ALNUM)
+def build(names: list[str], texts: pa.Array, n: int) -> dict:
+    """Window hashes in order by length, the item and first byte of each, and the items' words joined by spaces."""
+    low, starts, ends, at, _ = words(texts)
+    hashes = X.word_hashes(low, starts, ends)
+    sizes = ends - starts
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)])  # of each word in the joined text
+    joined = np.full(int(begin[-1]), 0x20, np.uint8)
+    joined[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = low[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+    lengths, tables = np.minimum(np.diff(at), n), {}
+    item_of = np.repeat(np.arange(len(names), dtype=np.int32), np.diff(at))
+    for k in np.unique(lengths[lengths > 0]).tolist():
+        here = X.windows(at, k)
+        here = here[lengths[item_of[here]] == k]
+        found = X.window_hashes(hashes, here, k)
+        order = np.argsort(found, kind="stable")
+        here = here[order]
+        tables[k] = (found[order], item_of[here], begin[here], (begin[here + k] - 1 - begin[here]).astype(np.int32))
+    return {"names": names, "text": joined, "tables": tables}
+
+
+def index_bytes(index: dict) -> int:
+    return index["text"].nbytes + sum(a.nbytes for t in index["tables"].values() for a in t) + sum(64 + len(x) for x in index["names"])
+
+
+#: Bytes of index that an item of so many bytes can need: its text, a window of 24 bytes for every two bytes, and its name.
+INDEX_BYTES = (13, 128)
+
+
+def scan(texts: pa.Array, index: dict):
+    """For each text: words, merged spans of hit words, and the items hit."""
+    low, starts, ends, at, _ = words(texts)
     hashes = X.word_hashes(low, starts, ends)
     mask = np.zeros(len(starts), bool)
     items: dict[int, set] = {}
-    for k, known in index["hashes"].items():
+    for k, (known, item, begin, size) in index["tables"].items():
         here = X.windows(at, k)
         if not len(here):
             continue
         got = X.window_hashes(hashes, here, k)
-        here = here[known[np.minimum(np.searchsorted(known, got), len(known) - 1)] == got]
+        first = np.searchsorted(known, got)
+        hit = known[np.minimum(first, len(known) - 1)] == got
+        here, first, got = here[hit], first[hit], got[hit]
+        last = np.searchsorted(known, got, side="right")
         sure = []
-        docs = np.searchsorted(at, here, side="right") - 1
-        for j, d in zip(here.tolist(), docs.tolist()):
-            found = index["items"].get(b" ".join(low[starts[i] : ends[i]].tobytes() for i in range(j, j + k)))
+        for j, d, a, b in zip(here.tolist(), (np.searchsorted(at, here, side="right") - 1).tolist(), first.tolist(), last.tolist()):
+            own = b" ".join(low[starts[i] : ends[i]].tobytes() for i in range(j, j + k))
+            found = [int(item[x]) for x in range(a, b) if size[x] == len(own) and index["text"][begin[x] : begin[x] + size[x]].tobytes() == own]
             if found:
                 sure.append(j)
                 items.setdefault(d, set()).update(found)
         if sure:
             mask |= X.covered(len(starts), np.array(sure), k)
-    hit = np.concatenate([[0], np.cumsum(mask)])
+    hits = np.concatenate([[0], np.cumsum(mask)])
     for d in range(len(at) - 1):
         a, b = int(at[d]), int(at[d + 1])
-        n_hit = int(hit[b] - hit[a])
-        spans, clean = [], None
-        if n_hit:
-            own = np.concatenate([[False], mask[a:b], [False]]).astype(np.int8)
-            edge = np.diff(own)
+        spans = []
+        if hits[b] > hits[a]:
+            edge = np.diff(np.concatenate([[False], mask[a:b], [False]]).astype(np.int8))
             spans = [[int(x), int(y)] for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
-        if cut:
-            raw = data[offsets[d] : offsets[d + 1]].tobytes()
-            clean = cut_spans(raw, starts[a:b] - offsets[d], ends[a:b] - offsets[d], spans)
-        yield b - a, n_hit, spans, sorted(items.get(d, ())), clean
+        yield b - a, spans, sorted({index["names"][i] for i in items.get(d, ())})
+
+
+def merged(spans: list) -> list:
+    """Spans in order, those that overlap or touch as one."""
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def cut_spans(raw: bytes, starts: np.ndarray, ends: np.ndarray, spans: list) -> str:
@@ -94,59 +119,77 @@ def cut_spans(raw: bytes, starts: np.ndarray, ends: np.ndarray, spans: list) ->
     return b"".join(kept).decode("utf-8", "replace")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 13, share: int = 20, cut: bool = False, part_bytes: int = 32 << 20) -> DataFrame:
+_SPANS = pa.list_(pa.list_(pa.int32()))
+_FOUND = {"n_words": pa.int64(), "n_hit": pa.int64(), "spans": _SPANS, "items": pa.list_(pa.string()), "clean_text": pa.string()}
+
+
+def _results(texts: pa.Array, found: list, cut: bool) -> list[pa.Array]:
+    """The output columns of rows of (words, spans, items)."""
+    cols = [[n for n, _, _ in found], [sum(b - a for a, b in s) for _, s, _ in found], [s for _, s, _ in found], [i for _, _, i in found]]
+    if cut:
+        low, starts, ends, at, offsets = words(texts)
+        data = X.buffer_of(texts)[0]
+        cols.append([cut_spans(data[offsets[d] : offsets[d + 1]].tobytes(), starts[at[d] : at[d + 1]] - offsets[d], ends[at[d] : at[d + 1]] - offsets[d], found[d][1]) for d in range(len(found))])
+    return [pa.array(c, t) for c, t in zip(cols, _FOUND.values())]
+
+
+def _mapped(rows: DataFrame, added: list[T.StructField], results) -> DataFrame:
+    """rows (whose column `text` is read) plus what results(batch) gives, some MB of text at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in X.slices(np.diff(X.buffer_of(batch.column(batch.schema.get_field_index("text")))[1]), 4 << 20):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, *results(part)], names=[*part.schema.names, *(f.name for f in added)])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 13, share: int = 20, cut: bool = False, part_bytes: int = 64 << 20) -> DataFrame:
     """docs plus n_words, n_hit, spans, items, contaminated (n_hit > 0 and share * n_hit >= n_words) and, if cut, clean_text."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col("text").alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
-    size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    context = docs.sparkSession.sparkContext
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col("text").cast("string").alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
+    size = items.agg(F.sum(F.octet_length("t") * INDEX_BYTES[0] + F.octet_length("i") + INDEX_BYTES[1])).first()[0] or 0
     parts = -(-int(size) // part_bytes) or 1
-    own = [f for f in docs.schema.fields if f.name not in OUT]
-    docs = docs.select(*(f.name for f in own))
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("items", T.ArrayType(T.StringType()))]
-    added += [T.StructField("clean_text", T.StringType())] if cut and parts == 1 else []
-    schema = T.StructType([*own, *added])
-    found = []
-    for p in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p)
-        index = spark.sparkContext.broadcast(build([(r.i, r.t) for r in part.collect()], n))
-
-        def run(batches, index=index):
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                sizes = np.diff(X.buffer_of(texts)[1])
-                for a, b in X.slices(sizes, 4 << 20):
-                    rows = list(scan(texts.slice(a, b - a), index.value, cut and parts == 1))
-                    cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.string()))]
-                    part = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*part.columns, *cols[: len(added)]], names=[*part.schema.names, *(f.name for f in added)])
-
-        found.append(docs.mapInArrow(run, schema))
+    own = [c for c in docs.columns if c not in OUT]
+    kinds = [T.LongType(), T.LongType(), T.ArrayType(T.ArrayType(T.IntegerType())), T.ArrayType(T.StringType()), T.StringType()]
+    added = [T.StructField(c, t) for c, t in zip(_FOUND, kinds)][: 5 if cut else 4]
+    # the input's columns travel in one struct, so that no name of theirs meets one of these
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def part(p: int):
+        one = items if parts == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p)
+        table = one.toArrow()
+        return context.broadcast(build(table.column("i").to_pylist(), table.column("t"), n))
+
+    text = lambda batch: batch.column(batch.schema.get_field_index("text"))
     if parts == 1:
-        out = found[0]
+        index = part(0)
+        out = _mapped(rows, added, lambda batch: _results(text(batch), list(scan(text(batch), index.value)), cut))
     else:
-        names = [f.name for f in own]
-        every = found[0]
-        for other in found[1:]:
-            every = every.unionByName(other)
-        every = every.groupBy(*names, "n_words").agg(F.flatten(F.collect_list("spans")).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / parts).cast("int").alias("_c"))
-        hit = F.array_sort(F.array_distinct(F.flatten(F.transform("_s", lambda s: F.sequence(s[0], s[1] - 1)))))
-        every = every.withColumn("_hit", hit).withColumn("n_hit", F.size("_hit").cast("long")).withColumn("_r", F.explode(F.array_repeat(F.lit(1), F.col("_c"))))
-        opens = F.filter("_hit", lambda x: ~F.array_contains("_hit", x - 1))
-        closes = F.transform(F.filter("_hit", lambda x: ~F.array_contains("_hit", x + 1)), lambda x: x + 1)
-        out = every.withColumn("spans", F.zip_with(opens, closes, lambda a, b: F.array(a, b))).select(*names, "n_words", "n_hit", "spans", "items")
-        if cut:
-            final = T.StructType([*out.schema.fields, T.StructField("clean_text", T.StringType())])
-
-            def clean(batches):
-                for batch in batches:
-                    data, offsets = X.buffer_of(batch.column(batch.schema.get_field_index(text_col)))
-                    starts, ends, at = X.tokens(X.LOWER[data], offsets, X.ALNUM)
-                    spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-                    texts = [cut_spans(data[offsets[d] : offsets[d + 1]].tobytes(), starts[at[d] : at[d + 1]] - offsets[d], ends[at[d] : at[d + 1]] - offsets[d], s or []) for d, s in enumerate(spans)]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "clean_text"])
-
-            out = out.mapInArrow(clean, final)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+        rows = settle(rows.withColumn("at", F.monotonically_increasing_id()))
+        found = None
+        for p in range(parts):
+            index = part(p)
+            one = _mapped(rows.select("at", "text"), added[2:4], lambda batch, index=index: [pa.array(c, t) for c, t in zip(list(zip(*((s, i) for _, s, i in scan(text(batch), index.value)))) or [(), ()], list(_FOUND.values())[2:4])])
+            one = settle(one.where(F.size("spans") > 0).select("at", "spans", "items"))
+            index.unpersist()
+            found = one if found is None else found.unionByName(one)
+        found = found.groupBy("at").agg(F.flatten(F.collect_list("spans")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("which"))
+        met = rows.join(found, "at", "left")
+
+        def finish(batch):
+            at = X.tokens(*_low(text(batch)), X.ALNUM)[2]
+            all_spans, which = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("all", "which"))
+            return _results(text(batch), [(int(n_words), merged(s or []), i or []) for n_words, s, i in zip(np.diff(at), all_spans, which)], cut)
+
+        out = _mapped(met, added, finish)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in own), *(f.name for f in added), ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
+
+
+def _low(texts: pa.Array):
+    data, offsets = X.buffer_of(texts)
+    return X.LOWER[data], offsets
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

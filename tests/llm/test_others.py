@@ -1,28 +1,28 @@
 """Search, chat, toxicity, mixing, components and the pipeline."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from skein.llm import chat, components, mixing, topk, toxicity
 from tests.llm import brute
 
 
 def plain_top(rows, k=5, every=50):
-    import math
-
     sound = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in sound:
+    for p, (i, q) in enumerate(sound):
         if i % every == 0:
-            found = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in sound if j != i)[:k]
+            found = sorted((-sum(a * b for a, b in zip(q, v)), j) for o, (j, v) in enumerate(sound) if o != p)[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [{}, {"query_block": 3, "shard_rows": 40}])
+@pytest.mark.parametrize("blocks", [{}, {"query_bytes": 500, "shard_rows": 40}])
 def test_top_k(spark, blocks):
     r = np.random.default_rng(4)
     rows = [(i, [float(x) for x in r.normal(0, 0.2, 20)]) for i in range(200)]
@@ -32,7 +32,7 @@ def test_top_k(spark, blocks):
     rows[6] = (6, [float("inf")] * 20)
     rows[8] = (8, rows[7][1])
     rows[9] = (9, [0.5] * 4)
-    rows += [(None, [1.0] * 20)]
+    rows += [(None, [1.0] * 20), (50, rows[50][1]), (50, rows[60][1]), (3, rows[50][1]), (7, []), (11, rows[12][1] + [2.0])]
     out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10, **blocks)
     import struct
 
@@ -153,8 +153,66 @@ def test_mixing_of_many_sources(spark):
         flat = mixing.exponent_for(totals, 4 * sum(totals), target, most)
         assert abs(mixing.exponent_for(list(each), 4 * sum(totals), target, most, list(each.values())) - flat) < 1e-9
     docs = spark.createDataFrame([(i, " ".join(["w"] * t), f"s{i}") for i, t in enumerate(totals)], "doc_id long, text string, source string")
-    one, many = (mixing.mix(docs, max_sources=m).select("doc_id", "epoch", "block_rank", "weight").collect() for m in (1_000_000, 1))
-    assert sorted(one) == sorted(many)
+    want = mixing.weights(totals, mixing.exponent_for(totals, sum(totals), 0.97, 4.0))
+    got = {x["source"]: x["weight"] for x in mixing.mix(docs).collect()}  # sources of one document each: those of under half a pass go
+    assert len(got) > 100 and all(abs(w - want[int(s[1:])]) < 1e-8 for s, w in got.items())
+
+
+def spark_hash(*values):
+    """xxhash64 of strings, ints and longs as Spark chains it."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[1].to_bytes(v[0], "little", signed=True)
+        h = xxhash.xxh64(raw, seed=h).intdigest()
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+@pytest.mark.parametrize("rule", [(None, 0.97, 4.0), (3000, 0.8, None), (20_000, None, 3.0)])
+def test_mixing_against_plain_python(spark, rule):
+    budget, target, most = rule
+    r, blocks, seed = random.Random(9), 16, 17
+    rows = [(i, " ".join(["w"] * r.randint(0, 30)), ["a", "a", "a", "b", "c"][r.randrange(5)] if i % 40 else "tiny") for i in range(400)]
+    tokens = {s: sum(len(t.split()) for _, t, o in rows if o == s) for s in "a b c tiny".split()}
+    total = sum(tokens.values())
+    budget = budget or total
+
+    def shares(e):
+        raised = {s: (t / total) ** e for s, t in tokens.items()}
+        return {s: x / sum(raised.values()) for s, x in raised.items()}
+
+    grid = [i / 20000 for i in range(20001)]
+    flat = lambda e: target is None or -sum(x * math.log(x) for x in shares(e).values()) >= target * math.log(4)
+    few = lambda e: most is None or all(budget * x <= max(most, budget / total) * tokens[s] * (1 + 1e-9) for s, x in shares(e).items())
+    found = max([e for e in grid if flat(e)] or [0.0]) if target is not None else (0.0 if most is not None else 1.0)
+    found = max(found, min(e for e in grid if few(e)))
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), budget_tokens=budget, target_entropy=target, max_repeats=most, blocks=blocks).collect()
+    weight = {x["source"]: x["weight"] for x in out}
+    assert all(abs(weight[s] - x) < 2e-4 for s, x in shares(found).items())
+    inverse = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    want = []
+    for s, t in tokens.items():
+        in_block = {}
+        for i, text, o in rows:
+            if o == s:
+                in_block.setdefault(inverse(spark_hash(str(i), (8, spark_hash(text)), (4, seed))) % blocks, []).append((i, len(text.split())))
+        w = weight[s] * budget
+        full = int(w // t)
+        for epoch in range(full + 1):
+            order = sorted(in_block, key=lambda b: (spark_hash(s, (4, epoch), (4, b), (4, seed)), b))
+            before = 0
+            for rank, b in enumerate(order):
+                size = sum(n for _, n in in_block[b])
+                if epoch < full or before + size / 2 <= w - full * t:
+                    want += [(i, n, epoch, b, rank + 1) for i, n in in_block[b]]
+                before += size
+    assert sorted(want) == sorted((x["doc_id"], x["n_tokens"], x["epoch"], x["block"], x["block_rank"]) for x in out)
+
+
+def test_mixing_refuses_endless_repeats(spark):
+    docs = spark.createDataFrame([(1, "one", "tiny"), (2, "w " * 90_000, "big")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="max_repeats"):
+        mixing.mix(docs, target_entropy=1.0, max_repeats=None)
+    assert mixing.mix(docs).where("source = 'tiny'").count() <= 4
 
 
 def test_components(spark):

@@ -1,12 +1,13 @@
 """The text operators against plain Python, awkward rows included."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from skein.llm import decontaminate, exchange, jaccard, licences, lines, passages, suffixes
+from skein.llm import decontaminate, exchange, jaccard, licences, lines, mixing, passages, suffixes
 from skein.llm import textops as X
 from tests.llm import brute
 
@@ -81,7 +82,7 @@ def contaminated():
     return [(1, "item-one: " + "/".join(t)), (2, "Short, one HERE and more " + "x " * 200), (3, " ".join(t[3:16])), (4, " ".join(t[:12])), (5, None), (6, "a single word"), (7, "y " * 39 + "single"), (8, " ".join(t[5:19]) * 2)] + ROWS[8:14]
 
 
-@pytest.mark.parametrize("part", [1 << 20, 64])
+@pytest.mark.parametrize("part", [1 << 20, 1024])
 def test_decontaminate(spark, part):
     rows = [(i + 1000 * (n > 7), t) for n, (i, t) in enumerate(contaminated())]
     d = spark.createDataFrame(rows, SCHEMA)
@@ -94,7 +95,7 @@ def test_decontaminate(spark, part):
 
 def test_decontaminate_repeated_rows_in_parts(spark):
     d = spark.createDataFrame([(1, "a single word")] * 3, SCHEMA)
-    out = decontaminate.contamination(d, spark.createDataFrame(ITEMS, "item_id long, text string"), part_bytes=64)
+    out = decontaminate.contamination(d, spark.createDataFrame(ITEMS, "item_id long, text string"), part_bytes=1024)
     assert out.count() == 3
 
 
@@ -167,6 +168,34 @@ def test_clashing_columns(spark):
     assert licences.licences(d).first()["n_words"] == 6
 
 
+def test_any_other_column_name(spark):
+    names = "doc text row d x hash pos drop keep at all which source total of in tokens count h g n i t _d _x _s _drop spans2".split()
+    d = spark.createDataFrame([(i, f"a shared line of text\nown {i}", "s", *range(len(names))) for i in range(3)], "doc_id long, txt string, src string, " + ", ".join(f"`{n}` int" for n in names))
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for out in (lines.dedup_lines(d, text_col="txt"), licences.licences(d, text_col="txt"), decontaminate.contamination(d, bench, text_col="txt"), decontaminate.contamination(d, bench, text_col="txt", part_bytes=1024), mixing.mix(d, text_col="txt", source_col="src")):
+        assert set(names) <= set(out.columns) and all(x[names[5]] == 5 and x[names[-1]] == len(names) - 1 for x in out.collect())
+
+
+def test_lines_of_one_long_document_take_linear_time(spark):
+    text = "\n".join(f"line number {i} of them" for i in range(120_000))
+    began = time.time()
+    out = {r["doc_id"]: r for r in lines.report(spark.createDataFrame([(1, text), (2, text + "\nlast one")], SCHEMA)).collect()}
+    assert time.time() - began < 20
+    assert (out[1]["n_dropped"], out[2]["n_dropped"], out[2]["n_lines"], out[2]["kept_sha256"]) == (0, 120_000, 120_001, brute.sha("last one"))
+
+
+def test_index_parts_keep_to_their_bytes(spark):
+    r = random.Random(4)
+    items = [(f"i{i}", " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 60)))) for i in range(300)] + [("w", "a b " * 3000)]
+    index = decontaminate.build([n for n, _ in items], pa.array([t for _, t in items]), 13)
+    budget = sum(len(t) * decontaminate.INDEX_BYTES[0] + len(n) + decontaminate.INDEX_BYTES[1] for n, t in items)
+    assert decontaminate.index_bytes(index) <= budget
+    docs = [(i, " ".join([t[10:] for _, t in r.sample(items, 2)] + ["x"] * 20)) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    one, many = (sorted(map(tuple, decontaminate.report(spark.createDataFrame(docs, SCHEMA), bench).collect())) if p == 1 else sorted((x["doc_id"], x["n_words"], x["n_hit"], len(x["items"]), brute.sha(",".join(x["items"])), x["contaminated"]) for x in decontaminate.contamination(spark.createDataFrame(docs, SCHEMA), bench, part_bytes=budget // 4).collect()) for p in (1, 2))
+    assert one == many and any(x[2] for x in one)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for t in range(200):
