@@ -37,7 +37,7 @@ def words(texts: pa.Array):
 
 
 def build(names: list[str], texts: pa.Array, n: int) -> dict:
-    """Window hashes in order by length, the item and first byte of each, and the items' words joined by spaces."""
+    """By length: distinct windows in order of their hash, where each stands, and its items; and the items' words joined by spaces."""
     low, starts, ends, at, _ = words(texts)
     hashes = X.word_hashes(low, starts, ends)
     sizes = ends - starts
@@ -49,10 +49,16 @@ def build(names: list[str], texts: pa.Array, n: int) -> dict:
     for k in np.unique(lengths[lengths > 0]).tolist():
         here = X.windows(at, k)
         here = here[lengths[item_of[here]] == k]
-        found = X.window_hashes(hashes, here, k)
-        order = np.argsort(found, kind="stable")
-        here = here[order]
-        tables[k] = (found[order], item_of[here], begin[here], (begin[here + k] - 1 - begin[here]).astype(np.int32))
+        one, two, item = X.window_hashes(hashes, here, k), X.window_hashes(X.mix(hashes + np.uint64(77)), here, k, 1), item_of[here]
+        order = np.lexsort((item, two, one))  # equal windows once, with each item that holds them once
+        one, two, item, here = one[order], two[order], item[order], here[order]
+        head = np.ones(len(here), bool)
+        head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        fresh = head.copy()
+        fresh[1:] |= item[1:] != item[:-1]
+        first = here[head]
+        item_at = np.append(np.concatenate([[0], np.cumsum(fresh)])[:-1][head], fresh.sum())
+        tables[k] = (one[head], begin[first], (begin[first + k] - 1 - begin[first]).astype(np.int32), item_at, item[fresh])
     return {"names": names, "text": joined, "tables": tables}
 
 
@@ -60,8 +66,8 @@ def index_bytes(index: dict) -> int:
     return index["text"].nbytes + sum(a.nbytes for t in index["tables"].values() for a in t) + sum(64 + len(x) for x in index["names"])
 
 
-#: Bytes of index that an item of so many bytes can need: its text, a window of 24 bytes for every two bytes, and its name.
-INDEX_BYTES = (13, 128)
+#: Bytes of index that an item of so many bytes can need: its text, 32 bytes a word for words of one letter, and its name.
+INDEX_BYTES = (18, 160)
 
 
 def scan(texts: pa.Array, index: dict):
@@ -70,22 +76,23 @@ def scan(texts: pa.Array, index: dict):
     hashes = X.word_hashes(low, starts, ends)
     mask = np.zeros(len(starts), bool)
     items: dict[int, set] = {}
-    for k, (known, item, begin, size) in index["tables"].items():
+    for k, (known, begin, size, item_at, item) in index["tables"].items():
         here = X.windows(at, k)
         if not len(here):
             continue
         got = X.window_hashes(hashes, here, k)
         first = np.searchsorted(known, got)
         hit = known[np.minimum(first, len(known) - 1)] == got
-        here, first, got = here[hit], first[hit], got[hit]
-        last = np.searchsorted(known, got, side="right")
-        sure = []
+        here, first, last = here[hit], first[hit], np.searchsorted(known, got[hit], side="right")
+        sure, seen = [], set()
         for j, d, a, b in zip(here.tolist(), (np.searchsorted(at, here, side="right") - 1).tolist(), first.tolist(), last.tolist()):
-            own = b" ".join(low[starts[i] : ends[i]].tobytes() for i in range(j, j + k))
-            found = [int(item[x]) for x in range(a, b) if size[x] == len(own) and index["text"][begin[x] : begin[x] + size[x]].tobytes() == own]
-            if found:
-                sure.append(j)
-                items.setdefault(d, set()).update(found)
+            own = low[starts[j] : ends[j + k - 1]] if k == 1 else np.frombuffer(b" ".join(low[starts[i] : ends[i]].tobytes() for i in range(j, j + k)), np.uint8)
+            for x in range(a, b):
+                if size[x] == len(own) and (index["text"][begin[x] : begin[x] + size[x]] == own).all():
+                    sure.append(j)
+                    if (d, x) not in seen:
+                        seen.add((d, x))
+                        items.setdefault(d, set()).update(item[item_at[x] : item_at[x + 1]].tolist())
         if sure:
             mask |= X.covered(len(starts), np.array(sure), k)
     hits = np.concatenate([[0], np.cumsum(mask)])
