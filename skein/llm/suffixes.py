@@ -16,11 +16,16 @@ a smaller id. Suffix arrays are built over shards in which equal strings meet:
 3. Each class's smallest id decides which strings go; a group gets one bit a string.
 
 Shards are as many as the exchange has buckets, so they grow in number, not in size; a
-passage that a third of the documents hold is one stretch a group and shard.
-
-Defined results: a null text is empty; null ids count as the largest id, rows of one id are
-one document (a string is not removed for another row of the same id); an empty table gives
-an empty result. Removed bytes can cut a character: kept text is decoded with replacement.
+passage that a third of the documents hold is one stretch a group and shard. A phrase whose
+surroundings differ from copy to copy is not: an anchor with over `hot` distinct stretches (summed
+over groups) is split. Its strings are dealt by their own hash, each a stretch of one string, so
+equal ones still meet and the others are spread over all shards.
+
+Defined results: a null or empty text has no bytes; null ids count as the largest id, rows of one
+id are one document (a string is not removed for another row of the same id); an empty table gives
+an empty result. Removed bytes can cut a character: kept text is decoded with replacement. A text
+of over two MB is a group by itself and must fit a task, at some 60 bytes a byte; other columns
+are not carried.
 """
 
 from __future__ import annotations
@@ -40,6 +45,7 @@ from skein.scratch import settle
 
 K = 24
 ANCHOR_BITS = 28
+HOT = 1 << 15  # distinct stretches of one anchor that a shard may hold
 RECURSE = 2048  # largest alphabet whose buckets are worth walking one by one
 ASKED = "b int, g long, payload binary"
 _ASKED = pa.schema([("b", pa.int32()), ("g", pa.int64()), ("payload", pa.binary())])
@@ -60,6 +66,10 @@ def classify(s: np.ndarray) -> np.ndarray:
     return kind
 
 
+def _places(n: int):
+    return np.int32 if n < 2**31 else np.int64
+
+
 def induce(s: np.ndarray, kind: np.ndarray, lms: np.ndarray, size: int, mark: int = -1) -> np.ndarray:
     """All suffixes in order, induced from the leftmost-S ones in the order given.
 
@@ -70,9 +80,9 @@ def induce(s: np.ndarray, kind: np.ndarray, lms: np.ndarray, size: int, mark: in
     tail = np.cumsum(counts)
     head = tail - counts
     first_s = tail - np.bincount(s[kind], minlength=size)
-    sa = np.full(n, -1, np.int32)
+    sa = np.full(n, -1, _places(n))
     symbol = s[lms]
-    ordered = lms[np.argsort(symbol, kind="stable")].astype(np.int32)
+    ordered = lms[np.argsort(symbol, kind="stable")].astype(_places(n))
     group_at = np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=size))])
 
     def deal(wave: np.ndarray, small: bool, fill: np.ndarray) -> None:
@@ -150,15 +160,15 @@ def suffix_array(s: np.ndarray, size: int, mark: int = -1, depth: int = 0) -> np
     """Suffix array of s, whose last symbol is its only smallest. Places of `mark` count as distinct symbols."""
     n = len(s)
     if n < 3:
-        return np.argsort(s, kind="stable").astype(np.int32)
+        return np.argsort(s, kind="stable").astype(_places(n))
     kind = classify(s)
     lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
     ordered = induce(s, kind, lms, size, mark)
     chosen = np.zeros(n, bool)
     chosen[lms] = True
     ordered = ordered[chosen[ordered]]  # leftmost-S suffixes in the order of their leftmost-S substrings
-    place = np.empty(n, np.int32)
-    place[lms] = np.arange(len(lms), dtype=np.int32)
+    place = np.empty(n, _places(n))
+    place[lms] = np.arange(len(lms), dtype=_places(n))
     ends = np.append(lms[1:] + 1, n)
     sums = X.range_sums(X.mix(s.astype(np.uint64) + np.uint64(1)))
     code = X.mix(X.range_hash(sums, lms, ends) + (ends - lms).astype(np.uint64))[place[ordered]]
@@ -183,7 +193,7 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.nda
     suffixes differ or a stretch begins; only these irreducible ones are compared, eight bytes
     at a time."""
     n, wide = len(s), s.itemsize
-    before = np.full(n, -1, np.int32)
+    before = np.full(n, -1, _places(n))
     before[sa[1:]] = sa[:-1]
     start = np.ones(n, bool)
     start[1:] = (before[1:] <= 0) | (room[:-1] == 0) | (s[np.maximum(before[1:] - 1, 0)] != s[:-1])
@@ -231,30 +241,51 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return starts[first], starts[last], gram[anchor[first]], sums
 
 
+def stretch_codes(first: np.ndarray, last: np.ndarray, gram: np.ndarray, sums: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each stretch's bytes and anchor."""
+    ends = last + length
+    return X.mix(X.range_hash(sums, first, ends) + (ends - first).astype(np.uint64) + gram)
+
+
 def ask_anchors(docs: DataFrame, length: int, k: int, buckets: int, group_bytes: int) -> DataFrame:
+    """A group's distinct anchors: which come twice, and of those with several distinct stretches how many."""
     low = np.uint64((1 << ANCHOR_BITS) - 1)
 
     def run(batches):
         for g, _, texts in E.groups(batches, group_bytes):
-            *_, gram, _ = stretches(*X.buffer_of(texts), length, k)
-            places, counts = np.unique(E.placed(gram, buckets, ANCHOR_BITS), return_counts=True)
-            rows = E.split(places, ANCHOR_BITS)
-            payloads = [(hi - lo).to_bytes(4, "little") + E.bits(counts[lo:hi] > 1) + E.pack_differences(places[lo:hi] & low) for _, lo, hi in rows]
+            first, last, gram, sums = stretches(*X.buffer_of(texts), length, k)
+            places, member, counts = np.unique(E.placed(gram, buckets, ANCHOR_BITS), return_inverse=True, return_counts=True)
+            again = counts[member] > 1 if len(places) else np.zeros(0, bool)
+            kinds = np.unique(np.stack([member[again].astype(np.uint64), stretch_codes(first, last, gram, sums, length)[again]]), axis=1)[0]
+            distinct = np.ones(len(places), np.int64)
+            distinct[counts > 1] = np.bincount(kinds.astype(np.int64), minlength=len(places))[counts > 1]
+            rows, payloads = E.split(places, ANCHOR_BITS), []
+            for _, lo, hi in rows:
+                several = distinct[lo:hi] > 1
+                more = distinct[lo:hi][several].astype("<u4")
+                payloads.append((hi - lo).to_bytes(4, "little") + len(more).to_bytes(4, "little") + E.bits(counts[lo:hi] > 1) + E.bits(several) + more.tobytes() + E.pack_differences(places[lo:hi] & low))
             yield pa.RecordBatch.from_pydict({"b": [r[0] for r in rows], "g": [g] * len(rows), "payload": payloads}, _ASKED)
 
     return docs.mapInArrow(run, ASKED)
 
 
-def resolve_anchors(payloads: list[bytes], _groups) -> list[bytes]:
-    keys, twice = [], []
+def resolve_anchors(payloads: list[bytes], hot: int) -> list[bytes]:
+    """Two bits a key: it occurs more than once, and it has over `hot` distinct stretches."""
+    keys, twice, distinct = [], [], []
     for p in payloads:
-        n = int.from_bytes(p[:4], "little")
-        twice.append(E.unbits(p[4 : 4 + -(-n // 8)], n))
-        keys.append(E.unpack_differences(p[4 + -(-n // 8) :]))
+        n, m = int.from_bytes(p[:4], "little"), int.from_bytes(p[4:8], "little")
+        size = -(-n // 8)
+        twice.append(E.unbits(p[8 : 8 + size], n))
+        own = np.ones(n)
+        own[E.unbits(p[8 + size : 8 + 2 * size], n)] = np.frombuffer(p, "<u4", m, 8 + 2 * size)
+        distinct.append(own)
+        keys.append(E.unpack_differences(p[8 + 2 * size + 4 * m :]))
     every = np.concatenate(keys)
     _, member = np.unique(every, return_inverse=True)
-    many = (np.bincount(member) > 1) | (np.bincount(member, np.concatenate(twice)) > 0)
-    return [E.bits(m) for m in np.split(many[member], np.cumsum([len(k) for k in keys])[:-1])]
+    many = ((np.bincount(member) > 1) | (np.bincount(member, np.concatenate(twice)) > 0))[member]
+    wide = (np.bincount(member, np.concatenate(distinct)) > hot)[member]
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    return [E.bits(m) + E.bits(w) for m, w in zip(np.split(many, cuts), np.split(wide, cuts))]
 
 
 def _candidates(row: dict, told: list[dict], length: int, k: int, buckets: int) -> dict:
@@ -262,13 +293,26 @@ def _candidates(row: dict, told: list[dict], length: int, k: int, buckets: int)
     ids, null, data, offsets = E.opened(row)
     first, last, gram, sums = stretches(data, offsets, length, k)
     key = E.placed(gram, buckets, ANCHOR_BITS)
-    places = np.unique(key)
-    hit = E.gather([t for t in told if t["round"] == 1], E.split(places, ANCHOR_BITS), len(places))
-    mine = hit[np.searchsorted(places, key)] if len(places) else np.zeros(0, bool)
-    first, last, gram = first[mine], last[mine], gram[mine]
+    places, member = np.unique(key, return_inverse=True)
+    hit, wide = np.zeros(len(places), bool), np.zeros(len(places), bool)
+    of = {t["b"]: t["answer"] for t in told if t["round"] == 1}
+    for b, lo, hi in E.split(places, ANCHOR_BITS):
+        hit[lo:hi] = E.unbits(of[b], hi - lo)
+        wide[lo:hi] = E.unbits(of[b][-(-(hi - lo) // 8) :], hi - lo)
+    if wide.any():  # the strings of a hot anchor, one by one
+        cut = wide[member]
+        each = spread(first[cut], last[cut] - first[cut] + 1)
+        single = X.mix(X.range_hash(sums, each, each + length) + np.uint64(length))
+        keep = hit[member] & ~cut
+        first, last, gram = (np.concatenate(x) for x in ((first[keep], each), (last[keep], each), (gram[keep], single)))
+        order = np.argsort(first, kind="stable")
+        first, last, gram = first[order], last[order], gram[order]
+    else:
+        mine = hit[member] if len(places) else np.zeros(0, bool)
+        first, last, gram = first[mine], last[mine], gram[mine]
     ends = last + length
     shard = (gram >> np.uint64(40)) % np.uint64(buckets)
-    code = X.mix(X.range_hash(sums, first, ends) + (ends - first).astype(np.uint64) + gram)
+    code = stretch_codes(first, last, gram, sums, length)
     owner = ids[np.searchsorted(offsets, first, side="right") - 1]
     order = np.lexsort((owner, code, shard))
     head = np.ones(len(order), bool)
@@ -392,12 +436,12 @@ def _finish(row: dict, told: list[dict], length: int, with_text: bool) -> pa.Tab
     return pa.Table.from_pydict(out, _OUT)
 
 
-def dedup_suffixes(docs: DataFrame, length: int = 50, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, length: int = 50, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept_text of every row."""
     k = min(k, length)
     rows = E.scan_order(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     buckets, group_bytes = E.sizing(rows, 2)
-    anchors = settle(E.answers(ask_anchors(rows, length, k, buckets, group_bytes), resolve_anchors).withColumn("round", F.lit(1)))
+    anchors = settle(E.answers(ask_anchors(rows, length, k, buckets, group_bytes), lambda payloads, _: resolve_anchors(payloads, hot)).withColumn("round", F.lit(1)))
     texts = E.packed(rows, group_bytes)
     asked = settle(ask_shards(texts, anchors, length, k, buckets))
     shards = E.answers(asked.where("b >= 0"), lambda payloads, _: resolve_shard(payloads, length))

@@ -42,6 +42,20 @@ def test_suffixes_short_strings(docs):
     assert got(suffixes.dedup_suffixes(docs, length=20, k=8), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffixes(ROWS, 20)
 
 
+def test_suffixes_split_hot_anchors(spark, docs):
+    assert got(suffixes.dedup_suffixes(docs, hot=2), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffixes(ROWS)
+    r = random.Random(11)
+    own = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    notice = "this notice of some sixty bytes stands in every one of the texts"
+    rows = [(i, own(60) + notice + own(60)) for i in range(120)]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert got(suffixes.dedup_suffixes(d, hot=50), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffixes(rows)
+    payloads = suffixes.ask_anchors(d, 50, 24, 4, 1 << 20).collect()
+    of = {b: [x["payload"] for x in payloads if x["b"] == b] for b in {x["b"] for x in payloads}}
+    wide = [exchange.unbits(a[-(-int.from_bytes(p[:4], "little") // 8) :], int.from_bytes(p[:4], "little")).sum() for ps in of.values() for p, a in zip(ps, suffixes.resolve_anchors(ps, 50))]
+    assert sum(wide) > 0  # the notice's anchor has as many stretches as there are texts
+
+
 @pytest.mark.parametrize("rule", [(10, 2), (1, 2), (3, 4)])
 def test_lines(docs, rule):
     out = lines.dedup_lines(docs, min_chars=rule[0], min_docs=rule[1])
