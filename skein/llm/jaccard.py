@@ -14,16 +14,20 @@ known by its smallest id; links are found between classes.
    no link leaves.
 3. Join: in a block each class picks its l by estimated cost - the postings that its longer
    prefix reads, and the candidates left when l matches are required - and a pair is
-   verified only if it shares min(l, l') shingles of both min(l, l')-prefixes. Pairs already
-   in one component need no verification. Verification counts the whole sets' overlap.
+   verified only if it shares min(l, l') shingles of both min(l, l')-prefixes. Verification counts
+   the whole sets' overlap. Every pair of classes that links is found and counted; where only
+   components are asked for (links=False), pairs already in one component are not verified.
 
 Blocks of more than `block_tokens` shingles are cut into chunks by hash, and every pair of
 chunks is a task's input, so a group of thousands of near copies is spread over many tasks;
-small blocks share tasks. No pair of documents is shuffled, only sets and spanning links.
+small blocks share tasks. No pair of documents is shuffled, only sets, spanning links and one
+count of links a class and task. Shingles, blocks, hubs and sets that many rows share are
+aggregated where they are read or salted where they are joined.
 
-Defined results: null or empty texts have no shingles and link with nothing; rows of one id are
-one document; a null id counts as the largest and stays null where it is its component's
-smallest; an empty table gives an empty result. Other columns are not carried.
+Defined results: null or empty texts have no shingles and link with nothing; rows that repeat a
+text are linked copies, those of one id one node; a null id counts as the largest and stays null
+where it is its component's smallest; an empty table gives an empty result. A text of over two MB
+is a group by itself and must fit a task. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import exchange as E
 from skein.llm import textops as X
-from skein.llm.components import connected
+from skein.llm.components import connected, salted
 from skein.scratch import settle
 
 KEY_BITS = 30
@@ -44,6 +48,7 @@ _LAST = 2**63 - 1
 ASKED = "b int, g long, payload binary"
 _ASKED = pa.schema([("b", pa.int32()), ("g", pa.int64()), ("payload", pa.binary())])
 SETS = "doc_id long, n_shingles long, k1 long, k2 long, live boolean, tokens binary"
+_POSTINGS = pa.schema([("tok", pa.int64()), ("rep", pa.int64()), ("low", pa.int64())])
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("live", pa.bool_()), ("tokens", pa.binary())])
 
 
@@ -149,7 +154,8 @@ def _sets(row: dict, told: list[dict], k: int, percent: int, buckets: int) -> pa
 
 
 def _postings(batches, percent: int):
-    """(token, rep) of the shared shingles of every class's 1-prefix."""
+    """The shared shingles of every class's 1-prefix: per batch of rows one (tok, rep, null) a shingle, with the
+    smallest class that holds it, and (null, rep, low) for the others. A shingle of a third of all classes is so one row a batch."""
     for batch in batches:
         toks, reps = [], []
         for rep, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -158,11 +164,20 @@ def _postings(batches, percent: int):
             toks.append(own)
             reps.append(np.full(len(own), rep))
         if toks:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(reps))], names=["tok", "rep"])
+            tok, rep = np.concatenate(toks), np.concatenate(reps)
+            order = np.lexsort((rep, tok))
+            tok, rep = tok[order], rep[order]
+            head = np.ones(len(tok), bool)
+            head[1:] = tok[1:] != tok[:-1]
+            low = rep[head][np.cumsum(head) - 1]
+            links = np.unique(np.stack([rep, low])[:, rep != low], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(tok[head]), pa.array(rep[head]), pa.nulls(int(head.sum()), pa.int64())], schema=_POSTINGS)
+            yield pa.RecordBatch.from_arrays([pa.nulls(links.shape[1], pa.int64()), pa.array(links[0]), pa.array(links[1])], schema=_POSTINGS)
 
 
-def join_block(reps: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning links among classes; where sides differ, pairs of one side are another task's."""
+def join_block(reps: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, percent: int, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Spanning links among classes, and how many copies of other classes each links with (if copies
+    are given: only then are pairs of one component verified). Where sides differ, pairs of one side are another task's."""
     count = len(reps)
     lengths = np.array([len(t) for t in tokens])
     flat = np.concatenate(tokens)
@@ -187,7 +202,8 @@ def join_block(reps: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], si
     order = indexed[np.argsort(local[indexed], kind="stable")]
     list_at = np.concatenate([[0], np.cumsum(np.bincount(local[indexed], minlength=len(frequency)))])
     post_doc, post_level = doc[order], level[order]
-    comp = np.arange(count)
+    comp, linked = np.arange(count), np.zeros(count, np.int64)
+    done = np.zeros(count, bool)
     mixed = side.min() != side.max() if count else False
     mark = np.zeros(len(frequency), bool)
     links = []
@@ -195,6 +211,7 @@ def join_block(reps: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], si
     for r in np.argsort(-read[0], kind="stable").tolist():
         own = np.arange(at[r], at[r + 1])
         own = own[level[own] <= wanted[r]]
+        done[r] = True
         if not len(own):
             continue
         lows, runs = list_at[local[own]], list_at[local[own] + 1] - list_at[local[own]]
@@ -202,7 +219,8 @@ def join_block(reps: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], si
         s, deep = post_doc[where], np.maximum(post_level[where], np.repeat(level[own], runs))
         need = np.minimum(wanted[s], wanted[r])
         got = np.bincount(s[deep <= need], minlength=count)
-        ok = (got >= np.minimum(wanted, wanted[r])) & (got > 0) & (comp != comp[r])
+        ok = (got >= np.minimum(wanted, wanted[r])) & (got > 0)
+        ok &= comp != comp[r] if copies is None else ~done
         if mixed:
             ok &= side != side[r]
         ok &= (100 * np.minimum(sizes, sizes[r]) >= percent * np.maximum(sizes, sizes[r]))
@@ -214,48 +232,63 @@ def join_block(reps: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], si
         where = np.repeat(at[:-1][cand] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(int(runs.sum()))
         both = np.add.reduceat(mark[local[where]].astype(np.int64), np.concatenate([[0], np.cumsum(runs)[:-1]]))
         mark[local[at[r] : at[r + 1]]] = False
-        for x in cand[100 * both >= percent * (sizes[cand] + sizes[r] - both)].tolist():
+        found = cand[100 * both >= percent * (sizes[cand] + sizes[r] - both)]
+        if copies is not None and len(found):
+            linked[r] += copies[found].sum()
+            linked[found] += copies[r]
+        for x in found[comp[found] != comp[r]].tolist():
             if comp[x] != comp[r]:
                 links.append((int(reps[r]), int(reps[x])))
                 comp[comp == comp[x]] = comp[r]
-    return links
+    return links, linked
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 16) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 16, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links) and, if links, n_links (how many other rows link) of every row."""
     rows = E.scan_order(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     buckets, group_bytes = E.sizing(rows)
     frequencies = E.answers(ask_frequencies(rows, k, buckets, group_bytes), resolve_frequencies)
     sets = settle(E.meet(E.packed(rows, group_bytes), frequencies, lambda row, told: _sets(row, told, k, percent, buckets), SETS))
     # one row a distinct set; partial aggregation keeps a set that a third of all rows share small
-    classes = settle(sets.where("live").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")))
-    postings = classes.select("rep", "n", "tokens").mapInArrow(lambda batches: _postings(batches, percent), "tok long, rep long")
-    least = postings.groupBy("tok").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("tok", "low")
-    blocks = connected(postings.join(least, "tok").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
+    classes = settle(sets.where("live").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")))
+    size, live = classes.agg(F.sum(F.octet_length("tokens")), F.sum("copies")).first()
+    size, live = int(size or 0), int(live or 0)
+    postings = settle(classes.select("rep", "n", "tokens").mapInArrow(lambda batches: _postings(batches, percent), "tok long, rep long, low long"))
+    shared = postings.where("tok IS NOT NULL").select("tok", "rep")
+    least = shared.groupBy("tok").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("tok", "low")
+    near = shared.join(least, "tok").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    blocks = connected(near.unionByName(postings.where("tok IS NULL").select(F.col("rep").alias("a"), F.col("low").alias("b"))).distinct())
     blocks = settle(blocks.select(F.col("node").alias("rep"), F.col("label").alias("block")))
-    held = classes.select("rep", "n", "tokens").join(blocks, "rep")
-    weights = held.groupBy("block").agg(F.ceil(F.sum(F.octet_length("tokens")) / (8.0 * block_tokens)).cast("int").alias("chunks"))
-    total = classes.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    bins = max(1, -(-int(total) // (8 * block_tokens)))
-    held = held.join(weights, "block").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    held = settle(classes.select("rep", "n", "tokens", "copies").join(blocks, "rep"))
+    weights = held.groupBy("block").agg(F.ceil(F.sum(F.octet_length("tokens")) / (8.0 * block_tokens)).cast("int").alias("chunks"), F.sum(F.octet_length("tokens")).alias("size"))
+    bins = max(1, -(-size // (8 * block_tokens)))
+    held = salted(held, ["block"], "rep", weights, "size", size).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.col("block")).alias("x"),
         F.when(F.col("chunks") == 1, -1).otherwise(F.least("chunk", "other")).alias("i"),
         F.when(F.col("chunks") == 1, -1).otherwise(F.greatest("chunk", "other")).alias("j"),
-        "chunk", "rep", "n", "tokens",
+        "chunk", "rep", "n", "tokens", "copies",
     )
 
     def run(table: pa.Table) -> pa.Table:
         raw = [t.as_py() for t in table.column("tokens")]
-        links = join_block(np.asarray(table.column("rep")), np.asarray(table.column("n")), [np.frombuffer(t, np.int64) for t in raw], np.asarray(table.column("chunk")) if table.column("i")[0].as_py() >= 0 else np.zeros(len(raw), int), percent)
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+        reps, side = np.asarray(table.column("rep")), np.asarray(table.column("chunk")) if table.column("i")[0].as_py() >= 0 else np.zeros(len(raw), int)
+        found, linked = join_block(reps, np.asarray(table.column("n")), [np.frombuffer(t, np.int64) for t in raw], side, percent, np.asarray(table.column("copies")) if links else None)
+        some = np.flatnonzero(linked)
+        a, b, n = [x[0] for x in found], [x[1] for x in found], [None] * len(found)
+        return pa.table({"a": pa.array(a + reps[some].tolist(), pa.int64()), "b": pa.array(b + [None] * len(some), pa.int64()), "n": pa.array(n + linked[some].tolist(), pa.int64())})
 
-    links = held.groupBy("x", "i", "j").applyInArrow(run, "a long, b long")
-    members = connected(links)
-    known = classes.select("k1", "k2", "rep").join(members, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
-    out = sets.drop("tokens").join(known, ["k1", "k2"], "left")
-    whole = F.when(F.col("live"), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "n_shingles", F.nullif(whole, F.lit(_LAST)).alias("component_id"))
+    found = settle(held.groupBy("x", "i", "j").applyInArrow(run, "a long, b long, n long"))
+    members = connected(found.where("b IS NOT NULL").select("a", "b"))
+    counts = found.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("linked"))
+    known = classes.select("k1", "k2", "rep", "copies").join(members.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("a", "rep"), "rep", "left")
+    known = known.where("copies > 1 OR label IS NOT NULL").select("k1", "k2", F.coalesce("label", "rep").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    out = sets.drop("tokens")
+    out = salted(out.where("live"), ["k1", "k2"], "doc_id", known, "copies", live, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")).unionByName(
+        out.where("NOT live").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    )
+    out = out.select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(_LAST)).alias("component_id"), "n_links")
+    return out if links else out.drop("n_links")
 
 
 def report(docs: DataFrame) -> DataFrame:

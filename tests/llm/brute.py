@@ -101,14 +101,16 @@ def jaccard(rows, k=4, percent=85):
             x = root[x]
         return x
 
-    ids = sorted(sets)
+    ids, links = sorted(sets), dict.fromkeys(sets, 0)
     for n, i in enumerate(ids):
         for j in ids[:n]:
             a, b = sets[i], sets[j]
             if a and b and 100 * len(a & b) >= percent * len(a | b):
+                links[i] += 1
+                links[j] += 1
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}
 
 
 def contamination(rows, items, n=13):

@@ -65,11 +65,11 @@ def test_lines(docs, rule):
 
 @pytest.mark.parametrize("rule", [(4, 85), (5, 80), (2, 50), (1, 100)])
 def test_jaccard(docs, rule):
-    assert got(jaccard.near_duplicates(docs, *rule), "n_shingles", "component_id") == brute.jaccard(ROWS, *rule)
+    assert got(jaccard.near_duplicates(docs, *rule), "n_shingles", "component_id", "n_links") == brute.jaccard(ROWS, *rule)
 
 
 def test_jaccard_cuts_blocks_into_chunks(docs):
-    assert got(jaccard.near_duplicates(docs, block_tokens=200), "n_shingles", "component_id") == brute.jaccard(ROWS)
+    assert got(jaccard.near_duplicates(docs, block_tokens=200), "n_shingles", "component_id", "n_links") == brute.jaccard(ROWS)
 
 
 def test_jaccard_planted_hub(spark):
@@ -83,11 +83,22 @@ def test_jaccard_planted_hub(spark):
             w[p] = f"x{i}_{p}"
         rows.append((i, " ".join(w)))
     rows += [(200 + i, " ".join(r.choice(base) for _ in range(100))) for i in range(20)]
-    out = got(jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), block_tokens=2000), "n_shingles", "component_id")
+    out = got(jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), block_tokens=2000), "n_shingles", "component_id", "n_links")
     assert out == brute.jaccard(rows)
     assert out[29][1] == 0
 
 
+def test_jaccard_without_counting_links(docs):
+    assert got(jaccard.near_duplicates(docs, links=False), "n_shingles", "component_id") == {i: x[:2] for i, x in brute.jaccard(ROWS).items()}
+
+
+def test_jaccard_of_one_text_in_most_rows(spark):
+    r = random.Random(12)
+    base = " ".join(r.choice("abcdefghijklm") for _ in range(60))
+    rows = [(i, base) for i in range(150)] + [(200 + i, base[:-2] + f" {i}") for i in range(40)] + [(300 + i, " ".join(r.choice("abcdefghijklm") for _ in range(40))) for i in range(50)] + [(400 + i, "") for i in range(30)]
+    assert got(jaccard.report(spark.createDataFrame(rows, SCHEMA)), "n_shingles", "component_id", "n_links") == brute.jaccard(rows)
+
+
 ITEMS = [(1, " ".join(["Item", "one"] + [f"t{i}" for i in range(20)])), (2, "short ONE, here"), (3, None), (4, ""), (5, " ".join(f"t{i}" for i in range(5, 19))), (10, "single")]
 
 
