@@ -1,29 +1,30 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's subwords are the byte n-grams (3 to 5) of `<word>`, lower-cased, hashed to buckets,
-so an unseen misspelling or ending shares vectors with the words it was made from. A
-segment of `segment` consecutive words is the mean of its subwords' vectors under a linear
-softmax; a document's score is that of its most toxic segment, so a few words in a long text
-are not averaged away. Training alternates: first every segment of a toxic document counts
-as toxic, later only those that score as such and the highest one, against every segment of
-clean documents. A fifth of the sample is kept out of that and calibrates document scores.
-
-The model is fitted on at most `max_rows` toxic and twice as many clean labelled documents,
-chosen by a hash of the id: a documented bound, so what reaches the driver does not grow with
-the corpus.
-Scoring covers all of every text. Only text is an input of a score.
-
-Defined results: null and empty texts score the model's bias alone; labels that are null or
-not 0/1, and null ids, are ignored; a document with both labels counts as toxic; without
-labelled rows of both classes every score is the prior (0.5 without any label). Columns of
-the input named like an output give way.
+so an unseen misspelling or ending shares vectors with the words it was made from. A word is
+the mean of its subwords' vectors under a linear softmax; a document's score is the mean logit of
+its `TOP` most toxic words, so a few words in a long text are not averaged away and one chance
+likeness is not enough. Training alternates: first every word of a toxic document counts as toxic,
+later only those that score as such and the highest one, against every word of clean documents. A
+fifth of the sample is kept out of that and calibrates document scores.
+
+The model is fitted on at most `max_rows` toxic and twice as many clean labelled documents, chosen
+by a hash of the id, of which whole texts are taken in that order up to `max_bytes` a class: both
+are documented bounds, so what reaches the driver does not grow with the corpus. Scoring covers
+all of every text. Only text is an input of a score.
+
+Defined results: null and empty texts score as made of usual clean words; labels that are null or
+not 0/1, and null ids, are ignored; a document with both labels counts as toxic; of rows that
+repeat an id the largest text is the example; without labelled rows of both classes every score is
+the prior (0.5 without any label). One text must fit a task. Columns of the input named like an
+output give way.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +34,9 @@ from skein.llm.exchange import relieve
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
 MAX_ROWS = 1000
-SEGMENT = 4
+MAX_BYTES = 16 << 20
 THRESHOLD = 0.7
+TOP = 3
 RARE = 10.0
 
 
@@ -81,15 +83,6 @@ def vocabulary(texts: pa.Array):
     return grams, gram_at, word, at
 
 
-def segments(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of all segments, and the len+1 offsets of the texts' segments."""
-    lengths = np.diff(at)
-    counts = -(-lengths // size)
-    seg_at = np.concatenate([[0], np.cumsum(counts)])
-    doc = np.repeat(np.arange(len(lengths)), counts)
-    return at[:-1][doc] + (np.arange(int(seg_at[-1])) - seg_at[:-1][doc]) * size, seg_at
-
-
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values over the ranges between offsets; empty ranges are 0."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
@@ -100,7 +93,8 @@ def train(texts: list[str], toxic: list[int], dims: int = 4, epochs: int = 60, s
     """Per-bucket logits (the embeddings times the difference of the softmax's two rows), bias, and calibration."""
     y = np.array(toxic, np.int64)
     prior = float(y.mean()) if len(y) else 0.5
-    flat = {"bucket": np.zeros(BUCKETS, np.float32), "bias": float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))), "scale": 1.0, "shift": 0.0}
+    bias = float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
+    flat = {"bucket": np.zeros(BUCKETS, np.float32), "bias": bias, "floor": bias, "scale": 1.0, "shift": 0.0}
     if not len(y) or y.min() == y.max():
         return flat
     rng = np.random.default_rng(seed)
@@ -117,10 +111,10 @@ def train(texts: list[str], toxic: list[int], dims: int = 4, epochs: int = 60, s
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> dict:
-    """Scale and shift of a logistic curve through documents' logits; a clean document weighs three times a toxic one."""
+    """Scale and shift of a logistic curve through documents' logits; both classes weigh the same."""
     scale = max(float(z.std()), 1e-6)
     x, a, b = (z - z.mean()) / scale, 1.0, 0.0
-    weight = np.where(y == 1, 1.0 / max((y == 1).sum(), 1), 3.0 / max((y == 0).sum(), 1))
+    weight = np.where(y == 1, 1.0 / max((y == 1).sum(), 1), 1.0 / max((y == 0).sum(), 1))
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         g = (p - y) * weight
@@ -129,87 +123,87 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> dict:
     return {"scale": a / scale, "shift": b - a * float(z.mean()) / scale}
 
 
-def _spread(to: np.ndarray, of: np.ndarray, rows: np.ndarray, n: int, most: int = 1 << 19) -> np.ndarray:
-    """n rows: the sum of rows[of[i]] over all i of each to[i], a part of the i at a time."""
-    out = np.zeros((n, rows.shape[1]))
-    for i in range(0, len(to), most):
-        part, source = to[i : i + most], of[i : i + most]
-        low = int(part.min())
-        span = int(part.max()) - low + 1
-        for d in range(rows.shape[1]):
-            out[low : low + span, d] += np.bincount(part - low, rows[source, d], span)
-    return out
+class Spread:
+    """n rows, each the sum of the rows of[i] over all i of which to[i] is its number; `to` is put in order once."""
+
+    def __init__(self, to: np.ndarray, of: np.ndarray, n: int):
+        order = None if (np.diff(to) >= 0).all() else np.argsort(to, kind="stable")
+        self.of = of if order is None else of[order]
+        counts = np.bincount(to, minlength=n)
+        self.full = np.flatnonzero(counts)
+        self.at = np.concatenate([[0], np.cumsum(counts[self.full])])
+        self.n = n
+
+    def __call__(self, rows: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+        out = np.zeros((self.n, rows.shape[1]), np.float32)
+        low = 0
+        while low < len(self.full):  # a part at a time, so that memory does not follow the sample
+            high = max(low + 1, int(np.searchsorted(self.at, self.at[low] + most, side="right")) - 1)
+            base = self.at[low]
+            out[self.full[low:high]] = np.add.reduceat(rows[self.of[base : self.at[high]]], self.at[low:high] - base, axis=0)
+            low = high
+        return out
 
 
 def _fit(texts: list[str], y: np.ndarray, dims: int, epochs: int, rng) -> dict | None:
-    """Joint gradient descent on embeddings and softmax."""
+    """Joint gradient descent on embeddings and softmax, over the distinct words of each document."""
     grams, gram_at, word, at = vocabulary(pa.array(texts, pa.large_string()))
-    seg_start, seg_at = segments(at, SEGMENT)
-    if not len(seg_start) or y.min() == y.max():
+    if not len(word) or y.min() == y.max():
         return None
-    doc = np.repeat(np.arange(len(y)), np.diff(seg_at))
-    seg_words = np.concatenate([seg_start, at[-1:]])
+    n_grams = np.diff(gram_at)
+    pairs = np.unique(np.repeat(np.arange(len(y)), np.diff(at)) * len(n_grams) + word)
+    doc, word = pairs // len(n_grams), pairs % len(n_grams)
+    first = np.flatnonzero(np.diff(doc, prepend=-1))  # each document's first pair
     used = np.flatnonzero(np.bincount(grams, minlength=BUCKETS))
     place = np.zeros(BUCKETS, np.int32)
     place[used] = np.arange(len(used))
     grams = place[grams]
-    n_grams = np.diff(gram_at)
-    size = np.maximum(_sums(n_grams[word].astype(np.float64), seg_words), 1.0)  # subwords of each segment
-    word_seg = np.repeat(np.arange(len(seg_start), dtype=np.int32), np.diff(seg_words))
     gram_word = np.repeat(np.arange(len(n_grams), dtype=np.int32), n_grams)
-    word = word.astype(np.int32)
-    w = rng.normal(0, 1.0, (dims, 2))
-    e, b = np.zeros((len(used), dims)), np.zeros(2)
+    to_words, from_words = Spread(gram_word, grams, len(n_grams)), Spread(grams, gram_word, len(used))
+    size = np.maximum(n_grams, 1).astype(np.float32)[:, None]
+    w = rng.normal(0, 1.0, (dims, 2)).astype(np.float32)
+    e, b = np.zeros((len(used), dims), np.float32), np.zeros(2, np.float32)
     params = [e, w, b]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     clean = y[doc] == 0
     chosen = ~clean
     for epoch in range(epochs):
-        bag = _spread(gram_word, grams, e, len(n_grams))
-        mean = _spread(word_seg, word, bag, len(seg_start)) / size[:, None]
+        mean = to_words(e) / size
         z = mean @ w + b
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        if epoch >= epochs // 3:  # from here on a toxic document speaks through its worst segments
-            margin = np.where(clean, -np.inf, p[:, 1])
-            best = np.full(len(y), -np.inf)
-            np.maximum.at(best, doc, margin)
-            chosen = ~clean & ((margin >= best[doc]) | (margin > 0.5))
-        weight = np.where(clean, 1.0 / max(clean.sum(), 1), np.where(chosen, 1.0 / max(chosen.sum(), 1), 0.0))
-        weight = weight * np.where(clean, 1.0 + 20.0 * p[:, 1], 1.0) / 2  # clean segments that look toxic weigh more
-        g = p.copy()
-        g[np.arange(len(g)), (~clean).astype(int)] -= 1
-        g *= weight[:, None]
-        gw, gb = mean.T @ g, g.sum(axis=0)
-        gm = (g @ w.T) / size[:, None]
-        ge = _spread(grams, gram_word, _spread(word, word_seg, gm, len(n_grams)), len(used))
-        for i, grad in enumerate((ge, gw, gb)):
+        p = (1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -60, 60))))[word]  # the softmax's share of the toxic class
+        if epoch >= epochs // 3:  # from here on a toxic document speaks through its worst words
+            best = np.repeat(np.maximum.reduceat(p, first), np.diff(np.append(first, len(doc))))
+            chosen = ~clean & ((p >= best) | (p > 0.5))
+        # clean words that look toxic weigh more
+        weight = np.where(clean, (1.0 + 20.0 * p) / max(clean.sum(), 1), np.where(chosen, 1.0 / max(chosen.sum(), 1), 0.0)) / 2
+        g = np.bincount(word, weight * (p - ~clean), len(n_grams)).astype(np.float32)
+        g = np.stack([-g, g], axis=1)
+        for i, grad in enumerate((from_words((g @ w.T) / size), mean.T @ g, g.sum(axis=0))):
             m1[i] += 0.1 * (grad - m1[i])
             m2[i] += 0.02 * (grad * grad - m2[i])
             step = 0.12 * (m1[i] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(m2[i] / (1 - 0.98 ** (epoch + 1))) + 1e-9)
             params[i] -= step
     # a subword of few documents says little: its logit shrinks
-    word_doc = np.unique(word.astype(np.int64) * len(y) + doc[word_seg])
-    seen = _spread(grams, gram_word, np.bincount(word_doc // len(y), minlength=len(n_grams)).astype(np.float64)[:, None], len(used))[:, 0]
+    seen = from_words(np.bincount(word, minlength=len(n_grams)).astype(np.float32)[:, None])[:, 0]
     out = np.zeros(BUCKETS, np.float32)
     out[used] = (e @ (w[:, 1] - w[:, 0])) * seen / (seen + RARE)
-    return {"bucket": out, "bias": float(b[1] - b[0])}
+    bias = float(b[1] - b[0])
+    usual = (to_words(out[used][:, None]) / size)[:, 0] + bias
+    return {"bucket": out, "bias": bias, "floor": float(usual[word[clean]].mean())}
 
 
-def worst(texts: pa.Array, model: dict) -> np.ndarray:
-    """The logit of every text's most toxic segment."""
-    out = np.full(len(texts), model["bias"])
+def worst(texts: pa.Array, model: dict, top: int = TOP) -> np.ndarray:
+    """The mean logit of every text's `top` most toxic words; missing ones count as a usual clean word."""
     grams, gram_at, word, at = vocabulary(texts)
-    if len(word):
-        per_word = _sums(model["bucket"][grams].astype(np.float64), gram_at)
-        count = np.diff(gram_at).astype(np.float64)
-        seg_start, seg_at = segments(at, SEGMENT)
-        ends = np.concatenate([seg_start, at[-1:]])
-        logit = _sums(per_word[word], ends) / np.maximum(_sums(count[word], ends), 1.0) + model["bias"]
-        full = np.flatnonzero(np.diff(seg_at) > 0)
-        out[full] = np.maximum.reduceat(logit, seg_at[:-1][full])
-    return out
+    if not len(word):
+        return np.full(len(texts), model["floor"])
+    per_word = _sums(model["bucket"][grams].astype(np.float64), gram_at) / np.maximum(np.diff(gram_at), 1) + model["bias"]
+    n = np.diff(at)
+    own = np.repeat(np.arange(len(n)), n)
+    logit = per_word[word]
+    logit = logit[np.lexsort((-logit, own))]  # words stay in their text's range
+    first = np.arange(len(own)) - at[:-1][own] < top
+    return (np.bincount(own[first], logit[first], len(n)) + np.maximum(top - n, 0) * model["floor"]) / top
 
 
 def scores(texts: pa.Array, model: dict) -> np.ndarray:
@@ -221,8 +215,8 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> dict:
-    """A model from at most max_rows toxic and 2 * max_rows clean labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> dict:
+    """A model from at most max_rows toxic and 2 * max_rows clean labelled documents that are not held out, and max_bytes of text of each."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("_i"), F.col("toxic").cast("int").alias("_t")).where(F.col("_i").isNotNull() & F.col("_t").isin(0, 1) & ~held_out("_i"))
     known = known.groupBy("_i").agg(F.max("_t").alias("_t"))
@@ -232,8 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not picked:
         return train([], [])
     chosen = spark.createDataFrame(picked, "_i long, _t int")  # at most 3 * max_rows ids
-    rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_x")).join(F.broadcast(chosen), "_i").where(F.col("_x").isNotNull())
-    rows = rows.groupBy("_i").agg(F.max("_x").alias("_x"), F.max("_t").alias("_t")).collect()  # a repeated id is one example
+    rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).cast("string").alias("_x")).join(F.broadcast(chosen), "_i").where(F.col("_x").isNotNull())
+    rows = rows.groupBy("_i").agg(F.max("_x").alias("_x"), F.max("_t").alias("_t"))  # a repeated id is one example
+    so_far = F.sum(F.octet_length("_x")).over(Window.partitionBy("_t").orderBy(F.xxhash64("_i"), "_i"))
+    rows = rows.withColumn("_b", so_far).where(F.col("_b") <= max_bytes).select("_i", "_x", "_t").collect()
     rows.sort(key=lambda r: r["_i"])
     texts, toxic = [r["_x"] for r in rows], [r["_t"] for r in rows]
     del rows
@@ -242,9 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs plus score (0 to 1) and predicted (1 where score >= threshold)."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, max_rows))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, max_rows, max_bytes))
     own = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     schema = T.StructType([*own, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

@@ -1,6 +1,7 @@
 """The text operators against plain Python, awkward rows included."""
 
 import random
+import re
 import time
 
 import numpy as np
@@ -124,39 +125,61 @@ def test_decontaminate_repeated_rows_in_parts(spark):
     assert out.count() == 3
 
 
-def test_licences(spark):
-    from skein.llm.licences import TEMPLATES
+def plain_licences(text, templates, least):
+    """Every licence of a text by Dice over all windows, in plain Python."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(brute.AZ))
+    w, best = words(text), {}
+    for name, t in templates.items():
+        t = words(t)
+        want = set(zip(t, t[1:]))
+        for at, part in [(0, w)] + [(i, w[i : i + len(t)]) for i in range(max(1, len(w) - len(t) + 1))]:
+            own = set(zip(part, part[1:]))
+            if own and want:
+                d = 2 * len(own & want) / (len(own) + len(want))
+                if d >= least:
+                    kind = name.split("/")[0]
+                    best[kind] = min(best.get(kind, (1,)), (-d, -len(t), at, name))
+    return [(x[3], round(-x[0], 6), x[2]) for x in sorted(best.values())]
+
 
-    rows = [(i, f"intro words here {t} and then some more text") for i, t in enumerate(TEMPLATES.values())]
-    rows += [(50, TEMPLATES["MIT"].upper()), (51, None), (52, ""), (53, "Licensed"), (54, "licensed under the sky"), (55, "Licensed under the Apache License, Version 2"), (56, "x " * 5000 + TEMPLATES["GPL-3.0"])]
+def test_licences(spark):
+    T = licences.TEMPLATES
+    rows = [(i, f"intro words here {t} and then some more text") for i, t in enumerate(T.values())]
+    rows += [(50, T["MIT/notice"].upper()), (51, None), (52, ""), (53, "Licensed"), (54, "licensed under the sky"), (55, "Licensed under the Apache License, Version 2"), (56, "x " * 5000 + T["GPL-3.0/notice"])]
+    rows += [(57, T["MIT/notice"] + " or, at your choice, " + T["Apache-2.0/notice"]), (58, "Copyright (c) 2020 A. Author " + T["BSD-3-Clause"].replace("copyright holder", "University"))]
     out = {r["doc_id"]: r for r in licences.report(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert [out[i]["licence"] for i in range(len(TEMPLATES))] == list(TEMPLATES)
-    assert all(out[i]["dice"] == 1.0 and out[i]["first_word"] == 3 for i in range(len(TEMPLATES)))
-    assert out[50]["licence"] == "MIT" and out[55]["licence"] == "Apache-2.0" and out[56]["first_word"] == 5000
+    assert [out[i]["licence"] for i in range(len(T))] == [n.split("/")[0] for n in T]
+    assert all(out[i]["dice"] == 1.0 and out[i]["first_word"] == 3 for i in range(len(T)))
+    assert out[50]["licence"] == "MIT" and out[55]["licence"] == "Apache-2.0" and out[56]["first_word"] == 5000 and out[57]["n_found"] == 2 and out[58]["licence"] == "BSD-3-Clause"
     assert all(out[i]["licence"] is None and out[i]["n_found"] == 0 for i in (51, 52, 53, 54))
 
 
-def test_licence_windows_against_plain_dice():
+def test_licences_against_plain_dice(spark):
     r = random.Random(5)
     words = list("abcdefgh")
-    compiled = licences.compile_templates({"t": "a b c d e f g a", "u": "a a b"})
-    every = np.unique(np.concatenate([t[2] for t in compiled]))
-    for _ in range(300):
-        text = [r.choice(words) for _ in range(r.randint(0, 14))]
-        best = []
-        for name, t in (("t", "a b c d e f g a".split()), ("u", "a a b".split())):
-            want = set(zip(t, t[1:]))
-            spots = [(0, text)] + [(i, text[i : i + len(t)]) for i in range(max(1, len(text) - len(t) + 1))]
-            for at, w in spots:
-                own = set(zip(w, w[1:]))
-                d = 2 * len(own & want) / (len(own) + len(want))
-                if d >= 0.6 and own:
-                    best.append((-d, at, name))
-        hashes, _ = licences._words(pa.array([" ".join(text)]))
-        name, d, at, n = licences.scan(hashes, compiled, every, 0.6)
-        assert (name is None) == (not best)
-        if best:
-            assert abs(d + min(best)[0]) < 1e-6 and name in {b[2] for b in best if b[0] == min(best)[0]}
+    T = {"t": "a b c d e f g a", "t/two": "c d e", "u": "a a b", "v": " ".join(r.choice(words) for _ in range(30))}
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(300)] + [(300 + i, " ".join(["x"] * i + T["v"].split()[i:])) for i in range(12)]
+    out = licences.licences(spark.createDataFrame(rows, SCHEMA), templates=T, least=0.6).collect()
+    for x in out:
+        assert [(f["template"], f["dice"], f["first_word"]) for f in x["found"]] == plain_licences(x["text"], T, 0.6)
+    assert sum(x["n_found"] for x in out) > 40
+    table = spark.createDataFrame([(n, t) for n, t in T.items()] + [("w", None)], "name string, text string")
+    assert licences.from_table(table) == T
+    with pytest.raises(ValueError):
+        licences.from_table(table, 10)
+    assert licences.licences(spark.createDataFrame(rows[:3], SCHEMA), templates={}).where("n_found > 0").count() == 0
+
+
+def test_registered_licence_scan_against_plain_dice(spark):
+    """The whole default set on the given documents."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    marks = re.compile("licen|permission|mozilla|software|copyright", re.I)
+    for x in licences.licences(docs).collect():
+        if marks.search(x["text"] or ""):
+            assert [(f["template"], f["dice"], f["first_word"]) for f in x["found"]] == plain_licences(x["text"], licences.TEMPLATES, 0.8)
+        else:
+            assert not x["found"]
 
 
 @pytest.mark.parametrize("report", [passages.report, suffixes.report, lines.report, jaccard.report, licences.report])
