@@ -75,17 +75,28 @@ def suffixes(rows, k=50):
     return out
 
 
-def lines(rows, least=10, docs=2):
+def kept_lines(rows, least=10, docs=2):
+    """Each row's text without its dropped lines; None where none is dropped. A null id is the largest."""
     key = lambda s: s.strip(" \t\n\x0b\f\r").translate(AZ)
+    last = 2**63 - 1
     held = defaultdict(set)
     for i, t in rows:
         for x in (t or "").split("\n"):
-            held[key(x)].add(i)
-    out = {}
+            held[key(x)].add(last if i is None else i)
+    out = []
     for i, t in rows:
         own = (t or "").split("\n")
-        kept = [x for x in own if len(key(x)) < least or len(held[key(x)]) < docs or min(held[key(x)]) == i]
-        out[i] = (len(own), len(own) - len(kept), sha("\n".join(kept)))
+        kept = [x for x in own if len(key(x)) < least or len(held[key(x)]) < docs or min(held[key(x)]) == (last if i is None else i)]
+        out.append("\n".join(kept) if len(kept) < len(own) else None)
+    return out
+
+
+def lines(rows, least=10, docs=2):
+    out = {}
+    for (i, t), kept in zip(rows, kept_lines(rows, least, docs)):
+        n, text = len((t or "").split("\n")), (t or "") if kept is None else kept
+        lost = 0 if kept is None else n - (len(kept.split("\n")) if kept or any(not x for x in t.split("\n")) else 0)
+        out[i] = (n, lost, sha(text))
     return out
 
 

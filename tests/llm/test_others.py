@@ -234,6 +234,24 @@ def test_components(spark):
     assert out == {n: find(n) for e in edges if e[0] != e[1] for n in e}
 
 
+def staged(spark, d, docs):
+    """Rows after each stage of the pipeline."""
+    import corpus_pipeline as P
+
+    now, seen = docs, {}
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, now, d)
+        out.write.parquet(f"{d}/stage{k}")
+        now = spark.read.parquet(f"{d}/stage{k}")
+        seen[name] = now.collect()
+        if k < len(P.STAGES) - 1:
+            assert now.columns == list(P.COLUMNS)
+    return seen
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
@@ -244,27 +262,45 @@ def test_pipeline(spark, tmp_path):
         rows.append((i, talk(r, toxic) + f" unique{i} words{i} here{i}", "en", f"s{i % 3}"))
         labels.append((i, 1, int(toxic)))
     item = " ".join(f"q{j}" for j in range(20))
-    rows += [(500, rows[1][1] + " tail", "en", "s0"), (501, item + " some more", "en", "s1"), (502, None, "en", "s1"), (503, "", None, None), (504, "A line that is shared\nown text five", "en", "s2"), (505, "other text\na LINE that is shared ", "en", "s2")]
+    page = "\n".join(" ".join(r.choice("ta ro mi ne lu so".split()) + str(r.randrange(99)) for _ in range(9)) for _ in range(12))
+    rows += [(500, rows[1][1] + " tail", "en", "s0"), (501, item + " some more", "en", "s1"), (502, None, "en", "s1"), (503, "", None, None), (504, "A line that is shared\nown text five with some more words in it", "en", "s2"), (505, "other text of which there is rather more\na LINE that is shared ", "en", "s2")]
+    rows += [(600 + i, page + f"\nlast line number {i}", "en", "s0") for i in range(30)] + [(None, page, "en", "s0"), (None, page, "en", "s1"), (700, "alone and twice, word for word", "en", "s0"), (700, "alone and twice, word for word", "en", "s0")]
     d = str(tmp_path)
-    docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], DOCS)
     docs.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    now = spark.read.parquet(f"{d}/documents.parquet")
-    seen = {}
-    for k, (name, stage) in enumerate(P.STAGES):
-        out = stage(spark, now, d)
-        out.write.parquet(f"{d}/stage{k}")
-        now = spark.read.parquet(f"{d}/stage{k}")
-        seen[name] = now.collect()
-        if k < len(P.STAGES) - 1:
-            assert now.columns == docs.columns
+    seen = staged(spark, d, spark.read.parquet(f"{d}/documents.parquet"))
+    of = lambda n: [(x["doc_id"], x["text"], x["lang"], x["source"], x["n_chars"]) for x in seen[n]]
     ids = lambda n: {x["doc_id"] for x in seen[n]}
+    key = lambda x: str(x)
     gone = set(range(400)) - ids("toxicity")
-    assert len(gone & set(range(0, 400, 5))) >= 76 and len(gone - set(range(0, 400, 5))) <= 4
+    assert len(gone & set(range(0, 400, 5))) >= 76 and len(gone - set(range(0, 400, 5))) <= 4 and ids("toxicity") >= {x[0] for x in rows[400:]}
+    # line dedup: every row of the stage before, cut where at least half stays
+    kept = brute.kept_lines([x[:2] for x in of("toxicity")])
+    want = [x if k is None or 2 * len(k) <= len(x[1]) else (x[0], k, *x[2:4], len(k)) for x, k in zip(of("toxicity"), kept)]
+    assert sorted(of("line_dedup"), key=key) == sorted(want, key=key)
     text = {x["doc_id"]: x for x in seen["line_dedup"]}
-    assert text[505]["text"] == "other text" and text[505]["n_chars"] == 10 and ids("line_dedup") == ids("toxicity")
-    assert ids("line_dedup") - ids("near_duplicates") == {500} & ids("line_dedup") and 1 in ids("near_duplicates")
+    assert text[505]["text"] == "other text of which there is rather more" and text[601]["n_chars"] == len(page) + len("\nlast line number 1")
+    # near duplicates: one row of each component of brute force over rows, that of the smallest id
+    before = of("line_dedup")
+    whole = brute.jaccard([(i, x[1]) for i, x in enumerate(before)], 5, 80)
+    groups = {}
+    for i, x in enumerate(before):
+        groups.setdefault(whole[i][1], []).append(((x[0] is None, x[0] or 0), x))
+    want = [min(g, key=lambda y: y[0])[1] for g in groups.values()]
+    assert sorted(x[0] is None and (9**9,) or (x[0],) for x in of("near_duplicates")) == sorted(x[0] is None and (9**9,) or (x[0],) for x in want)
+    assert {(x[0], x[1]) for x in of("near_duplicates")} == {(x[0], x[1]) for x in want}
+    assert None not in ids("near_duplicates") and ids("near_duplicates") & set(range(600, 630)) == {600} and len([x for x in of("near_duplicates") if x[0] == 700]) == 1
+    judged = brute.contamination([(i, x[1]) for i, x in enumerate(of("near_duplicates"))], [(1, item)])
+    assert sorted(of("decontamination"), key=key) == sorted((x for i, x in enumerate(of("near_duplicates")) if not judged[i][4]), key=key)
     assert ids("near_duplicates") - ids("decontamination") == {501}
     assert ids("mixing") <= ids("decontamination")
     assert P.run(spark, d).count() == len(seen["mixing"])
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert not any(staged(spark, d, spark.createDataFrame([], DOCS)).values())
