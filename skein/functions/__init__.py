@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LANGUAGES = {"c": "cpp", "cc": "cpp", "cpp": "cpp", "h": "cpp", "hpp": "cpp", "go": "go", "java": "java", "py": "python", "rs": "rust", "ts": "typescript", "tsx": "tsx"}
-VENDORED = ("node_modules", "vendor", "third_party", "dist", "target", ".git")
+# The extensions of each language, and the folders of code from elsewhere.
+EXTENSIONS = {
+    "cpp": ("c", "h", "cc", "cpp", "cxx", "hpp", "hh", "hxx"),
+    "go": ("go",),
+    "java": ("java",),
+    "python": ("py", "pyi"),
+    "rust": ("rs",),
+    "tsx": ("tsx", "jsx"),
+    "typescript": ("ts", "mts", "cts", "js", "mjs", "cjs"),
+}
+VENDORED = ("vendor", "vendored", "node_modules", "third_party", "thirdparty")
+LANGUAGES = {e: name for name, found in EXTENSIONS.items() for e in found}
 
 
 def language(rel: Column) -> Column:
-    """The language of a path by its extension, null where none is known."""
+    """The language of a path by its extension (a name that is all extension has none), null where none is known."""
     known = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    return F.try_element_at(known, F.regexp_extract(rel, r"\.([^./]+)$", 1))
+    return F.try_element_at(known, F.regexp_extract(rel, r"[^/]\.([^./]+)$", 1))
 
 
 def vendored(rel: Column) -> Column:
-    """Below a vendored folder, or minified."""
-    return F.exists(F.split(rel, "/"), lambda x: x.isin(*VENDORED)) | rel.rlike(r"[.-]min\.[^./]+$")
+    """Below a vendored folder, or minified: the name without its extension ends in .min or -min."""
+    return F.exists(F.split(rel, "/"), lambda x: x.isin(*VENDORED)) | rel.rlike(r"\.min\.[^./]*$|-min(\.[^./]*)?$")
 
 
 def slug(title: Column) -> Column:
@@ -28,7 +38,7 @@ def slug(title: Column) -> Column:
 
 def module_stem(rel: Column) -> Column:
     """File stem, or the parent folder's name for mod, __init__ and index."""
-    stem = F.regexp_extract(rel, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    stem = F.regexp_extract(rel, r"([^/]+?)(?:(?<=[^/])\.[^./]*)?$", 1)
     parent = F.regexp_extract(rel, r"([^/]+)/[^/]+$", 1)
     return F.when(stem.isin("mod", "__init__", "index") & (parent != ""), parent).otherwise(stem)
 
@@ -96,7 +106,8 @@ def command(text: Column) -> Column:
     """struct<verb, target, class> of a simple shell command; null for compound ones and unknown verbs."""
     bare = F.trim(text)
     compound = bare.rlike(r"[;&|<>`\n]|\$\(")
-    words = F.filter(F.split(bare, r"\s+"), lambda w: ~w.rlike(r"^(-|\w+=)") & (w != "sudo"))
+    words = F.transform(F.split(bare, r"\s+"), lambda w: F.regexp_replace(w, "^[\"']+|[\"']+$", ""))
+    words = F.filter(words, lambda w: ~w.rlike(r"^(-|\w+=)") & (w != "sudo"))
     verb = basename(F.try_element_at(words, F.lit(1)))
     target = F.when(F.size(words) > 1, F.element_at(words, -1))
     kind = (

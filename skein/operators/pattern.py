@@ -180,7 +180,7 @@ def evaluate(pattern: Pattern, nodes: DataFrame, edges: DataFrame, seed: DataFra
         elif clause.subject in known:
             rows = rows.join(here, F.col(subject)["node"] == F.col(f"_i{n}"))
         else:
-            rows = rows.join(here, F.lit(True)).withColumn(subject, as_node(F.col(f"_i{n}")))
+            rows = _candidates(rows, clause, nodes, edges, known, f"_i{n}").join(here, f"_i{n}").withColumn(subject, as_node(F.col(f"_i{n}")))
         if clause.subject not in known:
             known.append(clause.subject)
         for m, (name, term) in enumerate(clause.pairs):
@@ -196,6 +196,19 @@ def evaluate(pattern: Pattern, nodes: DataFrame, edges: DataFrame, seed: DataFra
     return rows.select(*carried, *(f"v_{v}" for v in known)).distinct()
 
 
+def _candidates(rows: DataFrame, clause, nodes: DataFrame, edges: DataFrame, known: list[str], i: str) -> DataFrame:
+    """rows with each node that a clause of a new subject can mean: those tied to a bound variable, by an edge
+    to its node or an attribute of its value. Only where no pair is bound are all nodes meant."""
+    tied = [(name, term) for name, term in clause.pairs if name != "a" and term.kind == "var" and term.value in known]
+    if not tied:
+        return rows.join(nodes.select(F.col("id").alias(i)), F.lit(True))
+    name, term = tied[0]
+    bound = F.col(f"v_{term.value}")
+    to = edges.where(F.col("relation") == name).select(F.col("source").alias(i), F.col("target").alias("_to")).distinct()
+    held = nodes.where(F.map_contains_key("attrs", F.lit(name))).select(F.col("id").alias(i), as_value(F.col("attrs")[name])["value"].alias("_to"))
+    return rows.join(to, bound["node"] == F.col("_to")).drop("_to").unionByName(rows.where(bound["value"].isNotNull()).join(held, bound["value"].eqNullSafe(F.col("_to"))).drop("_to"))
+
+
 def _pair(rows: DataFrame, edges: DataFrame, known: list[str], i: str, k: str, a: str, name: str, term: Term, tag: str) -> DataFrame:
     free = term.kind == "var" and term.value not in known
     if name == "a":

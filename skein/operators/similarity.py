@@ -38,7 +38,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None
     rows = corpus.where(F.col("model") == model) if model is not None else corpus
     norm = F.sqrt(dot(F.col("vector"), F.col("vector")))  # once a row, not once a pair
     both = F.col("_qn") * F.col("_n")
-    score = F.round(F.when((F.size("_q") == F.size("vector")) & (F.size("_q") > 0) & (both > 0), dot(F.col("_q"), F.col("vector")) / both), 6)
+    score = F.when((F.size("_q") == F.size("vector")) & (F.size("_q") > 0) & (both > 0), dot(F.col("_q"), F.col("vector")) / both)
     n = queries.count()
     parts = queries.select("query", F.col("vector").alias("_q"), norm.alias("_qn"), F.pmod(F.xxhash64("query"), F.lit(-(-n // block) or 1)).alias("_b"))
     blocks = parts.groupBy("_b").agg(F.collect_list(F.struct("query", "_q", "_qn")).alias("_qs"))
@@ -49,8 +49,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None
     scored = pairs.select("query", "id", score.alias("score")).where("score IS NOT NULL")
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # equal but for the last bits, which follow the order of adding up, is a tie
+    order = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 
 
 def token_bucket(token: Column) -> Column:

@@ -29,7 +29,7 @@ def board_view(spark, d):
 
 def board_edges(spark, d):
     _, e = overlay.board_view(*board(spark, d), *_changes(spark, d))
-    return e.where("relation <> 'placed_by'").select("source", "relation", "target")
+    return e.select("source", "relation", "target")
 
 
 def dangling_edges(spark, d):
@@ -133,7 +133,7 @@ ca AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN -5000.0 ELSE c_acctba
 
 ORACLES = {
     "board_view": f"WITH {_VIEW} SELECT 'node:' || kind AS what, count(*) AS n FROM nd GROUP BY 1 UNION ALL SELECT 'edge:' || relation, count(*) FROM ve GROUP BY 1",
-    "board_edges": f"WITH {_VIEW} SELECT * FROM ve WHERE relation <> 'placed_by'",
+    "board_edges": f"WITH {_VIEW} SELECT * FROM ve",
     "dangling_edges": "SELECT 'c' || c_custkey AS source, 'in' AS relation, 'n' || c_nationkey AS target, 'source' AS missing FROM customer WHERE c_custkey % 10 = 7 UNION ALL SELECT 'o' || o_orderkey, 'placed_by', 'c' || o_custkey, 'target' FROM orders WHERE o_custkey % 10 = 7",
     "ingest_report": "SELECT count(*) FILTER (WHERE c_custkey % 9 <> 0) AS nodes, count(*) FILTER (WHERE c_custkey % 9 = 0) AS rejected_nodes, count(*) FILTER (WHERE c_custkey % 9 <> 0) AS edges, count(*) FILTER (WHERE c_custkey % 9 = 0) AS rejected_edges FROM customer",
     "ingest_refused": "SELECT 0 AS nodes, (SELECT count(*) FROM customer) AS rejected_nodes, 0 AS edges, (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) AS rejected_edges",

@@ -78,7 +78,7 @@ def iri_dedupe(spark, d):
 def mention_links(spark, d):
     p = read(spark, d, "part", "p_partkey", "p_brand", "p_size", "p_type")
     symbols = p.select(F.col("p_partkey").alias("node"), F.concat(F.lit("s"), "p_size").alias("name"), F.concat(F.lit("lib/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("/mod.rs")).alias("file"))
-    mentions = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("mention"), F.concat(F.lit("s"), "p_size").alias("symbol"), F.when(F.col("p_partkey") % 2 == 0, F.upper(F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("qualifier"))
+    mentions = p.select(F.col("p_partkey").alias("mention"), F.concat(F.lit("s"), "p_size").alias("symbol"), F.when(F.col("p_partkey") % 2 == 0, F.upper(F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("qualifier"))
     return docs.mention_links(mentions, symbols)
 
 
@@ -89,9 +89,12 @@ def commands(spark, d):
     return ev.select("event_id", fn.command(text).alias("c")).select("event_id", "c.verb", "c.target", "c.class")
 
 
+PATHS = ("mod.rs", "__init__.py", "main.go", "x.min.js", "index.ts", "a.mjs", "b.jsx", "types.pyi", "v.hxx", "notes.md", "dist/out.cts", "vendored/lib.c", "thirdparty/z.cc", "myvendor/q.java", "bundle-min.css", "x.min", ".rs", "Upper.RS")
+
+
 def stems(spark, d):
     p = read(spark, d, "part", "p_partkey", "p_brand", "p_size")
-    rel = F.concat(F.lit("a/b"), F.col("p_size").cast("string"), F.lit("/"), F.element_at(F.array(*map(F.lit, ("mod.rs", "__init__.py", "main.go", "x.min.js", "index.ts"))), (F.col("p_partkey") % 5 + 1).cast("int")))
+    rel = F.concat(F.lit("a/b"), F.col("p_size").cast("string"), F.lit("/"), F.element_at(F.array(*map(F.lit, PATHS)), (F.col("p_partkey") % len(PATHS) + 1).cast("int")))
     return p.select("p_partkey", rel.alias("rel"), fn.module_stem(rel).alias("stem"), fn.language(rel).alias("language"), fn.vendored(rel).alias("vendored"))
 
 
@@ -143,8 +146,8 @@ ORACLES = {
     "shape_violations": _VIO,
     "shape_conforms": f"SELECT count(*) = 0 AS conforms, count(*) AS violations FROM ({_VIO})",
     "iri_dedupe": "SELECT p_brand || '/' || p_size AS iri, min(p_partkey) AS p_partkey, arg_min(p_type, p_partkey) AS kind, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS kinds FROM part GROUP BY 1",
-    "mention_links": """WITH s AS (SELECT p_partkey AS node, p_size, replace(p_brand, '#', '_') AS stem FROM part), m AS (SELECT p_partkey AS mention, p_size, CASE WHEN p_partkey % 2 = 0 THEN replace(p_brand, '#', '_') END AS q FROM part WHERE p_partkey % 3 = 0)
+    "mention_links": """WITH s AS (SELECT p_partkey AS node, p_size, replace(p_brand, '#', '_') AS stem FROM part), m AS (SELECT p_partkey AS mention, p_size, CASE WHEN p_partkey % 2 = 0 THEN replace(p_brand, '#', '_') END AS q FROM part)
         SELECT mention, node FROM m JOIN s USING (p_size) WHERE q IS NULL OR stem = q""",
     "commands": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'rm' WHEN 2 THEN 'chmod' WHEN 4 THEN 'curl' END AS verb, CASE event_id % 5 WHEN 0 THEN '/tmp/' || user_id WHEN 2 THEN 'f' || user_id WHEN 4 THEN 'http://h/' || user_id END AS target, CASE event_id % 5 WHEN 0 THEN 'delete' WHEN 2 THEN 'permission' WHEN 4 THEN 'network' END AS class FROM events",
-    "stems": "SELECT p_partkey, 'a/b' || p_size || '/' || ['mod.rs', '__init__.py', 'main.go', 'x.min.js', 'index.ts'][p_partkey % 5 + 1] AS rel, CASE WHEN p_partkey % 5 IN (0, 1, 4) THEN 'b' || p_size ELSE ['', '', 'main', 'x.min', ''][p_partkey % 5 + 1] END AS stem, ['rust', 'python', 'go', NULL, 'typescript'][p_partkey % 5 + 1] AS language, p_partkey % 5 = 3 AS vendored FROM part",
+    "stems": """SELECT p_partkey, 'a/b' || p_size || '/' || v.path AS rel, coalesce(v.stem, 'b' || p_size) AS stem, v.language, v.vendored FROM part JOIN (VALUES (0, 'mod.rs', NULL, 'rust', false), (1, '__init__.py', NULL, 'python', false), (2, 'main.go', 'main', 'go', false), (3, 'x.min.js', 'x.min', 'typescript', true), (4, 'index.ts', NULL, 'typescript', false), (5, 'a.mjs', 'a', 'typescript', false), (6, 'b.jsx', 'b', 'tsx', false), (7, 'types.pyi', 'types', 'python', false), (8, 'v.hxx', 'v', 'cpp', false), (9, 'notes.md', 'notes', NULL, false), (10, 'dist/out.cts', 'out', 'typescript', false), (11, 'vendored/lib.c', 'lib', 'cpp', true), (12, 'thirdparty/z.cc', 'z', 'cpp', true), (13, 'myvendor/q.java', 'q', 'java', false), (14, 'bundle-min.css', 'bundle-min', NULL, true), (15, 'x.min', 'x', NULL, false), (16, '.rs', '.rs', NULL, false), (17, 'Upper.RS', 'Upper', NULL, false)) AS v(n, path, stem, language, vendored) ON v.n = p_partkey % 18""",
 }

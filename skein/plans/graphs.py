@@ -67,7 +67,7 @@ def frontier_fan(spark, d):
 def symbol_at(spark, d):
     ev = read(spark, d, "events", "event_id", "user_id", "value")
     sy = ev.select(F.col("user_id").alias("file"), F.col("event_id").alias("node"), (F.col("event_id") % 1000).alias("start_line"), (F.col("event_id") % 1000 + F.floor("value")).alias("end_line"))
-    points = ev.where("event_id % 5 = 0").select(F.col("user_id").alias("file"), (F.col("event_id") % 1000).alias("line")).distinct()
+    points = ev.select(F.col("user_id").alias("file"), (F.col("event_id") % 1000).alias("line")).distinct()
     return graph.symbol_at(sy, points).select("file", "line", "node", "start_line", "end_line")
 
 
@@ -143,7 +143,7 @@ ORACLES = {
     "blast_radius": _RADIUS,
     "ceiling_violations": f"SELECT symbols, files, concat_ws('+', CASE WHEN symbols > 5 THEN 'max-symbols' END, CASE WHEN files > 100 THEN 'max-files' END) AS rules FROM ({_RADIUS})",
     "symbol_at": """WITH sy AS (SELECT user_id AS file, event_id AS node, event_id % 1000 AS start_line, event_id % 1000 + floor(value)::BIGINT AS end_line FROM events),
-        pt AS (SELECT DISTINCT user_id AS file, event_id % 1000 AS line FROM events WHERE event_id % 5 = 0)
+        pt AS (SELECT DISTINCT user_id AS file, event_id % 1000 AS line FROM events)
         SELECT file, line, node, start_line, end_line FROM (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY start_line DESC, end_line - start_line, node) AS r FROM pt JOIN sy USING (file) WHERE line BETWEEN start_line AND end_line) WHERE r = 1""",
     "file_symbols": f"WITH {SYMBOLS_SQL} SELECT node, name, start_line FROM sy WHERE file = 'Brand#11'",
     "touched_symbols": f"WITH {SYMBOLS_SQL} SELECT node, file, start_line, end_line FROM sy WHERE (file = 'Brand#11' AND start_line <= 12 AND end_line >= 10) OR (file = 'Brand#22' AND start_line <= 60 AND end_line >= 40)",
@@ -165,7 +165,7 @@ f(key, node, d, h) AS (SELECT key, node, 0, CASE WHEN fan > 40 THEN 1 ELSE 2 END
 b(key, node, d, h) AS (SELECT key, node, 0, CASE WHEN fan > 40 THEN 1 ELSE 2 END FROM fan UNION SELECT key, src, d + 1, h FROM b JOIN pe ON pe.dst = b.node WHERE d < h)
 SELECT node, min(d) AS distance FROM (SELECT * FROM f UNION ALL SELECT * FROM b) WHERE d > 0 AND node NOT IN (SELECT node FROM sd) GROUP BY node"""
 ORACLES["frontier_fan"] = f"WITH {EDGES_SQL}, sd(key, node) AS (VALUES ('a', 1), ('b', 2), ('c', 3)) SELECT key, (SELECT count(*) FROM pe WHERE pe.src = sd.node) + (SELECT count(*) FROM pe WHERE pe.dst = sd.node) AS fan FROM sd"
-ORACLES["dataflow_flow"] = """WITH RECURSIVE li AS (SELECT l_orderkey AS k, l_partkey AS p, l_linenumber AS n FROM lineitem WHERE l_orderkey % 10 = 0),
+ORACLES["dataflow_flow"] = """WITH RECURSIVE li AS (SELECT l_orderkey AS k, l_partkey AS p, l_linenumber AS n FROM lineitem),
 e AS (SELECT DISTINCT a.k, a.p AS src, b.p AS dst FROM li a JOIN li b ON a.k = b.k AND b.n = a.n + 1 WHERE a.p <> b.p),
 w(k, p, d) AS (SELECT DISTINCT k, p, 0 FROM li WHERE n = 1 UNION SELECT w.k, e.dst, d + 1 FROM w JOIN e ON e.k = w.k AND e.src = w.p WHERE d < 4),
 r AS (SELECT k, p, min(d) AS d FROM w GROUP BY k, p HAVING min(d) > 0)

@@ -39,7 +39,7 @@ def scope_ladder(spark, d):
     declared = ev.where("user_id % 3 = 0 AND event_id % 2 = 0").select(item.alias("item"), "path")
     parents = ev.where("user_id % 3 = 1").select(item.alias("item"), (item - 1).alias("parent"), F.col("event_id").alias("ordinal"))
     observed = ev.where("user_id % 3 = 2 AND user_id % 2 = 0 AND event_id % 5 = 0").select(item.alias("item"), "path")
-    requests = ev.where("event_id % 7 = 0").select(item.alias("item"), "path").distinct()
+    requests = ev.select(item.alias("item"), "path").distinct()
     return rules.scope_ladder(requests, declared, parents, observed)
 
 
@@ -125,7 +125,7 @@ ORACLES = {
     "glob_scope": f"WITH {_PATHS} SELECT event_id, path, CASE WHEN path LIKE '%/secret/%' OR path LIKE 'src/1%/%' THEN 'denied' WHEN path LIKE 'src/%' OR path LIKE 'docs/%.md' THEN 'allowed' ELSE 'outside' END AS decision FROM pa",
     "action_scope": "SELECT event_id, event_type || ':' || user_id AS action, NOT user_id = 13 AND (event_type = 'click' OR event_type = 'view' AND user_id::VARCHAR LIKE '1%') AS inside FROM events",
     "scope_ladder": f"""WITH {_PATHS}, de AS (SELECT DISTINCT user_id AS item, path FROM pa WHERE user_id % 3 = 0 AND event_id % 2 = 0), ob AS (SELECT DISTINCT user_id AS item, path FROM pa WHERE user_id % 3 = 2 AND user_id % 2 = 0 AND event_id % 5 = 0),
-        rq AS (SELECT DISTINCT user_id AS item, path, CASE WHEN user_id % 3 = 1 THEN user_id - 1 END AS parent FROM pa WHERE event_id % 7 = 0),
+        rq AS (SELECT DISTINCT user_id AS item, path, CASE WHEN user_id % 3 = 1 THEN user_id - 1 END AS parent FROM pa),
         g AS (SELECT *, CASE WHEN item IN (SELECT item FROM de) THEN 'declared' WHEN parent IN (SELECT item FROM de) THEN 'derived' WHEN item IN (SELECT item FROM ob) THEN 'observed' ELSE 'unknown' END AS rung FROM rq)
         SELECT item, path, rung, CASE rung WHEN 'declared' THEN EXISTS (SELECT 1 FROM de WHERE de.item = g.item AND de.path = g.path) WHEN 'derived' THEN EXISTS (SELECT 1 FROM de WHERE de.item = g.parent AND de.path = g.path)
                WHEN 'observed' THEN EXISTS (SELECT 1 FROM ob WHERE ob.item = g.item AND ob.path = g.path) ELSE false END AS inside, rung = 'declared' AS decides FROM g""",
