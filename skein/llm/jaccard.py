@@ -293,3 +293,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
 def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 3], ' ')) AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM g a JOIN g b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * x >= 85 * (p.n + q.n - x)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+f(doc_id, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, f.label FROM f JOIN e ON e.a = f.doc_id WHERE f.label < e.b),
+m AS (SELECT doc_id, min(label) AS label FROM f GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.label AS component_id, coalesce(k.links, 0)::BIGINT AS n_links FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

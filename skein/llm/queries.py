@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_passages": passages.SQL, "op3_topk": topk.SQL, "op5_lines": lines.SQL, "op8_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL}
+    return {"op2_passages": passages.SQL, "op3_topk": topk.SQL, "op4_suffixes": suffixes.SQL, "op5_lines": lines.SQL, "op6_jaccard": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL}

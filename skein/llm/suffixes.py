@@ -451,3 +451,16 @@ def dedup_suffixes(docs: DataFrame, length: int = 50, k: int = K, id_col: str =
 
 def report(docs: DataFrame) -> DataFrame:
     return dedup_suffixes(docs, with_text=False).drop("kept_text")
+
+
+SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS t FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM b WHERE length(h) >= 100)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS first FROM s) WHERE doc_id > first),
+n AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM n GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM r),
+p AS (SELECT k.doc_id, count(*) AS spans, sum(z - a) AS gone, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || any_value(substr(h, 2 * last + 1)) AS kept
+      FROM (SELECT *, max(z) OVER (PARTITION BY doc_id) AS last FROM k) k JOIN b USING (doc_id) GROUP BY k.doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN p USING (doc_id)
+"""
