@@ -62,6 +62,17 @@ def discard(df: DataFrame | None) -> None:
         return
 
 
+def settle_alone(make, *spent: DataFrame) -> DataFrame:
+    """settle(make()), and then delete what make() settled on its way and the spent tables."""
+    before = set(_made)
+    out = settle(make())
+    for path in set(_made) - before - {out._skein_path}:
+        discard(type("Written", (), {"_skein_path": path}))
+    for df in spent:
+        discard(df)
+    return out
+
+
 def forget() -> None:
     """Delete every table that settle() has written."""
     for path in list(_made):
