@@ -12,9 +12,11 @@ def val(x):
 
 
 def board(spark):
-    state = lambda border, n: {"g:isBorderBase": val(border), "g:garrisonCount": val(n)}
-    nodes = [("base_alpha", "g:BaseState", state(True, 2)), ("base_beta", "g:BaseState", state(True, 0)), ("base_gamma", "g:BaseState", state(False, 0)), ("scout_1", "g:UnitState", {})]
-    return spark.createDataFrame(nodes, NODES), spark.createDataFrame([("scout_1", "garrisoned_at", "base_alpha")], EDGES)
+    """Depots that keep pallets, some of them cold, trucks that stand at one, and who supplies whom."""
+    depot = lambda cold, pallets: {"cold": val(cold), "pallets": val(pallets)}
+    nodes = [("north", "Depot", depot(True, 40)), ("south", "Depot", depot(False, 7)), ("quay", "Depot", depot(True, 0)), ("t7", "Truck", {"load": val(7)}), ("t9", "Truck", {})]
+    edges = [("t7", "parked_at", "north"), ("t9", "parked_at", "north"), ("north", "supplies", "quay")]
+    return spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
 
 
 def ask(spark, text, *variables):
@@ -24,17 +26,21 @@ def ask(spark, text, *variables):
 
 
 def test_patterns(spark):
-    assert ask(spark, "?b a g:BaseState", "b") == [("base_alpha",), ("base_beta",), ("base_gamma",)]
-    assert ask(spark, "?b a g:BaseState ; g:isBorderBase true ; g:garrisonCount ?n", "b", "n") == [("base_alpha", 2.0), ("base_beta", 0.0)]
-    assert ask(spark, "?b g:garrisonCount ?n | ?n >= 1", "b") == [("base_alpha",)]
-    assert ask(spark, "?u garrisoned_at ?b . ?b g:isBorderBase true", "u", "b") == [("scout_1", "base_alpha")]
-    assert ask(spark, "?u garrisoned_at base_alpha", "u") == [("scout_1",)]
-    assert ask(spark, "?u garrisoned_at base_beta", "u") == []
-    assert ask(spark, "?b a g:BaseState . ?u garrisoned_at ?b", "b", "u") == [("base_alpha", "scout_1")]
-    assert ask(spark, '?b g:garrisonCount "2"', "b") == []
-    assert ask(spark, "?b a g:BaseState | ?b != base_beta", "b") == [("base_alpha",), ("base_gamma",)]
-    assert ask(spark, "?b a ?k | ?k < 3", "b") == []
-    assert len(ask(spark, "?a a g:UnitState . ?b a g:BaseState", "a", "b")) == 3
+    assert ask(spark, "?d a Depot", "d") == [("north",), ("quay",), ("south",)]
+    assert ask(spark, "?d cold true ; pallets ?n", "d", "n") == [("north", 40.0), ("quay", 0.0)]
+    assert ask(spark, "?d pallets ?n | ?n > 5", "d", "n") == [("north", 40.0), ("south", 7.0)]
+    assert ask(spark, "?t parked_at north", "t") == [("t7",), ("t9",)] and ask(spark, "?t parked_at quay", "t") == []
+    assert ask(spark, '?d pallets "40"', "d") == []  # a number is no string
+    assert ask(spark, "?d a Depot | ?d != south", "d") == [("north",), ("quay",)]
+    assert ask(spark, "?d a ?k | ?k < 3", "d") == []
+
+
+def test_patterns_of_several_clauses(spark):
+    assert ask(spark, "?t parked_at ?d . ?d cold true", "t", "d") == [("t7", "north"), ("t9", "north")]
+    # a new subject is found through what is bound: an edge's target, or an attribute's value
+    assert ask(spark, "?d supplies ?q . ?t parked_at ?d", "q", "t") == [("quay", "t7"), ("quay", "t9")]
+    assert ask(spark, "?t load ?n . ?d pallets ?n", "t", "d") == [("t7", "south")]
+    assert len(ask(spark, "?t a Truck . ?d a Depot", "t", "d")) == 6
 
 
 def test_first_target_when_free_any_when_bound(spark):
@@ -56,8 +62,8 @@ def test_pattern_errors(bad):
 def test_pattern_facts(spark):
     p = pattern.parse('?b a N ; k "x\\"y" | ?z = 1, ?b < 2')
     assert p.variables() == ["b"] and p.unbound_filters() == ["z"] and p.clauses[0].pairs[1][1].value == 'x"y'
-    rows = pattern.evaluate(pattern.parse("?b g:isBorderBase ?v"), *board(spark))
-    assert pattern.filter_warnings(pattern.parse("?b g:isBorderBase ?v | ?v > 1"), rows).first()["rows"] == 3
+    rows = pattern.evaluate(pattern.parse("?d cold ?v"), *board(spark))
+    assert pattern.filter_warnings(pattern.parse("?d cold ?v | ?v > 1"), rows).first()["rows"] == 3
 
 
 def order(spark, *rows):
@@ -68,7 +74,7 @@ def order(spark, *rows):
     return spark.createDataFrame(full, ORDERS)
 
 
-POLICY = guard.Policy("garrison", "?b a g:BaseState ; g:isBorderBase true", "?b g:garrisonCount ?n | ?n >= 1")
+POLICY = guard.Policy("stocked", "?d a Depot ; cold true", "?d pallets ?n | ?n >= 10")
 
 
 def said(out):
@@ -77,9 +83,9 @@ def said(out):
 
 def test_guard_blames_the_order(spark):
     nodes, edges = board(spark)
-    o = order(spark, {"op": "set_attr", "id": "base_alpha", "key": "g:garrisonCount", "value": val(0)}, {"op": "upsert_node", "id": "x", "kind": "K"})
-    assert said(guard.guard([POLICY], nodes, edges, o)) == [("garrison", "evaluated", "b=base_alpha", False, ["o0"]), ("garrison", "evaluated", "b=base_beta", True, [])]
-    assert said(guard.guard([POLICY], nodes, edges)) == [("garrison", "evaluated", "b=base_beta", False, [])]
+    o = order(spark, {"op": "upsert_node", "id": "x", "kind": "K"}, {"op": "set_attr", "id": "north", "key": "pallets", "value": val(3)})
+    assert said(guard.guard([POLICY], nodes, edges, o)) == [("stocked", "evaluated", "d=north", False, ["o1"]), ("stocked", "evaluated", "d=quay", True, [])]
+    assert said(guard.guard([POLICY], nodes, edges)) == [("stocked", "evaluated", "d=quay", False, [])]
 
 
 def test_guard_outcomes(spark):
@@ -90,58 +96,58 @@ def test_guard_outcomes(spark):
     assert [x["outcome"] for x in guard.guard([guard.Policy("p", "?b a", "?b a N")], nodes, edges).collect()] == ["unevaluated"]
     assert [x["outcome"] for x in guard.guard([guard.Policy("p", "?b a N", "?b a N", boundary="turn")], nodes, edges).collect()] == ["unevaluated"]
     assert [x["outcome"] for x in guard.guard([guard.Policy("p", "?b a Nothing", "?b a N")], nodes, edges).collect()] == ["vacuous"]
-    must_not = guard.Policy("p", "?b a g:BaseState", "?b g:garrisonCount 2", "must-not-match")
-    assert said(guard.guard([must_not], nodes, edges)) == [("p", "evaluated", "b=base_alpha", False, [])]
-    exist = guard.Policy("p", "?b a g:BaseState", "?b g:garrisonCount 9", "must-exist")
-    assert said(guard.guard([exist], nodes, edges)) == [("p", "evaluated", "b=-", False, [])]
+    must_not = guard.Policy("p", "?d a Depot", "?d pallets 7", "must-not-match")
+    assert said(guard.guard([must_not], nodes, edges)) == [("p", "evaluated", "d=south", False, [])]
+    exist = guard.Policy("p", "?d a Depot", "?d pallets 99", "must-exist")
+    assert said(guard.guard([exist], nodes, edges)) == [("p", "evaluated", "d=-", False, [])]
 
 
 def test_orders_apply_in_sequence(spark):
     nodes, edges = board(spark)
     o = order(
         spark,
-        {"op": "upsert_node", "id": "new", "kind": "K"},
-        {"op": "add_edge", "source": "new", "relation": "r", "target": "base_beta"},
-        {"op": "set_attr", "id": "new", "key": "k", "value": val("v")},
-        {"op": "remove_node", "id": "base_alpha"},
-        {"op": "set_attr", "id": "base_alpha", "key": "k", "value": val(1)},
-        {"op": "add_edge", "source": "new", "relation": "r", "target": "base_alpha"},
-        {"op": "remove_edge", "source": "new", "relation": "r", "target": "base_beta"},
-        {"op": "remove_edge", "source": "new", "relation": "r", "target": "base_beta"},
-        {"op": "paint", "id": "new"},
+        {"op": "remove_node", "id": "north"},
+        {"op": "add_edge", "source": "t7", "relation": "parked_at", "target": "north"},
+        {"op": "upsert_node", "id": "t12", "kind": "Truck"},
+        {"op": "set_attr", "id": "t12", "key": "driver", "value": val("Kim")},
+        {"op": "add_edge", "source": "t12", "relation": "parked_at", "target": "south"},
+        {"op": "remove_edge", "source": "t12", "relation": "parked_at", "target": "south"},
+        {"op": "remove_edge", "source": "t12", "relation": "parked_at", "target": "south"},
+        {"op": "set_attr", "id": "north", "key": "pallets", "value": val(1)},
+        {"op": "paint", "id": "t12"},
     )
     after = guard.apply_orders(nodes, edges, o)
     found = {x["id"]: x["attrs"] for x in after["nodes"].collect()}
-    assert set(found) == {"base_beta", "base_gamma", "scout_1", "new"} and found["new"]["k"]["s"] == "v"
-    assert after["edges"].count() == 0
-    assert sorted((x["order_id"], x["reason"]) for x in after["unapplied"].collect()) == [("o4", "node_not_visible"), ("o5", "edge_not_visible"), ("o7", "edge_not_visible"), ("o8", "unknown_op")]
-    assert sorted((x["id"], x["change"]) for x in guard.diff(nodes, after).collect()) == [("base_alpha", "removed"), ("new", "added")]
+    assert set(found) == {"south", "quay", "t7", "t9", "t12"} and found["t12"]["driver"]["s"] == "Kim"
+    assert after["edges"].count() == 0  # all of them ended at the depot that went
+    assert sorted((x["order_id"], x["reason"]) for x in after["unapplied"].collect()) == [("o1", "edge_not_visible"), ("o6", "edge_not_visible"), ("o7", "node_not_visible"), ("o8", "unknown_op")]
+    assert sorted((x["id"], x["change"]) for x in guard.diff(nodes, after).collect()) == [("north", "removed"), ("t12", "added")]
 
 
 def test_what_if(spark):
     nodes, edges = board(spark)
-    out = guard.what_if(nodes, edges, order(spark, {"op": "set_attr", "id": "base_alpha", "key": "g:garrisonCount", "value": val(5)}))
+    out = guard.what_if(nodes, edges, order(spark, {"op": "set_attr", "id": "quay", "key": "pallets", "value": val(12)}))
     assert out["envelope"].first()["committed"] is False
-    assert [(x["key"], x["before"]["n"], x["after"]["n"]) for x in out["diff"].collect()] == [("g:garrisonCount", 2.0, 5.0)]
-    assert [(x["id"], x["distance"], x["degree"]) for x in out["impacts"].collect()] == [("base_alpha", 0, 1), ("scout_1", 1, 1)]
+    assert [(x["key"], x["before"]["n"], x["after"]["n"]) for x in out["diff"].collect()] == [("pallets", 0.0, 12.0)]
+    assert [(x["id"], x["distance"], x["degree"]) for x in out["impacts"].collect()][:2] == [("quay", 0, 1), ("north", 1, 3)]
 
 
 def test_tombstones_mask_edges_for_good(spark):
     nodes, edges = board(spark)
     log = "seq int, op string, " + NODES
-    steps = [(1, "tombstone", "base_alpha", "g:BaseState", {}), (2, "upsert", "base_alpha", "g:BaseState", {})]
+    steps = [(1, "tombstone", "t9", "Truck", {}), (2, "upsert", "t9", "Truck", {})]
     none = spark.createDataFrame([], "seq int, op string, " + EDGES)
     n, e = overlay.board_view(nodes, edges, spark.createDataFrame(steps, log), none)
-    assert n.count() == 4 and e.count() == 0
-    back = spark.createDataFrame([(3, "add_edge", "scout_1", "garrisoned_at", "base_alpha")], "seq int, op string, " + EDGES)
-    assert overlay.board_view(nodes, edges, spark.createDataFrame(steps, log), back)[1].count() == 1
-    assert overlay.board_view(nodes, edges, spark.createDataFrame(steps[:1], log), back)[1].count() == 0
+    assert n.count() == 5 and {x["source"] for x in e.collect()} == {"t7", "north"}
+    back = spark.createDataFrame([(3, "add_edge", "t9", "parked_at", "south")], "seq int, op string, " + EDGES)
+    assert {(x["source"], x["target"]) for x in overlay.board_view(nodes, edges, spark.createDataFrame(steps, log), back)[1].collect()} == {("t7", "north"), ("t9", "south"), ("north", "quay")}
+    assert overlay.board_view(nodes, edges, spark.createDataFrame(steps[:1], log), back)[1].count() == 2
 
 
 def test_ingest(spark):
     nodes, _ = board(spark)
     entities = spark.createDataFrame([("a", "T"), (" ", "T"), ("b", None)], "name string, type string")
-    edges = spark.createDataFrame([("a", "r", "scout_1"), ("a", "r", "b")], EDGES)
+    edges = spark.createDataFrame([("a", "r", "t7"), ("a", "r", "b")], EDGES)
     count = lambda v, f: tuple(overlay.ingest_report(overlay.ingest(nodes, entities, edges, v, f)).first())
     assert count("private", "red") == (1, 2, 1, 1)
     assert count("shared", None) == (1, 2, 1, 1)
