@@ -9,8 +9,9 @@ output always gives back every turn.
 
 A conversation's examples are prefixes of one rendered string, made one at a time. Defined
 results: null texts and roles are empty; turns are ordered by (turn, role, text), null turns
-first; repeated rows stay; null conversation ids form one conversation; an empty table gives
-an empty result.
+first; repeated rows stay; null conversation ids form one conversation; other columns are not
+carried, whatever their names; a conversation is one prompt, so all of it must fit a task; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

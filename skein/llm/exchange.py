@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import textops as X
-from skein.scratch import settle
+from skein.scratch import stable
 
 GROUP_BYTES = 2 << 20
 PLAIN = 64 << 30
@@ -30,10 +30,8 @@ PACKED = "g long, ids binary, lengths binary, blob binary"
 
 
 def scan_order(docs: DataFrame) -> DataFrame:
-    """docs itself if its plan only scans, filters and projects; else its rows written and read."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    simple = all(line.lstrip(" +-:").split(" ")[0].split("[")[0] in ("Project", "Filter", "Relation", "RelationV2") for line in plan.strip().splitlines())
-    return docs if simple else settle(docs)
+    """docs itself if it can be read again in the same order; else its rows written and read."""
+    return stable(docs)
 
 
 def sizing(docs: DataFrame, mb: int = 8) -> tuple[int, int]:

@@ -244,6 +244,23 @@ def test_index_parts_keep_to_their_bytes(spark):
     assert one == many and any(x[2] for x in one)
 
 
+def test_very_long_texts(spark):
+    """Texts over the two MB of a group stand alone in one and are read whole."""
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(r.choice(words) for _ in range(420_000))
+    tail = " ".join(r.choice(words) for _ in range(60))
+    rows = [(1, long + " " + tail), (2, "short text"), (3, tail)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    assert len(long) > 2 << 20
+    p = got(passages.report(d), "n_words", "n_removed")
+    assert p == {1: (420_060, 60), 2: (2, 0), 3: (60, 60)}
+    s = got(suffixes.report(d), "n_bytes", "n_removed")
+    assert s[1] == (len(rows[0][1]), 0) and s[3] == (len(tail), len(tail))
+    j = got(jaccard.report(d), "n_shingles", "component_id")
+    assert j[1][1] == 1 and j[3] == (57, 3)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for t in range(200):
