@@ -114,13 +114,7 @@ def edit_cycle(symbols: DataFrame, edges: DataFrame, edited: DataFrame, hops: in
     outside = into.join(symbols.select(F.col("node").alias("src"), F.col("file").alias("_from")), "src").where("_from <> file")
     advised = outside.groupBy("file").agg(F.array_sort(F.collect_set("name")).alias("advised"), F.array_sort(F.collect_set("_from")).alias("files"))
     seeds = own.select(F.concat_ws("\x1f", "file", "name").alias("key"), "node", "file")
-    walk = seeds.select("key", "node")
-    limit = seeds.select("key", "file").distinct()
-    if fan_limit is not None:
-        fan = graph.fan_in(edges, walk)
-        walk = walk.join(fan, "key").select("key", "node", F.when(F.col("fan") > fan_limit, 1).otherwise(hops).alias("hops"))
-    reached = [graph.reach(edges, walk, way, hops, ("key",)) for way in ("callers", "callees")]
-    found = reached[0].unionByName(reached[1]).join(limit, "key").select("file", "node").distinct()
+    found = graph.bounded_reach(edges, seeds.select("key", "node"), hops, fan_limit).join(seeds.select("key", "file").distinct(), "key").select("file", "node").distinct()
     frontier = found.join(own.select("file", "node"), ["file", "node"], "left_anti").groupBy("file").agg(F.count(F.lit(1)).alias("frontier"))
     out = files.join(own.groupBy("file").agg(F.count(F.lit(1)).alias("symbols")), "file", "left").join(advised, "file", "left").join(frontier, "file", "left").fillna(0, ["symbols", "frontier"])
     none = F.array().cast("array<string>")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.scratch import settle, stable
+from skein.scratch import is_scan, settle
 
 
 def next_edges(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
@@ -40,24 +40,29 @@ def graph_stats(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return symbols.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
 
 
-def directed(edges: DataFrame, direction: str) -> DataFrame:
-    """(src, dst) to follow: `callees` forward, `callers` backward, `both` undirected."""
-    forward = edges.select("src", "dst")
-    backward = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return (forward if direction == "callees" else backward if direction == "callers" else forward.unionByName(backward)).distinct()
+def directed(edges: DataFrame, direction: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, src, dst) to follow: `callees` forward, `callers` backward, `both` undirected. Parallel edges stay."""
+    forward = edges.select(*by, "src", "dst")
+    backward = edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return forward if direction == "callees" else backward if direction == "callers" else forward.unionByName(backward)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, direction: str = "callees", hops: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+def read_often(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges fit to be read in every hop: as they are if they come straight from files, else made once without parallel ones."""
+    out = edges.select(*by, "src", "dst")
+    return out if is_scan(out) else settle(out.distinct())
+
+
+def reach(edges: DataFrame, seeds: DataFrame, direction: str = "callees", hops: int = 5, keys: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """(keys, node, distance) of every node within `hops` of the seeds (keys, node [, hops]), seeds left out.
 
     With keys, each key's seeds are walked apart in the same joins; a seed column `hops` bounds
-    a key's own walk. The loop ends early when no walk finds anything new."""
+    a key's own walk. Keys named in `by` are columns of the edges too: such a walk follows its own
+    edges only. The loop ends early when no walk finds anything new. Parallel edges cost nothing
+    but the read, since each hop keeps a node once."""
     if hops < 1:
         return seeds.select(*keys, "node").where("false").withColumn("distance", F.lit(0))
-    step = directed(edges, direction)
-    if hops > 1:  # every hop reads the edges: they are made once
-        step = settle(step)
-    step = step.withColumnsRenamed({"src": "_from", "dst": "_to"})
+    step = directed(read_often(edges, by) if hops > 1 else edges, direction, by).withColumnRenamed("dst", "_to").withColumnRenamed("src", "node")
     limit = [c for c in ("hops",) if c in seeds.columns]
     start = seeds.select(*keys, "node", *limit).distinct()
     if limit:
@@ -65,9 +70,8 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "callees", hops:
     frontier = seen = settle(start.withColumn("distance", F.lit(0)))
     for hop in range(1, hops + 1):
         live = frontier.where(F.col("hops") >= hop) if limit else frontier
-        found = live.join(step, F.col("node") == F.col("_from")).select(*keys, F.col("_to").alias("node"), *limit).distinct()
-        if limit:
-            found = found.groupBy(*keys, "node").agg(F.max("hops").alias("hops"))
+        found = live.select(*keys, "node", *limit).join(step, [*by, "node"]).select(*keys, F.col("_to").alias("node"), *limit)
+        found = found.groupBy(*keys, "node").agg(F.max("hops").alias("hops")) if limit else found.distinct()
         frontier = settle(found.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("distance", F.lit(hop)))
         if frontier.isEmpty():
             break
@@ -75,6 +79,16 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "callees", hops:
     return seen.where("distance > 0").select(*keys, "node", "distance")
 
 
+def ways(edges: DataFrame) -> DataFrame:
+    """(way, src, dst): the edges forward as callees and backward as callers, made once for walks of both kinds."""
+    forward = edges.select(F.lit("callees").alias("way"), "src", "dst")
+    return settle(forward.unionByName(edges.select(F.lit("callers").alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+
+
+def both_ways(seeds: DataFrame) -> DataFrame:
+    return seeds.withColumn("way", F.explode(F.array(F.lit("callers"), F.lit("callees"))))
+
+
 def impact(edges: DataFrame, symbols: DataFrame, name: str, hops: int = 5) -> DataFrame:
     """Callers of all symbols called `name`, directly or not: node, name, file, distance, via and tier."""
     found = reach(edges, symbols.where(F.col("name") == name).select("node"), "callers", hops)
@@ -94,23 +108,28 @@ def blast_radius(reached: DataFrame, edited_file: str, language: str) -> DataFra
 
 def fan_in(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(key, fan): neighbours at one hop in either direction of each key's seeds (key, node)."""
-    edges = stable(edges)
-    both = [reach(edges, seeds, d, 1, ("key",)) for d in ("callers", "callees")]
-    counted = both[0].unionByName(both[1]).groupBy("key").agg(F.count(F.lit(1)).alias("fan"))
+    return _fan(ways(edges), seeds)
+
+
+def _fan(both: DataFrame, seeds: DataFrame) -> DataFrame:
+    counted = reach(both, both_ways(seeds), "callees", 1, ("key", "way"), ("way",)).groupBy("key").agg(F.count(F.lit(1)).alias("fan"))
     return seeds.select("key").distinct().join(counted, "key", "left").fillna(0, ["fan"])
 
 
+def bounded_reach(edges: DataFrame, seeds: DataFrame, hops: int, fan_limit: int | None) -> DataFrame:
+    """(key, way, node, distance) from each key's seeds in both directions, one hop only for keys whose fan is over the limit."""
+    both, walk = ways(edges), seeds
+    if fan_limit is not None:
+        walk = seeds.join(_fan(both, seeds), "key").select("key", "node", F.when(F.col("fan") > fan_limit, 1).otherwise(hops).alias("hops"))
+    return reach(both, both_ways(walk), "callees", hops, ("key", "way"), ("way",))
+
+
 def frontier(edges: DataFrame, seeds: DataFrame, hops: int = 5, fan_limit: int | None = None) -> DataFrame:
     """(node, distance): what the changed keys' seeds (key, node) touch in either direction.
 
     Keys whose fan is over fan_limit go one hop only. Nodes that are a seed of any key are left
     out; a node that several keys or directions reach has its least distance."""
-    edges, bounded = stable(edges), seeds
-    if fan_limit is not None:
-        fan = fan_in(edges, seeds)
-        bounded = seeds.join(fan, "key").select("key", "node", F.when(F.col("fan") > fan_limit, 1).otherwise(hops).alias("hops"))
-    found = [reach(edges, bounded, d, hops, ("key",)) for d in ("callers", "callees")]
-    whole = found[0].unionByName(found[1]).groupBy("node").agg(F.min("distance").alias("distance"))
+    whole = bounded_reach(edges, seeds, hops, fan_limit).groupBy("node").agg(F.min("distance").alias("distance"))
     return whole.join(seeds.select("node").distinct(), "node", "left_anti")
 
 
@@ -256,7 +275,7 @@ def external_callers(edges: DataFrame, symbols: DataFrame, file: str) -> DataFra
 
 def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, score): personalised PageRank from the seeds, a fixed number of rounds."""
-    step = directed(edges, "callees")
+    step = directed(edges, "callees").distinct()
     out = step.groupBy("src").agg(F.count(F.lit(1)).alias("fan"))
     step = settle(step.join(out, "src"))
     base = settle(seeds.select("node").distinct().crossJoin(F.broadcast(seeds.select("node").distinct().agg((1 / F.count(F.lit(1))).alias("score")))))
