@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import chat, decontaminate, jaccard, licences, lines, mixing, passages, suffixes, topk, toxicity
+from skein.llm import chat, decontaminate, divergence, jaccard, licences, lines, mixing, passages, personal, suffixes, topk, toxicity, whitening
 
 
 def _bind(report: Callable, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,8 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": _bind(decontaminate.report, "documents", "benchmark"),
         "op9_toxicity": _bind(toxicity.report, "documents", "labels"),
         "op10_chat": _bind(chat.report, "conversations"),
+        "op11_whitening": _bind(whitening.report, "embeddings"),
+        "op12_personal": _bind(personal.report, "documents"),
+        "op13_divergence": _bind(divergence.report, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_passages": passages.SQL, "op3_topk": topk.SQL, "op4_suffixes": suffixes.SQL, "op5_lines": lines.SQL, "op6_jaccard": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL}
+    return {"op2_passages": passages.SQL, "op3_topk": topk.SQL, "op4_suffixes": suffixes.SQL, "op5_lines": lines.SQL, "op6_jaccard": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL, "op13_divergence": divergence.SQL}
