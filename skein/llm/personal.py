@@ -10,7 +10,7 @@ against it. Base spans stay whatever their score; added ones need `least`.
 All in SQL functions over one row: split() gives the text between a pattern's matches and
 regexp_extract_all() the matches, so a running sum of lengths gives places in code points. Nothing
 is shuffled, and a row's work is linear in its text: patterns only start where a run begins, never
-go back into what they have read, and the running sum is kept in blocks. Where a card's pattern would match a
+go back into what they have read, and sums are made block by block. Where a card's pattern would match a
 longer run of digits, it proposes nothing: a run of another length fails its check whole.
 
 Defined results: a null text is empty and has no spans; spans of one kind do not overlap, those of two kinds
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OUT = ("spans",)
-BLOCK = 256
+BLOCK = 64
 SPAN = "struct<kind:string,start:int,end:int,score:double,base:boolean>"
 
 
@@ -80,26 +80,39 @@ ORDER = ("email", "ip", "card", "phone", "iban")
 CONTEXT = 0.3
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def sums_before(values: Column, depth: int = 2) -> Column:
+    """Of each place of an array of numbers, the sum of all before it: blocks of BLOCK, their sums in the same way."""
+    add = lambda v, first, many: F.aggregate(F.slice(v, first, many), F.lit(0), lambda acc, x: acc + x)
+    if not depth:
+        return F.transform(values, lambda _, i: add(values, F.lit(1), i))
+    block = lambda i: F.call_function("div", i, F.lit(BLOCK)).cast("int")
+    heads = F.when(F.size(values) > 0, F.sequence(F.lit(0), block(F.size(values) - 1))).otherwise(F.array().cast("array<int>"))
+    sums = F.transform(heads, lambda b: add(values, b * BLOCK + 1, F.lit(BLOCK)))
+    return bound(sums, lambda s: bound(sums_before(s, depth - 1), lambda tops: F.transform(values, lambda _, i: F.get(tops, block(i)) + add(values, block(i) * BLOCK + 1, i % BLOCK))))
+
+
 def _placed(text: Column, pattern: str) -> Column:
     """The matches in order: start, end, match, and the text before and after it, up to the next match."""
-    none = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(f"array<{none}>").alias("full"), F.array().cast(none).alias("open"))
-
-    def add(acc, x):
-        begin = acc.at + F.length(x.before)
-        item = F.struct(begin.alias("start"), (begin + F.length(x.m)).alias("end"), x.m.alias("m"), x.before.alias("before"), x.after.alias("after"))
-        # an append copies its array: blocks keep that short
-        whole = F.size(acc.open) == BLOCK
-        full = F.when(whole, F.array_append(F.coalesce(acc.full, F.array().cast(f"array<{none}>")), acc.open)).otherwise(acc.full)
-        return F.struct(item.end.alias("at"), full.alias("full"), F.when(whole, F.array(item)).otherwise(F.array_append(acc.open, item)).alias("open"))
-
-    def places(found):
-        gaps = F.split(text, pattern, -1)  # one more than the matches
-        parts = F.transform(F.array(gaps), lambda g: F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(g, i).alias("before"), F.get(g, i + 1).alias("after"))))[0]
-        whole = F.aggregate(parts, start, add, lambda acc: F.flatten(F.array_append(F.coalesce(acc.full, F.array().cast(f"array<{none}>")), acc.open)))
-        return F.when(F.size(found) > 0, whole).otherwise(F.array().cast(none))
-
-    return F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), places)[0]
+    none = F.array().cast("array<struct<start:int,end:int,m:string,before:string,after:string>>")
+
+    def item(gaps, starts):
+        def one(m, i):
+            begin = F.get(starts, i) + F.length(F.get(gaps, i))
+            return F.struct(begin.alias("start"), (begin + F.length(m)).alias("end"), m.alias("m"), F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after"))
+
+        return one
+
+    def places(found, gaps):
+        steps = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+        return bound(steps, lambda v: bound(sums_before(v), lambda starts: F.transform(found, item(gaps, starts))))
+
+    # one gap more than there are matches
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, bound(F.split(text, pattern, -1), lambda gaps: places(found, gaps))).otherwise(none))
 
 
 def _scored(text: Column, kind: Kind, near: int, least: float) -> Column:
