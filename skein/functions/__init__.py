@@ -102,21 +102,47 @@ def introduced(*texts: Column) -> Column:
     return F.concat_ws("\n", *texts)
 
 
+# Which words of a command name what it does, and the marks of a line that is more than one action.
+UNIT_VERBS = ("start", "stop", "restart", "reload", "enable", "disable", "mask", "unmask", "kill", "status")
+REMOTE_VERBS = ("clone", "push", "pull", "fetch")
+CONTAINER_VERBS = ("start", "stop", "restart", "exec", "destroy", "rm", "kill", "reboot")
+COMPOUND = r"[|;`><]|&&|\$\("
+
+
+def host_of(word: Column) -> Column:
+    """The host of `user@host`, `host.domain` or either before `:path`; null for flags, local paths and bare words."""
+    side = F.substring_index(word, ":", 1)
+    host = F.substring_index(side, "@", -1)
+    return F.when(~word.startswith("-") & (host != "") & ~side.contains("/") & (side.contains("@") | host.contains(".")), host)
+
+
 def command(text: Column) -> Column:
-    """struct<verb, target, class> of a simple shell command; null for compound ones and unknown verbs."""
-    bare = F.trim(text)
-    compound = bare.rlike(r"[;&|<>`\n]|\$\(")
-    words = F.transform(F.split(bare, r"\s+"), lambda w: F.regexp_replace(w, "^[\"']+|[\"']+$", ""))
-    words = F.filter(words, lambda w: ~w.rlike(r"^(-|\w+=)") & (w != "sudo"))
-    verb = basename(F.try_element_at(words, F.lit(1)))
-    target = F.when(F.size(words) > 1, F.element_at(words, -1))
-    kind = (
-        F.when(verb.isin("cat", "less", "head", "tail", "ls", "grep", "rg", "find", "wc"), "read")
-        .when(verb.isin("rm", "rmdir", "unlink", "shred"), "delete")
-        .when(verb.isin("cp", "mv", "touch", "mkdir", "tee", "install", "ln"), "write")
-        .when(verb.isin("chmod", "chown"), "permission")
-        .when(verb.isin("git", "gh"), "vcs")
-        .when(verb.isin("curl", "wget", "ssh", "scp", "rsync"), "network")
-        .when(verb.isin("make", "cargo", "npm", "pip", "python", "pytest", "go"), "build")
+    """struct<verb, target, class> of a shell command whose target is certain from its syntax. All others, compound lines
+    among them, are class `unknown` without verb and target."""
+    words = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: F.regexp_replace(w, "^[\"']+|[\"']+$", "")), lambda w: w != "")
+    word = lambda at: F.coalesce(F.try_element_at(words, F.lit(at)), F.lit(""))
+    program, rest = F.substring_index(word(1), "/", -1), F.slice(words, 2, 1 << 20)
+    plain = lambda ws: F.filter(ws, lambda w: ~w.startswith("-"))
+    # ssh, scp: the first operand that names a host
+    host = F.try_element_at(F.filter(F.transform(rest, host_of), lambda h: h.isNotNull()), F.lit(1))
+    # ansible: an explicit limit only, in either spelling
+    limits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.get(words, i + 1).alias("next"), i.alias("i"))), lambda x: (x.i > 0) & (x.w.isin("-l", "--limit") | x.w.startswith("--limit=")))
+    first = F.try_element_at(limits, F.lit(1))
+    limit = F.regexp_replace(F.when(first["w"].startswith("--limit="), F.substring(first["w"], 9, 1 << 20)).otherwise(first["next"]), "^,+|,+$", "")
+    verb, operand = F.try_element_at(plain(rest), F.lit(1)), F.try_element_at(plain(rest), F.lit(2))
+    unit = F.when(verb.isin(*UNIT_VERBS), F.regexp_replace(operand, r"(?:\.service)+$", ""))
+    url = F.try_element_at(plain(F.slice(words, 3, 1 << 20)), F.lit(1))
+    name = F.regexp_extract(F.regexp_replace(F.regexp_replace(url, "/+$", ""), r"(?:\.git)+$", ""), "[^/:]*$", 0)
+    repo = F.when(word(2).isin(*REMOTE_VERBS) & (name != ""), name)
+    container = F.when(verb.isin(*CONTAINER_VERBS), operand)
+    known = lambda target, verb, kind: F.when(target.isNotNull(), F.struct(verb.alias("verb"), target.alias("target"), F.lit(kind).alias("class")))
+    found = (
+        F.when(F.coalesce(text, F.lit("")).rlike(COMPOUND), None)
+        .when(program.isin("ssh", "scp"), known(host, program, "host"))
+        .when(program.isin("ansible", "ansible-playbook"), known(limit, program, "host"))
+        .when(program == "systemctl", known(unit, verb, "service"))
+        .when(program == "git", known(repo, word(2), "repo"))
+        .when(program.isin("pct", "docker", "podman"), known(container, verb, "container"))
     )
-    return F.when(~compound & kind.isNotNull(), F.struct(verb.alias("verb"), target.alias("target"), kind.alias("class")))
+    nothing = F.struct(F.lit(None).cast("string").alias("verb"), F.lit(None).cast("string").alias("target"), F.lit("unknown").alias("class"))
+    return F.coalesce(found, nothing)

@@ -35,22 +35,33 @@ def hazards(steps: DataFrame, dead_ends: DataFrame) -> DataFrame:
     return steps.select("run_id", "step", signature(F.col("action_kind"), F.col("target_class")).alias("sig")).join(notes, "sig").select("run_id", "step", "sig", "note")
 
 
-def check(steps: DataFrame, path: dict | None, grammar: str, plan_mode: bool = False) -> DataFrame:
-    """(run_id, outcome, effect, matched, deviation, last): a run against a path
-    {name, grammar, pattern, level, deny}. No path or another grammar refuses; a step without a
-    kind cannot be evaluated; deny needs a blessed path that opts in, and a plan that deviates."""
+def check(steps: DataFrame, paths: list[dict], follows: str, grammar: str, mode: str = "plan", deny_opt_in: bool = False) -> DataFrame:
+    """(run_id, outcome, effect, matched, deviation, last, unevaluated, hazards, reason): each run against the path that it follows, of
+    paths {path, grammar, pattern, level, dead_ends: [(sig, note)]}. No paths, an unknown one and another grammar refuse.
+
+    Steps without a kind neither match nor deviate: they are listed in unevaluated. hazards are (step, note) of steps on a
+    dead end, the first note of each. deviation is the pattern index that found no step and last the step matched before it:
+    only a whole plan (mode `plan`) has them, a run in progress never deviates. A deviation from a blessed path denies where that is opted in;
+    any other deviation and any hazard warn."""
     rows = runs(steps)
-    nulls = [F.lit(None).cast("int").alias(c) for c in ("matched", "deviation", "last")]
+    path = next((p for p in paths if p["path"] == follows), None)
+    held = "array<struct<step:int,note:string>>"
     if path is None or path["grammar"] != grammar:
-        reason = "unknown path" if path is None else "other grammar"
-        return rows.select("run_id", F.lit("refused").alias("outcome"), F.lit("none").alias("effect"), *nulls, F.lit(reason).alias("reason"))
-    want = path["pattern"]
-    found = rows.withColumn("m", conformance(F.col("sigs"), want)).withColumn("odd", F.exists("sigs", lambda s: s.isNull()))
-    whole = F.col("m.matched") == len(want)
-    deviates = ~whole
-    strong = path.get("level") == "blessed" and path.get("deny", False) and plan_mode
-    effect = F.when(F.col("odd") | whole, "none").otherwise(F.lit("deny" if strong else "warn"))
+        reason = "empty registry" if not paths else "unknown path" if path is None else "other grammar"
+        nulls = [F.lit(None).cast("int").alias(c) for c in ("matched", "deviation", "last")]
+        return rows.select("run_id", F.lit("refused").alias("outcome"), F.lit(None).cast("string").alias("effect"), *nulls, F.array().cast("array<int>").alias("unevaluated"), F.array().cast(held).alias("hazards"), F.lit(reason).alias("reason"))
+    want, notes = path["pattern"], {}
+    for sig, note in path.get("dead_ends", []):
+        notes.setdefault(sig, note)
+    each = F.transform("sigs", lambda s, i: F.struct(s.alias("sig"), i.cast("int").alias("step")))
+    note_of = F.create_map(*(F.lit(x) for kv in notes.items() for x in kv)) if notes else F.create_map().cast("map<string,string>")
+    found = rows.withColumn("m", conformance(F.col("sigs"), want))
+    found = found.withColumn("unevaluated", F.transform(F.filter(each, lambda x: x.sig.isNull()), lambda x: x.step))
+    found = found.withColumn("hazards", F.transform(F.filter(each, lambda x: x.sig.isin(*notes)), lambda x: F.struct(x.step.alias("step"), note_of[x.sig].alias("note"))).cast(held))
+    off = (F.col("m.matched") < len(want)) if mode == "plan" else F.lit(False)
+    strong = path.get("level") == "blessed" and deny_opt_in
+    effect = F.when(off, "deny" if strong else "warn").when(F.size("hazards") > 0, "warn").otherwise("none")
     return found.select(
-        "run_id", F.when(F.col("odd"), "unevaluated").when(whole, "conforms").otherwise("deviates").alias("outcome"), effect.alias("effect"),
-        F.col("m.matched").alias("matched"), F.when(deviates, F.col("m.matched")).alias("deviation"), F.col("m.last").alias("last"), F.lit(None).cast("string").alias("reason"),
+        "run_id", F.lit("evaluated").alias("outcome"), effect.alias("effect"), F.col("m.matched").alias("matched"), F.when(off, F.col("m.matched")).alias("deviation"),
+        F.when(off, F.col("m.last")).alias("last"), "unevaluated", "hazards", F.lit(None).cast("string").alias("reason"),
     )

@@ -159,27 +159,39 @@ def scope_ladder(requests: DataFrame, declared: DataFrame, parents: DataFrame, o
     return out.select("item", "path", rung.alias("rung"), F.coalesce(F.array_contains(paths, F.col("path")), F.lit(False)).alias("inside"), (rung == "declared").alias("decides"))
 
 
+# Classes, effects, points and layers of governed rules, and the modes from weak to strong.
+CLASSES = ("hard", "soft", "escalation")
 BLOCKING_CLASSES = ("hard", "escalation")
-LAYERS = ("advisory", "client", "daemon", "server")
+QUIET_EFFECTS = ("warn", "record", "allow", "throttle")
+POINTS = ("PAG", "ATM", "PAA", "tool_layer", "policy_layer")
+BEFORE_EDIT = "PAG"
+LAYERS = ("orchestration", "tool", "policy")
+HOOK_LAYER = "orchestration"
+MODES = ("off", "advise", "enforce")
 
 
-def blocks(class_: Column, effect: Column, ceiling_: Column) -> Column:
-    """Does a rule block: by its class, or by its effect where it has none, and only as far as the mode goes."""
-    wants = F.when(class_.isNotNull(), class_.isin(*BLOCKING_CLASSES)).otherwise(F.coalesce(effect == "deny", F.lit(False)))
-    return wants & (ceiling_ == "enforce")
+def blocks(class_: Column, effect: Column, mode: Column, point: Column | None = None) -> Column:
+    """Does a rule block an edit: only under enforce, by its class, or where that is not declared by its effect; an effect that
+    is not known blocks, the careful direction. A rule declared for another point than before the edit does not fire here."""
+    wants = F.when(F.coalesce(class_.isin(*CLASSES), F.lit(False)), class_.isin(*BLOCKING_CLASSES)).otherwise(F.coalesce(~effect.isin(*QUIET_EFFECTS), F.lit(True)))
+    here = F.lit(True) if point is None else before_edit(point)
+    return wants & here & F.coalesce(mode == "enforce", F.lit(False))
 
 
-def overclaim(declared: Column, actual: Column) -> Column:
+def before_edit(point: Column) -> Column:
+    """Rules without a declared point, or with one that is not known, fire before the edit too."""
+    return F.coalesce(~point.isin(*POINTS) | (point == BEFORE_EDIT), F.lit(True))
+
+
+def overclaim(declared: Column, actual: Column | None = None) -> Column:
     """A rule said to be held at a stronger layer than it is; unknown layers claim nothing."""
     rank = lambda c: F.array_position(F.array(*map(F.lit, LAYERS)), c)
+    actual = F.lit(HOOK_LAYER) if actual is None else actual
     return F.coalesce((rank(declared) > 0) & (rank(actual) > 0) & (rank(declared) > rank(actual)), F.lit(False))
 
 
-MODES = ("observe", "advise", "enforce")
-
-
 def outcome(mode: Column, rung: Column) -> Column:
-    """The weaker of mode and what the rung allows."""
+    """The weaker of mode and what the rung allows; a mode that is not known is off."""
     rank = lambda c: F.when(c == "enforce", 2).when(c == "advise", 1).otherwise(0)
     cap = F.when(rung == "declared", 2).when(rung.isin("derived", "observed"), 1).otherwise(0)
     return F.element_at(F.array(*map(F.lit, MODES)), F.least(rank(mode), cap) + 1)

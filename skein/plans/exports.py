@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein import functions as fn
-from skein.operators import docs, extract
+from skein.operators import docs, extract, rules
 from skein.plans.tables import read
 
 
@@ -82,13 +82,35 @@ def mention_links(spark, d):
     return docs.mention_links(mentions, symbols)
 
 
-def commands(spark, d):
-    ev = read(spark, d, "events", "event_id", "user_id", "event_type")
-    u = F.col("user_id").cast("string")
-    text = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("rm -rf /tmp/"), u)).when(F.col("event_id") % 5 == 1, F.concat(F.lit("cat "), u, F.lit(" | sh"))).when(F.col("event_id") % 5 == 2, F.concat(F.lit("sudo chmod 644 f"), u)).when(F.col("event_id") % 5 == 3, F.lit("frobnicate x")).otherwise(F.concat(F.lit("X=1 /usr/bin/curl http://h/"), u))
+#: (command, verb, target, class) with the user in place of U: what resolves, and what must not.
+COMMANDS = (
+    ("ssh -o Batch=yes root@webU.example", "ssh", "webU.example", "host"), ("scp ./b nodeU.example:/opt/x", "scp", "nodeU.example", "host"), ("/usr/bin/ssh 'op@hU'", "ssh", "hU", "host"), ("ssh hU", None, None, "unknown"),
+    ("ansible-playbook site.yml --limit hU,", "ansible-playbook", "hU", "host"), ("ansible all -l hU -m ping", "ansible", "hU", "host"), ("ansible groupU -m ping", None, None, "unknown"), ("systemctl --now restart svcU.service", "restart", "svcU", "service"), ("systemctl frob svcU", None, None, "unknown"),
+    ("git push git@h:team/rU.git main", "push", "rU", "repo"), ("git clone https://h/team/rU/", "clone", "rU", "repo"), ("git commit -m U", None, None, "unknown"), ("docker --debug stop cU", "stop", "cU", "container"), ("pct exec U & date", "exec", "U", "container"), ("docker ps U", None, None, "unknown"),
+    ("ssh root@webU.example | tee log", None, None, "unknown"), ("echo $(ssh root@webU.example)", None, None, "unknown"), ("cat U", None, None, "unknown"), ("", None, None, "unknown"),
+)
+
+
+def _commands(spark, d):
+    ev = read(spark, d, "events", "event_id", "user_id")
+    text = F.replace(F.element_at(F.array(*(F.lit(c[0]) for c in COMMANDS)), (F.col("event_id") % len(COMMANDS) + 1).cast("int")), F.lit("U"), F.col("user_id").cast("string"))
     return ev.select("event_id", fn.command(text).alias("c")).select("event_id", "c.verb", "c.target", "c.class")
 
 
+def commands(spark, d):
+    return _commands(spark, d)
+
+
+def action_scope(spark, d):
+    """Commands as class:target in a tenant's scope of targets; what names no target is not judged."""
+    c = _commands(spark, d).where("target IS NOT NULL").withColumn("action", F.concat_ws(":", "class", "target"))
+    return c.select("event_id", "action", rules.in_scope(F.col("action"), ["host:web1*", "repo:*", "service:svc?"], ["*:r13"]).alias("inside"))
+
+
+_COMMAND_ROWS = ", ".join(f"({i}, " + ", ".join("NULL" if x is None else f"'{x}'" for x in c[1:]) + ")" for i, c in enumerate(COMMANDS))
+_COMMANDS_SQL = f"""co AS (SELECT event_id, v.verb, replace(v.target, 'U', user_id::VARCHAR) AS target, v.class FROM events JOIN (VALUES {_COMMAND_ROWS}) AS v(n, verb, target, class) ON v.n = event_id % {len(COMMANDS)})"""
+
+
 PATHS = ("mod.rs", "__init__.py", "main.go", "x.min.js", "index.ts", "a.mjs", "b.jsx", "types.pyi", "v.hxx", "notes.md", "dist/out.cts", "vendored/lib.c", "thirdparty/z.cc", "myvendor/q.java", "bundle-min.css", "x.min", ".rs", "Upper.RS")
 
 
@@ -126,7 +148,7 @@ def _sources(spark, d):
     return p.select(rel.alias("rel"), text.alias("source"), fn.language(rel).alias("language"))
 
 
-QUERIES = {f.__name__: f for f in (slug_unique, doc_sections, triples_export, turtle_lines, shape_violations, shape_conforms, chunk_assignment, iri_dedupe, mention_links, commands, stems, extracted_symbols, extracted_calls)}
+QUERIES = {f.__name__: f for f in (slug_unique, doc_sections, triples_export, turtle_lines, shape_violations, shape_conforms, chunk_assignment, iri_dedupe, mention_links, commands, action_scope, stems, extracted_symbols, extracted_calls)}
 
 _TRI = """tr AS (SELECT 'urn:r:' || r_regionkey AS s, 'rdf:type' AS p, 'geo:Region' AS o, 'iri' AS o_kind FROM region UNION SELECT 'urn:n:' || n_nationkey, 'rdf:type', 'geo:Nation', 'iri' FROM nation
  UNION SELECT 'urn:n:' || n_nationkey, 'geo:name', n_name, 'literal' FROM nation UNION SELECT 'urn:n:' || n_nationkey, 'geo:in', 'urn:r:' || n_regionkey, 'iri' FROM nation
@@ -148,6 +170,7 @@ ORACLES = {
     "iri_dedupe": "SELECT p_brand || '/' || p_size AS iri, min(p_partkey) AS p_partkey, arg_min(p_type, p_partkey) AS kind, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS kinds FROM part GROUP BY 1",
     "mention_links": """WITH s AS (SELECT p_partkey AS node, p_size, replace(p_brand, '#', '_') AS stem FROM part), m AS (SELECT p_partkey AS mention, p_size, CASE WHEN p_partkey % 2 = 0 THEN replace(p_brand, '#', '_') END AS q FROM part)
         SELECT mention, node FROM m JOIN s USING (p_size) WHERE q IS NULL OR stem = q""",
-    "commands": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'rm' WHEN 2 THEN 'chmod' WHEN 4 THEN 'curl' END AS verb, CASE event_id % 5 WHEN 0 THEN '/tmp/' || user_id WHEN 2 THEN 'f' || user_id WHEN 4 THEN 'http://h/' || user_id END AS target, CASE event_id % 5 WHEN 0 THEN 'delete' WHEN 2 THEN 'permission' WHEN 4 THEN 'network' END AS class FROM events",
+    "commands": f"WITH {_COMMANDS_SQL} SELECT * FROM co",
+    "action_scope": f"""WITH {_COMMANDS_SQL} SELECT event_id, class || ':' || target AS action, NOT target = 'r13' AND (class = 'host' AND target LIKE 'web1%' OR class = 'repo' OR class = 'service' AND length(target) = 4) AS inside FROM co WHERE target IS NOT NULL""",
     "stems": """SELECT p_partkey, 'a/b' || p_size || '/' || v.path AS rel, coalesce(v.stem, 'b' || p_size) AS stem, v.language, v.vendored FROM part JOIN (VALUES (0, 'mod.rs', NULL, 'rust', false), (1, '__init__.py', NULL, 'python', false), (2, 'main.go', 'main', 'go', false), (3, 'x.min.js', 'x.min', 'typescript', true), (4, 'index.ts', NULL, 'typescript', false), (5, 'a.mjs', 'a', 'typescript', false), (6, 'b.jsx', 'b', 'tsx', false), (7, 'types.pyi', 'types', 'python', false), (8, 'v.hxx', 'v', 'cpp', false), (9, 'notes.md', 'notes', NULL, false), (10, 'dist/out.cts', 'out', 'typescript', false), (11, 'vendored/lib.c', 'lib', 'cpp', true), (12, 'thirdparty/z.cc', 'z', 'cpp', true), (13, 'myvendor/q.java', 'q', 'java', false), (14, 'bundle-min.css', 'bundle-min', NULL, true), (15, 'x.min', 'x', NULL, false), (16, '.rs', '.rs', NULL, false), (17, 'Upper.RS', 'Upper', NULL, false)) AS v(n, path, stem, language, vendored) ON v.n = p_partkey % 18""",
 }

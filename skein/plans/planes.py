@@ -26,13 +26,6 @@ def glob_scope(spark, d):
     return _paths(spark, d).select("event_id", "path", rules.scope_decision(F.col("path"), ALLOW, DENY).alias("decision"))
 
 
-def action_scope(spark, d):
-    """The same over class:target."""
-    ev = read(spark, d, "events", "event_id", "user_id", "event_type")
-    t = F.concat_ws(":", "event_type", F.col("user_id").cast("string"))
-    return ev.select("event_id", t.alias("action"), rules.in_scope(t, ["click:*", "view:1*"], ["*:13"]).alias("inside"))
-
-
 def scope_ladder(spark, d):
     ev = _paths(spark, d)
     item = F.col("user_id")
@@ -100,12 +93,15 @@ def mode_outcome(spark, d):
     return ev.select("event_id", mode.alias("mode"), rung.alias("rung"), rules.outcome(mode, rung).alias("outcome"))
 
 
+EFFECTS, DECLARED, PLACES, HELD = ("deny", "warn", "record", "allow", "throttle", "quarantine", None), ("hard", "soft", "escalation", None, "odd"), ("PAG", "PAA", None, "ATM", "later", "policy_layer", "tool_layer"), ("orchestration", "tool", "policy", None, "prompt")
+
+
 def blocking_rules(spark, d):
     p = read(spark, d, "part", "p_partkey", "p_size")
-    class_ = F.element_at(F.array(F.lit("hard"), F.lit("soft"), F.lit(None)), (F.col("p_partkey") % 3 + 1).cast("int"))
-    effect = F.when(F.col("p_partkey") % 2 == 0, "deny").otherwise("warn")
-    layer = lambda n: F.element_at(F.array(*map(F.lit, rules.LAYERS)), (F.col("p_size") % n + 1).cast("int"))
-    return p.select("p_partkey", rules.blocks(class_, effect, F.when(F.col("p_size") > 10, "enforce").otherwise("advise")).alias("blocks"), rules.overclaim(layer(4), layer(3)).alias("overclaim"))
+    of = lambda values, at: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (at % len(values) + 1).cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    said = rules.blocks(of(DECLARED, F.floor(key / 7)), of(EFFECTS, key), of(rules.MODES, size), of(PLACES, F.floor(key / 35)))
+    return p.select("p_partkey", said.alias("blocks"), rules.overclaim(of(HELD, size)).alias("overclaim"), rules.overclaim(of(HELD, size), of(rules.LAYERS, key)).alias("overclaim_there"))
 
 
 def rule_set_digest(spark, d):
@@ -118,12 +114,11 @@ def census_values(spark, d):
     return p.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), "+").alias("ids"), F.count_distinct("p_type").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (glob_scope, action_scope, scope_ladder, text_rules, text_rule_exempt, must_exist_rule, ground_tokens, must_ground, throttle_active, backoff_secs, first_decision, mode_outcome, blocking_rules, rule_set_digest, census_values)}
+QUERIES = {f.__name__: f for f in (glob_scope, scope_ladder, text_rules, text_rule_exempt, must_exist_rule, ground_tokens, must_ground, throttle_active, backoff_secs, first_decision, mode_outcome, blocking_rules, rule_set_digest, census_values)}
 
 _MAIL = MAIL
 ORACLES = {
     "glob_scope": f"WITH {_PATHS} SELECT event_id, path, CASE WHEN path LIKE '%/secret/%' OR path LIKE 'src/1%/%' THEN 'denied' WHEN path LIKE 'src/%' OR path LIKE 'docs/%.md' THEN 'allowed' ELSE 'outside' END AS decision FROM pa",
-    "action_scope": "SELECT event_id, event_type || ':' || user_id AS action, NOT user_id = 13 AND (event_type = 'click' OR event_type = 'view' AND user_id::VARCHAR LIKE '1%') AS inside FROM events",
     "scope_ladder": f"""WITH {_PATHS}, de AS (SELECT DISTINCT user_id AS item, path FROM pa WHERE user_id % 3 = 0 AND event_id % 2 = 0), ob AS (SELECT DISTINCT user_id AS item, path FROM pa WHERE user_id % 3 = 2 AND user_id % 2 = 0 AND event_id % 5 = 0),
         rq AS (SELECT DISTINCT user_id AS item, path, CASE WHEN user_id % 3 = 1 THEN user_id - 1 END AS parent FROM pa),
         g AS (SELECT *, CASE WHEN item IN (SELECT item FROM de) THEN 'declared' WHEN parent IN (SELECT item FROM de) THEN 'derived' WHEN item IN (SELECT item FROM ob) THEN 'observed' ELSE 'unknown' END AS rung FROM rq)
@@ -142,8 +137,11 @@ ORACLES = {
     "first_decision": """WITH f AS (SELECT DISTINCT user_id, event_id % 4 AS plane, 'r' || event_type AS rule, event_id % 50 = 0 AS blocking FROM events)
         SELECT user_id, plane, rule, blocking, (SELECT string_agg(DISTINCT g.rule, '+' ORDER BY g.rule) FROM f g WHERE g.user_id = f.user_id) AS rules FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY blocking DESC, plane, rule) = 1""",
     "mode_outcome": """WITH x AS (SELECT event_id, event_id % 3 AS m, user_id % 4 AS r FROM events)
-        SELECT event_id, ['observe', 'advise', 'enforce'][m + 1] AS mode, ['declared', 'derived', 'observed', 'unknown'][r + 1] AS rung, ['observe', 'advise', 'enforce'][least(m, CASE r WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END) + 1] AS outcome FROM x""",
-    "blocking_rules": "SELECT p_partkey, p_size > 10 AND CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE p_partkey % 2 = 0 END AS blocks, p_size % 4 > p_size % 3 AS overclaim FROM part",
+        SELECT event_id, ['off', 'advise', 'enforce'][m + 1] AS mode, ['declared', 'derived', 'observed', 'unknown'][r + 1] AS rung, ['off', 'advise', 'enforce'][least(m, CASE r WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END) + 1] AS outcome FROM x""",
+    "blocking_rules": """WITH x AS (SELECT p_partkey, ['deny', 'warn', 'record', 'allow', 'throttle', 'quarantine', NULL][p_partkey % 7 + 1] AS e, ['hard', 'soft', 'escalation', NULL, 'odd'][p_partkey // 7 % 5 + 1] AS c, ['off', 'advise', 'enforce'][p_size % 3 + 1] AS m,
+          ['PAG', 'PAA', NULL, 'ATM', 'later', 'policy_layer', 'tool_layer'][p_partkey // 35 % 7 + 1] AS p, [1, 2, 3, NULL, NULL][p_size % 5 + 1] AS held, p_partkey % 3 + 1 AS there FROM part)
+        SELECT p_partkey, m = 'enforce' AND coalesce(p NOT IN ('PAA', 'ATM', 'policy_layer', 'tool_layer'), true) AND CASE WHEN c IN ('hard', 'escalation') THEN true WHEN c = 'soft' THEN false ELSE coalesce(e NOT IN ('warn', 'record', 'allow', 'throttle'), true) END AS blocks,
+               coalesce(held > 1, false) AS overclaim, coalesce(held > there, false) AS overclaim_there FROM x""",
     "rule_set_digest": "SELECT sha256(string_agg(p_name, chr(30) ORDER BY p_name)) AS digest FROM part",
     "census_values": "SELECT p_brand, string_agg(DISTINCT p_type, '+' ORDER BY p_type) AS ids, count(DISTINCT p_type) AS n FROM part GROUP BY 1",
 }

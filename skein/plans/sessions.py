@@ -11,17 +11,27 @@ PATH = ["view/none", "click/none", "purchase/none"]
 
 
 def _steps(spark, d):
+    """Events as steps: some have no kind, and errors lead nowhere for every third user."""
     ev = read(spark, d, "events", "event_id", "ts", "user_id", "event_type")
-    return ev.select(F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("step"), F.col("event_type").alias("action_kind"), F.lit(None).cast("string").alias("target_class"), "event_id")
+    kind = F.when(F.col("event_id") % 11 != 0, F.col("event_type"))
+    target = F.when((F.col("event_type") == "error") & (F.col("user_id") % 3 != 0), "seen")
+    return ev.select(F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("step"), kind.alias("action_kind"), target.alias("target_class"), "event_id")
+
+
+BUY = {"path": "buy", "grammar": "g1", "pattern": PATH * 12, "level": "blessed", "dead_ends": [("error/none", "goes nowhere"), ("error/none", "later note")]}
 
 
 def path_conformance(spark, d):
-    p = {"name": "buy", "grammar": "g1", "pattern": PATH * 12, "level": "blessed", "deny": True}
-    return paths.check(_steps(spark, d), p, "g1", plan_mode=True).select("run_id", "outcome", "effect", "matched", "deviation", "last")
+    """Every run as a plan under a blessed path that may deny, as one that may not, and as a run in progress."""
+    of = lambda mode, deny: paths.check(_steps(spark, d), [BUY], "buy", "g1", mode, deny).withColumn("way", F.lit(f"{mode}-{deny}".lower()))
+    every = of("plan", True).unionByName(of("plan", False)).unionByName(of("progress", True))
+    return every.select("way", "run_id", "outcome", "effect", "matched", "deviation", "last", F.size("unevaluated").alias("unevaluated"), F.size("hazards").alias("hazards"), F.get("hazards", F.lit(0))["note"].alias("note"))
 
 
 def path_refused(spark, d):
-    return paths.check(_steps(spark, d), None, "g1").select("run_id", "outcome", "effect", "reason")
+    tries = [([], "buy", "g1"), ([BUY], "sell", "g1"), ([BUY], "buy", "g2")]
+    every = [paths.check(_steps(spark, d), *t) for t in tries]
+    return every[0].unionByName(every[1]).unionByName(every[2]).select("run_id", "outcome", "effect", "reason")
 
 
 def path_hazards(spark, d):
@@ -91,13 +101,16 @@ def attribution(spark, d):
 QUERIES = {f.__name__: f for f in (path_conformance, path_refused, path_hazards, debounce_batch, session_notice, reread_audit, after_first_gate, concurrent_trees, drop_tally, latency_percentiles, tail_denials, newest_denial, recorded_paths, attribution)}
 
 ORACLES = {
-    "path_refused": "SELECT DISTINCT user_id AS run_id, 'refused' AS outcome, 'none' AS effect, 'unknown path' AS reason FROM events",
-    "path_hazards": "SELECT user_id AS run_id, event_id, 'error/none' AS sig, 'goes nowhere' AS note FROM events WHERE event_type = 'error'",
-    "path_conformance": """WITH RECURSIVE s AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS k FROM events),
+    "path_refused": "SELECT DISTINCT user_id AS run_id, 'refused' AS outcome, NULL::VARCHAR AS effect, unnest(['empty registry', 'unknown path', 'other grammar']) AS reason FROM events",
+    "path_hazards": "SELECT user_id AS run_id, event_id, 'error/none' AS sig, 'goes nowhere' AS note FROM events WHERE event_type = 'error' AND user_id % 3 = 0 AND event_id % 11 <> 0",
+    "path_conformance": """WITH RECURSIVE s AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, CASE WHEN event_id % 11 <> 0 THEN event_type END AS k, user_id % 3 = 0 AS bad FROM events),
         f(run_id, pos, m, last) AS (SELECT DISTINCT run_id, 0, 0, NULL::BIGINT FROM s UNION ALL
           SELECT f.run_id, f.pos + 1, f.m + CASE WHEN f.m < 36 AND s.k = ['view', 'click', 'purchase'][f.m % 3 + 1] THEN 1 ELSE 0 END, CASE WHEN f.m < 36 AND s.k = ['view', 'click', 'purchase'][f.m % 3 + 1] THEN s.pos ELSE f.last END FROM f JOIN s ON s.run_id = f.run_id AND s.pos = f.pos),
-        e AS (SELECT run_id, arg_max(m, pos) AS m, arg_max(last, pos) FILTER (WHERE last IS NOT NULL) AS last FROM f GROUP BY 1)
-        SELECT run_id, CASE WHEN m = 36 THEN 'conforms' ELSE 'deviates' END AS outcome, CASE WHEN m = 36 THEN 'none' ELSE 'deny' END AS effect, m AS matched, CASE WHEN m < 36 THEN m END AS deviation, last FROM e""",
+        e AS (SELECT run_id, arg_max(m, pos) AS m, arg_max(last, pos) FILTER (WHERE last IS NOT NULL) AS last FROM f GROUP BY 1),
+        h AS (SELECT run_id, count(*) FILTER (WHERE k IS NULL) AS n, count(*) FILTER (WHERE k = 'error' AND bad) AS hz FROM s GROUP BY 1),
+        w AS (SELECT unnest(['plan-true', 'plan-false', 'progress-true']) AS way)
+        SELECT way, run_id, 'evaluated' AS outcome, CASE WHEN way <> 'progress-true' AND m < 36 THEN CASE way WHEN 'plan-true' THEN 'deny' ELSE 'warn' END WHEN hz > 0 THEN 'warn' ELSE 'none' END AS effect, m AS matched,
+               CASE WHEN m < 36 AND way <> 'progress-true' THEN m END AS deviation, CASE WHEN m < 36 AND way <> 'progress-true' THEN last END AS last, n AS unevaluated, hz AS hazards, CASE WHEN hz > 0 THEN 'goes nowhere' END AS note FROM e JOIN h USING (run_id), w""",
     "debounce_batch": """WITH m AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 21600000000 THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM m)
         SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS events, max(ts) + INTERVAL 6 HOUR AS due FROM r GROUP BY user_id, run""",

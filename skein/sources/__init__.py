@@ -7,8 +7,10 @@ import re
 import time
 import tomllib
 from collections.abc import Callable
-from dataclasses import dataclass, field, fields, is_dataclass
+from dataclasses import dataclass, field, is_dataclass
 from pathlib import Path
+from types import NoneType, UnionType
+from typing import get_args, get_origin, get_type_hints
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,37 +117,87 @@ def plate(text: str | None, now: float, max_age: float = 4 * 3600) -> str | None
         return None
 
 
+# Tables, keys, defaults and allowed words of the settings file.
 @dataclass
-class Watch:
-    fast_ms: int = 300
-    heavy_ms: int = 1500
+class Freshness:
+    debounce_ms: int = 300
+    heavy_debounce_ms: int = 1500
+    lsp_on: str = "save"
 
 
 @dataclass
-class Sessions:
-    cap: int = 32
-    eviction: str = "lru"
+class Tenancy:
+    max_overlays: int = 32
+    high_fanin_threshold: int = 200
+    overlay_eviction: str = "on_session_close"
 
 
 @dataclass
-class Guard:
-    mode: str = "advise"
-    max_symbols: int | None = None
-    max_files: int | None = None
-    allow: list[str] = field(default_factory=list)
-    deny: list[str] = field(default_factory=list)
+class Serve:
+    bind_address: str = "127.0.0.1"
+    mcp_http_port: int = 3040
+    read_only: bool = False
+    use_daemon: bool = False
+
+
+@dataclass
+class Governed:
+    """The store that rules are projected from and facts promoted to; its table's name is the caller's (`store_table`)."""
+
+    enabled: bool = False
+    promote_on: str = "merge"
+    branch_model: str = "named_graph"
+    shapes_path: str = "shapes/"
+    endpoint: str = ""
+    signing_key_path: str = ""
+    projection_cache_ttl_secs: int = 3600
+
+
+@dataclass
+class PathScope:
+    allow_paths: list[str] = field(default_factory=list)
+    deny_paths: list[str] = field(default_factory=list)
+    max_impacted_symbols: int | None = None
+    max_impacted_files: int | None = None
+    allow_targets: list[str] = field(default_factory=list)
+    deny_targets: list[str] = field(default_factory=list)
+
+
+@dataclass
+class Policy:
+    mode: str = "off"
+    deadline_ms: int = 100
+    notify_on_fail_open: bool = True
+    max_hops: int = 5
+    scopes: dict[str, PathScope] = field(default_factory=dict)
+    rules: list[dict] = field(default_factory=list)
+    verify: bool = False
+    work_item_scope: str = "off"
+    action_scope: str = "off"
+
+
+@dataclass
+class Metrics:
+    record_paths: str = "off"
 
 
 @dataclass
 class Config:
-    watch: Watch = field(default_factory=Watch)
-    sessions: Sessions = field(default_factory=Sessions)
-    guard: Guard = field(default_factory=Guard)
-    fan_limit: int = 200
-    hops: int = 5
+    base_ref: str = "main"
+    enable_lsp: bool = True
+    enable_cpg: bool = False
+    languages: list[str] = field(default_factory=lambda: ["rust", "typescript", "python", "go", "java", "cpp"])
+    freshness: Freshness = field(default_factory=Freshness)
+    tenancy: Tenancy = field(default_factory=Tenancy)
+    serve: Serve = field(default_factory=Serve)
+    store: Governed = field(default_factory=Governed)
+    policy: Policy = field(default_factory=Policy)
+    metrics: Metrics = field(default_factory=Metrics)
 
 
-ENUMS = {("sessions", "eviction"): ("lru", "oldest"), ("guard", "mode"): ("observe", "advise", "enforce")}
+_MODES = ("off", "advise", "enforce")
+ENUMS = {("policy", "mode"): _MODES, ("policy", "work_item_scope"): _MODES, ("policy", "action_scope"): _MODES, ("metrics", "record_paths"): ("off", "relative", "absolute")}
+RULE_KEYS = ("name", "language", "query", "match_type", "pattern")
 
 
 def merged(a: dict, b: dict) -> dict:
@@ -153,28 +205,62 @@ def merged(a: dict, b: dict) -> dict:
     return a | {k: merged(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
 
 
-def config(*texts: str) -> Config:
-    """Defaults under TOML texts, later ones over earlier ones. Unknown keys and enum values are errors."""
+def config(*texts: str, table: str | None = None, store_table: str = "store") -> Config:
+    """Defaults under TOML texts, later ones over earlier ones, table by table. Only `table` of a file counts, where that is given; a
+    text without it changes nothing. Keys that are not known are passed over; values of another type, and words that are not
+    among a setting's, are errors, also in a text that a later one overrules."""
     raw: dict = {}
     for t in texts:
-        raw = merged(raw, tomllib.loads(t))
-    out = Config()
-
-    def fill(target, values: dict, where: tuple) -> None:
-        known = {f.name for f in fields(target)}
+        one = tomllib.loads(t)
+        one = one.get(table, {}) if table else one
+        _filled(one, store_table)
+        raw = merged(raw, one)
+    return _filled(raw, store_table)
+
+
+def _filled(raw: dict, store_table: str) -> Config:
+    def typed(value, hint, where: tuple):
+        said = ".".join(where)
+        if is_dataclass(hint):
+            return fill(hint(), value, where)
+        if get_origin(hint) is UnionType:
+            hint = next(h for h in get_args(hint) if h is not NoneType)
+        if get_origin(hint) is dict:
+            return {k: typed(v, get_args(hint)[1], (*where, k)) for k, v in (value.items() if isinstance(value, dict) else [(None, None)])}
+        if get_origin(hint) is list:
+            if not isinstance(value, list):
+                raise ValueError(f"{said} must be a list")
+            return [typed(v, get_args(hint)[0], where) for v in value]
+        if hint is int and (isinstance(value, bool) or not isinstance(value, int) or value < 0) or not isinstance(value, hint):
+            raise ValueError(f"{said} must be of type {hint.__name__}")
+        if value not in ENUMS.get(where, (value,)):
+            raise ValueError(f"{said} must be one of {', '.join(ENUMS[where])}")
+        if where == ("policy", "rules") and (missing := [k for k in RULE_KEYS if k not in value]):
+            raise ValueError(f"{said} needs {', '.join(missing)}")
+        return value
+
+    def fill(target, values, where: tuple):
+        if not isinstance(values, dict):
+            raise ValueError(f"{'.'.join(where)} must be a table")
+        hints = get_type_hints(type(target))
         for k, v in values.items():
-            if k not in known:
-                raise ValueError(f"unknown setting {'.'.join((*where, k))}")
-            if is_dataclass(getattr(target, k)):
-                fill(getattr(target, k), v, (*where, k))
-                continue
-            allowed = ENUMS.get((*where, k))
-            if allowed and v not in allowed:
-                raise ValueError(f"{'.'.join((*where, k))} must be one of {', '.join(allowed)}")
-            setattr(target, k, v)
+            name = "store" if not where and k == store_table else k
+            if name in hints:
+                setattr(target, name, typed(v, hints[name], (*where, name)))
+        return target
+
+    return fill(Config(), raw, ())
+
 
-    fill(out, raw, ())
-    return out
+def mode_source(user: str | None, project: str | None, table: str | None = None) -> tuple[str, str, bool]:
+    """(mode, whose it is, whether the project lowers what the user set): for the two settings texts."""
+    said = []
+    for text in (user, project):
+        one = tomllib.loads(text or "")
+        said.append((one.get(table, {}) if table else one).get("policy", {}).get("mode"))
+    mode = config(*(t for t in (user, project) if t), table=table).policy.mode
+    source = "project" if said[1] is not None else "user" if said[0] is not None else "default"
+    return mode, source, said[0] is not None and said[1] is not None and _MODES.index(mode) < _MODES.index(said[0])
 
 
 # ---- sinks ----
@@ -240,5 +326,5 @@ def drain(rows: DataFrame, path: str, write: Callable[[DataFrame], DataFrame]) -
     return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
 
 
-def read_config(*paths: str) -> Config:
-    return config(*(Path(p).read_text() for p in paths if Path(p).exists()))
+def read_config(*paths: str, table: str | None = None, store_table: str = "store") -> Config:
+    return config(*(Path(p).read_text() for p in paths if Path(p).exists()), table=table, store_table=store_table)

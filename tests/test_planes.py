@@ -53,7 +53,9 @@ def test_ladder_and_outcomes(spark):
     got = {(x["item"], x["path"]): (x["rung"], x["inside"], x["decides"]) for x in rules.scope_ladder(req, declared, parents, seen).collect()}
     assert got == {("i", "a"): ("declared", True, True), ("i", "z"): ("declared", False, True), ("child", "a"): ("derived", True, False), ("seen", "q"): ("observed", True, False), ("new", "a"): ("unknown", False, False)}
     m = spark.createDataFrame([("enforce", "declared"), ("enforce", "derived"), ("advise", "unknown")], "m string, r string")
-    assert [x[0] for x in m.select(rules.outcome(F.col("m"), F.col("r"))).collect()] == ["enforce", "advise", "observe"]
+    assert [x[0] for x in m.select(rules.outcome(F.col("m"), F.col("r"))).collect()] == ["enforce", "advise", "off"]
+    b = spark.createDataFrame([("hard", "warn", "enforce", "PAG"), ("soft", "deny", "enforce", None), (None, "deny", "enforce", None), (None, "mystery", "enforce", None), (None, "throttle", "enforce", None), ("escalation", "deny", "advise", None), ("hard", "deny", "enforce", "PAA"), ("weird", "record", "enforce", "nowhere")], "c string, e string, m string, p string").coalesce(1)
+    assert [x[0] for x in b.select(rules.blocks(*map(F.col, "cemp"))).collect()] == [True, False, True, True, False, False, False, False]
     f = spark.createDataFrame([("e", 1, "a", False), ("e", 2, "b", True), ("e", 3, "c", True), ("g", 2, "z", False)], "k string, plane int, rule string, blocking boolean")
     assert {x["k"]: (x["rule"], x["rules"]) for x in rules.first_decision(f, "k", "plane", "rule").collect()} == {"e": ("b", "a+b+c"), "g": ("z", "z")}
 
@@ -123,15 +125,22 @@ def test_paths(spark):
     runs = {f"r{i}": [(r.choice("abc"), r.choice([None, "x"])) for _ in range(r.randint(1, 8))] for i in range(40)}
     rows = [(k, n, a, t) for k, v in runs.items() for n, (a, t) in enumerate(v)] + [("odd", 0, None, "x")]
     steps = spark.createDataFrame(rows, "run_id string, step int, action_kind string, target_class string")
-    path = {"name": "p", "grammar": "g", "pattern": ["a/x", "b/none", "c/x"], "level": "blessed", "deny": True}
-    out = {x["run_id"]: x for x in paths.check(steps, path, "g", plan_mode=True).collect()}
+    path = {"path": "p", "grammar": "g", "pattern": ["a/x", "b/none", "c/x"], "level": "blessed", "dead_ends": [("b/x", "first"), ("b/x", "second")]}
+    every = {(m, deny): {x["run_id"]: x for x in paths.check(steps, [path], "p", "g", m, deny).collect()} for m in ("plan", "progress") for deny in (True, False)}
     for k, v in runs.items():
-        m, last = greedy(path["pattern"], [f"{a}/{t or 'none'}" for a, t in v])
-        assert (out[k]["matched"], out[k]["last"]) == (m, last)
-        assert (out[k]["outcome"], out[k]["effect"], out[k]["deviation"]) == (("conforms", "none", None) if m == 3 else ("deviates", "deny", m))
-    assert (out["odd"]["outcome"], out["odd"]["effect"]) == ("unevaluated", "none")
-    assert {x["effect"] for x in paths.check(steps, path | {"level": "draft"}, "g", True).collect()} == {"warn", "none"}
-    assert {x["outcome"] for x in paths.check(steps, path, "other").collect()} == {x["outcome"] for x in paths.check(steps, None, "g").collect()} == {"refused"}
+        sigs = [f"{a}/{t or 'none'}" for a, t in v]
+        m, last = greedy(path["pattern"], sigs)
+        bad = [(i, "first") for i, s in enumerate(sigs) if s == "b/x"]
+        for (mode, deny), out in every.items():
+            off = mode == "plan" and m < 3
+            assert (out[k]["outcome"], out[k]["matched"], out[k]["deviation"], out[k]["last"]) == ("evaluated", m, m if off else None, last if off else None)
+            assert [tuple(h) for h in out[k]["hazards"]] == bad
+            assert out[k]["effect"] == ("deny" if off and deny else "warn" if off or bad else "none")
+    odd = every["plan", True]["odd"]
+    assert (odd["outcome"], odd["effect"], odd["unevaluated"], odd["deviation"], odd["last"]) == ("evaluated", "deny", [0], 0, None)
+    assert {x["effect"] for x in paths.check(steps, [path | {"level": "draft"}], "p", "g", "plan", True).collect()} == {"warn", "none"}
+    said = [{(x["outcome"], x["effect"], x["reason"]) for x in paths.check(steps, *t).collect()} for t in (([], "p", "g"), ([path], "q", "g"), ([path], "p", "h"))]
+    assert said == [{("refused", None, r)} for r in ("empty registry", "unknown path", "other grammar")]
     dead = spark.createDataFrame([("a/x", "first", 1), ("a/x", "second", 2)], "sig string, note string, ordinal int")
     assert {x["note"] for x in paths.hazards(steps, dead).collect()} == {"first"}
 
@@ -180,5 +189,11 @@ def test_functions(spark):
     assert one(fn.first_line(F.lit("ab\ncd"))) == "ab" and len(one(fn.first_line(F.lit("x" * 99)))) == 80
     assert one(fn.age(F.lit(5), F.lit(9))) == 0 and one(fn.signed_message(F.lit("a"), F.lit("b"))) == "v1|a|b"
     assert one(fn.introduced(F.lit("a"), F.lit(None).cast("string"), F.lit("b"))) == "a\nb"
-    c = one(fn.command(F.lit("sudo rm -rf /x")))
-    assert tuple(c) == ("rm", "/x", "delete") and one(fn.command(F.lit("cat a | sh"))) is None and one(fn.command(F.lit("frob x"))) is None
+    nothing = (None, None, "unknown")
+    for text, want in {
+        "ssh ops@db.example": ("ssh", "db.example", "host"), "  scp  db.example:/a/b ./c": ("scp", "db.example", "host"), "scp ./a/b.c ./d": nothing, "ssh db": nothing, "ssh -i key.pem db": ("ssh", "key.pem", "host"),
+        "ansible x --limit=db,": ("ansible", "db", "host"), "ansible x -l": nothing, "systemctl": nothing, "systemctl stop a.service.service": ("stop", "a", "service"), "systemctl -q status": nothing,
+        "git fetch -q ../up/side.git/": ("fetch", "side", "repo"), "git push": nothing, "git pull /": nothing, "podman rm -f box": ("rm", "box", "container"), "/bin/docker kill \"box\"": ("kill", "box", "container"),
+        "ssh a@b && true": nothing, "ssh a@b; true": nothing, "ssh a@b < f": nothing, "ssh `h`": nothing, "ssh a@b &": ("ssh", "b", "host"), "ssh\ta@b\n": ("ssh", "b", "host"), "rm -rf /": nothing, "": nothing, None: nothing,
+    }.items():
+        assert tuple(one(fn.command(F.lit(text).cast("string")))) == want, text

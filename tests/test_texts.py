@@ -125,11 +125,15 @@ def test_commits_and_results(spark):
 
 
 def test_config_and_publish(spark, tmp_path):
-    c = sources.config('hops = 3\n[guard]\nmode = "observe"\nallow = ["a"]', '[guard]\nmode = "enforce"')
-    assert (c.hops, c.guard.mode, c.guard.allow, c.sessions.cap) == (3, "enforce", ["a"], 32)
-    for bad in ("nope = 1", '[guard]\nmode = "maybe"'):
+    user = '[app]\nbase_ref = "dev"\nodd = 1\n[app.policy]\nmode = "enforce"\nmax_hops = 3\n[app.policy.scopes.crew]\nallow_paths = ["a/**"]\nmax_impacted_files = 4\n[app.tenancy]\noverlay_eviction = "lru"'
+    project = '[other]\nx = 1\n[app.policy]\nmode = "advise"\n[app.graphs]\nenabled = true'
+    c = sources.config(user, project, table="app", store_table="graphs")
+    assert (c.base_ref, c.policy.mode, c.policy.max_hops, c.tenancy.overlay_eviction, c.tenancy.max_overlays, c.store.enabled) == ("dev", "advise", 3, "lru", 32, True)
+    assert c.policy.scopes["crew"].allow_paths == ["a/**"] and c.policy.scopes["crew"].max_impacted_files == 4 and sources.config("").policy.mode == "off"
+    assert sources.mode_source(user, project, "app") == ("advise", "project", True) and sources.mode_source(None, None) == ("off", "default", False)
+    for bad in ('[policy]\nmode = "observe"', "[policy]\nmax_hops = -1", "[tenancy]\nmax_overlays = true", "policy = 3", '[[policy.rules]]\nname = "x"'):
         with pytest.raises(ValueError):
-            sources.config(bad)
+            sources.config(bad, '[policy]\nmode = "off"')
     rows, fine, calls = spark.createDataFrame([("s", "p", "o")], "s string, p string, o string"), spark.createDataFrame([], "x int"), []
 
     def flaky(r):
