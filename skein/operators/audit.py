@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import intervals
+
 CAP = 21_600  # the longest throttle, in seconds
 
 
@@ -62,13 +64,14 @@ def once(events: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def rereads(events: DataFrame) -> DataFrame:
     """(session, path, idx, prior): reads (lo, hi) that overlap an earlier read of the same path since its last edit, or
-    since the session's last compaction. events: session, idx, kind (read, edit, compact), path, lo, hi."""
+    since the session's last compaction, and the first such read. events: session, idx, kind (read, edit, compact), path, lo, hi; a read
+    with lo not below hi reads nothing."""
     upto = lambda *by: Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     marked = events.withColumn("_c", F.sum((F.col("kind") == "compact").cast("int")).over(upto("session"))).withColumn("_e", F.sum((F.col("kind") == "edit").cast("int")).over(upto("session", "path")))
     reads = marked.where("kind = 'read'")
-    prior = reads.select("session", "path", "_c", "_e", F.col("idx").alias("prior"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    hits = reads.join(prior, ["session", "path", "_c", "_e"]).where("prior < idx AND lo < _hi AND _lo < hi")
-    return hits.groupBy("session", "path", "idx").agg(F.min("prior").alias("prior"))
+    # the least of all overlapping reads is the earliest prior one, if it is before this read at all
+    met = intervals.first_overlap(reads, ["session", "path", "_c", "_e"], "idx", "lo", "hi", "prior")
+    return met.where("prior < idx").select("session", "path", "idx", "prior")
 
 
 def foreign_writes(events: DataFrame, owners: DataFrame) -> DataFrame:

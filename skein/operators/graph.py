@@ -8,11 +8,11 @@ nodes are written to the shared folder, which keeps plans short and survives los
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.scratch import is_scan, settle
+from skein.operators import intervals
+from skein.scratch import discard, is_scan, settle
 
 
 def next_edges(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
@@ -139,84 +139,77 @@ def fold_weights(edges: DataFrame, weight: Column | None = None) -> DataFrame:
     return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(w.alias("weight"))
 
 
-def louvain(nodes: list, edges: list[tuple], sweeps: int = 100, gain: float = 1e-12) -> dict:
-    """Deterministic local moving with aggregation: nodes in order, strict gains, ties to the lowest label."""
-    label = {n: i for i, n in enumerate(nodes)}
-    member = {n: label[n] for n in nodes}
-    graph: list[dict[int, float]] = [{} for _ in nodes]
-    loops = [0.0] * len(nodes)
-    for a, b, w in edges:
-        i, j = label[a], label[b]
-        if i == j:
-            loops[i] += w
-        else:
-            graph[i][j] = graph[i].get(j, 0.0) + w
-            graph[j][i] = graph[j].get(i, 0.0) + w
-    while graph:
-        total = sum(sum(g.values()) for g in graph) + 2 * sum(loops)
-        if total == 0:
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows plus their place from 0 in this order, without a task that sees them all: sorted by ranges, then offset by the counts before."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, 8)
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("_id", 33)
+    placed = settle(ranged)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
+
+
+def local_moving(nodes: DataFrame, edges: DataFrame, total: float, batches: int, sweeps: int, gain: float) -> DataFrame:
+    """(node, comm, degree): nodes (node, degree), each at first its own community, moved to the neighbouring community of most gain.
+
+    One batch of nodes, dealt by hash, moves at a time: sums of edge weights by node and neighbouring community, met with
+    the communities' degrees. What moves at once is decided on the state before; batches are dealt anew in each sweep, so that
+    neighbours seldom keep moving past each other. Ties go to the smallest label. It ends with a sweep that moves nothing, or with the last of `sweeps`."""
+    state = settle(nodes.select("node", F.col("node").alias("comm"), "degree", F.lit(0).alias("moved")))
+    links = edges.where("src <> dst")
+    for sweep in range(sweeps):
+        for batch in range(batches):
+            mine = F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(batches)) == batch
+            asked = state.where(mine).select("node", F.col("comm").alias("own"), "degree")
+            near = links.join(asked.select("node"), F.col("src") == F.col("node"), "left_semi").join(state.select(F.col("node").alias("dst"), F.col("comm")), "dst")
+            into = near.groupBy(F.col("src").alias("node"), "comm").agg(F.sum("weight").alias("w"))
+            heavy = state.groupBy("comm").agg(F.sum("degree").alias("all"))
+            # an own community without a neighbour in it is a choice too
+            choices = into.join(asked, "node").join(heavy, "comm").select("node", "comm", "own", "degree", "w", "all")
+            stay = asked.join(heavy.withColumnRenamed("comm", "own"), "own").select("node", F.col("own").alias("comm"), "own", "degree", F.lit(0.0).alias("w"), "all")
+            score = F.col("w") - (F.col("all") - F.when(F.col("comm") == F.col("own"), F.col("degree")).otherwise(0)) * F.col("degree") / total
+            scored = choices.unionByName(stay).select("node", "comm", "own", score.alias("score"))
+            best = scored.groupBy("node").agg(F.max(F.when(F.col("comm") == F.col("own"), F.col("score"))).alias("base"), F.max(F.when(F.col("comm") != F.col("own"), F.col("score"))).alias("top"), F.min_by("comm", F.struct((-F.col("score")).alias("s"), F.col("comm"))).alias("to"))
+            moves = best.where(F.col("top") > F.col("base") + gain).select("node", "to")
+            later = state.join(moves, "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), "degree", (F.col("to").isNotNull().cast("int") + (F.col("moved") if batch else F.lit(0))).alias("moved"))
+            state, spent = settle(later), state
+            discard(spent)
+        if not (state.agg(F.sum("moved")).first()[0] or 0):
             break
-        degree = [sum(g.values()) + 2 * x for g, x in zip(graph, loops)]
-        comm = list(range(len(graph)))
-        weight = degree[:]
-        changed = False
-        for _ in range(sweeps):
-            moved = False
-            for i, near in enumerate(graph):
-                own = comm[i]
-                weight[own] -= degree[i]
-                into: dict[int, float] = {}
-                for j, w in near.items():
-                    into[comm[j]] = into.get(comm[j], 0.0) + w
-                best, best_gain = own, into.get(own, 0.0) - weight[own] * degree[i] / total
-                for c in sorted(into):
-                    g = into[c] - weight[c] * degree[i] / total
-                    if g > best_gain + gain:
-                        best, best_gain = c, g
-                weight[best] += degree[i]
-                if best != own:
-                    comm[i], moved = best, True
-            changed |= moved
-            if not moved:
-                break
-        if not changed:
-            break
-        names = {c: k for k, c in enumerate(dict.fromkeys(comm))}
-        new: list[dict[int, float]] = [{} for _ in names]
-        inner = [0.0] * len(names)
-        for i, near in enumerate(graph):
-            inner[names[comm[i]]] += loops[i]
-            for j, w in near.items():
-                a, b = names[comm[i]], names[comm[j]]
-                if a == b:
-                    inner[a] += w / 2
-                else:
-                    new[a][b] = new[a].get(b, 0.0) + w
-        member = {n: names[comm[c]] for n, c in member.items()}
-        graph, loops = new, inner
-    return member
-
-
-def communities(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(community, node): Louvain over the folded graph, largest community first, then by its first member.
-
-    Folding is distributed; local moving is sequential by definition and runs in one task over
-    the folded edges, which is the size of the distinct call pairs."""
-    folded = fold_weights(edges).select("a", "b", F.col("weight").cast("double").alias("weight"))
-    whole = folded.unionByName(symbols.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("weight")))
-    kind = dict(symbols.dtypes)["node"]
+    return state.drop("moved")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf["a"]) | set(pdf["b"]))
-        links = sorted((a, b, w) for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"]) if a != b)
-        found = louvain(nodes, links)
-        groups: dict[int, list] = {}
-        for n in nodes:
-            groups.setdefault(found[n], []).append(n)
-        ranked = sorted(groups.values(), key=lambda g: (-len(g), g[0]))
-        return pd.DataFrame([(i, n) for i, g in enumerate(ranked) for n in g], columns=["community", "node"])
+def communities(symbols: DataFrame, edges: DataFrame, batches: int = 4, sweeps: int = 8, levels: int = 16, gain: float = 1e-12, place: tuple[str, ...] = ()) -> DataFrame:
+    """(community, node): Louvain over the folded graph, largest community first, then by its first member's `place` (columns
+    of symbols such as file and line; none: the node).
 
-    return whole.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, f"community int, node {kind}")
+    Every round is joins and aggregates over nodes and edges; communities are then contracted to nodes, level by level, until a
+    level merges none. Nodes that share a name are one. The result is the same for the same rows, however they are dealt out."""
+    folded = fold_weights(edges).select("a", "b", F.col("weight").cast("double").alias("weight"))
+    both = folded.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(folded.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+    level = settle(both)
+    # as rows: the driver sees one number
+    total = level.agg(F.sum("weight")).first()[0] or 0.0
+    ends = symbols.select("node").distinct().join(level.select(F.col("src").alias("node")).distinct(), "node", "full")
+    members = settle(ends.select("node", F.col("node").alias("comm")))
+    count = members.count()
+    for _ in range(levels if total else 0):
+        degree = level.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"))
+        moved = local_moving(degree, level, total, batches, sweeps, gain)
+        members = settle(members.join(moved.select(F.col("node").alias("comm"), F.col("comm").alias("up")), "comm", "left").select("node", F.coalesce("up", "comm").alias("comm")))
+        to = moved.select("node", "comm")
+        small = level.join(to.select(F.col("node").alias("src"), F.col("comm").alias("a")), "src").join(to.select(F.col("node").alias("dst"), F.col("comm").alias("b")), "dst")
+        level, spent = settle(small.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))), level
+        discard(spent)
+        now = members.select("comm").distinct().count()
+        if now == count:
+            break
+        count = now
+    first = symbols.groupBy("node").agg(F.min(F.struct(*place, "node")).alias("first"))
+    groups = members.join(first, "node", "left").groupBy("comm").agg(F.count(F.lit(1)).alias("size"), F.min("first").alias("first"), F.min("node").alias("least"))
+    ranked = numbered(groups, [F.desc("size"), F.asc_nulls_last("first"), F.asc("least")], "community")
+    return members.join(ranked.select("comm", F.col("community").cast("int").alias("community")), "comm").select("community", "node")
 
 
 def modularity(members: DataFrame, folded: DataFrame) -> DataFrame:
@@ -241,15 +234,16 @@ def name_collisions(symbols: DataFrame, by: list[str], kind: str, place: str) ->
 
 
 def symbol_at(symbols: DataFrame, points: DataFrame) -> DataFrame:
-    """The innermost symbol around each point (file, line): latest start, then shortest, then first node."""
-    inside = points.join(symbols, "file").where("line BETWEEN start_line AND end_line")
-    order = Window.partitionBy("file", "line").orderBy(F.desc("start_line"), F.col("end_line") - F.col("start_line"), "node")
-    return inside.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """The innermost symbol around each point (file, line): latest start, then shortest, then first node. Points without one are left out."""
+    own = [c for c in symbols.columns if c != "file"]
+    best = F.struct((-F.col("start_line")).alias("s"), (F.col("end_line") - F.col("start_line")).alias("n"), F.col("node").alias("_node"), F.struct(*own).alias("row"))
+    found = intervals.best_around(points, symbols, ["file"], "line", "start_line", "end_line", best, "_best")
+    return found.select(*points.columns, *(F.col(f"_best.row.{c}").alias(c) for c in own))
 
 
 def touched_symbols(symbols: DataFrame, spans: DataFrame) -> DataFrame:
     """Symbols that overlap an edited span (file, start, end)."""
-    return symbols.join(spans, "file").where("start_line <= end AND end_line >= start").select(*symbols.columns).distinct()
+    return intervals.overlapping(symbols, spans, ["file"], "start_line", "end_line", "start", "end")
 
 
 def definitions(symbols: DataFrame, name: str) -> DataFrame:

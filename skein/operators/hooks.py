@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import language
-from skein.operators import audit, graph, rules, verify
+from skein.operators import audit, graph, rules, syntax, verify
 from skein.scratch import stable
 
 _EDIT = "struct<old_string:string,new_string:string>"
@@ -125,13 +125,14 @@ def path_rule(path: Column, scope: Scope) -> Column:
     return out
 
 
-PLANES = ("rules", "verify", "paths", "radius")
+PLANES = ("structure", "rules", "verify", "paths", "radius")
 
 
-def pre_edit(edits: DataFrame, text_rules: list[dict], files: DataFrame, symbols: DataFrame, edges: DataFrame, scopes: dict[str, Scope], mode: str = "enforce", hops: int = 5, freshness: str = "fresh") -> DataFrame:
+def pre_edit(edits: DataFrame, text_rules: list[dict], files: DataFrame, symbols: DataFrame, edges: DataFrame, scopes: dict[str, Scope], mode: str = "enforce", hops: int = 5, freshness: str = "fresh", structural: list[dict] | None = None, governed: list[dict] | None = None) -> DataFrame:
     """One decision an edit (key, session, tenant, rel, anchors, text, proposed, baseline): key, outcome, plane, rule, constraints, freshness.
 
-    outcome is allow, notify or deny. A text rule of tier block denies and others notify, whatever
+    Local structural rules come first and decide by the mode; governed ones stand beside the text rules and block by their class or effect
+    (syntax.structural_findings). outcome is allow, notify or deny. A text rule of tier block denies and others notify, whatever
     the mode; the other planes deny under enforce and notify under advise. Tenants without a scope,
     and edits whose radius is not known, get one notice a session and rule (first key) and are
     allowed. Under `off` every edit is allowed. constraints are (rule, outcome, response) of
@@ -144,12 +145,16 @@ def pre_edit(edits: DataFrame, text_rules: list[dict], files: DataFrame, symbols
 
     said = rules.text_findings(edits.select("key", "rel", "text"), text_rules, "rel", "text") if text_rules else None
     first = row(said, "rules", F.col("rule"), F.when(F.col("blocking"), "deny").otherwise("notify")) if said is not None else row(edits.where("false"), "rules", F.lit(""), F.lit(""))
+    brought = edits.select("key", "rel", language(F.col("rel")).alias("language"), F.col("text").alias("source"))
+    zeroth = row(syntax.structural_findings(brought, structural or [], ["key"], mode), "structure", F.col("rule"), F.lit(strong)).distinct()
+    if governed:
+        first = first.unionByName(row(syntax.structural_findings(brought, governed, ["key"], mode, governed=True), "rules", F.col("rule"), F.when(F.col("blocking"), "deny").otherwise("notify")).distinct())
     wrong = verify.violations(edits.select("key", "rel", "proposed", "baseline"), symbols, files)
     second = row(wrong, "verify", F.concat(F.lit("verify:"), "kind"), F.lit(strong)).distinct()
     scoped = edits.where(F.col("tenant").isin(*scopes)) if scopes else edits.where("false")
     broken = scoped.withColumn("_rule", _by_tenant(scopes, lambda s: path_rule(F.col("rel"), s), F.lit(None).cast("string"))).where("_rule IS NOT NULL")
     third = row(broken, "paths", F.col("_rule"), F.lit(strong))
-    early = stable(first.unionByName(second).unionByName(third))
+    early = stable(zeroth.unionByName(first).unionByName(second).unionByName(third))
 
     still = stable(edits.join(early.select("key").distinct(), "key", "left_anti"))
     free = still.where(F.col("tenant").isNull() | ~F.col("tenant").isin(*scopes)) if scopes else still

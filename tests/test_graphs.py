@@ -3,7 +3,7 @@ from collections import Counter, deque
 
 import pytest
 
-from skein.operators import graph
+from skein.operators import audit, graph
 
 
 def walk(edges, seeds, hops):
@@ -85,12 +85,108 @@ def test_communities(spark):
     assert graph.modularity(out, folded).first()[0] > 0.3
 
 
-def test_louvain_keeps_every_node():
+def sweep(nodes, edges):
+    """Local moving one node after the other, level by level: the plain form of communities()."""
+    near = {n: Counter() for n in nodes}
+    for a, b, w in edges:
+        near[a][b] += w
+        near[b][a] += w
+    member, total = {n: n for n in nodes}, sum(sum(x.values()) for x in near.values())
+    while total:
+        degree = {n: sum(x.values()) for n, x in near.items()}
+        comm, heavy, moved = {n: n for n in near}, Counter(degree), True
+        while moved:
+            moved = False
+            for n in sorted(near):
+                into = Counter()
+                for m, w in near[n].items():
+                    if m != n:
+                        into[comm[m]] += w
+                heavy[comm[n]] -= degree[n]
+                score = lambda c: into[c] - heavy[c] * degree[n] / total  # noqa: B023, E731
+                best = min([comm[n], *into], key=lambda c: (-score(c), c))
+                if score(best) > score(comm[n]) + 1e-12:
+                    comm[n], moved = best, True
+                heavy[comm[n]] += degree[n]
+        if len(set(comm.values())) == len(near):
+            break
+        member, old = {n: comm[c] for n, c in member.items()}, near
+        near = {c: Counter() for c in comm.values()}
+        for n, x in old.items():
+            for m, w in x.items():
+                near[comm[n]][comm[m]] += w
+    return member
+
+
+def score_of(edges, member):
+    degree, inside, m = Counter(), Counter(), sum(w for *_, w in edges)
+    for a, b, w in edges:
+        degree[member[a]] += w
+        degree[member[b]] += w
+        inside[member[a]] += w * (member[a] == member[b])
+    return sum(inside[c] / m - (d / 2 / m) ** 2 for c, d in degree.items())
+
+
+def test_communities_score_like_a_sequential_sweep(spark):
     r = random.Random(4)
-    nodes = list(range(60))
-    edges = sorted((a, b, 1.0) for a, b in {(r.randrange(60), r.randrange(60)) for _ in range(150)} if a < b)
-    found = graph.louvain(nodes, edges)
-    assert set(found) == set(nodes) and max(Counter(found.values()).values()) < 60
+    nodes = list(range(240))
+    pairs = [(a, b) for _ in range(1500) for a in [r.randrange(240)] for b in [(a // 20 * 20 + r.randrange(20)) if r.random() < 0.6 else r.randrange(240)] if a != b]
+    edges = [(a, b, float(n)) for (a, b), n in Counter(tuple(sorted(p)) for p in pairs).items()]
+    symbols = spark.createDataFrame([(n, f"f{n % 7}", n) for n in [*nodes, 999]], "node long, file string, start_line int")
+    calls = spark.createDataFrame(pairs, "src long, dst long").repartition(5)
+    out = graph.communities(symbols, calls, place=("file", "start_line"))
+    found = {x["node"]: x["community"] for x in out.collect()}
+    assert set(found) == {*nodes, 999}
+    assert score_of(edges, found) >= 0.98 * score_of(edges, sweep(nodes, edges)) > 0.2
+    groups = {}
+    for n, c in found.items():
+        groups.setdefault(c, []).append(n)
+    rank = [(-len(g), min((f"f{n % 7}", n) for n in g)) for _, g in sorted(groups.items())]
+    assert rank == sorted(rank) and sorted(groups) == list(range(len(groups)))
+    again = graph.communities(symbols.repartition(3), calls.repartition(2), place=("file", "start_line"))
+    assert {x["node"]: x["community"] for x in again.collect()} == found
+    none = graph.communities(symbols.where("node < 3"), calls.where("false"))
+    assert sorted(tuple(x) for x in none.collect()) == [(0, 0), (1, 1), (2, 2)]
+    assert graph.communities(symbols.where("false"), calls.where("false")).count() == 0
+
+
+def test_interval_joins(spark):
+    r = random.Random(8)
+    rows = [(r.choice("ab"), a, a + r.choice([-1, 0, 1, 3, 17, 200]), i) for i in range(150) for a in [r.randrange(-50, 400)]]
+    symbols = spark.createDataFrame(rows, "file string, start_line int, end_line int, node int")
+    points = spark.createDataFrame([(f, x) for f in "abc" for x in range(-60, 620, 7)], "file string, line int")
+    want = {}
+    for f, x in ((f, x) for f in "abc" for x in range(-60, 620, 7)):
+        held = [(-s, e - s, n) for g, s, e, n in rows if g == f and s <= x <= e]
+        if held:
+            want[f, x] = min(held)[2]
+    got = graph.symbol_at(symbols, points)
+    assert {(x["file"], x["line"]): x["node"] for x in got.collect()} == want and got.columns == ["file", "line", "start_line", "end_line", "node"]
+    spans = [("a", 3, 3), ("a", 100, 140), ("b", 390, 380), ("b", -100, -45)]
+    met = {n for f, s, e, n in rows if s <= e and any(f == g and s <= hi and e >= lo and lo <= hi for g, lo, hi in spans)}
+    assert {x["node"] for x in graph.touched_symbols(symbols, spark.createDataFrame(spans, "file string, start int, end int")).collect()} == met
+    reads = [("s", i, r.choice(["read"] * 8 + ["edit", "compact"]), r.choice("pq"), lo, lo + r.choice([0.0, 0.5, 4.0, 30.0])) for i in range(200) for lo in [r.randrange(0, 60) / 2]]
+    epoch, whole, past, want = Counter(), 0, {}, {}
+    for s, i, kind, path, lo, hi in reads:
+        whole += kind == "compact"
+        epoch[path] += kind == "edit"
+        if kind == "read" and lo < hi:
+            before = past.setdefault((path, whole, epoch[path]), [])
+            if hit := [j for j, a, b in before if lo < b and a < hi]:
+                want[i] = min(hit)
+            before.append((i, lo, hi))
+    events = spark.createDataFrame(reads, "session string, idx int, kind string, path string, lo double, hi double")
+    assert {x["idx"]: x["prior"] for x in audit.rereads(events).collect()} == want
+
+
+def test_one_file_of_many_symbols_makes_no_pairs(spark):
+    n = 100_000
+    symbols = spark.range(n).selectExpr("'f' AS file", "id AS node", "id AS start_line", "id + 500 AS end_line")
+    points = spark.range(0, n, 5).selectExpr("'f' AS file", "id AS line")
+    got = graph.symbol_at(symbols, points)
+    assert got.count() == n // 5 and got.where("node <> line").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "BETWEEN" not in plan.upper() and "start_line" not in "".join(x for x in plan.split("\n") if "Join" in x)
 
 
 def test_symbol_at_innermost(spark):
