@@ -23,6 +23,7 @@ import ast
 import io
 import re
 import tokenize
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import rules as R
+from skein.scratch import settle
 
 # Names of node kinds by language. A declaration is (kind, kind of its name, kind of its body).
 _BRACE = {
@@ -333,18 +335,20 @@ def content_hash(source: Column, language: Column) -> Column:
 def nodes(contents: DataFrame) -> DataFrame:
     """Node rows of (hash, language, source), one row a content."""
 
+    names = [c.split()[0] for c in _NODES.split(", ")]
+
     def run(batches):
         for pdf in batches:
+            rows: list[tuple] = []
             for key, language, source in zip(pdf["hash"], pdf["language"], pdf["source"]):
                 tree = tree_of(source, language)
-                if tree is None:
-                    continue
-                ends = [m.start() for m in re.finditer("\n", source)]
-                frame = pd.DataFrame([n[:7] for n in tree.nodes], columns=["parent", "at", "kind", "field", "start", "end", "last"])
-                line = lambda places: pd.Series(ends).searchsorted(places) + 1 if ends else 1
-                frame["start_line"], frame["end_line"] = line(frame["start"]), line((frame["end"] - 1).clip(lower=0))
-                frame["node"], frame["hash"] = range(len(frame)), key
-                yield frame[[c.split()[0] for c in _NODES.split(", ")]]
+                ends = [m.start() for m in re.finditer("\n", source)] if tree else []
+                for i, (parent, at, kind, label, start, end, last, _) in enumerate(tree.nodes if tree else []):
+                    rows.append((key, i, parent, last, at, kind, label, start, end, bisect_left(ends, start) + 1, bisect_left(ends, max(end - 1, 0)) + 1))
+                if len(rows) > 100_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return contents.select("hash", "language", "source").mapInPandas(run, _NODES)
 
@@ -481,7 +485,7 @@ def _frame(table: DataFrame, p: Pattern, names: list[str]) -> DataFrame:
     if p.either:
         out = reduce(DataFrame.unionByName, [_frame(table, e, names) for e in p.either])
     else:
-        out = (table if p.kinds is None else table.where(F.col("kind").isin(*p.kinds))).select("hash", "node", "parent", "at", "field", "size", *(F.lit(None).cast("int").alias(f"c_{c}") for c in names))
+        out = (table if p.kinds is None else table.where(F.col("kind").isin(*p.kinds))).select("hash", "node", "parent", "at", "field", *(F.lit(None).cast("int").alias(f"c_{c}") for c in names))
         before = None
         for i, (child, follows) in enumerate(p.children):
             mine = set(captured(child))
@@ -496,7 +500,10 @@ def _frame(table: DataFrame, p: Pattern, names: list[str]) -> DataFrame:
                 out = out.withColumn(f"c_{c}", F.coalesce(f"new_{c}", f"c_{c}")).drop(f"new_{c}")
             before = f"at{i}"
         if before:
-            out = (out.where(F.col(before) == F.col("size") - 1) if p.tight else out).drop(before)
+            if p.tight:  # nothing follows the last child
+                size = table.groupBy(F.col("hash").alias("h"), F.col("parent").alias("up")).agg(F.count(F.lit(1)).alias("size"))
+                out = out.join(size, (F.col("hash") == F.col("h")) & (F.col("node") == F.col("up"))).where(F.col(before) == F.col("size") - 1).drop("h", "up", "size")
+            out = out.drop(before)
     if p.label:
         out = out.where(F.col("field") == p.label)
     for c in p.captures:
@@ -506,14 +513,13 @@ def _frame(table: DataFrame, p: Pattern, names: list[str]) -> DataFrame:
 
 def matches(table: DataFrame, contents: DataFrame, selector: str, language: str) -> DataFrame:
     """hash and captures, an array of (capture, text, start_line, end_line): one row a match; matches of the same captures are one."""
-    sized = table.join(table.groupBy("hash", F.col("parent").alias("node")).agg(F.count(F.lit(1)).cast("int").alias("size")), ["hash", "node"], "left")
     place = table.select("hash", "node", "start", "end", "start_line", "end_line")
     every = []
     for p, said in read_selector(selector, language):
         names = captured(p)
         if not names:
             continue
-        found = _frame(sized, p, names).select("hash", *(f"c_{c}" for c in names)).distinct()
+        found = _frame(table, p, names).select("hash", *(f"c_{c}" for c in names)).distinct()
         for c in names:
             one = place.select(F.col("hash").alias("h"), F.col("node").alias("n"), F.struct("start", "end", "start_line", "end_line").alias(f"p_{c}"))
             found = found.join(one, (F.col("hash") == F.col("h")) & (F.col(f"c_{c}") == F.col("n")), "left").drop("h", "n")
@@ -533,25 +539,39 @@ def matches(table: DataFrame, contents: DataFrame, selector: str, language: str)
     return reduce(DataFrame.unionByName, every)
 
 
-def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """files with their hash, their distinct contents, and the contents' nodes."""
+@dataclass
+class Parsed:
+    """files with their hash, their distinct contents (hash, language, source), and those contents' nodes, written once."""
+
+    files: DataFrame
+    contents: DataFrame
+    nodes: DataFrame
+
+    def of(self, language: str) -> Parsed:
+        contents = self.contents.where(F.col("language") == language)
+        return Parsed(self.files.where(F.col("language") == language), contents, self.nodes.join(contents.select("hash"), "hash", "left_semi"))
+
+
+def parsed(files: DataFrame) -> Parsed:
     keyed = files.withColumn("hash", content_hash(F.col("source"), F.col("language"))).where(F.col("source").isNotNull())
     contents = keyed.select("hash", "language", "source").dropDuplicates(["hash"])
-    return keyed, contents, nodes(contents)
+    # as many sources to a task as a task parses in seconds, however few files they come from
+    return Parsed(keyed, contents, settle(nodes(contents.repartition("hash"))))
 
 
-def captures(files: DataFrame, selector: str, language: str) -> DataFrame:
-    """rel, capture, text, start_line, end_line of files (rel, source, language) of one language."""
-    keyed, contents, table = parsed(files.where(F.col("language") == language))
-    found = matches(table, contents, selector, language).withColumn("c", F.explode("captures")).select("hash", "c.*")
-    return keyed.select("rel", "hash").join(found, "hash").drop("hash")
+def captures(files: DataFrame | Parsed, selector: str, language: str) -> DataFrame:
+    """rel, capture, text, start_line, end_line of files (rel, source, language) of one language; parsed() files serve many selectors."""
+    read_selector(selector, language)
+    p = (files if isinstance(files, Parsed) else parsed(files.where(F.col("language") == language))).of(language)
+    found = matches(p.nodes, p.contents, selector, language).withColumn("c", F.explode("captures")).select("hash", "c.*")
+    return p.files.select("rel", "hash").join(found, "hash").drop("hash")
 
 
 def enclosing_kinds(files: DataFrame, needle: str) -> DataFrame:
     """rel, kind: the smallest node around the first `needle` of each file (rel, source, language) that has it and a tree."""
-    keyed, _, table = parsed(files)
-    at = keyed.withColumn("first", F.locate(needle, "source") - 1).where("first >= 0").select("rel", "hash", "first")
-    around = table.select("hash", "node", "kind", "start", "end").join(at, "hash").where((F.col("start") <= F.col("first")) & (F.col("end") >= F.col("first") + len(needle)))
+    p = parsed(files)
+    at = p.files.withColumn("first", F.locate(needle, "source") - 1).where("first >= 0").select("rel", "hash", "first")
+    around = p.nodes.select("hash", "node", "kind", "start", "end").join(at, "hash").where((F.col("start") <= F.col("first")) & (F.col("end") >= F.col("first") + len(needle)))
     return around.groupBy("rel").agg(F.min_by("kind", F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("node")).alias("deep"))).alias("kind"))
 
 
@@ -584,20 +604,18 @@ def structural_findings(texts: DataFrame, rules: list[dict], keys: list[str], mo
     blank = texts.where("false").select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in (("rule", "string"), ("line", "int"), ("offending", "string"), ("explanation", "string"), ("blocking", "boolean"))))
     if not live:
         return blank
-    keyed, contents, table = parsed(texts.where(F.col("language").isin(*{r["language"] for r in live})))
-    rooted = table.where("node = 0").select("hash")
+    whole = parsed(texts.where(F.col("language").isin(*{r["language"] for r in live})))
     said = {"must-match": "each selected text must match", "must-not-match": "no selected text may match", "must-exist": "at least one selected text must match"}
     out = [blank]
     for r in live:
-        fits = F.col("language") == r["language"]
-        mine = keyed.where(fits & R.any_glob(F.col("rel"), r["applies_to"]) if r.get("applies_to") else fits)
-        of = contents.where(fits)
-        found = matches(table.join(of.select("hash"), "hash", "left_semi"), of, r["query"], r["language"]).select("hash", F.explode("captures").alias("c")).select("hash", "c.*")
+        p = whole.of(r["language"])
+        mine = p.files.where(R.any_glob(F.col("rel"), r["applies_to"])) if r.get("applies_to") else p.files
+        found = matches(p.nodes, p.contents, r["query"], r["language"]).select("hash", F.explode("captures").alias("c")).select("hash", "c.*")
         if r.get("gate"):
             found = found.where(F.col("text").rlike(R.compile_pattern(r["gate"])))
         hit = F.col("text").rlike(R.compile_pattern(r["pattern"]))
         if r["match_type"] == "must-exist":
-            rows = mine.join(rooted, "hash", "left_semi").join(found.where(hit).select("hash"), "hash", "left_anti").select(*keys, F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("text"))
+            rows = mine.join(p.nodes.where("node = 0").select("hash"), "hash", "left_semi").join(found.where(hit).select("hash"), "hash", "left_anti").select(*keys, F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("text"))
         else:
             rows = mine.join(found.where(~hit if r["match_type"] == "must-match" else hit), "hash").select(*keys, F.col("start_line").alias("line"), "text")
         first = F.substring_index("text", "\n", 1)

@@ -46,7 +46,7 @@ def sources(spark, d) -> DataFrame:
 
 
 def structural_captures(spark, d):
-    files = sources(spark, d)
+    files = syntax.parsed(sources(spark, d))
     each = [syntax.captures(files, selector, language).select("rel", F.lit(name).alias("selector"), "capture", "text", "start_line", "end_line") for language, name, selector in SELECTORS]
     return reduce(DataFrame.unionByName, each)
 

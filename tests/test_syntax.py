@@ -84,9 +84,10 @@ def test_captures_equal_a_walk(spark, language):
     files = spark.createDataFrame([(f"f{i}", s, language) for i, s in enumerate(every)] + [("again", every[0], language), ("none", None, language)], "rel string, source string, language string")
     names = {f"f{i}": s for i, s in enumerate(every)} | {"again": every[0]}
     found = 0
+    read = syntax.parsed(files)
     for selector in SELECTORS[language]:
         got = {}
-        for x in syntax.captures(files, selector, language).collect():
+        for x in syntax.captures(read, selector, language).collect():
             got.setdefault(x["rel"], []).append((x["capture"], x["text"], x["start_line"], x["end_line"]))
         for rel, source in names.items():
             want = list(walk(source, language, selector))
@@ -134,4 +135,4 @@ def test_rules_over_captures(spark):
     assert syntax.structural_findings(texts, [], ["key"]).count() == 0
     kinds = {x["rel"]: x["kind"] for x in syntax.enclosing_kinds(texts.where("key in (1, 4)"), "A-1").collect()}
     assert kinds == {"a.py": "comment"}
-    assert syntax.parsed(texts)[2].where(F.col("kind") == "line_comment").count() == 4
+    assert syntax.parsed(texts).nodes.where(F.col("kind") == "line_comment").count() == 4
