@@ -8,6 +8,8 @@ nodes are written to the shared folder, which keeps plans short and survives los
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,54 +152,91 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
 
 
-def local_moving(nodes: DataFrame, edges: DataFrame, total: float, batches: int, sweeps: int, gain: float) -> DataFrame:
+def _swept(total: float, passes: int, gain: float):
+    """A function of a part's rows (src, dst, weight, comm, heavy, degree; src = dst for the node itself) that gives its nodes' communities."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["src"] == rows["dst"]].sort_values("src")
+        ids, degree = own["src"].to_numpy(), own["degree"].to_numpy()
+        here = {n: i for i, n in enumerate(ids.tolist())}
+        comm = own["comm"].tolist()
+        heavy = dict(zip(rows["comm"].tolist(), rows["heavy"].tolist()))
+        near = rows[rows["src"] != rows["dst"]].sort_values(["src", "dst"])
+        cuts = np.searchsorted(near["src"].to_numpy(), ids, side="left").tolist() + [len(near)]
+        dst, weight, outside = near["dst"].tolist(), near["weight"].tolist(), near["comm"].tolist()
+        local = [here.get(n, -1) for n in dst]
+        for _ in range(passes):
+            moved = False
+            for i, d in enumerate(degree.tolist()):
+                into: dict = {}
+                for j in range(cuts[i], cuts[i + 1]):
+                    c = outside[j] if local[j] < 0 else comm[local[j]]
+                    into[c] = into.get(c, 0.0) + weight[j]
+                mine = comm[i]
+                heavy[mine] -= d
+                best, top = mine, into.get(mine, 0.0) - heavy[mine] * d / total
+                for c in sorted(into):
+                    score = into[c] - heavy[c] * d / total
+                    if score > top + gain:
+                        best, top = c, score
+                heavy[best] += d
+                comm[i], moved = best, moved or best != mine
+            if not moved:
+                break
+        return pd.DataFrame({"node": ids, "to": comm})
+
+    return run
+
+
+def local_moving(nodes: DataFrame, edges: DataFrame, total: float, part_edges: int, rounds: int, passes: int, gain: float) -> DataFrame:
     """(node, comm, degree): nodes (node, degree), each at first its own community, moved to the neighbouring community of most gain.
 
-    One batch of nodes, dealt by hash, moves at a time: sums of edge weights by node and neighbouring community, met with
-    the communities' degrees. What moves at once is decided on the state before; batches are dealt anew in each sweep, so that
-    neighbours seldom keep moving past each other. Ties go to the smallest label. It ends with a sweep that moves nothing, or with the last of `sweeps`."""
-    state = settle(nodes.select("node", F.col("node").alias("comm"), "degree", F.lit(0).alias("moved")))
-    links = edges.where("src <> dst")
-    for sweep in range(sweeps):
-        for batch in range(batches):
-            mine = F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(batches)) == batch
-            asked = state.where(mine).select("node", F.col("comm").alias("own"), "degree")
-            near = links.join(asked.select("node"), F.col("src") == F.col("node"), "left_semi").join(state.select(F.col("node").alias("dst"), F.col("comm")), "dst")
-            into = near.groupBy(F.col("src").alias("node"), "comm").agg(F.sum("weight").alias("w"))
-            heavy = state.groupBy("comm").agg(F.sum("degree").alias("all"))
-            # an own community without a neighbour in it is a choice too
-            choices = into.join(asked, "node").join(heavy, "comm").select("node", "comm", "own", "degree", "w", "all")
-            stay = asked.join(heavy.withColumnRenamed("comm", "own"), "own").select("node", F.col("own").alias("comm"), "own", "degree", F.lit(0.0).alias("w"), "all")
-            score = F.col("w") - (F.col("all") - F.when(F.col("comm") == F.col("own"), F.col("degree")).otherwise(0)) * F.col("degree") / total
-            scored = choices.unionByName(stay).select("node", "comm", "own", score.alias("score"))
-            best = scored.groupBy("node").agg(F.max(F.when(F.col("comm") == F.col("own"), F.col("score"))).alias("base"), F.max(F.when(F.col("comm") != F.col("own"), F.col("score"))).alias("top"), F.min_by("comm", F.struct((-F.col("score")).alias("s"), F.col("comm"))).alias("to"))
-            moves = best.where(F.col("top") > F.col("base") + gain).select("node", "to")
-            later = state.join(moves, "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), "degree", (F.col("to").isNotNull().cast("int") + (F.col("moved") if batch else F.lit(0))).alias("moved"))
-            state, spent = settle(later), state
-            discard(spent)
-        if not (state.agg(F.sum("moved")).first()[0] or 0):
+    A round deals half of the nodes to parts of about `part_edges` edges, by a hash that is another one in each round; a part moves its
+    nodes in order, sees its own moves at once and those of others in the next round. Ties go to the smallest label. It ends with two rounds that move
+    nothing, or after `rounds`."""
+    state = settle(nodes.select("node", F.col("node").alias("comm"), "degree"))
+    links, quiet = edges.where("src <> dst"), 0
+    parts = -(-edges.count() // (2 * part_edges)) or 1
+    for r in range(rounds):
+        turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+        heavy = state.groupBy("comm").agg(F.sum("degree").alias("heavy"))
+        known = state.join(heavy, "comm")
+        asked = known.where(turn)
+        near = links.join(asked.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst"), "comm", "heavy"), "dst")
+        rows = near.select("src", "dst", "weight", "comm", "heavy", F.lit(0.0).alias("degree")).unionByName(asked.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("weight"), "comm", "heavy", "degree"))
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("src", F.lit(r), F.lit(1)), F.lit(parts)))
+        moves = dealt.groupBy("part").applyInPandas(_swept(total, passes, gain), "node long, to long")
+        later = state.join(moves, "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), "degree", F.coalesce(F.col("to") != F.col("comm"), F.lit(False)).alias("moved"))
+        found, spent = settle(later), state
+        quiet = quiet + 1 if found.where("moved").isEmpty() else 0
+        state = found.drop("moved")
+        discard(spent)
+        if quiet == 2:
             break
-    return state.drop("moved")
+    return state
 
 
-def communities(symbols: DataFrame, edges: DataFrame, batches: int = 4, sweeps: int = 8, levels: int = 16, gain: float = 1e-12, place: tuple[str, ...] = ()) -> DataFrame:
+def communities(symbols: DataFrame, edges: DataFrame, part_edges: int = 100_000, rounds: int = 24, passes: int = 2, levels: int = 16, gain: float = 1e-12, place: tuple[str, ...] = ()) -> DataFrame:
     """(community, node): Louvain over the folded graph, largest community first, then by its first member's `place` (columns
     of symbols such as file and line; none: the node).
 
-    Every round is joins and aggregates over nodes and edges; communities are then contracted to nodes, level by level, until a
-    level merges none. Nodes that share a name are one. The result is the same for the same rows, however they are dealt out."""
+    Folding, degrees and contraction are joins and aggregates; nodes move in parts of bounded size (local_moving), so no
+    task sees the graph, though it must hold a node's edges. Levels are contracted until one merges none. Nodes that share a name are one. The same rows give
+    the same result, however they are dealt out."""
     folded = fold_weights(edges).select("a", "b", F.col("weight").cast("double").alias("weight"))
-    both = folded.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(folded.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
-    level = settle(both)
-    # as rows: the driver sees one number
-    total = level.agg(F.sum("weight")).first()[0] or 0.0
-    ends = symbols.select("node").distinct().join(level.select(F.col("src").alias("node")).distinct(), "node", "full")
-    members = settle(ends.select("node", F.col("node").alias("comm")))
+    ends = symbols.select("node").unionByName(folded.select(F.col("a").alias("node"))).unionByName(folded.select(F.col("b").alias("node"))).distinct()
+    names = settle(numbered(ends, ["node"], "id"))
+    ids = lambda column, to: names.select(F.col("node").alias(column), F.col("id").alias(to))
+    told = folded.join(ids("a", "src"), "a").join(ids("b", "dst"), "b").select("src", "dst", "weight")
+    level = settle(told.unionByName(told.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    total = level.agg(F.sum("weight")).first()[0] or 0.0  # the driver sees one number
+    members = names.select("node", "id", F.col("id").alias("comm"))
     count = members.count()
     for _ in range(levels if total else 0):
         degree = level.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"))
-        moved = local_moving(degree, level, total, batches, sweeps, gain)
-        members = settle(members.join(moved.select(F.col("node").alias("comm"), F.col("comm").alias("up")), "comm", "left").select("node", F.coalesce("up", "comm").alias("comm")))
+        moved = local_moving(degree, level, total, part_edges, rounds, passes, gain)
+        up = moved.select(F.col("node").alias("comm"), F.col("comm").alias("up"))
+        members = settle(members.join(up, "comm", "left").select("node", "id", F.coalesce("up", "comm").alias("comm")))
         to = moved.select("node", "comm")
         small = level.join(to.select(F.col("node").alias("src"), F.col("comm").alias("a")), "src").join(to.select(F.col("node").alias("dst"), F.col("comm").alias("b")), "dst")
         level, spent = settle(small.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))), level
@@ -207,7 +246,7 @@ def communities(symbols: DataFrame, edges: DataFrame, batches: int = 4, sweeps:
             break
         count = now
     first = symbols.groupBy("node").agg(F.min(F.struct(*place, "node")).alias("first"))
-    groups = members.join(first, "node", "left").groupBy("comm").agg(F.count(F.lit(1)).alias("size"), F.min("first").alias("first"), F.min("node").alias("least"))
+    groups = members.join(first, "node", "left").groupBy("comm").agg(F.count(F.lit(1)).alias("size"), F.min("first").alias("first"), F.min("id").alias("least"))
     ranked = numbered(groups, [F.desc("size"), F.asc_nulls_last("first"), F.asc("least")], "community")
     return members.join(ranked.select("comm", F.col("community").cast("int").alias("community")), "comm").select("community", "node")
 
