@@ -241,18 +241,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs plus score (0 to 1) and predicted (1 where score >= threshold)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, max_rows, max_bytes))
-    own = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    schema = T.StructType([*own, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    own = [c for c in docs.columns if c not in ("score", "predicted")]
+    # the input's columns travel in one struct, so that no name of theirs meets one of these
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            texts = batch.column(1)
             for a, b in X.slices(np.diff(X.buffer_of(texts)[1]), 2 << 20):
-                part = batch.slice(a, b - a)
                 s = scores(texts.slice(a, b - a), model.value)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
 
-    return docs.select(*(f.name for f in own)).mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in own), "score", "predicted")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

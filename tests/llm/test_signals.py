@@ -11,7 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from skein.llm import divergence, personal, whitening
+from skein.llm import divergence, personal, toxicity, whitening
 
 BASE = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
@@ -69,11 +69,20 @@ def test_added_spans_and_scores(spark):
 
 
 def test_long_texts_stay_linear(spark):
-    texts = ["1" * 300_000, "a" * 300_000, "a@" * 100_000, "1.1.1.1 " * 40_000, "+1" + "(" * 300_000, "1 " * 100_000, "x@y.z " * 40_000, "A1" * 100_000]
-    out = personal.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    """Texts on which a pattern that tries every start would not end; the plain one does not either, so what is in them is said."""
+    every = lambda kind, n, step, size: [(kind, step * i, step * i + size) for i in range(n)]
+    texts = [("1" * 300_000, []), ("a" * 300_000, []), ("a@" * 100_000, []), ("1.1.1.1 " * 40_000, every("ip", 40_000, 8, 7)), ("+1" + "(" * 300_000, []), ("1 " * 100_000, []), ("x@y.z " * 40_000, every("email", 40_000, 6, 5)), ("A1" * 100_000, [])]
+    out = personal.report(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").repartition(4)).collect()
     for row in out:
-        want = plain_spans(texts[row["doc_id"]])
-        assert row["base_sha256"] == hashlib.sha256(listed(want).encode()).hexdigest()
+        assert row["base_sha256"] == hashlib.sha256(listed(texts[row["doc_id"]][1]).encode()).hexdigest()
+
+
+def test_toxicity_keeps_any_other_column(spark):
+    rows = spark.createDataFrame([(i, "a fine day" if i % 2 else "awful rubbish", 5, "r", "t") for i in range(12)], "doc_id long, txt string, `a.b` int, row string, text string")
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(12)], "doc_id long, toxic int")
+    out = toxicity.toxicity(rows, labels, text_col="txt")
+    assert out.columns == ["doc_id", "txt", "a.b", "row", "text", "score", "predicted"]
+    assert all(x["a.b"] == 5 and x["row"] == "r" and 0 <= x["score"] <= 1 for x in out.collect())
 
 
 def test_personal_data_keeps_other_columns_and_empty_tables(spark):
