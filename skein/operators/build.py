@@ -54,7 +54,11 @@ def node(rel, line, scope, name):
 
 def build(files: DataFrame) -> Graph:
     """The graph of files (rel, source, language); files that do not parse are skipped and listed."""
-    found = stable(extract.structures(files))
+    return assembled(stable(extract.structures(files)))
+
+
+def assembled(found: DataFrame) -> Graph:
+    """The graph of what extract.structures found in files: symbols as they are, calls resolved by name over all of them."""
     own = found.select("rel", "language", F.explode("symbols").alias("s"))
     symbols = own.select(node(F.col("rel"), F.col("s.start_line"), F.col("s.scope"), F.col("s.name")).alias("node"), "s.name", F.col("rel").alias("file"), "language", "s.kind", "s.scope", "s.start_line", "s.end_line").dropDuplicates(["node"])
     calls = found.select("rel", "language", F.explode("calls").alias("c")).select("language", "c.caller", "c.callee")
