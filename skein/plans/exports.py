@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skein import functions as fn
 from skein.operators import docs, extract, rules
 from skein.plans.tables import read
+from skein.sources import ignores
 
 
 def slug_unique(spark, d):
@@ -148,7 +149,24 @@ def _sources(spark, d):
     return p.select(rel.alias("rel"), text.alias("source"), fn.language(rel).alias("language"))
 
 
-QUERIES = {f.__name__: f for f in (slug_unique, doc_sections, triples_export, turtle_lines, shape_violations, shape_conforms, chunk_assignment, iri_dedupe, mention_links, commands, action_scope, stems, extracted_symbols, extracted_calls)}
+IGNORES = (
+    (".gitignore", "*.log\n!keep*.log\n/build\ntarget/\n**/gen/*.rs\n"),
+    ("lib/.gitignore", "!*.log\n/skip\n"),
+    (".ignore", "lib/odd?.rs\n"),
+)
+PLACES = ("a.log", "keep.log", "build/K.rs", "lib/build/K.rs", "x/target/K.rs", "x/gen/pK.rs", "x/gen/y/pK.rs", "lib/K.log", "lib/skip/K.rs", "lib/in/skip", "lib/oddK.rs", ".dot/K.rs", "src/K.rs")
+
+
+def ignored_paths(spark, d):
+    """Which of a tree's paths its own rule files take out, by the kinds of rules there are."""
+    p = read(spark, d, "part", "p_partkey")
+    key = F.col("p_partkey")
+    rel = F.replace(F.element_at(F.array(*map(F.lit, PLACES)), (key % len(PLACES) + 1).cast("int")), F.lit("K"), key.cast("string"))
+    rules_at = ignores.rules_of(spark.createDataFrame(IGNORES, "rel string, source string"))
+    return ignores.ignored(p.select("p_partkey", rel.alias("rel")), rules_at)
+
+
+QUERIES = {f.__name__: f for f in (ignored_paths, slug_unique, doc_sections, triples_export, turtle_lines, shape_violations, shape_conforms, chunk_assignment, iri_dedupe, mention_links, commands, action_scope, stems, extracted_symbols, extracted_calls)}
 
 _TRI = """tr AS (SELECT 'urn:r:' || r_regionkey AS s, 'rdf:type' AS p, 'geo:Region' AS o, 'iri' AS o_kind FROM region UNION SELECT 'urn:n:' || n_nationkey, 'rdf:type', 'geo:Nation', 'iri' FROM nation
  UNION SELECT 'urn:n:' || n_nationkey, 'geo:name', n_name, 'literal' FROM nation UNION SELECT 'urn:n:' || n_nationkey, 'geo:in', 'urn:r:' || n_regionkey, 'iri' FROM nation
@@ -159,6 +177,8 @@ _VIO = """SELECT 'urn:c:' || c_custkey AS focus, 'geo:lives' AS path, 'minCount'
  UNION ALL SELECT 'urn:c:' || c_custkey, 'geo:segment', 'maxCount', '2' FROM customer WHERE c_custkey % 19 = 0 UNION ALL SELECT 'urn:c:' || c_custkey, 'geo:segment', 'in', 'OTHER' FROM customer WHERE c_custkey % 19 = 0"""
 
 ORACLES = {
+    "ignored_paths": f"""WITH p AS (SELECT p_partkey, p_partkey % {len(PLACES)} AS n, replace([{', '.join(f"'{x}'" for x in PLACES)}][p_partkey % {len(PLACES)} + 1], 'K', p_partkey::VARCHAR) AS rel FROM part)
+        SELECT p_partkey, rel, CASE WHEN n IN (0, 2, 4, 5, 8, 11) THEN true WHEN n = 10 THEN p_partkey < 10 ELSE false END AS ignored FROM p""",
     "slug_unique": """WITH s AS (SELECT p_brand, p_partkey, trim(regexp_replace(regexp_replace(lower(p_type || ' & Co_'), '[^\\p{L}\\p{N} _-]', '', 'g'), '[ _-]+', '-', 'g'), '-') AS slug FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, slug ORDER BY p_partkey) - 1 AS n FROM s)
         SELECT p_brand, p_partkey, CASE WHEN n > 0 THEN slug || '-' || n ELSE slug END AS slug FROM r""",
     "doc_sections": """WITH s AS (SELECT *, trim(regexp_replace(regexp_replace(lower(p_type), '[^\\p{L}\\p{N} _-]', '', 'g'), '[ _-]+', '-', 'g'), '-') AS slug FROM part)

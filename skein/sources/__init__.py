@@ -17,20 +17,21 @@ from pyspark.sql import functions as F
 
 from skein.functions import language, vendored
 from skein.operators.rules import any_glob
+from skein.sources import folders, ignores
 
 
-def working_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
-    """(rel, source, language) of the parseable files below root; vendored, minified and ignored ones left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = raw.select(F.regexp_replace("path", f"^[a-z]+:/*{re.escape(root.split(':')[-1].strip('/'))}/", "").alias("rel"), F.decode("content", "utf-8").alias("source"))
-    out = base.withColumn("language", language(F.col("rel"))).where(F.col("language").isNotNull() & ~vendored(F.col("rel")) & ~any_glob(F.col("rel"), ignore or []))
+def working_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, languages: list[str] | None = None, hidden: bool = False, rule_files: bool = True) -> DataFrame:
+    """(rel, source, language) of the parseable files below root, without vendored and minified ones, those that the tree's own
+    rule files ignore (ignores.py), hidden ones unless asked for, and those that the globs `ignore` name. A file that is not UTF-8 has no source."""
+    files = folders.below(spark, root)
+    own = ignores.ignored(files, ignores.rules_of(files) if rule_files else ignores.no_rules(spark), not hidden).where(~F.col("ignored")).drop("ignored")
+    out = own.withColumn("language", language(F.col("rel"))).where(F.col("language").isNotNull() & ~vendored(F.col("rel")) & ~any_glob(F.col("rel"), ignore or []))
     return out.where(F.col("language").isin(*languages)) if languages else out
 
 
 def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
     """(rel, text) of markdown files below root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,markdown}").load(root)
-    return raw.select(F.regexp_replace("path", f"^[a-z]+:/*{re.escape(root.split(':')[-1].strip('/'))}/", "").alias("rel"), F.decode("content", "utf-8").alias("text")).where(~vendored(F.col("rel")))
+    return folders.below(spark, root, r"\.(?:md|markdown)$").where(~vendored(F.col("rel"))).select("rel", F.col("source").alias("text"))
 
 
 def at_commit(files: DataFrame, commit: str) -> DataFrame:
@@ -58,7 +59,7 @@ VERDICTS = "ts long, predicate_id string, target_ref string, turtle string, deni
 THROTTLES = "constraint_id string, scope string, until long, _corrupt_record string"
 
 
-def spool(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def spool(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """A JSON-lines spool; lines that do not parse keep their text in _corrupt_record."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 

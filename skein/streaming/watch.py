@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -26,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from skein.functions import language, vendored
 from skein.operators import build, extract
+from skein.sources import folders
 
 SCHEMA = "rel string, change string, size long, changed timestamp, listing long"
 _ARROW = pa.schema([("rel", pa.string()), ("change", pa.string()), ("size", pa.int64()), ("changed", pa.timestamp("us", "UTC")), ("listing", pa.int64())])
@@ -137,14 +137,8 @@ def changes(spark: SparkSession, root: str, state: str, existing: bool = True) -
 
 def read_files(spark: SparkSession, root: str, rels: list[str]) -> DataFrame:
     """(rel, source, language) of those of these files that are still there and of a known language."""
-    there = [os.path.join(root, r) for r in rels if os.path.exists(os.path.join(root, r))]
-    if not there:
-        return spark.createDataFrame([], "rel string, source string, language string")
-    raw = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(["file://" + re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in there])  # names, not globs
-    base = os.path.join(root, "")
-    rel = F.expr("substring(path, locate(base, path) + length(base))")
-    out = raw.withColumn("base", F.lit(base)).select(rel.alias("rel"), F.expr("try_validate_utf8(CAST(content AS STRING))").alias("source"))
-    return out.withColumn("language", language(F.col("rel"))).where(F.col("language").isNotNull() & ~vendored(F.col("rel")))
+    found = folders.texts(folders.contents(spark.createDataFrame([(r,) for r in rels], "rel string"), root))
+    return found.withColumn("language", language(F.col("rel"))).where(F.col("language").isNotNull() & ~vendored(F.col("rel")))
 
 
 class Follower:
