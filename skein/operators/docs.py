@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import module_stem, slug, turtle_literal
-from skein.operators.graph import reach
+from skein.operators.graph import numbered, reach
+from skein.scratch import settle
 
 _FENCE, _HEAD = re.compile(r"^ {0,3}(`{3,}|~{3,})"), re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
 _TICKS = re.compile(r"(`+)(.+?)(?<!`)\1(?!`)")
@@ -148,20 +149,62 @@ def conforms(violations: DataFrame) -> DataFrame:
     return violations.agg((F.count(F.lit(1)) == 0).alias("conforms"), F.count(F.lit(1)).alias("violations"))
 
 
-def chunks(rows: DataFrame, most: int = 1_500_000, needs: str = "code:calls") -> DataFrame:
-    """(chunk, s, p, o, o_kind, carried): subjects whole, in order of their running size, about `most` bytes a
-    chunk; each chunk also carries the type statement of every object that a `needs` statement points to.
-
-    A chunk is the running sum's multiple of `most`, which a window over block totals gives without
-    one task for all rows; a subject that crosses a multiple begins the next chunk."""
+def class_predicates(shapes: list[dict]) -> list[str]:
+    """The predicates whose objects must be typed in the payload that holds them."""
+    return sorted({sh["path"] for sh in shapes if sh.get("to_class")})
+
+
+def running(rows: DataFrame, value: str, name: str, block: int = 10_000) -> DataFrame:
+    """rows (pos, ...) plus the sum of value up to and with each, in order of pos: within blocks of places, after the sums of the blocks before."""
+    at = rows.withColumn("_b", F.floor(F.col("pos") / block))
+    blocks = at.groupBy("_b").agg(F.sum(value).alias("_s"))  # a row for each `block` places
+    before = blocks.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"))
+    w = Window.partitionBy("_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return at.withColumn("_own", F.sum(value).over(w)).join(before, "_b").withColumn(name, F.col("_before") + F.col("_own")).drop("_b", "_own", "_before")
+
+
+def greedy_starts(sized: DataFrame, most: int) -> DataFrame:
+    """(pos): where the chunks begin if rows (pos from 0, bytes) are packed in order, each chunk as full as `most` allows.
+
+    Running sums say where a chunk that begins at a place must end: the first place whose sum passes that of the places before
+    plus `most`. Sums are looked up in cells of `most` bytes, each sorted by itself. The starts are those that the first place reaches by these steps,
+    found by doubling them: a round for each power of two of chunks."""
+    upto = settle(running(sized, "bytes", "upto").select("pos", (F.col("upto") - F.col("bytes")).alias("before"), "upto"))
+    n = upto.count()
+    cell = lambda v: F.floor(v / most).cast("long")
+    held = upto.withColumn("cell", F.explode(F.sequence(cell(F.col("before")), cell(F.col("upto"))))).select("cell", F.col("upto").alias("v"), F.lit(0).alias("asks"), "pos")
+    asked = upto.select(cell(F.col("before") + most).alias("cell"), (F.col("before") + most).alias("v"), F.lit(1).alias("asks"), "pos")
+    after = F.min(F.when(F.col("asks") == 0, F.col("pos"))).over(Window.partitionBy("cell").orderBy("v", "asks").rowsBetween(1, Window.unboundedFollowing))
+    step = held.unionByName(asked).withColumn("to", after).where("asks = 1")
+    steps = [settle(step.select("pos", F.greatest(F.coalesce("to", F.lit(n)), F.col("pos") + 1).alias("to")))]
+    while n and (steps[-1].where("pos = 0").first()["to"]) < n:
+        a, b = steps[-1], steps[-1].select(F.col("pos").alias("to"), F.col("to").alias("further"))
+        steps.append(settle(a.join(b, "to", "left").select("pos", F.coalesce("further", F.lit(n)).alias("to"))))
+    found = upto.where("pos = 0").select("pos")
+    for s in reversed(steps):
+        found = settle(found.unionByName(found.join(s, "pos").where(F.col("to") < n).select(F.col("to").alias("pos"))).distinct())
+    return found
+
+
+def chunks(rows: DataFrame, most: int = 1_500_000, needs: list[str] | str = ()) -> DataFrame:
+    """(chunk, s, p, o, o_kind, carried): subjects whole, in order, packed greedily into chunks of at most `most` bytes; each chunk
+    also carries the type statements of every object that a statement of a `needs` predicate points to and that it does not hold.
+
+    A subject counts with its own statements and with the types that it needs, so that a chunk keeps to its size whatever it
+    carries; a subject over `most` is a chunk of its own."""
+    needs = [needs] if isinstance(needs, str) else list(needs)
     size = F.octet_length("s") + F.octet_length("p") + F.octet_length("o") + 12
-    subjects = rows.groupBy("s").agg(F.sum(size).alias("bytes")).repartitionByRange("s").withColumn("_p", F.spark_partition_id())
-    blocks = subjects.groupBy("_p").agg(F.sum("bytes").alias("_s")).select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_before"))
-    w = Window.partitionBy("_p").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    placed = subjects.join(F.broadcast(blocks), "_p").withColumn("chunk", F.floor((F.col("_before") + F.sum("bytes").over(w) - 1) / most).cast("long")).select("s", "chunk")
-    own = rows.join(placed, "s").withColumn("carried", F.lit(False))
-    types = rows.where("p = 'rdf:type'").select(F.col("s").alias("o2"), F.col("o").alias("class"))
-    wanted = own.where(F.col("p") == needs).select("chunk", F.col("o").alias("o2")).distinct().join(placed.withColumnsRenamed({"s": "o2", "chunk": "home"}), "o2").where("chunk <> home")
+    types = rows.where("p = 'rdf:type'").select(F.col("s").alias("o2"), F.col("o").alias("class")).distinct()
+    cost = types.groupBy("o2").agg(F.sum(F.octet_length("o2") + F.octet_length(F.lit("rdf:type")) + F.octet_length("class") + 12).alias("cost"))
+    links = rows.where(F.col("p").isin(*needs)).select("s", F.col("o").alias("o2")).distinct()
+    carry = links.join(cost, "o2").groupBy("s").agg(F.sum("cost").alias("more"))
+    subjects = rows.groupBy("s").agg(F.sum(size).alias("own")).join(carry, "s", "left").select("s", (F.col("own") + F.coalesce("more", F.lit(0))).alias("bytes"))
+    placed = settle(numbered(subjects, ["s"], "pos"))
+    starts = greedy_starts(placed.select("pos", "bytes"), most).withColumn("begins", F.lit(1))
+    marked = running(placed.select("s", "pos").join(starts, "pos", "left").fillna(0, ["begins"]), "begins", "nth")
+    home = settle(marked.select("s", (F.col("nth") - 1).cast("long").alias("chunk")))
+    own = rows.join(home, "s").withColumn("carried", F.lit(False))
+    wanted = links.join(home, "s").select("chunk", "o2").distinct().join(home.withColumnsRenamed({"s": "o2", "chunk": "home"}), "o2").where("chunk <> home")
     extra = wanted.join(types, "o2").select("chunk", F.col("o2").alias("s"), F.lit("rdf:type").alias("p"), F.col("class").alias("o"), F.lit("iri").alias("o_kind"), F.lit(True).alias("carried"))
     return own.select("chunk", "s", "p", "o", "o_kind", "carried").unionByName(extra.distinct())
 

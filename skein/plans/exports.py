@@ -66,8 +66,8 @@ def shape_conforms(spark, d):
 
 def chunk_assignment(spark, d):
     """Every chunk holds its subjects whole and the types that its links need; sizes are bounded."""
-    c = docs.chunks(_triples(spark, d), 4000, "geo:lives")
-    return c.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("carried").cast("long")).alias("carried"))
+    c = docs.chunks(_triples(spark, d), 4000, docs.class_predicates(SHAPES))
+    return c.groupBy("chunk").agg(F.min(F.when(~F.col("carried"), F.col("s"))).alias("first"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("carried").cast("long")).alias("carried"))
 
 
 def iri_dedupe(spark, d):
@@ -187,6 +187,16 @@ ORACLES = {
     "turtle_lines": f"WITH {_TRI} SELECT '<' || s || '> ' || p || ' ' || CASE WHEN o_kind = 'literal' THEN '\"' || o || '\"' WHEN o = 'geo:Region' THEN o ELSE '<' || o || '>' END || ' .' AS value FROM tr WHERE p = 'geo:name' OR p = 'geo:in' OR o = 'geo:Region'",
     "shape_violations": _VIO,
     "shape_conforms": f"SELECT count(*) = 0 AS conforms, count(*) AS violations FROM ({_VIO})",
+    "chunk_assignment": f"""WITH RECURSIVE {_TRI}, ty AS (SELECT DISTINCT s AS o2, o AS class FROM tr WHERE p = 'rdf:type'), co AS (SELECT o2, sum(strlen(o2) + 8 + strlen(class) + 12) AS cost FROM ty GROUP BY 1),
+        ln AS (SELECT DISTINCT s, o AS o2 FROM tr WHERE p = 'geo:lives'), mo AS (SELECT s, sum(cost) AS more FROM ln JOIN co USING (o2) GROUP BY 1),
+        su AS (SELECT s, sum(strlen(s) + strlen(p) + strlen(o) + 12) + coalesce(any_value(more), 0) AS b FROM tr LEFT JOIN mo USING (s) GROUP BY s),
+        po AS (SELECT s, b, row_number() OVER (ORDER BY s) - 1 AS pos, sum(b) OVER (ORDER BY s) AS upto FROM su),
+        nx AS (SELECT a.pos, greatest(a.pos + 1, coalesce(min(c.pos), (SELECT count(*) FROM po))) AS nxt FROM po a LEFT JOIN po c ON c.upto > a.upto - a.b + 4000 GROUP BY a.pos),
+        st(pos) AS (SELECT 0::BIGINT UNION ALL SELECT nxt FROM st JOIN nx USING (pos) WHERE nxt < (SELECT count(*) FROM po)),
+        ho AS (SELECT s, (SELECT count(*) - 1 FROM st WHERE st.pos <= po.pos) AS chunk FROM po),
+        al AS (SELECT chunk, s, false AS carried FROM tr JOIN ho USING (s) UNION ALL
+               SELECT w.chunk, w.o2, true FROM (SELECT DISTINCT h.chunk, ln.o2 FROM ln JOIN ho h USING (s)) w JOIN ho g ON g.s = w.o2 AND g.chunk <> w.chunk JOIN ty ON ty.o2 = w.o2)
+        SELECT chunk, min(s) FILTER (WHERE NOT carried) AS first, count(*) AS rows, sum(carried::BIGINT)::BIGINT AS carried FROM al GROUP BY chunk""",
     "iri_dedupe": "SELECT p_brand || '/' || p_size AS iri, min(p_partkey) AS p_partkey, arg_min(p_type, p_partkey) AS kind, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS kinds FROM part GROUP BY 1",
     "mention_links": """WITH s AS (SELECT p_partkey AS node, p_size, replace(p_brand, '#', '_') AS stem FROM part), m AS (SELECT p_partkey AS mention, p_size, CASE WHEN p_partkey % 2 = 0 THEN replace(p_brand, '#', '_') END AS q FROM part)
         SELECT mention, node FROM m JOIN s USING (p_size) WHERE q IS NULL OR stem = q""",

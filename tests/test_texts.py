@@ -1,4 +1,5 @@
 import json
+import random
 import time
 
 import pytest
@@ -25,6 +26,21 @@ def test_unique_slugs_and_mentions(spark):
     assert sorted(map(tuple, docs.mention_links(mentions, symbols).collect())) == [(1, 2), (2, 1), (2, 2), (3, 1), (3, 2)]
 
 
+def test_chunks_are_those_of_a_sequential_packing(spark):
+    r = random.Random(6)
+    for most, sizes in [(100, [r.choice([1, 5, 30, 99, 100, 101, 450]) for _ in range(400)]), (1000, [r.randint(1, 30) for _ in range(300)]), (50, [50] * 9), (10, [500]), (10, [])]:
+        starts, full = [], 0
+        for i, b in enumerate(sizes):
+            if i == 0 or full + b > most:
+                starts, full = [*starts, i], 0
+            full += b
+        got = docs.greedy_starts(spark.createDataFrame(list(enumerate(sizes)), "pos long, bytes long").repartition(3), most)
+        assert sorted(x["pos"] for x in got.collect()) == starts
+    rows = spark.createDataFrame([(i, r.randint(0, 9)) for i in range(95)], "pos long, v long").repartition(4)
+    values = {x["pos"]: x["v"] for x in rows.collect()}
+    assert {x["pos"]: x["t"] for x in docs.running(rows, "v", "t", block=10).collect()} == {p: sum(values[q] for q in range(p + 1)) for p in values}
+
+
 def test_shapes_and_chunks(spark):
     t = [("a", "rdf:type", "S", "iri"), ("b", "rdf:type", "S", "iri"), ("m", "rdf:type", "M", "iri"), ("a", "in", "m", "iri"), ("b", "in", "x", "iri"), ("a", "kind", "f", "literal"), ("a", "kind", "g", "literal"), ("b", "tier", "vibes", "literal"), ("b", "calls", "text", "literal")]
     rows = spark.createDataFrame(t, "s string, p string, o string, o_kind string")
@@ -34,7 +50,8 @@ def test_shapes_and_chunks(spark):
     with pytest.raises(sources.Refused):
         sources.publish(rows, out, lambda r: None)
     many = spark.createDataFrame([(f"s{i:03}", "rdf:type", "S", "iri") for i in range(60)] + [(f"s{i:03}", "code:calls", f"s{(i * 7) % 60:03}", "iri") for i in range(60)], "s string, p string, o string, o_kind string")
-    c = docs.chunks(many, 500).collect()
+    c = docs.chunks(many, 500, ["code:calls"]).collect()
+    assert all(sum(len(x["s"]) + len(x["p"]) + len(x["o"]) + 12 for x in c if x["chunk"] == k) <= 500 for k in {x["chunk"] for x in c})
     home = {x["s"]: x["chunk"] for x in c if not x["carried"]}
     held = {(x["chunk"], x["s"]) for x in c if x["p"] == "rdf:type"}
     assert len(set(home.values())) > 5 and sum(not x["carried"] for x in c) == 120
