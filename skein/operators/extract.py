@@ -29,12 +29,13 @@ DECLS: dict[str, list[tuple[str, str]]] = {
 }
 DECLS["tsx"] = DECLS["typescript"]
 _KEYWORDS = set("if for while switch match return fn func function catch sizeof new else loop do super this self await defer go throw typeof import assert synchronized".split())
+# (the clause that names modules, what of it counts, words that are no names): identifiers of dotted paths, or the quoted path as it is
 _IMPORTS = {
-    "rust": (r"^\s*(?:pub\s+)?use\s+([^;]+);", r"[A-Za-z_]\w*", {"crate", "self", "super", "as", "use", "std"}),
-    "go": (r'^\s*(?:import\s+(?:\w+\s+)?|\s+)"([^"\n]+)"', r"[\w.-]+", set()),
-    "typescript": (r"""^\s*(?:import|export)\b[^'"\n]*['"]([^'"\n]+)['"]""", r"[\w@-]+", set()),
-    "java": (r"^\s*import\s+(?:static\s+)?([\w.]+)", r"\w+", set()),
-    "cpp": (r'^\s*#\s*include\s*[<"]([^>"\n]+)[>"]', r"\w+(?=\.)|\w+$", set()),
+    "rust": (r"^\s*(?:pub(?:\s*\([^)]*\))?\s+)?(?:use\s+|mod\s+(?=\w+\s*;))([^;]+);", r"[A-Za-z_]\w*", {"crate", "self", "super", "as"}),
+    "go": (r'^\s*(?:import\s+(?:[\w.]+\s+)?|\s+(?:[\w.]+\s+)?)"([^"\n]+)"', r".+", set()),
+    "typescript": (r"""^\s*import\b[^'";(]*['"]([^'"\n]+)['"]""", r".+", set()),
+    "java": (r"^\s*import\s+(?:static\s+)?([\w.]+)", r"[A-Za-z_$][\w$]*", set()),
+    "cpp": (r'^\s*#\s*include\s*[<"]([^>"\n]+)[>"]', r".+", set()),
 }
 _IMPORTS["tsx"] = _IMPORTS["typescript"]
 
@@ -120,10 +121,10 @@ def python_facts(source: str) -> Facts:
             elif isinstance(child, ast.Call) and owner and callee(child.func):
                 calls.append({"caller": owner, "callee": callee(child.func), "line": child.lineno})
             elif isinstance(child, ast.Import):
-                refs.update(p for a in child.names for p in a.name.split("."))
+                refs.update(p for a in child.names for p in [*a.name.split("."), *([a.asname] if a.asname else [])])
             elif isinstance(child, ast.ImportFrom):
                 refs.update(p for p in (child.module or "").split(".") if p)
-                refs.update(a.name for a in child.names if a.name != "*")
+                refs.update(n for a in child.names for n in (a.name, a.asname) if n and n != "*")
             walk(child, here, who)
 
     walk(tree, [], None)
@@ -202,30 +203,6 @@ def edited_spans(text: str, new: list[str]) -> list[tuple[int, int]]:
     return sorted(set(out))
 
 
-_SELECTOR = re.compile(r"^\s*\(\s*([a-z_]+)\s*\)\s*@(\w+)\s*$")
-NODE_KINDS = {"function_item": "function", "function_definition": "function", "function_declaration": "function", "method_declaration": "method", "struct_item": "struct", "enum_item": "enum", "trait_item": "trait", "mod_item": "module", "class_definition": "class", "class_declaration": "class", "interface_declaration": "interface"}
-
-
-def captures(source: str, language: str, selector: str) -> list[dict]:
-    """Captures of `(node_kind) @name`: name, text, start and end line. Other selectors are an error."""
-    m = _SELECTOR.match(selector)
-    if not m or m[1] not in NODE_KINDS:
-        raise ValueError(f"selector not supported: {selector!r}")
-    f = facts(source, language)
-    lines = source.split("\n")
-    return [{"capture": m[2], "text": "\n".join(lines[s["start_line"] - 1 : s["end_line"]]), "start_line": s["start_line"], "end_line": s["end_line"]} for s in (f.symbols if f else []) if s["kind"] == NODE_KINDS[m[1]]]
-
-
-def enclosing(source: str, language: str, needle: str) -> str | None:
-    """Kind of the smallest symbol around the first occurrence of needle."""
-    at, f = source.find(needle), facts(source, language)
-    if at < 0 or not f:
-        return None
-    line = source.count("\n", 0, at) + 1
-    inside = [s for s in f.symbols if s["start_line"] <= line <= s["end_line"]]
-    return min(inside, key=lambda s: (s["end_line"] - s["start_line"], -s["start_line"]))["kind"] if inside else None
-
-
 def buffer_violations(source: str, language: str, known: set[str], arities: dict[str, int]) -> list[tuple[str, str, int]]:
     """(violation, name, line): calls of names that neither the buffer nor the graph defines, and of known ones with another arity."""
     f = facts(source, language)

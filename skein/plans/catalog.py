@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("graphs", "overlays", "boards", "planes", "retrieval", "sessions", "exports", "edits", "syntax")
+MODULES = ("graphs", "overlays", "boards", "planes", "retrieval", "sessions", "exports", "edits", "syntax", "facts")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -122,12 +122,16 @@ def stems(spark, d):
 
 
 def extracted_symbols(spark, d):
-    """Symbols of sources in seven languages made from part keys."""
-    return extract.symbols(_sources(spark, d)).groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """Symbols of sources in six languages; every name holds its part's key."""
+    return extract.symbols(_sources(spark, d)).select("rel", "name", "kind", "start_line")
 
 
 def extracted_calls(spark, d):
-    return extract.calls(_sources(spark, d)).groupBy("language", "callee").agg(F.count(F.lit(1)).alias("n"))
+    return extract.calls(_sources(spark, d)).select("rel", "caller", "callee", "line")
+
+
+def extracted_imports(spark, d):
+    return extract.imports(_sources(spark, d)).select("rel", "name")
 
 
 _CODE = {
@@ -145,6 +149,7 @@ def _sources(spark, d):
     exts = list(_CODE)
     ext = F.element_at(F.array(*map(F.lit, exts)), (F.col("p_partkey") % len(exts) + 1).cast("int"))
     text = F.create_map(*(F.lit(x) for kv in _CODE.items() for x in kv))[ext]
+    text = F.regexp_replace(text, F.lit(r"\b(inner|leaf|top|helper|run|Run|P|A|T|J|S)\b"), F.concat(F.lit("$1"), F.col("p_partkey").cast("string")))
     rel = F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit("."), ext)
     return p.select(rel.alias("rel"), text.alias("source"), fn.language(rel).alias("language"))
 
@@ -166,7 +171,7 @@ def ignored_paths(spark, d):
     return ignores.ignored(p.select("p_partkey", rel.alias("rel")), rules_at)
 
 
-QUERIES = {f.__name__: f for f in (ignored_paths, slug_unique, doc_sections, triples_export, turtle_lines, shape_violations, shape_conforms, chunk_assignment, iri_dedupe, mention_links, commands, action_scope, stems, extracted_symbols, extracted_calls)}
+QUERIES = {f.__name__: f for f in (ignored_paths, slug_unique, doc_sections, triples_export, turtle_lines, shape_violations, shape_conforms, chunk_assignment, iri_dedupe, mention_links, commands, action_scope, stems, extracted_symbols, extracted_calls, extracted_imports)}
 
 _TRI = """tr AS (SELECT 'urn:r:' || r_regionkey AS s, 'rdf:type' AS p, 'geo:Region' AS o, 'iri' AS o_kind FROM region UNION SELECT 'urn:n:' || n_nationkey, 'rdf:type', 'geo:Nation', 'iri' FROM nation
  UNION SELECT 'urn:n:' || n_nationkey, 'geo:name', n_name, 'literal' FROM nation UNION SELECT 'urn:n:' || n_nationkey, 'geo:in', 'urn:r:' || n_regionkey, 'iri' FROM nation
@@ -176,7 +181,20 @@ _VIO = """SELECT 'urn:c:' || c_custkey AS focus, 'geo:lives' AS path, 'minCount'
  UNION ALL SELECT 'urn:c:' || c_custkey, 'geo:lives', 'class', 'urn:n:99' FROM customer WHERE c_custkey % 17 = 0 AND c_custkey % 13 <> 0
  UNION ALL SELECT 'urn:c:' || c_custkey, 'geo:segment', 'maxCount', '2' FROM customer WHERE c_custkey % 19 = 0 UNION ALL SELECT 'urn:c:' || c_custkey, 'geo:segment', 'in', 'OTHER' FROM customer WHERE c_custkey % 19 = 0"""
 
+#: (language, name, kind, line), (language, caller, callee, line) and (language, import) of each source, names without the key.
+_SYMBOLS = (("rs", "inner", "module", 1), ("rs", "leaf", "function", 2), ("rs", "top", "function", 4), ("rs", "P", "struct", 9), ("py", "A", "class", 2), ("py", "run", "method", 3), ("py", "helper", "function", 6), ("ts", "C", "class", 2), ("ts", "run", "method", 3), ("ts", "helper", "function", 5),
+            ("go", "T", "struct", 3), ("go", "Run", "method", 4), ("go", "helper", "function", 5), ("java", "J", "class", 2), ("java", "J", "constructor", 3), ("java", "run", "method", 4), ("java", "helper", "method", 5), ("cpp", "S", "struct", 2), ("cpp", "helper", "function", 3), ("cpp", "run", "function", 4))
+_CALLED = (("rs", "top", "leaf", 5), ("py", "run", "helper", 4), ("ts", "run", "helper", 3), ("go", "Run", "helper", 4), ("go", "helper", "Println", 5), ("java", "run", "helper", 4), ("cpp", "run", "helper", 4))
+_IMPORTED = (("py", "os"), ("py", "path"), ("ts", "./lib"), ("go", "fmt"), ("java", "a"), ("java", "b"), ("java", "C"), ("cpp", "x.h"))
+_values = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+_PLAIN = "('C', 'Println')"
+_SRC = f"so AS (SELECT p_partkey AS k, [{', '.join(repr(e) for e in _CODE)}][p_partkey % {len(_CODE)} + 1] AS ext FROM part)"
+_of = lambda c: f"CASE WHEN {c} IN {_PLAIN} THEN {c} ELSE {c} || k END"
+
 ORACLES = {
+    "extracted_symbols": f"WITH {_SRC} SELECT 'src/f' || k || '.' || so.ext AS rel, {_of('v.name')} AS name, v.kind, v.line AS start_line FROM so JOIN (VALUES {_values(_SYMBOLS)}) AS v(ext, name, kind, line) ON v.ext = so.ext",
+    "extracted_calls": f"WITH {_SRC} SELECT 'src/f' || k || '.' || so.ext AS rel, {_of('v.a')} AS caller, {_of('v.b')} AS callee, v.line FROM so JOIN (VALUES {_values(_CALLED)}) AS v(ext, a, b, line) ON v.ext = so.ext",
+    "extracted_imports": f"WITH {_SRC} SELECT 'src/f' || k || '.' || so.ext AS rel, v.name FROM so JOIN (VALUES {_values(_IMPORTED)}) AS v(ext, name) ON v.ext = so.ext",
     "ignored_paths": f"""WITH p AS (SELECT p_partkey, p_partkey % {len(PLACES)} AS n, replace([{', '.join(f"'{x}'" for x in PLACES)}][p_partkey % {len(PLACES)} + 1], 'K', p_partkey::VARCHAR) AS rel FROM part)
         SELECT p_partkey, rel, CASE WHEN n IN (0, 2, 4, 5, 8, 11) THEN true WHEN n = 10 THEN p_partkey < 10 ELSE false END AS ignored FROM p""",
     "slug_unique": """WITH s AS (SELECT p_brand, p_partkey, trim(regexp_replace(regexp_replace(lower(p_type || ' & Co_'), '[^\\p{L}\\p{N} _-]', '', 'g'), '[ _-]+', '-', 'g'), '-') AS slug FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, slug ORDER BY p_partkey) - 1 AS n FROM s)
