@@ -92,7 +92,7 @@ def weights_folded(spark, d):
 
 def communities(spark, d):
     e = part_calls(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    return graph.communities(part_symbols(spark, d).select(F.col("name").alias("node")), e)
+    return graph.communities(part_symbols(spark, d).select(F.col("name").alias("node"), "file", "start_line"), e, place=("file", "start_line"))
 
 
 def reconcile(spark, d):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import language, vendored
 from skein.operators.rules import any_glob
+from skein.scratch import stable
 from skein.sources import folders, ignores
 
 
@@ -289,10 +290,15 @@ def publish(triples: DataFrame, violations: DataFrame, write: Callable[[DataFram
     n = triples.count()
     if dry_run:
         return {"triples": n, "written": False}
+    return {"triples": n, "written": True, "attempts": tried(lambda: write(triples), attempts, wait, sleep)}
+
+
+def tried(send: Callable[[], None], attempts: int, wait: float, sleep: Callable[[float], None]) -> int:
+    """send(), again after transient failures, waiting longer each time; returns how often."""
     for attempt in range(1, attempts + 1):
         try:
-            write(triples)
-            return {"triples": n, "written": True, "attempts": attempt}
+            send()
+            return attempt
         except (ConnectionError, TimeoutError):
             if attempt == attempts:
                 raise
@@ -300,6 +306,26 @@ def publish(triples: DataFrame, violations: DataFrame, write: Callable[[DataFram
     raise AssertionError
 
 
+def publish_chunks(chunks: DataFrame, violations: DataFrame, write: Callable[[DataFrame, int], None], attempts: int = 3, wait: float = 2.0, dry_run: bool = False, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """Send chunks (chunk, ...) one after the other, each whole and in order; any violation refuses all before the first is sent. A chunk that
+    cannot be sent ends it: the error names it, and what went before it has been written."""
+    bad = violations.count()
+    if bad:
+        raise Refused(f"{bad} violations")
+    held = stable(chunks)
+    sent, tries = 0, 0
+    for row in held.select("chunk").distinct().orderBy("chunk").toLocalIterator():
+        if dry_run:
+            sent += 1
+            continue
+        try:
+            tries += tried(lambda n=row["chunk"]: write(held.where(F.col("chunk") == n).drop("chunk"), n), attempts, wait, sleep)
+        except (ConnectionError, TimeoutError) as e:
+            raise Refused(f"chunk {row['chunk']} after {sent} that were written: {e}") from e
+        sent += 1
+    return {"chunks": sent, "written": not dry_run, "attempts": tries}
+
+
 def quarantine(rows: DataFrame, path: str, reason: str) -> None:
     """Keep a refused payload with the reason."""
     rows.withColumn("refused", F.lit(reason)).write.mode("append").json(path)

@@ -115,3 +115,25 @@ def test_working_tree_reads_every_name(spark, tmp_path):
     assert set(read(hidden=True, rule_files=False, languages=["python", "rust"], ignore=["pkg/**"])) == {"_lead.rs", "out/gen.rs", ".dot/a.py"}
     assert read() == {r["rel"]: r["source"] for r in sources.working_tree(spark, f"file://{tmp_path}").collect()}
     assert [r["rel"] for r in sources.markdown_tree(spark, str(tmp_path)).collect()] == ["notes/_a.md"]
+
+
+def test_publish_sends_chunk_by_chunk(spark):
+    rows, fine, got, fails = spark.createDataFrame([(n // 3, f"s{n}") for n in range(8)], "chunk int, s string"), spark.createDataFrame([], "x int"), [], [1]
+
+    def send(part, n):
+        if n == 1 and fails and fails.pop():
+            raise ConnectionError
+        got.append((n, sorted(r["s"] for r in part.collect())))
+
+    assert sources.publish_chunks(rows, fine, send, sleep=lambda s: None) == {"chunks": 3, "written": True, "attempts": 4}
+    assert got == [(0, ["s0", "s1", "s2"]), (1, ["s3", "s4", "s5"]), (2, ["s6", "s7"])]
+    assert sources.publish_chunks(rows, fine, send, dry_run=True) == {"chunks": 3, "written": False, "attempts": 0} and len(got) == 3
+
+    def never(part, n):
+        if n:
+            raise TimeoutError("late")
+
+    with pytest.raises(sources.Refused, match="chunk 1 after 1"):
+        sources.publish_chunks(rows, fine, never, sleep=lambda s: None)
+    with pytest.raises(sources.Refused, match="1 violations"):
+        sources.publish_chunks(rows, spark.range(1), send)
