@@ -116,35 +116,127 @@ def turtle(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("<"), "s", F.lit("> "), "p", F.lit(" "), o, F.lit(" .")).alias("value"))
 
 
-def shape_violations(rows: DataFrame, shapes: list[dict]) -> DataFrame:
-    """(focus, path, constraint, value): a shape is {target, path, min, max, values, node_kind, to_class}.
-
-    Counts are one aggregate a shape; classes of objects are a semi join against typed subjects."""
-    typed = rows.where("p = 'rdf:type'").select("s", F.col("o").alias("class"))
-    out = None
-    for sh in shapes:
-        focus = typed.where(F.col("class") == sh["target"]).select("s").distinct()
-        values = rows.where(F.col("p") == sh["path"]).select("s", "o", "o_kind")
-        counted = focus.join(values.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "s", "left").fillna(0, ["n"])
-        tests = []
-        if sh.get("min") is not None:
-            tests.append(counted.where(F.col("n") < sh["min"]).select("s", F.lit("minCount").alias("constraint"), F.col("n").cast("string").alias("value")))
-        if sh.get("max") is not None:
-            tests.append(counted.where(F.col("n") > sh["max"]).select("s", F.lit("maxCount").alias("constraint"), F.col("n").cast("string").alias("value")))
-        own = values.join(focus, "s", "left_semi")
-        if sh.get("values"):
-            tests.append(own.where(~F.col("o").isin(*sh["values"])).select("s", F.lit("in").alias("constraint"), F.col("o").alias("value")))
-        if sh.get("node_kind"):
-            tests.append(own.where(F.col("o_kind") != sh["node_kind"]).select("s", F.lit("nodeKind").alias("constraint"), F.col("o").alias("value")))
-        if sh.get("to_class"):
-            right = typed.where(F.col("class") == sh["to_class"]).select(F.col("s").alias("o")).distinct()
-            tests.append(own.where("o_kind = 'iri'").join(right, "o", "left_anti").select("s", F.lit("class").alias("constraint"), F.col("o").alias("value")))
-        for t in tests:
-            t = t.select(F.col("s").alias("focus"), F.lit(sh["path"]).alias("path"), "constraint", "value")
-            out = t if out is None else out.unionByName(t)
+_TURTLE = re.compile(r"""\s+|\#[^\n]*|(?P<text>\"{3}.*?\"{3}|"(?:[^"\\\n]|\\.)*")(?:\^\^[^\s;,.\])]+|@[\w-]+)?|(?P<iri><[^>\s]*>)|(?P<mark>[\[\]();,]|\.(?=\s|$))|(?P<word>@prefix|[^\s\[\]();,"<>]*[^\s\[\]();,"<>.]:?)""", re.S)
+
+
+def turtle_nodes(text: str) -> tuple[dict[str, str], dict[str, list[tuple]]]:
+    """The prefixes, and (predicate, object) pairs of each subject of a Turtle text; a blank node is a list of pairs, a collection a tuple, a string ('text', s)."""
+    tokens, at = [], 0
+    while at < len(text):
+        m = _TURTLE.match(text, at)
+        if not m or m.end() == at:
+            raise ValueError(f"not Turtle at {text[at : at + 20]!r}")
+        if m.lastgroup:
+            tokens.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
+    tokens.append((None, None))
+    prefixes, nodes, pos = {}, {}, 0
+
+    def take(want: str | None = None):
+        nonlocal pos
+        kind, word = tokens[pos]
+        if want and word != want or kind is None:
+            raise ValueError(f"expected {want or 'more'}, found {word!r}")
+        pos += 1
+        return kind, word
+
+    def thing():
+        kind, word = take()
+        if word == "[" and kind == "mark":
+            found = pairs("]")
+            take("]")
+            return found
+        if word == "(" and kind == "mark":
+            found = []
+            while tokens[pos][1] != ")":
+                found.append(thing())
+            take(")")
+            return tuple(found)
+        if kind == "text":
+            inner = word[3:-3] if word.startswith('"""') else word[1:-1]
+            return "text", re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), inner)
+        return word
+
+    def pairs(end: str) -> list[tuple]:
+        found = []
+        while tokens[pos][1] != end:
+            predicate = take()[1]
+            found.append((predicate, thing()))
+            while tokens[pos] == ("mark", ","):
+                take()
+                found.append((predicate, thing()))
+            while tokens[pos] == ("mark", ";"):
+                take()
+        return found
+
+    while tokens[pos][0]:
+        if tokens[pos][1] == "@prefix":
+            take()
+            prefixes[take()[1].removesuffix(":")] = take()[1][1:-1]
+        else:
+            subject = take()[1]
+            nodes.setdefault(subject, []).extend(pairs("."))
+        take(".")
+    return prefixes, nodes
+
+
+# The terms of the shapes vocabulary that are tested here, and those that test nothing.
+TESTED = ("sh:path", "sh:minCount", "sh:maxCount", "sh:in", "sh:nodeKind", "sh:datatype", "sh:class", "sh:pattern")
+SAID_ONLY = ("a", "rdfs:comment", "rdfs:label", "sh:name", "sh:description", "sh:message", "sh:severity")
+
+
+def read_shapes(text: str) -> list[dict]:
+    """Shapes of a Turtle text, one for each property of a node shape and target; a term that is not tested is an error, not a pass."""
+    out = []
+    for subject, said in turtle_nodes(text)[1].items():
+        if ("a", "sh:NodeShape") not in said:
+            continue
+        targets = [{"target": o} for p, o in said if p == "sh:targetClass"] + [{"subjects_of": o} for p, o in said if p == "sh:targetSubjectsOf"]
+        if odd := {p for p, _ in said} - {"sh:targetClass", "sh:targetSubjectsOf", "sh:property", *SAID_ONLY}:
+            raise ValueError(f"{subject}: {min(odd)} is not tested")
+        for prop in (o for p, o in said if p == "sh:property"):
+            have = dict(prop)
+            if odd := have.keys() - {*TESTED, *SAID_ONLY}:
+                raise ValueError(f"{subject}: {min(odd)} is not tested")
+            literal = lambda v: v[1] if isinstance(v, tuple) else v
+            shape = {"path": have["sh:path"], "min": have.get("sh:minCount"), "max": have.get("sh:maxCount"), "values": [literal(v) for v in have["sh:in"]] if "sh:in" in have else None, "node_kind": have["sh:nodeKind"].split(":")[1].lower() if "sh:nodeKind" in have else None}
+            shape |= {"datatype": have.get("sh:datatype"), "to_class": have.get("sh:class"), "pattern": literal(have.get("sh:pattern"))}
+            out += [t | {k: int(v) if k in ("min", "max") else v for k, v in shape.items() if v is not None} for t in targets]
     return out
 
 
+_SHAPE = "shape int, target string, subjects_of string, path string, min int, max int, values array<string>, node_kind string, datatype string, to_class string, pattern string"
+LEXICAL = {"xsd:integer": r"^[+-]?[0-9]+$", "xsd:boolean": "^(true|false|0|1)$", "xsd:decimal": r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"}
+
+
+def shape_violations(rows: DataFrame, shapes: list[dict]) -> DataFrame:
+    """(focus, path, constraint, value) of triples (s, p, o, o_kind): a shape is {target (a class) or subjects_of (a predicate), path, min, max, values, node_kind, datatype, to_class, pattern}.
+
+    All shapes are tested in one pass: the few shapes meet subjects and values by class and predicate, then both meet by subject and
+    shape, however many shapes there are. A datatype is told by a literal's form; xsd:string takes any literal."""
+    names = [c.split()[0] for c in _SHAPE.split(", ")]
+    table = F.broadcast(rows.sparkSession.createDataFrame([tuple([i, *(sh.get(n) for n in names[1:])]) for i, sh in enumerate(shapes)], _SHAPE))  # as many rows as the caller has shapes
+    typed = rows.where("p = 'rdf:type'").select("s", F.col("o").alias("class")).distinct()
+    focus = typed.join(table, F.col("class") == F.col("target")).select("s", "shape").unionByName(rows.join(table, F.col("p") == F.col("subjects_of")).select("s", "shape")).distinct()
+    values = rows.join(table.select("shape", "path"), F.col("p") == F.col("path")).select("s", "shape", "o", "o_kind")
+    met = focus.join(values, ["s", "shape"], "left")
+    counted = met.groupBy("s", "shape").agg(F.count("o").alias("n")).join(table, "shape")
+    one = lambda name, bad, value: F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(name).alias("constraint"), value.cast("string").alias("value")))
+    counts = F.array(one("minCount", F.col("n") < F.col("min"), F.col("n")), one("maxCount", F.col("n") > F.col("max"), F.col("n")))
+    right = typed.select(F.col("s").alias("o"), F.col("class").alias("to_class"), F.lit(True).alias("fits"))
+    asked = met.where(F.col("o").isNotNull()).join(table, "shape").join(right, ["o", "to_class"], "left")
+    literal, o = F.col("o_kind") == "literal", F.col("o")
+    formed = F.lit(True)
+    for name, pattern in LEXICAL.items():
+        formed = F.when(F.col("datatype") == name, o.rlike(pattern)).otherwise(formed)
+    each = F.array(
+        one("in", ~F.array_contains("values", o), o), one("nodeKind", F.col("o_kind") != F.col("node_kind"), o), one("datatype", F.col("datatype").isNotNull() & ~(literal & formed), o),
+        one("class", F.col("to_class").isNotNull() & (F.col("o_kind") == "iri") & F.col("fits").isNull(), o), one("pattern", F.col("pattern").isNotNull() & ~F.regexp_like(o, F.coalesce("pattern", F.lit(""))), o),
+    )
+    found = lambda frame, tests: frame.select(F.col("s").alias("focus"), "path", F.explode(F.array_compact(tests)).alias("v")).select("focus", "path", "v.*")
+    return found(counted, counts).unionByName(found(asked, each))
+
+
 def conforms(violations: DataFrame) -> DataFrame:
     return violations.agg((F.count(F.lit(1)) == 0).alias("conforms"), F.count(F.lit(1)).alias("violations"))
 

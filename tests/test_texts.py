@@ -26,6 +26,36 @@ def test_unique_slugs_and_mentions(spark):
     assert sorted(map(tuple, docs.mention_links(mentions, symbols).collect())) == [(1, 2), (2, 1), (2, 2), (3, 1), (3, 2)]
 
 
+SHAPES = '''@prefix sh: <http://www.w3.org/ns/shacl#> . # the vocabulary
+@prefix k: <urn:k#> .
+k:LinkShape a sh:NodeShape ; rdfs:comment "links; they \\"point\\"." ; sh:targetSubjectsOf k:links ;
+  sh:property [ sh:path k:links ; sh:nodeKind sh:IRI ; sh:minCount 1 ; ] .
+k:ThingShape a sh:NodeShape ;
+  sh:targetClass k:Thing , k:Other ;
+  sh:property [ sh:path k:size ; sh:datatype xsd:integer ; sh:maxCount 1 ] ;
+  sh:property [ sh:path k:tag ; sh:datatype xsd:string ; sh:in ( "a" "b c" ) ; sh:pattern "^[ab]" ] ;
+  sh:property [ sh:path k:home ; sh:class k:Thing ] .
+k:note k:about "nothing"^^xsd:string .
+'''
+
+
+def test_shape_files(spark):
+    shapes = docs.read_shapes(SHAPES)
+    assert len(shapes) == 7 and docs.class_predicates(shapes) == ["k:home"]
+    assert shapes[0] == {"subjects_of": "k:links", "path": "k:links", "min": 1, "node_kind": "iri"}
+    assert {"target": "k:Other", "path": "k:tag", "datatype": "xsd:string", "values": ["a", "b c"], "pattern": "^[ab]"} in shapes
+    for bad in ('k:X a sh:NodeShape ; sh:property [ sh:path k:p ; sh:uniqueLang true ] .', "k:X a sh:NodeShape ; sh:closed true .", "k:X a"):
+        with pytest.raises(ValueError):
+            docs.read_shapes(bad)
+    t = [("x", "rdf:type", "k:Thing", "iri"), ("y", "rdf:type", "k:Other", "iri"), ("y", "rdf:type", "k:Thing", "iri"), ("x", "k:size", "12", "literal"), ("x", "k:size", "1.5", "literal"), ("y", "k:size", "u", "iri"), ("x", "k:tag", "b c", "literal"), ("y", "k:tag", "c", "literal"),
+         ("x", "k:home", "y", "iri"), ("y", "k:home", "z", "iri"), ("z", "k:links", "text", "literal"), ("w", "k:links", "x", "iri"), ("free", "k:tag", "c", "literal")]
+    out = docs.shape_violations(spark.createDataFrame(t, "s string, p string, o string, o_kind string"), shapes).collect()
+    got = sorted((x["focus"], x["path"], x["constraint"], x["value"]) for x in out)
+    both = [("y", "k:home", "class", "z"), ("y", "k:size", "datatype", "u"), ("y", "k:tag", "in", "c"), ("y", "k:tag", "pattern", "c")]  # y is of two target classes
+    assert got == sorted([("x", "k:size", "datatype", "1.5"), ("x", "k:size", "maxCount", "2"), ("z", "k:links", "nodeKind", "text"), *both, *both])
+    assert docs.shape_violations(spark.createDataFrame([], "s string, p string, o string, o_kind string"), shapes).count() == 0
+
+
 def test_chunks_are_those_of_a_sequential_packing(spark):
     r = random.Random(6)
     for most, sizes in [(100, [r.choice([1, 5, 30, 99, 100, 101, 450]) for _ in range(400)]), (1000, [r.randint(1, 30) for _ in range(300)]), (50, [50] * 9), (10, [500]), (10, [])]:
