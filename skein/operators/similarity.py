@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.operators.rules import tokens
 
@@ -22,36 +27,85 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm)
 
 
-BROADCAST_QUERIES = 4096
-
-
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, model: str | None = None, block: int = 64, others: bool = False) -> DataFrame:
+QUERY_BYTES, SCORE_BYTES = 64 << 20, 32 << 20  # of queries sent to the tasks at once, and of scores held at once
+
+
+def _by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors of each length: those without entries, with a null or without a length of their own are left out."""
+    held = {}
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        rows = np.asarray(vectors.take(pa.array(at)).flatten(), float).reshape(len(at), n)
+        norm = np.sqrt((rows * rows).sum(axis=1))
+        sound = np.isfinite(norm) & (norm > 0)
+        held[n] = at[sound], rows[sound] / norm[sound, None]
+    return held
+
+
+def _nearest(queries: pa.Table, k: int, threshold: float | None, others: bool):
+    """A function of batches (id, vector) that gives the k nearest rows of each query: matrix products, block by block."""
+    asked = _by_length(queries.column("vector").combine_chunks())
+    names = queries.column("query").to_pylist()
+
+    def run(batches):
+        best: dict[int, list] = {}
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for n, (at, rows) in _by_length(batch.column(1)).items():
+                if n not in asked:
+                    continue
+                places, block = asked[n]
+                step = max(1, SCORE_BYTES // (8 * len(places)))
+                for low in range(0, len(rows), step):
+                    scores = np.round(block @ rows[low : low + step].T, 12)
+                    for q, found in zip(places.tolist(), scores):
+                        have = best.setdefault(q, [])
+                        least = max(have[-1][0] if len(have) == k else -np.inf, -np.inf if threshold is None else threshold - 1e-9)
+                        if len(found) > 2 * k:
+                            least = max(least, np.partition(found, len(found) - k - 1)[len(found) - k - 1])  # one more than k: a query's own row may be among them
+                        new = [(float(found[i]), ids[at[low + i]]) for i in np.flatnonzero(found >= least).tolist()]
+                        new = [x for x in new if not (others and x[1] == names[q]) and (threshold is None or x[0] >= threshold)]
+                        if new:
+                            best[q] = sorted(have + new, key=lambda x: (-x[0], x[1] is not None, x[1]))[:k]
+        rows = [(names[q], i, s) for q, found in best.items() for s, i in found]
+        yield pa.RecordBatch.from_pydict({"query": pa.array([r[0] for r in rows], queries.schema.field("query").type), "id": [r[1] for r in rows], "score": pa.array([r[2] for r in rows], pa.float64())})
+
+    return run
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, model: str | None = None, others: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query, id, score, rank): the k corpus rows (id, vector) nearest to each query (query, vector), ties by id.
 
-    With `others`, rows of the query's own id are left out.
-
-    Queries are a given set and meet the corpus in blocks of `block`; up to BROADCAST_QUERIES of them
-    (counted first) are broadcast, more are left to the planner. No more than k rows a query and
-    partition are shuffled."""
+    Queries are a given set: they are sent to the tasks in rounds of at most `query_bytes`, and the corpus, which is never shuffled,
+    is read once a round and met by matrix products. A task gives k rows a query. Scores that differ after the twelfth digit only
+    are ties. Rows of another length, with a null or of no length match nothing. With `others`, rows of the query's own id are left out."""
     if model is not None and corpus.where(F.col("model") == model).isEmpty():
         raise MatrixError(f"no vectors of model {model!r}")
-    rows = corpus.where(F.col("model") == model) if model is not None else corpus
-    norm = F.sqrt(dot(F.col("vector"), F.col("vector")))  # once a row, not once a pair
-    both = F.col("_qn") * F.col("_n")
-    score = F.when((F.size("_q") == F.size("vector")) & (F.size("_q") > 0) & (both > 0), dot(F.col("_q"), F.col("vector")) / both)
-    n = queries.count()
-    parts = queries.select("query", F.col("vector").alias("_q"), norm.alias("_qn"), F.pmod(F.xxhash64("query"), F.lit(-(-n // block) or 1)).alias("_b"))
-    blocks = parts.groupBy("_b").agg(F.collect_list(F.struct("query", "_q", "_qn")).alias("_qs"))
-    rows = rows.select("id", "vector", norm.alias("_n"))
-    pairs = rows.join(F.broadcast(blocks) if n <= BROADCAST_QUERIES else blocks, F.lit(True)).select("id", "vector", "_n", F.explode("_qs").alias("_x")).select(F.col("_x.query").alias("query"), "id", F.col("_x._q").alias("_q"), F.col("_x._qn").alias("_qn"), "vector", "_n")
-    if others:
-        pairs = pairs.where("NOT id <=> query")
-    scored = pairs.select("query", "id", score.alias("score")).where("score IS NOT NULL")
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
-    # equal but for the last bits, which follow the order of adding up, is a tie
+    rows = (corpus.where(F.col("model") == model) if model is not None else corpus).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.select("query", F.col("vector").cast("array<double>").alias("vector"))
+    size = asked.agg(F.sum(F.greatest(F.size("vector"), F.lit(0)) * 8 + 64)).first()[0] or 0
+    rounds = -(-size // query_bytes) or 1
+    schema = T.StructType([asked.schema["query"], rows.schema["id"], T.StructField("score", T.DoubleType())])
+    found = None
+    for r in range(rounds):
+        block = asked.where(F.pmod(F.xxhash64("query"), F.lit(rounds)) == r) if rounds > 1 else asked
+        kind = rows.schema["id"].dataType
+        near = rows.mapInArrow(_cast(_nearest(block.toArrow(), k, threshold, others), kind), schema)
+        found = near if found is None else found.unionByName(near)
     order = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
+
+
+def _cast(run, kind: T.DataType):
+    """The same with ids of the given type, also where a task finds none."""
+    to = to_arrow_type(kind)
+
+    def typed(batches):
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(to), b.column(2)], names=b.schema.names)
+
+    return typed
 
 
 def token_bucket(token: Column) -> Column:
