@@ -78,13 +78,17 @@ def test_sizing_and_decisions(spark, tree):
     got = {r.key: (r.kind, r.symbols, r.files) for r in hooks.sizing(edits, files, g.symbols, g.edges).collect()}
     assert got == {1: ("measured", 2, 2), 2: ("measured", 0, 0), 3: ("measured", 2, 2), 4: ("measured", 2, 2), 5: ("no-grammar", None, None), 6: ("unreadable", None, None), 7: ("no-grammar", None, None), 8: ("measured", 0, 0)}
 
-    full = edits.selectExpr("key", "'s' AS session", "CASE WHEN key = 8 THEN 'other' ELSE 'me' END AS tenant", "rel", "anchors", "CASE WHEN key = 2 THEN 'TODO' ELSE '' END AS text", "CAST(NULL AS string) AS proposed", "CAST(NULL AS string) AS baseline")
+    full = edits.selectExpr("key", "'s' AS session", "CASE WHEN key = 8 THEN 'other' ELSE 'me' END AS tenant", "rel", "anchors", "CASE WHEN key = 2 THEN '// TODO' ELSE '' END AS text", "CAST(NULL AS string) AS proposed", "CAST(NULL AS string) AS baseline")
     rules = [{"name": "todo", "pattern": "TODO"}]
     scopes = {"me": hooks.Scope(deny=["bad*"], max_symbols=1)}
     run = lambda **kw: {r.key: (r.outcome, r.rule) for r in hooks.pre_edit(full, rules, files, g.symbols, g.edges, scopes, **kw).collect()}
     assert run() == {1: ("deny", "max-symbols"), 2: ("notify", "todo"), 3: ("deny", "max-symbols"), 4: ("deny", "max-symbols"), 5: ("notify", "unmeasured"), 6: ("notify", "unmeasured"), 7: ("deny", "deny_paths:bad*"), 8: ("notify", "unscoped")}
     assert run(mode="advise")[1] == ("notify", "max-symbols")
     assert set(run(mode="off").values()) == {("allow", None)}
+    named = {"name": "no-todo", "language": "rust", "query": "(line_comment) @c", "pattern": "TODO", "match_type": "must-not-match"}
+    assert run(structural=[named])[2] == ("deny", "no-todo")
+    soft, hard, late = named | {"class": "soft"}, named | {"name": "gone", "effect": "mystery"}, named | {"name": "late", "verification_point": "PAA"}
+    assert run(governed=[soft, hard, late])[2] == ("deny", "gone+no-todo+todo")
     none = hooks.pre_edit(full, [], files, g.symbols, g.edges, {}).collect()
     assert sorted(r.outcome for r in none) == ["allow"] * 7 + ["notify"]
 
