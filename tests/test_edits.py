@@ -31,7 +31,8 @@ def test_arity(args, n):
 def test_parameters():
     found = verify.analyze("impl S { fn m<'a, T: Fn(u8, u8)>(&'a mut self, x: HashMap<K, V>, y: fn(u8) -> u8) {} }\nfn free(a: u8, b: [u8; 2],) {}")["functions"]
     assert [(f["name"], f["params"], f["takes_self"]) for f in found if f["name"] == "free"] == [("free", 2, False)]
-    assert kinds("struct S; impl S { fn m(&self, x: u8) {} }\nfn f() { m(1); }") == []
+    truck = "trait Haul { fn load(&mut self, crates: u32, late: bool) -> bool; fn rest(&self) {} }\n"
+    assert kinds(truck + "fn day() { load(7, false); rest(); }") == [] and kinds(truck + "fn day() { park(); }") == [("name", "park")]
     assert kinds("fn t(a: u8) {}\nmod x { fn t(a: u8, b: u8) {} }\nfn f() { t(1, 2, 3); }") == []
 
 
