@@ -28,18 +28,19 @@ def active_throttles(log: DataFrame, scope: str, now: int) -> DataFrame:
 
 
 def tail(spool: DataFrame, order: str, line: str, size: int = 256 << 10) -> DataFrame:
-    """The last whole lines within `size` bytes of the end; the line that the cut tears is dropped.
-
-    Running sums from the end are made over blocks first: a block is a run of the order in one
-    partition, so no task sees more than its own rows and the totals of the others."""
-    ranged = spool.withColumn("_n", F.octet_length(line) + 1)
-    total = ranged.agg(F.sum("_n").alias("_all"))
-    bounded = ranged.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    sums = bounded.groupBy("_p").agg(F.sum("_n").alias("_s"))
-    after = sums.select("_p", (F.sum("_s").over(Window.orderBy(F.desc("_p"))) - F.col("_s")).alias("_after"))
-    inside = bounded.join(F.broadcast(after), "_p")
-    upto = F.col("_after") + F.sum("_n").over(Window.partitionBy("_p").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("_u", upto).where(F.col("_u") <= size).drop("_n", "_p", "_after", "_u")
+    """The last whole lines within `size` bytes of the end; the line that the cut tears is dropped, and so are lines of the same place.
+
+    What is cut off is found on (order, bytes) alone: as many of the latest rows as fill `size` if all were as short as the shortest.
+    The rows themselves are read again and compared with the place of the cut, so nothing depends on how they were dealt out."""
+    sized = spool.where(F.col(line).isNotNull()).select(F.col(order).alias("_o"), (F.octet_length(line) + 1).alias("_n"))
+    least = sized.agg(F.min("_n")).first()[0]
+    if least is None:
+        return spool.where("false")
+    latest = sized.orderBy(F.desc("_o")).limit(size // least + 1)
+    upto = F.sum("_n").over(Window.orderBy(F.desc("_o")))  # lines of one place together
+    cut = latest.withColumn("_u", upto).agg(F.max(F.when(F.col("_u") > size, F.struct("_o"))).alias("_out"), F.max("_o").alias("_last"))
+    beyond = F.col("_out").isNull() | (F.col(order) > F.col("_out._o")) | (F.col("_out._o").isNull() & F.col(order).isNotNull())
+    return spool.join(F.broadcast(cut), beyond & (F.col(order).isNull() | (F.col(order) <= F.col("_last")))).drop("_out", "_last")
 
 
 def newest(spool: DataFrame, order: str, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein import functions as fn
 from skein.operators import audit, paths, rules, similarity
+from skein.plans import catalog
 
 
 def test_globs():
@@ -168,6 +169,25 @@ def test_tail_and_percentiles(spark):
     assert (out["p50"], out["p95"], out["n"]) == (s[int(0.5 * 5)], s[int(0.95 * 5)], 6)
 
 
+def test_tail_does_not_depend_on_how_rows_are_dealt(spark, tmp_path):
+    """Many input tasks: ranges sampled twice differ from each other."""
+    n = 60_000
+    spark.range(n).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), F.when(F.col("id") % 5 > 0, F.lit("{}")).alias("props")).repartition(23).write.parquet(f"{tmp_path}/events.parquet")
+    want, size = set(), 0
+    for i in range(n - 1, -1, -1):
+        size += len(f"{i}|view|{{}}") + 1 if i % 5 else 0
+        if size > 20_000:
+            break
+        want.add((i, f"{i}|view|{{}}" if i % 5 else None))
+    assert {tuple(x) for x in catalog.queries()["tail_denials"](spark, str(tmp_path)).collect()} == want
+
+
+def test_tail_of_lines_at_one_place(spark):
+    spool = spark.createDataFrame([(3, "abc"), (2, "abc"), (2, "abcd"), (1, "a")], "n int, line string")
+    assert [[(x["n"], x["line"]) for x in audit.tail(spool, "n", "line", size).orderBy("n", "line").collect()] for size in (3, 4, 12, 13)] == [[], [(3, "abc")], [(3, "abc")], [(2, "abc"), (2, "abcd"), (3, "abc")]]
+    assert audit.tail(spool.where("n = 0"), "n", "line", 9).count() == 0 and audit.tail(spool, "n", "line").count() == 4
+
+
 def test_session_audits(spark):
     rows = [("s", 0, "read", "f", 0.0, 10.0), ("s", 1, "read", "f", 5.0, 8.0), ("s", 2, "edit", "f", None, None), ("s", 3, "read", "f", 0.0, 4.0), ("s", 4, "compact", None, None, None), ("s", 5, "read", "f", 0.0, 4.0), ("s", 6, "read", "f", 4.0, 9.0), ("t", 7, "read", "f", 0.0, 4.0)]
     ev = spark.createDataFrame(rows, "session string, idx int, kind string, path string, lo double, hi double")
