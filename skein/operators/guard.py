@@ -155,8 +155,10 @@ def guard(policies: list[Policy], nodes: DataFrame, edges: DataFrame, orders: Da
             part = said((p.label, "unevaluated", p.effect, None, None, None, str(e)))
         else:
             keys = [f"v_{v}" for v in selector.variables()]
-            post = breaches(p, after["nodes"], after["edges"]).withColumn("_n", F.monotonically_increasing_id())
+            post = breaches(p, after["nodes"], after["edges"])
             if orders is not None:
+                # the numbers tie blame to its breach, so they are given once: read twice, the rows would be numbered anew
+                post = settle(post.withColumn("_n", F.monotonically_increasing_id()))
                 cond, before = _on(post, breaches(p, nodes, edges).withColumn("_pre", F.lit(True)), keys)
                 post = post.join(before, cond, "left").select("_n", *keys, F.coalesce("_pre", F.lit(False)).alias("pre_existing"))
                 ids = post.select("_n", F.explode(F.array(*(F.col(k)["node"] for k in keys))).alias("id")).where("id IS NOT NULL")

@@ -102,6 +102,25 @@ def test_guard_outcomes(spark):
     assert said(guard.guard([exist], nodes, edges)) == [("p", "evaluated", "d=-", False, [])]
 
 
+def test_guard_blames_each_order_for_its_own_breach(spark):
+    """Bindings enough for many tasks: the number that ties blame to a binding must not be made twice."""
+    n = 3000
+    attrs = "map('cold', named_struct('t', 'bool', 'b', true, 'n', CAST(NULL AS double), 's', CAST(NULL AS string)), 'pallets', {})"
+    num = lambda x: f"named_struct('t', 'num', 'b', CAST(NULL AS boolean), 'n', {x}D, 's', CAST(NULL AS string))"
+    nodes = spark.range(n).repartition(7).selectExpr("concat('d', id) AS id", "'Depot' AS kind", f"{attrs.format(num(50))} AS attrs")
+    none = "CAST(NULL AS string)"
+    orders = spark.range(0, n, 2).selectExpr("concat('o', id) AS order_id", "CAST(id AS int) AS seq", "0 AS pos", "'set_attr' AS op", "concat('d', id) AS id", "'pallets' AS key", f"{num(3)} AS value", *(f"{none} AS {c}" for c in ("kind", "source", "relation", "target")))
+    edges = spark.createDataFrame([], EDGES)
+    for threshold in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            out = guard.guard([POLICY, guard.Policy("few", "?d a Depot", "?d pallets 3", "must-not-match")], nodes, edges, orders)
+            assert "monotonically_increasing_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+            assert said(out) == sorted((p, "evaluated", f"d=d{i}", False, [f"o{i}"]) for p in ("stocked", "few") for i in range(0, n, 2))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_orders_apply_in_sequence(spark):
     nodes, edges = board(spark)
     o = order(
