@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +44,7 @@ def sources(spark, d) -> DataFrame:
 
 
 def structural_captures(spark, d):
-    files = syntax.parsed(sources(spark, d))
-    each = [syntax.captures(files, selector, language).select("rel", F.lit(name).alias("selector"), "capture", "text", "start_line", "end_line") for language, name, selector in SELECTORS]
-    return reduce(DataFrame.unionByName, each)
+    return syntax.captures_of(sources(spark, d), SELECTORS)
 
 
 def structural_rules(spark, d):

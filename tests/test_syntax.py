@@ -136,3 +136,14 @@ def test_rules_over_captures(spark):
     kinds = {x["rel"]: x["kind"] for x in syntax.enclosing_kinds(texts.where("key in (1, 4)"), "A-1").collect()}
     assert kinds == {"a.py": "comment"}
     assert syntax.parsed(texts).nodes.where(F.col("kind") == "line_comment").count() == 4
+
+
+def test_captures_of_many_selectors_leave_no_joins_to_the_driver(spark):
+    files = spark.createDataFrame([(f"{language}{i}", language, s) for language, found in SOURCES.items() for i, s in enumerate(found)], "rel string, language string, source string")
+    asked = [(language, f"{language}{i}", s) for language in ("rust", "python") for i, s in enumerate(SELECTORS[language])]
+    got = syntax.captures_of(files, asked)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    read = syntax.parsed(files)
+    want = [(x["rel"], name, *x[1:]) for language, name, s in asked[::4] for x in syntax.captures(read, s, language).select("rel", "capture", "text", "start_line", "end_line").collect()]
+    assert want and sorted(want) == sorted(tuple(x) for x in got.where(F.col("selector").isin([n for _, n, _ in asked[::4]])).collect())
+    assert {x["language"] for x in read.of("python").nodes.select("language").distinct().collect()} == {"python"}
