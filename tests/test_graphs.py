@@ -2,6 +2,7 @@ import random
 from collections import Counter, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import audit, graph
 
@@ -210,3 +211,47 @@ def test_page_rank(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "src long, dst long")
     out = {x["node"]: x["score"] for x in graph.page_rank(edges, spark.createDataFrame([(1,)], "node long"), rounds=25).collect()}
     assert out[1] > out[2] > out[3] and 4 not in out
+
+
+def _named_calls(spark, r):
+    """Names that many nodes share, one of them in more than a chunk; nodes of several names, repeated rows and nulls."""
+    names = [f"f{i}" for i in range(6)]
+    symbols = [(n, r.choice("xy"), r.choice(names)) for n in range(60)] + [(n, "x", "hot") for n in range(100, 125)]
+    symbols += [(n, r.choice("xy"), r.choice(names)) for n in range(8)] + [(3, "x", "hot"), (3, "x", "hot"), (None, "x", "f1"), (70, None, "f1"), (71, "x", None)]
+    calls = [(r.choice("xy"), r.choice([*names, "hot"]), r.choice([*names, "hot", "nowhere"])) for _ in range(60)] + [("x", "hot", "hot")] * 3 + [("x", None, "f1"), (None, "f1", "f1")]
+    return spark.createDataFrame(symbols, "node long, language string, name string").repartition(5), spark.createDataFrame(calls, "language string, caller string, callee string").repartition(3)
+
+
+def test_calls_by_counts_are_the_calls_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    for seed in (1, 2):
+        symbols, calls = _named_calls(spark, random.Random(seed))
+        edges = graph.call_edges(calls, symbols)
+        want = sorted(map(tuple, edges.groupBy("src", "dst").count().collect()))
+        assert want and sorted(map(tuple, graph.call_counts(calls, symbols).collect())) == want
+        plain = symbols.where("node > 8").dropDuplicates(["node"])
+        want = sorted(map(tuple, graph.call_edges(calls, plain).groupBy("src", "dst").count().collect()))
+        got = graph.call_counts(calls, plain)
+        assert want and sorted(map(tuple, got.collect())) == want
+        assert "Aggregate [src" not in got._jdf.queryExecution().optimizedPlan().toString()
+        rows = {}
+        for x in graph.callers_by_callee(calls, symbols).collect():
+            rows.setdefault(x["callee"], []).append(x["caller_node"])
+        assert {x["callee"]: (x["callers"], x["first_caller"]) for x in graph.caller_counts(calls, symbols).collect()} == {c: (len(v), min((n for n in v if n is not None), default=None)) for c, v in rows.items()}
+        assert tuple(graph.graph_totals(calls, symbols).first()) == tuple(graph.graph_stats(symbols, edges).first())
+    assert tuple(graph.graph_totals(calls.where("false"), symbols).first()) == (symbols.count(), 0)
+
+
+def test_call_queries_make_no_pairs_of_nodes_but_those_they_return(spark, tmp_path):
+    """A name that 3,000 parts share: its calls, one by one, would be 9 million rows each."""
+    from skein.plans import catalog
+
+    d, n = str(tmp_path), 3000
+    spark.range(n).selectExpr("id AS p_partkey", "'part' AS p_name", "'Brand#11' AS p_brand", "'T' AS p_type", "2 AS p_size").write.parquet(f"{d}/part.parquet")
+    spark.range(2 * n).selectExpr("id div 2 AS l_orderkey", "id % 3000 AS l_partkey", "id % 7 AS l_suppkey", "CAST(id % 2 AS int) AS l_linenumber", "1D AS l_quantity", "1D AS l_extendedprice", "'x' AS l_shipdate").write.parquet(f"{d}/lineitem.parquet")
+    pairs = n // 2  # distinct edges between parts
+    assert tuple(catalog.queries()["graph_stats"](spark, d).first()) == (n, pairs * n * (n - 1))
+    assert [tuple(x) for x in catalog.queries()["callers_by_callee"](spark, d).collect()] == [("part Brand#11", n, 0)]
+    out = catalog.queries()["call_edges"](spark, d)
+    assert tuple(out.agg(F.count("n"), F.min("n"), F.max("n")).first()) == (n * (n - 1), pairs, pairs)
+    assert out.where("src < 9").dropDuplicates(["src", "dst"]).count() == 9 * (n - 1)
