@@ -59,13 +59,28 @@ def unique_slugs(rows: DataFrame, key: str, column: str, pos: str) -> DataFrame:
     return rows.withColumn("_n", n).withColumn(column, F.when(F.col("_n") > 0, F.concat_ws("-", F.col(column), F.col("_n").cast("string"))).otherwise(F.col(column))).drop("_n")
 
 
+PART = 500  # candidates of one name that one key of the join holds
+
+
 def mention_links(mentions: DataFrame, symbols: DataFrame) -> DataFrame:
     """(mention, node): symbols of a mention's bare name; a qualifier that is some candidate's module, case aside, narrows to those."""
-    found = mentions.join(symbols.select("node", F.col("name").alias("symbol"), "file"), "symbol")
-    fits = F.lower(module_stem(F.col("file"))) == F.lower("qualifier")
-    marked = found.withColumn("_q", F.coalesce(fits, F.lit(False)))
-    any_fit = F.max("_q").over(Window.partitionBy("mention"))
-    return marked.withColumn("_any", any_fit).where("_q OR NOT _any").select("mention", "node").distinct()
+    stem = F.lower(module_stem(F.col("file")))
+    s = settle(symbols.select("node", F.col("name").alias("symbol"), stem.alias("stem")).distinct().withColumn("_again", F.count(F.lit(1)).over(Window.partitionBy("node")) > 1))
+    m = mentions.select("mention", "symbol", F.lower("qualifier").alias("stem")).distinct().withColumn("_more", F.count(F.lit(1)).over(Window.partitionBy("mention")) > 1)
+    known = s.select("symbol", "stem", F.lit(True).alias("_q")).distinct()
+    narrow = F.coalesce(F.max("_q").over(Window.partitionBy("mention")), F.lit(False))  # any of a mention's names narrows them all
+    m = settle(m.join(known, ["symbol", "stem"], "left").withColumn("_any", narrow))
+    # candidates are looked for by (name, stem) or by name in parts of about PART nodes; a mention and a node that each stand once meet once
+    size = s.groupBy("symbol").agg(F.ceil(F.count(F.lit(1)) / PART).alias("_parts"))
+    part = lambda frame: frame.join(size, "symbol")
+    wide = part(m.where("NOT _any")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).select("mention", "symbol", "_part", "_more")
+    by_name = wide.join(part(s).withColumn("_part", F.pmod(F.xxhash64("node"), "_parts")), ["symbol", "_part"])
+    by_stem = m.where("_any AND _q").select("mention", "symbol", "stem", "_more").join(s, ["symbol", "stem"])
+    met = by_name.select("mention", "node", "_more", "_again").unionByName(by_stem.select("mention", "node", "_more", "_again"))
+    lone = met.where("NOT _more AND NOT _again").select("mention", "node")
+    if m.where("_more").isEmpty() and s.where("_again").isEmpty():
+        return lone
+    return lone.unionByName(met.where("_more OR _again").select("mention", "node").distinct())
 
 
 def import_edges(refs: DataFrame, modules: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,24 @@ def test_sections():
     assert out[2]["mentions"] == [{"symbol": "b", "qualifier": "A"}] and out[2]["links"] == ["b.md"] and docs.sections_of(None) == []
 
 
+def test_mention_links_make_no_pairs_but_those_they_return(spark, monkeypatch):
+    monkeypatch.setattr(docs, "PART", 4)
+    r = random.Random(4)
+    pick = lambda n: [(i, r.choice("abc"), r.choice(["Web", "cli", "x", None])) for i in range(n)]
+    for again in (False, True):  # ids that stand once, then also repeated ones, with other names
+        m, s = pick(40) + [(90, None, "x")], pick(30) + [(None, "a", "x")]
+        if again:
+            m, s = m + pick(9) + m[:3], s + pick(9) + s[:3] + [(None, "b", "cli")]
+        mentions = spark.createDataFrame(m, "mention int, symbol string, qualifier string")
+        symbols = spark.createDataFrame([(n, a, f and f"src/{f.upper()}.rs") for n, a, f in s], "node int, name string, file string")
+        rows = [(i, n, q is not None and f is not None and q.lower() == f.lower()) for i, a, q in m for n, b, f in s if a is not None and a == b]
+        any_fit = {i for i, _, fit in rows if fit}
+        got = docs.mention_links(mentions, symbols)
+        assert Counter(map(tuple, got.collect())) == Counter({(i, n) for i, n, fit in rows if fit or i not in any_fit})
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and ("Aggregate [mention" in plan) == again
+
+
 def test_unique_slugs_and_mentions(spark):
     rows = spark.createDataFrame([(1, "# A\n# A\n# B\n# A")], "k int, t string")
     assert [x["slug"] for x in docs.sections(rows, "k", "t").orderBy("pos").collect()] == ["a", "a-1", "b", "a-2"]
