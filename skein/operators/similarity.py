@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.operators.rules import tokens
+from skein.scratch import stable
 
 
 class MatrixError(ValueError):
@@ -50,6 +51,7 @@ def _nearest(queries: pa.Table, k: int, threshold: float | None, others: bool):
 
     def run(batches):
         best: dict[int, list] = {}
+        floor = np.full(len(names), -np.inf if threshold is None else threshold - 1e-9)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for n, (at, rows) in _by_length(batch.column(1)).items():
@@ -58,16 +60,22 @@ def _nearest(queries: pa.Table, k: int, threshold: float | None, others: bool):
                 places, block = asked[n]
                 step = max(1, SCORE_BYTES // (8 * len(places)))
                 for low in range(0, len(rows), step):
-                    scores = np.round(block @ rows[low : low + step].T, 12)
-                    for q, found in zip(places.tolist(), scores):
-                        have = best.setdefault(q, [])
-                        least = max(have[-1][0] if len(have) == k else -np.inf, -np.inf if threshold is None else threshold - 1e-9)
-                        if len(found) > 2 * k:
-                            least = max(least, np.partition(found, len(found) - k - 1)[len(found) - k - 1])  # one more than k: a query's own row may be among them
-                        new = [(float(found[i]), ids[at[low + i]]) for i in np.flatnonzero(found >= least).tolist()]
-                        new = [x for x in new if not (others and x[1] == names[q]) and (threshold is None or x[0] >= threshold)]
-                        if new:
-                            best[q] = sorted(have + new, key=lambda x: (-x[0], x[1] is not None, x[1]))[:k]
+                    scores = block @ rows[low : low + step].T
+                    # a row must come near a query's k-th best so far; only such scores are rounded and sorted
+                    hits = scores >= floor[places, None]
+                    if scores.shape[1] > 2 * k:
+                        for at_ in np.flatnonzero(hits.sum(axis=1) > 2 * k):  # one more than k: a query's own row may be among them
+                            hits[at_] &= scores[at_] >= np.partition(scores[at_], -k - 1)[-k - 1] - 1e-9
+                    places_, columns = np.nonzero(hits)
+                    rounded = np.round(scores[places_, columns], 12).tolist()
+                    new: dict[int, list] = {}
+                    for q, i, score in zip(places[places_].tolist(), (at[low + columns]).tolist(), rounded):
+                        if not (others and ids[i] == names[q]) and (threshold is None or score >= threshold):
+                            new.setdefault(q, []).append((score, ids[i]))
+                    for q, more in new.items():
+                        best[q] = sorted(best.get(q, []) + more, key=lambda x: (-x[0], x[1] is not None, x[1]))[:k]
+                        if len(best[q]) == k:
+                            floor[q] = max(floor[q], best[q][-1][0] - 1e-9)
         rows = [(names[q], i, s) for q, found in best.items() for s, i in found]
         yield pa.RecordBatch.from_pydict({"query": pa.array([r[0] for r in rows], queries.schema.field("query").type), "id": [r[1] for r in rows], "score": pa.array([r[2] for r in rows], pa.float64())})
 
@@ -84,6 +92,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None
         raise MatrixError(f"no vectors of model {model!r}")
     rows = (corpus.where(F.col("model") == model) if model is not None else corpus).select("id", F.col("vector").cast("array<double>").alias("vector"))
     asked = queries.select("query", F.col("vector").cast("array<double>").alias("vector"))
+    rows, asked = stable(rows), stable(asked)  # read once a round: vectors are not made anew each time
     size = asked.agg(F.sum(F.greatest(F.size("vector"), F.lit(0)) * 8 + 64)).first()[0] or 0
     rounds = -(-size // query_bytes) or 1
     schema = T.StructType([asked.schema["query"], rows.schema["id"], T.StructField("score", T.DoubleType())])

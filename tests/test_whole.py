@@ -76,3 +76,25 @@ def test_recurrence_best_searches_all_documents(spark, tmp_path):
     want = {q: min((-cosine(counts[q], counts[i]), i) for i in counts if i != q) for q in range(0, 61, 20)}
     got = catalog.queries()["recurrence_best"](spark, str(tmp_path)).collect()
     assert {x["query"]: (-x["score"], x["id"]) for x in got} == want
+
+
+def test_search_in_rounds_makes_its_vectors_once(spark):
+    """Vectors that must be made are made once, not once a round, and many rounds find what one finds."""
+    from pyspark.sql import functions as F
+
+    from skein.operators import similarity
+
+    r = random.Random(6)
+    rows = [(i, [float(r.randint(-3, 3)) for _ in range(4)] + [1.0]) for i in range(90)]
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>").mapInArrow(make, "id long, vector array<double>")
+    queries = spark.createDataFrame(rows[::9], "query long, vector array<double>")
+    want = {(q, i, n + 1) for q, v in rows[::9] for n, (_, i) in enumerate(sorted((-cosine(v, w), i) for i, w in rows if i != q)[:3])}
+    got = similarity.top_k(queries, corpus, 3, others=True, query_bytes=200).select("query", "id", F.col("rank")).collect()
+    assert {tuple(x) for x in got} == want and made.value == len(rows)
