@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import module_stem, slug, turtle_literal
-from skein.operators.graph import numbered, reach
+from skein.operators.graph import numbered, reach, tasks_for, unpacked
 from skein.scratch import settle
 
 _FENCE, _HEAD = re.compile(r"^ {0,3}(`{3,}|~{3,})"), re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
@@ -59,7 +59,27 @@ def unique_slugs(rows: DataFrame, key: str, column: str, pos: str) -> DataFrame:
     return rows.withColumn("_n", n).withColumn(column, F.when(F.col("_n") > 0, F.concat_ws("-", F.col(column), F.col("_n").cast("string"))).otherwise(F.col(column))).drop("_n")
 
 
-PART = 500  # candidates of one name that one key of the join holds
+PART = 1000  # ids of one key that travel as one row
+
+
+def pairs(left: DataFrame, right: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """(a, b) of each row of `left` with each of `right` that has the same `by`. Both sides travel in arrays of about PART ids.
+
+    Only chunks are joined, never by broadcast: their files look small, but as hash tables they would not fit the driver."""
+
+    def packed(rows: DataFrame, value: str, chunk: str) -> DataFrame:
+        rows = rows.select(value, *by)
+        many = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / PART).alias("_parts")).where("_parts > 1")
+        none = F.array_repeat(F.lit(None).cast(rows.schema[value].dataType), F.count_if(F.col(value).isNull()).cast("int"))
+        placed = rows.join(many, by, "left").withColumn(chunk, F.pmod(F.xxhash64(value), F.coalesce("_parts", F.lit(1))))
+        return placed.groupBy(*by, chunk).agg(F.concat(F.collect_list(value), none).alias(f"{value}_nodes"))
+
+    count = lambda rows, name: rows.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    n = tasks_for(count(left, "_a").join(count(right, "_b"), by).agg(F.sum(F.col("_a") * F.col("_b"))))
+    from_, to = packed(left, a, "_from"), packed(right, b, "_to")
+    met = from_.select(*by, "_from").join(to.select(*by, "_to").hint("merge"), by).join(from_.hint("merge"), [*by, "_from"])
+    met = met.repartition(n, *by, "_to").join(to.hint("merge"), [*by, "_to"])
+    return unpacked(met.select(f"{a}_nodes", f"{b}_nodes"), a, b, n)
 
 
 def mention_links(mentions: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -70,17 +90,15 @@ def mention_links(mentions: DataFrame, symbols: DataFrame) -> DataFrame:
     known = s.select("symbol", "stem", F.lit(True).alias("_q")).distinct()
     narrow = F.coalesce(F.max("_q").over(Window.partitionBy("mention")), F.lit(False))  # any of a mention's names narrows them all
     m = settle(m.join(known, ["symbol", "stem"], "left").withColumn("_any", narrow))
-    # candidates are looked for by (name, stem) or by name in parts of about PART nodes; a mention and a node that each stand once meet once
-    size = s.groupBy("symbol").agg(F.ceil(F.count(F.lit(1)) / PART).alias("_parts"))
-    part = lambda frame: frame.join(size, "symbol")
-    wide = part(m.where("NOT _any")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).select("mention", "symbol", "_part", "_more")
-    by_name = wide.join(part(s).withColumn("_part", F.pmod(F.xxhash64("node"), "_parts")), ["symbol", "_part"])
-    by_stem = m.where("_any AND _q").select("mention", "symbol", "stem", "_more").join(s, ["symbol", "stem"])
-    met = by_name.select("mention", "node", "_more", "_again").unionByName(by_stem.select("mention", "node", "_more", "_again"))
-    lone = met.where("NOT _more AND NOT _again").select("mention", "node")
-    if m.where("_more").isEmpty() and s.where("_again").isEmpty():
+
+    def links(some: DataFrame, to: DataFrame) -> DataFrame:
+        return pairs(some.where("NOT _any"), to, "mention", "node", ["symbol"]).unionByName(pairs(some.where("_any AND _q"), to, "mention", "node", ["symbol", "stem"]))
+
+    # a mention and a node that each stand once meet once
+    lone, again = links(m.where("NOT _more"), s.where("NOT _again")), s.where("_again")
+    if m.where("_more").isEmpty() and again.isEmpty():
         return lone
-    return lone.unionByName(met.where("_more OR _again").select("mention", "node").distinct())
+    return lone.unionByName(links(m.where("_more"), s).unionByName(links(m.where("NOT _more"), again)).distinct())
 
 
 def import_edges(refs: DataFrame, modules: DataFrame) -> DataFrame:

@@ -37,6 +37,16 @@ def test_mention_links_make_no_pairs_but_those_they_return(spark, monkeypatch):
         assert "Window" not in plan and ("Aggregate [mention" in plan) == again
 
 
+def test_mention_links_send_no_mentions_through_the_driver(spark):
+    """Settled tables look small as files; a mention stood there once for every part of its name's nodes."""
+    ids = spark.range(4000).withColumnRenamed("id", "mention")
+    mentions, symbols = ids.selectExpr("mention", "'a' AS symbol", "IF(mention < 2000, 'x', NULL) AS qualifier"), ids.selectExpr("mention AS node", "'a' AS name", "IF(mention % 2 = 0, 'src/x.rs', 'src/y.rs') AS file")
+    got = docs.mention_links(mentions, symbols)
+    assert tuple(got.agg(F.count("node"), F.count_distinct("mention"), F.sum("node")).first()) == (2000 * 2000 + 2000 * 4000, 4000, 2000 * sum(range(0, 4000, 2)) + 2000 * sum(range(4000)))
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [x for x, line in zip(plan, plan[1:]) if "BroadcastExchange" in x and ("mention" in line or "node" in line)]
+
+
 def test_unique_slugs_and_mentions(spark):
     rows = spark.createDataFrame([(1, "# A\n# A\n# B\n# A")], "k int, t string")
     assert [x["slug"] for x in docs.sections(rows, "k", "t").orderBy("pos").collect()] == ["a", "a-1", "b", "a-2"]
