@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -130,10 +133,43 @@ def token_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     return found.join(hashed, "_t").groupBy(key, "bucket").agg(F.sum("_c").alias("n"))
 
 
+_TOKEN = re.compile(r"[A-Za-z0-9_-]+")  # as in rules.tokens
+KNOWN = 1 << 18  # tokens whose buckets a task remembers
+
+
+def _bucket(token: str) -> int:
+    h = 0xCBF29CE484222325
+    for byte in token.lower().encode():
+        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
 def token_vectors(texts: DataFrame, key: str, text: str, buckets: int = 256) -> DataFrame:
-    """(key, vector): counts by bucket; texts without tokens have no row."""
-    held = token_counts(texts, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double")))).alias("_m"))
-    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0))).alias("vector"))
+    """(key, vector): counts by bucket; texts without tokens have no row. Nothing is shuffled but the texts of keys that stand again."""
+    kind = texts.schema[key]
+    if not texts.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").isEmpty():
+        texts = texts.groupBy(key).agg(F.array_join(F.collect_list(text), " ").alias(text))
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            keys, rows = [], []
+            for n, t in enumerate(batch.column(1)):
+                found = Counter(_TOKEN.findall(t.as_py() or ""))
+                if not found:
+                    continue
+                if len(known) > KNOWN:
+                    known.clear()
+                for token in found:
+                    if token not in known:
+                        known[token] = _bucket(token) % buckets
+                keys.append(n)
+                rows.append(np.bincount([known[x] for x in found], list(found.values()), buckets))
+            if keys:
+                flat = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * buckets, np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), flat], names=[key, "vector"])
+
+    return texts.select(key, text).mapInArrow(run, T.StructType([kind, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
 def recurrence(new: DataFrame, prior: DataFrame, threshold: float = 0.6, others: bool = False) -> DataFrame:

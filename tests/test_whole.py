@@ -98,3 +98,28 @@ def test_search_in_rounds_makes_its_vectors_once(spark):
     want = {(q, i, n + 1) for q, v in rows[::9] for n, (_, i) in enumerate(sorted((-cosine(v, w), i) for i, w in rows if i != q)[:3])}
     got = similarity.top_k(queries, corpus, 3, others=True, query_bytes=200).select("query", "id", F.col("rank")).collect()
     assert {tuple(x) for x in got} == want and made.value == len(rows)
+
+
+def test_token_vectors_shuffle_no_tokens(spark):
+    from skein.operators import similarity
+
+    r = random.Random(7)
+    words = ["Ab", "ab", "x-1", "Q_9", "zeta", "omega"]
+    rows = [(i, ", ".join(r.choice(words) for _ in range(r.randint(1, 30)))) for i in range(50)] + [(60, None), (61, "é !")]
+
+    def bucket(token):
+        h = 0xCBF29CE484222325
+        for b in token.lower().encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h % 256
+
+    for again in ([], [(3, "zeta zeta"), (3, None), (60, "ab")]):
+        want = {}
+        for i, text in rows + again:
+            for w in (text or "").replace(",", "").split():
+                if w[0].isascii() and w[0].isalnum():
+                    v = want.setdefault(i, [0.0] * 256)
+                    v[bucket(w)] += 1
+        out = similarity.token_vectors(spark.createDataFrame(rows + again, "k long, t string"), "k", "t")
+        assert {x["k"]: list(x["vector"]) for x in out.collect()} == want
+        assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == bool(again)
