@@ -242,6 +242,18 @@ def test_calls_by_counts_are_the_calls_one_by_one(spark, monkeypatch):
     assert tuple(graph.graph_totals(calls.where("false"), symbols).first()) == (symbols.count(), 0)
 
 
+def test_pairs_of_calls_are_made_in_tasks_by_their_number(spark, monkeypatch):
+    """Few bytes make many pairs: tasks are set by pairs, and no generated loop holds all pairs of two chunks."""
+    monkeypatch.setattr(graph, "PAIRS", 10)
+    symbols, calls = _named_calls(spark, random.Random(3))
+    plain = symbols.where("node > 8").dropDuplicates(["node"])
+    got = graph.call_counts(calls, plain)
+    assert graph.tasks_for(spark.range(101).agg(F.sum("id"))) == 505
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(dst_nodes") < plan.index("Coalesce") < plan.index("explode(src_nodes")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.call_edges(calls, plain).groupBy("src", "dst").count().collect()))
+
+
 def test_call_queries_make_no_pairs_of_nodes_but_those_they_return(spark, tmp_path):
     """A name that 3,000 parts share: its calls, one by one, would be 9 million rows each."""
     from skein.plans import catalog
